@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, quality, simhash, tokens
+from tessera.llm import decontaminate, html_text, langid, licenses, media, mixing, pii, quality, simhash, tokens
 from tessera.llm.common import table
 
 
+def op1_license_scan(spark, sf_dir):
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    base = F.expr("filter(detections, d -> d.base)")
+    labels = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda d: d["label"]))), ",")
+    kept = F.expr("filter(detections, d -> d.kept OR d.base)")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(F.transform(base, lambda d: d["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda d: d["first"])).alias("last_word"), labels(base).alias("base_labels"), labels(kept).alias("labels"),
+        F.coalesce(F.array_max(F.transform(kept, lambda d: d["weight"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op2_benchmark_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = decontaminate.hit_words()
@@ -17,6 +29,23 @@ def op2_benchmark_decontamination(spark, sf_dir):
     )
 
 
+def op3_pii_surrogates(spark, sf_dir):
+    found = pii.replace_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("entities.type")), ",").alias("types"))
+
+
+def op4_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_media_columns(spark, sf_dir):
+    return media.read_back(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,6 +69,13 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op7_source_mixing, op8_token_output, op9_quality_classifier, op10_simhash_near_dedup, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_benchmark_decontamination, op3_pii_surrogates, op4_language_id, op5_html_extraction,
+        op6_media_columns, op7_source_mixing, op8_token_output, op9_quality_classifier, op10_simhash_near_dedup, pipeline,
+    )
+}
+
 
 ORACLES: dict[str, str] = {}
