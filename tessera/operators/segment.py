@@ -20,7 +20,7 @@ def _fold(items: DataFrame, key: str, order: list[str], shortest: float, longest
     """
     lows = [m.lower() for m in TOPIC_MARKERS]
     marker = F.exists(F.array(*[F.lit(m) for m in lows]), lambda m: F.contains(F.lower("text"), m))
-    slim = items.select(key, *order, "start_s", "end_s", F.length("text").alias("_len"), marker.alias("_marker"))
+    slim = items.select(key, *dict.fromkeys([*order, "start_s", "end_s"]), F.length("text").alias("_len"), marker.alias("_marker"))
 
     def number(pdf):
         import numpy as np

@@ -144,7 +144,7 @@ def g_vector_store_search(spark, d):
 
 @query("g_boosted_cosine", sql("evidence query_texts", _VEC + ", low AS (SELECT doc_id, lower(text) AS t FROM documents), qq AS (SELECT query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM query_texts) SELECT query_id, video_id, vec.doc_id, round(score + CASE WHEN len(list_filter(ws, lambda x: contains(t, x))) > 0 THEN 0.05 ELSE 0 END, 6) AS score FROM vec JOIN low USING (doc_id) JOIN qq USING (query_id) WHERE rank <= 5"))
 def g_boosted_cosine(spark, d):
-    top = R.hybrid(X.evidence(spark, d), X.query_texts(spark, d), "vector", 5).drop("rank")
+    top = R.sparse_top_k(X.evidence(spark, d), X.query_texts(spark, d), 5, ["speech", "frame_caption"]).drop("rank")
     q = X.query_texts(spark, d).select("query_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("ws"))
     rows = top.join(X.table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")), "doc_id").join(F.broadcast(q), "query_id")
     return rows.select("query_id", "video_id", "doc_id", F.round(F.col("score") + F.when(F.exists("ws", lambda w: F.contains(F.col("t"), w)), 0.05).otherwise(0.0), 6).alias("score"))
