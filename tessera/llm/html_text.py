@@ -189,13 +189,15 @@ def content(nodes: list[Node]) -> list[Node]:
     while up is not None and up.tag not in ("html", "#root"):
         threshold, up = min(threshold, up.density), up.parent
     out, kept = [], {id(best)}
+    # sections beside the best one that are much like it are content whole, whatever short blocks they hold
+    alike = {id(n) for n in stay if n.parent is best.parent and n.tag == best.tag and n.total >= 0.3 * best.total and n.link_chars < 0.3 * n.chars}
     for n in stay:
         inside_kept = n.parent is not None and id(n.parent) in kept
         if inside_kept:
             kept.add(id(n))
         elif n is best:
             out.append(n)
-        elif n.density >= threshold and n.tag not in ("#root", "html", "body") and not _above(n, best):
+        elif (n.density >= threshold or id(n) in alike) and n.tag not in ("#root", "html", "body") and not _above(n, best):
             kept.add(id(n))
             out.append(n)
     return out

@@ -66,12 +66,14 @@ def _gif(b: bytes, at: int) -> int:
 
 def _jpeg(b: bytes, at: int) -> int:
     pos = at + 2
-    while pos + 4 <= len(b):
+    while pos + 2 <= len(b):
         if b[pos] != 0xFF:
             return 0
         kind = b[pos + 1]
         if kind == 0xD9:
             return pos + 2 - at
+        if pos + 4 > len(b):
+            return 0
         size = struct.unpack(">H", b[pos + 2 : pos + 4])[0]
         if size < 2:
             return 0

@@ -223,10 +223,14 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         alphabets = [_alphabet(c, True) for c in plain]
         alphabets = [plain[i] if len(plain) > 2 and (i + 1 == len(plain) or not plain[i + 1].isalpha()) and plain[i].isalpha() and ord(plain[i]) < 0x3000 else a for i, a in enumerate(alphabets)]
         return _spell(plain, alphabets, key, tweak)
-    elif re.fullmatch(r"[0-9a-f]+", plain):
+    elif re.fullmatch(r"[0-9a-f]*[a-f][0-9a-f]*", plain):
         new = _spell(plain, [_HEX] * len(plain), key, tweak)
+        while new.isdigit():  # a permutation walks on until it is back among strings with letters
+            new = _spell(new, [_HEX] * len(plain), key, tweak)
     else:
-        return _spell(plain, [_alphabet(c, False) for c in plain], key, tweak)
+        new = _spell(plain, [_alphabet(c, False) for c in plain], key, tweak)
+        if plain == text:
+            return new
     out, it = [], iter(new.lstrip("+"))
     for p in text:
         out.append((lambda c: c.upper() if p.isupper() else c)(next(it, "")) if p.isalnum() else p)
