@@ -119,7 +119,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if tag == "br":
             node.parts.append(" ")
             continue
-        new = Node(tag, node, node.dropped or _unwanted(tag, m[3], articles > 0))
+        new = Node(tag, node, _unwanted(tag, m[3], articles > 0))
         node.parts.append(new)
         nodes.append(new)
         if tag not in VOID and not m[3].endswith("/"):
@@ -131,15 +131,23 @@ def parse(page: str) -> tuple[Node, list[Node]]:
 
 
 def _rescue(nodes: list[Node]) -> None:
-    """An element dropped by its name alone comes back if the page's only article, main or first heading is inside it."""
+    """An element dropped by its name alone comes back if it wraps an article or main; without any of these on the
+    page, if it wraps a first heading and at least half of the page's paragraphs."""
+    anchors = {id(n) for n in nodes if n.tag in ("article", "main")}
+    paragraphs = {id(n): int(n.tag == "p") for n in nodes}
+    heading = {id(n): n.tag == "h1" for n in nodes}
     for n in reversed(nodes):
-        if n.parent is not None and (n.holds or n.tag in ("article", "main", "h1")):
-            n.parent.holds = True
-    for n in nodes:
-        if n.dropped and n.holds and n.tag not in BOILERPLATE and n.tag != "header":
-            n.dropped = n.parent.dropped
-        elif n.parent is not None and not n.parent.dropped and n.dropped and n.parent.holds and n.tag in ("article", "main"):
-            n.dropped = False
+        n.holds = n.holds or id(n) in anchors
+        if n.parent is not None:
+            n.parent.holds = n.parent.holds or n.holds
+            paragraphs[id(n.parent)] += paragraphs[id(n)]
+            heading[id(n.parent)] = heading[id(n.parent)] or heading[id(n)]
+    if not anchors:
+        for n in nodes:
+            n.holds = heading[id(n)] and 0 < paragraphs[id(nodes[0])] <= 2 * paragraphs[id(n)]
+    for n in nodes:  # parents come first
+        wrapper = n.holds and n.tag not in BOILERPLATE and n.tag != "header"
+        n.dropped = n.dropped and not wrapper or n.parent is not None and n.parent.dropped
 
 
 def measure(nodes: list[Node]) -> None:

@@ -27,6 +27,14 @@ def test_layouts():
     assert H.main_text(page(split)) == WANT
 
 
+def test_names_that_wrap_the_article():
+    for wrapped in (f'<div class="with-sidebar"><article>{BODY}</article></div>', f'<div class="page has-sidebar">{BODY}</div>'):
+        assert H.main_text(page(wrapped)) == WANT
+    assert H.main_text(page(f'<div class="header"><h1>Site</h1></div><article>{BODY}</article>')) == WANT
+    assert H.main_text(page(f'<article>{BODY}<section class="reader-comments"><p>Not of the article, but long enough to look like it is.</p></section></article>')) == WANT
+    assert H.main_text(page(f'<article>{BODY}<div role="complementary">More</div><p hidden>x</p><p style="display:none">y</p></article>')) == WANT
+
+
 def test_markup():
     assert H.main_text("<p>a &amp; b &lt;c&gt; &eacute;&#233;&#xe9;</p>") == "a & b <c> ééé"
     assert H.main_text("<p>one  <b>two</b>\n three<br>four</p><p>five") == "one two three four\nfive"
