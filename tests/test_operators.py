@@ -164,3 +164,32 @@ def test_streams(spark, sf_dir, tmp_path):
     assert state.groupBy("video_id", "stage").agg(F.max("n_events").alias("n")).agg(F.sum("n")).first()[0] == n
     live.two_stage(stream(), str(tmp_path / "sink"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "sink")).count() == n
+
+
+def test_sinks_and_media(spark, tmp_path):
+    from tessera.sources import adapters
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "video_id long, text string")
+    path = str(tmp_path / "out")
+    adapters.write_partitioned(rows, path)
+    adapters.write_partitioned(spark.createDataFrame([(2, "c")], "video_id long, text string"), path)
+    assert sorted((r["video_id"], r["text"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/x.mp4").write_bytes(b"abc")
+    assert adapters.read_media(spark, str(tmp_path / "m")).first()["video_id"] == "local_a9993e364706"
+    (tmp_path / "m/x.json").write_text('{"video_id": "v", "title": "t"}')
+    assert adapters.read_artifacts(spark, str(tmp_path / "m/x.json"), "video_id string, title string, author string").first()["title"] == "t"
+
+
+def test_budget_fill_skips_what_does_not_fit(spark):
+    rows = spark.createDataFrame([(1, 1, 9.0, 60, "a", "x"), (1, 2, 8.0, 70, "a", "y"), (1, 3, 7.0, 30, "a", "x"), (1, 4, 6.0, 30, "b", "z"), (1, 5, 5.0, 5, "b", "w")], "key long, id long, score double, size long, source string, claim string")
+    assert memory.budget_fill(rows, "key", 100, 3, 1).first()["picked"] == [1, 4]
+    assert memory.budget_fill(rows, "key", 100, 3).first()["picked"] == [1, 4, 5]
+
+
+def test_url_rules(spark):
+    from tessera.sources import adapters
+
+    safe = lambda u: one(spark, adapters.url_safe(F.lit(u)))
+    assert safe("https://www.example.com/x") and not safe("http://localhost/") and not safe("http://10.0.0.1/") and not safe("http://u:p@example.com/") and not safe("file:///etc")
+    assert one(spark, adapters.url_video_id(F.lit("https://v.example/watch?v=abc123_X&t=1"))) == "abc123_X"
