@@ -105,19 +105,19 @@ def k_leader_clusters(spark, d):
     return K.leader_clusters(X.views(spark, d), "cluster_id")
 
 
-@query("k_pairwise", sql("views", _SIM + " SELECT a.cluster_id, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS similarity FROM v a JOIN v b ON a.cluster_id = b.cluster_id AND a.vec_id < b.vec_id"))
+@query("k_pairwise", sql("views", _SIM + " SELECT a.cluster_id, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) + 0.0::DOUBLE AS similarity FROM v a JOIN v b ON a.cluster_id = b.cluster_id AND a.vec_id < b.vec_id"))
 def k_pairwise(spark, d):
-    return K.pairwise(X.views(spark, d), "cluster_id", 32)
+    return K.pairwise(X.views(spark, d), "cluster_id", 32).withColumn("similarity", F.col("similarity") + 0.0)
 
 
-@query("k_consensus", sql("views", _SIM + ", p AS (SELECT a.cluster_id, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS similarity FROM v a JOIN v b ON a.cluster_id = b.cluster_id AND a.vec_id < b.vec_id), k AS (SELECT *, CASE WHEN similarity >= 0.78 THEN 'consensus' WHEN similarity <= 0.45 THEN 'disagreement' END AS kind FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, kind ORDER BY a, b) AS place FROM k WHERE kind IS NOT NULL) SELECT cluster_id, a, b, similarity, kind, place FROM r WHERE place <= 12"))
+@query("k_consensus", sql("views", _SIM + ", p AS (SELECT a.cluster_id, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) + 0.0::DOUBLE AS similarity FROM v a JOIN v b ON a.cluster_id = b.cluster_id AND a.vec_id < b.vec_id), k AS (SELECT *, CASE WHEN similarity >= 0.78 THEN 'consensus' WHEN similarity <= 0.45 THEN 'disagreement' END AS kind FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, kind ORDER BY a, b) AS place FROM k WHERE kind IS NOT NULL) SELECT cluster_id, a, b, similarity, kind, place FROM r WHERE place <= 12"))
 def k_consensus(spark, d):
-    return K.consensus(K.pairwise(X.views(spark, d), "cluster_id", 32), "cluster_id")
+    return K.consensus(K.pairwise(X.views(spark, d), "cluster_id", 32), "cluster_id").withColumn("similarity", F.col("similarity") + 0.0)
 
 
-@query("k_author_changes", sql("views", "p AS (SELECT cluster_id, author, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY cluster_id, author ORDER BY vec_id) AS q FROM views) SELECT cluster_id, author, vec_id, round(list_cosine_similarity(e, q), 4) AS similarity, CASE WHEN list_cosine_similarity(e, q) >= 0.78 THEN 'stable' ELSE 'changed' END AS change FROM p WHERE q IS NOT NULL"))
+@query("k_author_changes", sql("views", "p AS (SELECT cluster_id, author, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY cluster_id, author ORDER BY vec_id) AS q FROM views) SELECT cluster_id, author, vec_id, round(list_cosine_similarity(e, q), 4) + 0.0::DOUBLE AS similarity, CASE WHEN list_cosine_similarity(e, q) >= 0.78 THEN 'stable' ELSE 'changed' END AS change FROM p WHERE q IS NOT NULL"))
 def k_author_changes(spark, d):
-    return K.author_changes(X.views(spark, d), ["cluster_id", "author"], "vec_id")
+    return K.author_changes(X.views(spark, d), ["cluster_id", "author"], "vec_id").withColumn("similarity", F.col("similarity") + 0.0)
 
 
 @query("k_describe", "WITH w AS (SELECT source, unnest(string_split_regex(translate(text, ',.，。', '    '), '\\s+')) AS word FROM documents), c AS (SELECT source, word, count(*) AS n FROM w WHERE length(word) >= 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS rn FROM c) SELECT source, string_agg(word, ' / ' ORDER BY rn) AS description FROM r WHERE rn <= 5 GROUP BY 1")

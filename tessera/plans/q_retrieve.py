@@ -158,7 +158,7 @@ def _mmr_sql(first, later, k=3):
         before = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, i))
         out += f", g{i} AS (SELECT c.cluster_id, c.vec_id, any_value(c.e) AS e, round(any_value(c.rel) - {later} * greatest(0, max(list_cosine_similarity(c.e, s.e))), 9) AS gain FROM c JOIN ({before}) s USING (cluster_id) WHERE c.vec_id NOT IN (SELECT vec_id FROM ({before}) z) GROUP BY c.cluster_id, c.vec_id)"
         out += f", p{i} AS (SELECT cluster_id, vec_id, e FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY gain DESC, vec_id) AS rn FROM g{i}) x WHERE rn = 1)"
-    return out + " " + " UNION ALL ".join(f"SELECT cluster_id, vec_id AS item, {i} AS place FROM p{i}" for i in range(1, k + 1))
+    return out + " " + " UNION ALL ".join(f"SELECT cluster_id, vec_id AS item, {i}::BIGINT AS place FROM p{i}" for i in range(1, k + 1))
 
 
 @query("g_mmr", sql("views", _mmr_sql("1.0::DOUBLE - (vec_id % 17) / 20.0", "0.7::DOUBLE")))

@@ -40,12 +40,12 @@ _PARSED = sql("items", r"SELECT video_id, start_ms / 1000.0::DOUBLE AS start_s,
 
 @query("a_parse_vtt", _PARSED)
 def a_parse_vtt(spark, d):
-    return S.parse_blocks(_subtitle_files(spark, d, ".")).select("video_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text")
+    return S.parse_blocks(_subtitle_files(spark, d, ".")).select("video_id", F.round("start", 3).alias("start_s"), F.round("end", 3).alias("end_s"), "text")
 
 
 @query("a_parse_srt", _PARSED)
 def a_parse_srt(spark, d):
-    return S.parse_blocks(_subtitle_files(spark, d, ",")).select("video_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text")
+    return S.parse_blocks(_subtitle_files(spark, d, ",")).select("video_id", F.round("start", 3).alias("start_s"), F.round("end", 3).alias("end_s"), "text")
 
 
 @query("a_parse_json3", sql("items", r"SELECT video_id, start_ms / 1000.0::DOUBLE AS start_s, start_ms / 1000.0::DOUBLE + (end_ms - start_ms) / 1000.0::DOUBLE AS end_s, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM items WHERE trim(text) <> ''"))
@@ -210,23 +210,23 @@ def b_escape_html(spark, d):
     return X.table(spark, d, "pages").select("page_id", T.escape_html(F.col("html")).alias("html"))
 
 
-@query("b_question_times", "SELECT * FROM (VALUES (1, '80.0'), (2, ''), (3, ''), (4, ''), (11, '1200.0|30.0|300.0'), (13, '125.0'), (19, '')) v(question_id, seconds)")
+@query("b_question_times", "SELECT * FROM (VALUES (1::BIGINT, '80.0'), (2, ''), (3, ''), (4, ''), (11, '1200.0|30.0|300.0'), (13, '125.0'), (19, '')) v(question_id, seconds)")
 def b_question_times(spark, d):
     rows = X.questions(spark).where("question_id IN (1, 2, 3, 4, 11, 13, 19)")
     return rows.select("question_id", F.array_join(F.transform(P.point_times(F.col("question")), lambda x: x.cast("string")), "|").alias("seconds"))
 
 
-@query("b_question_intervals", "SELECT * FROM (VALUES (2, 30.0::DOUBLE, 90.0::DOUBLE), (19, 750.0, 825.0)) v(question_id, start_s, end_s)")
+@query("b_question_intervals", "SELECT * FROM (VALUES (2::BIGINT, 30.0::DOUBLE, 90.0::DOUBLE), (19, 750.0, 825.0)) v(question_id, start_s, end_s)")
 def b_question_intervals(spark, d):
     return X.questions(spark).select("question_id", F.explode(P.intervals(F.col("question"))).alias("i")).select("question_id", F.col("i.start").alias("start_s"), F.col("i.end").alias("end_s"))
 
 
-@query("b_time_anchors", "SELECT * FROM (VALUES (1, '80.0'), (2, '30.0|90.0'), (3, '600.0'), (11, '1200.0|30.0'), (12, '0.0'), (13, '125.0'), (19, '750.0|825.0'), (20, '1500.0')) v(question_id, anchors)")
+@query("b_time_anchors", "SELECT * FROM (VALUES (1::BIGINT, '80.0'), (2, '30.0|90.0'), (3, '600.0'), (11, '1200.0|30.0'), (12, '0.0'), (13, '125.0'), (19, '750.0|825.0'), (20, '1500.0')) v(question_id, anchors)")
 def b_time_anchors(spark, d):
     return X.questions(spark).select("question_id", F.array_join(F.transform(P.time_anchors(F.col("question"), F.lit(300.0)), lambda x: x.cast("string")), "|").alias("anchors")).where("anchors <> ''")
 
 
-@query("b_choices", "SELECT * FROM (VALUES (4, 'A. red|B. blue|C. green')) v(question_id, choices)")
+@query("b_choices", "SELECT * FROM (VALUES (4::BIGINT, 'A. red|B. blue|C. green')) v(question_id, choices)")
 def b_choices(spark, d):
     return X.questions(spark).select("question_id", F.array_join(P.choices(F.col("question")), "|").alias("choices")).where("choices <> ''")
 

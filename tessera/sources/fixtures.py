@@ -105,7 +105,7 @@ SQL = {
         CASE WHEN event_type = 'error' THEN 'failed_retryable' WHEN value < 50 THEN 'running' WHEN value < 150 THEN 'succeeded' ELSE 'degraded' END AS status FROM events""",
     "ranges": """SELECT user_id AS key, event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) - 1800 AS start_s,
         CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) + 1800 AS end_s FROM events""",
-    "questions": _values(QUESTIONS, "question_id, question"),
+    "questions": f"SELECT CAST(question_id AS BIGINT) AS question_id, question FROM ({_values(QUESTIONS, 'question_id, question')}) q",
 }
 
 
