@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_folder, prepare
+from tessera.llm.common import cut, new_folder, prepare, tidy
 
 END = 1
 #: ORC settings: a stripe is read by one task; the index and the Bloom filter of each 1,000 rows prune within it.
@@ -22,11 +22,12 @@ ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-#: Words and pieces that a worker remembers; the memory is emptied when full.
-CACHE = 300_000
+#: Words that a worker remembers, about 80 MB, and that it sends to the library at once; the memory is emptied when full.
+CACHE = 400_000
+AT_ONCE = 16_384
 
 #: Pieces that the vocabulary's pre-tokenizer makes of lower-cased Latin-1 text without white space (fixed values).
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+PIECE = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\na-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 #: Characters whose class or folding the libraries could see differently, and special tokens' start.
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0Ā-\U0010ffff]|<\\|")
 
@@ -37,57 +38,72 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-SPACES = re.compile(r"[\t\n\r]+")
+SPACES = re.compile(r"[\t-\r]+")
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, with a memory of words.
 
-    White space always ends a piece and leaves no id, so a text's ids are those of its words in turn. A word is met
-    by its pieces, each sent to the library's BPE model; a word with any character beyond plain Latin-1, or with the
-    start of a special token, is sent through the library's whole pipeline instead.
+    White space always ends a piece and leaves no id, so a text's ids are those of its words in turn, and a word's
+    those of its pieces. The new words of a batch go to the library's BPE model together, as pieces separated by spaces
+    with a line end after each word, whose id marks where the next begins. A word with any character beyond plain
+    Latin-1, or with the start of a special token, goes through the library's whole pipeline instead.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.words: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.words: dict[str, bytes] = {"": b""}
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.byte_chars = {b: chr(b if b in shown else next(rest)) for b in range(256)}
-        self.plain = getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>" and '"Removed"' in self.tokenizer.to_str()
+        self.line = self.byte_chars[10]
+        self.line_id = self.tokenizer.token_to_id(self.line + "</w>")
+        self.plain = getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>" and self.line_id is not None
+        self.table = {**self.byte_chars, 32: " "}
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of words."""
+        odd = words if not self.plain else [w for w in words if ODD.search(w)] if ODD.search("".join(words)) else []
+        for w in odd:
+            self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.int32).tobytes()
+        rest = [w for w in words if w not in self.words] if odd else words
+        for at in range(0, len(rest), AT_ONCE):
+            plain = rest[at : at + AT_ONCE]
+            pieces = " ".join(PIECE.findall("\n".join(plain).lower() + "\n"))
+            said = pieces.encode().decode("latin-1").translate(self.table)
+            ids = np.array(self.model.encode_batch_fast([said], add_special_tokens=False)[0].ids, dtype=np.int32)
+            stops = np.flatnonzero(ids == self.line_id).tolist()
+            raw = ids.tobytes()
+            self.words.update(zip(plain, [raw[4 * a : 4 * b] for a, b in zip([0, *[x + 1 for x in stops]], stops)]))
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit integers, the end id last."""
+        if len(self.words) > CACHE:
+            self.words = {"": b""}
+        end = np.array([END], dtype=np.int32).tobytes()
+        split = [SPACES.sub(" ", t).split(" ") if t else [] for t in texts]
+        unseen = set().union(*split).difference(self.words)
+        if unseen:
+            self.learn(list(unseen))
+        of = self.words.__getitem__
+        return [b"".join(map(of, words)) + end for words in split]
 
-    def piece(self, text: str) -> list[int]:
-        ids = self.pieces.get(text)
-        if ids is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            ids = self.pieces[text] = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.byte_chars))]
-        return ids
+    def text(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.texts([text])[0], dtype=np.int32).tolist()
 
-    def word(self, text: str) -> list[int]:
-        if not self.plain or ODD.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return [i for p in PIECE.findall(text.lower()) for i in self.piece(p)]
 
-    def text(self, text: str | None) -> list[int]:
-        """Ids of a text, the end id last."""
-        out: list[int] = []
-        known = self.words
-        for w in SPACES.sub(" ", text or "").split(" "):
-            if not w:
-                continue
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = known[w] = self.word(w)
-            out += ids
-        out.append(END)
-        return out
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """A worker's encoder, with the words that its earlier tasks met."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
@@ -103,17 +119,18 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, pos = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, pos = encoder_of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.num_rows
-            ids = [np.array(encoder.text(t), dtype=np.int32) for t in batch.column(1).to_pylist()]
+            ids = encoder.texts(batch.column(1).to_pylist())
             at = np.zeros(n + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in ids], out=at[1:])
-            values = pa.array(np.concatenate(ids) if n else np.empty(0, np.int32))
+            np.cumsum([len(x) // 4 for x in ids], out=at[1:])
+            values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at), values)], schema=arrow
             )
             pos += n
+        tidy()
 
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -139,7 +156,7 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(crcs, pa.int64())], names=["part", "pos", "doc_id", "n_tokens", "ids_crc32"]
             )
 
-    rows = read_tokens(spark, folder).mapInArrow(run, "part int, pos long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = cut(read_tokens(spark, folder).mapInArrow(run, "part int, pos long, doc_id long, n_tokens long, ids_crc32 long"))
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("s"))
     base = files.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inner = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
