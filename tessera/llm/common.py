@@ -61,14 +61,28 @@ def blank_words(text: str | None) -> list[bytes]:
 
 
 def word_count(text: Column) -> Column:
-    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts 0. A JVM expression."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts 0. A JVM expression without an object for each word."""
+    marks = F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x")
+    return F.coalesce(F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
 def crc32_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: idle workers stay, and their executor's other tasks need the room."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_texts(df: DataFrame, schema: str, make, columns: list[str]) -> DataFrame:
     """mapInArrow with ``make() -> fn``: fn gets lists of the columns, gives arrays or lists in the schema's order."""
     from pyspark.sql.types import StructType
@@ -85,10 +99,30 @@ def map_texts(df: DataFrame, schema: str, make, columns: list[str]) -> DataFrame
                     [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, arrow)],
                     schema=arrow,
                 )
+                del out
+        del fn
+        tidy()
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def text_column(make, returns: str):
+    """A column function of texts: ``make() -> fn`` once a task, fn gets a batch's texts, gives a list of values."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches):
+        fn = make()
+        for texts in batches:
+            yield pd.Series(fn([None if t is None or t != t else t for t in texts]), dtype=bool if returns == "boolean" else object)
+        del fn
+        tidy()
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, returns)
+
+
 def running_before(df: DataFrame, group: list[str], bucket: str, order: list, value: Column, name: str) -> DataFrame:
     """Sum of ``value`` over the rows before each row of its group, in the order of (bucket, order).
 

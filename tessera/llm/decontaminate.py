@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_TABLE, as_bytes, ascii_words, cut, map_texts, prepare
+from tessera.llm.common import WORD_TABLE, as_bytes, ascii_words, cut, map_texts, prepare, text_column
 
 WINDOW = 10
 #: Benchmark text that one automaton holds, in characters; more is scanned in as many blocks. About 100 MB a worker.
@@ -141,11 +141,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kept = docs
     for held, key in benchmark_blocks(benchmark):
 
-        def hit(texts, held=held, key=key):
-            import pandas as pd
-
+        def make(held=held, key=key):
             automaton, ids = _automaton(key, held.value)
-            return pd.Series([bool(scan(ascii_words(t), automaton, ids)[0]) for t in texts], dtype=bool)
+            return lambda texts: [bool(scan(ascii_words(t), automaton, ids)[0]) for t in texts]
 
-        kept = kept.where(~F.pandas_udf(hit, "boolean")("text"))
+        kept = kept.where(~text_column(make, "boolean")("text"))
     return kept

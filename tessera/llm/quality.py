@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, crc32_of, cut, map_texts, prepare
+from tessera.llm.common import as_bytes, crc32_of, cut, map_texts, prepare, text_column
 
 #: Labelled rows that a fit reads at most (expected), and preference pairs that it draws from them.
 FIT_ROWS = 20_000
@@ -165,10 +165,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fit_rows = docs.select("doc_id", "text").join(known, "doc_id", "left_semi")
     model = learn(featured(fit_rows), labels)
 
-    @F.pandas_udf("array<double>")
-    def x(texts):
-        import pandas as pd
-
-        return pd.Series([features(t) for t in texts])
-
+    x = text_column(lambda: lambda texts: [features(t) for t in texts], "array<double>")
+    prepare(docs.sparkSession)
     return docs.withColumn("_x", x("text")).where(score("_x", model) >= 0.5).drop("_x")
