@@ -176,29 +176,31 @@ def measure(nodes: list[Node]) -> None:
 
 
 def content(nodes: list[Node]) -> list[Node]:
-    """Roots of the main content: the subtree of the largest density sum, and others as dense as its path to the body."""
+    """Roots of the main content: the subtree of the largest density sum, and others as dense as its path to the body.
+
+    An article or main that holds the densest subtree is content whole, and so are articles beside it that are not mostly
+    links. A wrapper of articles that hold at least half of its characters gives way to the densest of them.
+    """
     stay = [n for n in nodes if not n.dropped and n.chars]
     if not stay:
         return []
     best = max(stay, key=lambda n: n.total)
     if best.total <= 0:
         return [nodes[0]]
-    up, article = best, None
-    while up is not None:
-        if up.tag in ("article", "main"):
-            article = up
-        up = up.parent
-    if article is not None:
-        return [article]
-    inside = [n for n in stay if n.tag in ("article", "main") and n.chars * 2 >= best.chars]
-    if inside:
-        return [inside[0]]
+    held = _article(best)
+    if held is None:
+        inside = [n for n in stay if n.tag in ("article", "main") and _article(n) is n and _above(best, n)]
+        if inside and 2 * sum(n.chars for n in inside) >= best.chars:
+            best = held = max(inside, key=lambda n: n.total)
     threshold, up = best.density, best.parent
     while up is not None and up.tag not in ("html", "#root"):
         threshold, up = min(threshold, up.density), up.parent
-    out, kept = [], {id(best)}
     # sections beside the best one that are much like it are content whole, whatever short blocks they hold
     alike = {id(n) for n in stay if n.parent is best.parent and n.tag == best.tag and n.total >= 0.3 * best.total and n.link_chars < 0.3 * n.chars}
+    if held is not None:
+        best = held
+        alike |= {id(n) for n in stay if n.parent is held.parent and n.tag == held.tag and n.link_chars < 0.3 * n.chars}
+    out, kept = [], {id(best)}
     for n in stay:
         inside_kept = n.parent is not None and id(n.parent) in kept
         if inside_kept:
@@ -211,6 +213,14 @@ def content(nodes: list[Node]) -> list[Node]:
     return out
 
 
+def _article(n: Node) -> Node | None:
+    """The outermost article or main around a node, itself included."""
+    found = None
+    while n is not None:
+        found, n = n if n.tag in ("article", "main") else found, n.parent
+    return found
+
+
 def _above(n: Node, other: Node) -> bool:
     while other is not None:
         if other is n:

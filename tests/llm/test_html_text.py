@@ -35,6 +35,20 @@ def test_names_that_wrap_the_article():
     assert H.main_text(page(f'<article>{BODY}<div role="complementary">More</div><p hidden>x</p><p style="display:none">y</p></article>')) == WANT
 
 
+def test_sibling_articles():
+    parts = "".join(f"<article><p>{x}</p></article>" for x in ARTICLE)
+    for inside in (parts, f'<div class="posts">{parts}</div>', f"<article>{BODY}</article><article><p>{ARTICLE[1]}</p><p>{ARTICLE[3]}</p></article>"):
+        want = WANT if inside.count("<h1>") == 0 else "\n".join([WANT, ARTICLE[1], ARTICLE[3]])
+        assert H.main_text(page(inside)) == want and H.main_text(page(inside, False)) == want
+    teaser = '<article><a href="/x">Read this other story of ours now</a></article>'
+    assert H.main_text(page(f"<article>{BODY}</article>{teaser}")) == WANT
+
+
+def test_density_chooses_beside_an_article():
+    dense = "Words that stand outside of the article and are as dense as anything that is inside of it, so that they belong to the text. " * 3
+    assert dense.strip() in H.main_text(page(f"<article>{BODY}</article><div><p>{dense}</p></div>"))
+
+
 def test_markup():
     assert H.main_text("<p>a &amp; b &lt;c&gt; &eacute;&#233;&#xe9;</p>") == "a & b <c> ééé"
     assert H.main_text("<p>one  <b>two</b>\n three<br>four</p><p>five") == "one two three four\nfive"
