@@ -170,7 +170,7 @@ def g_mmr(spark, d):
 @query("g_mmr_multimodal")
 def g_mmr_multimodal(spark, d):
     kind = F.element_at(F.array(F.lit("speech"), F.lit("frame_caption"), F.lit("frame")), (F.col("vec_id") % 3 + 1).cast("int"))
-    c = X.views(spark, d).where("vec_id % 5 = 0").select("cluster_id", F.col("vec_id").alias("item"), (1.0 - (F.col("vec_id") % 17) / 20.0).alias("relevance"), "embedding", kind.alias("evidence_type"))
+    c = X.views(spark, d).select("cluster_id", F.col("vec_id").alias("item"), (1.0 - (F.col("vec_id") % 17) / 20.0).alias("relevance"), "embedding", kind.alias("evidence_type"))
     return R.mmr(c, "cluster_id", 3, 0.55, True)
 
 

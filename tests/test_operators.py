@@ -44,6 +44,29 @@ def test_mmr(spark):
     assert [r["item"] for r in retrieve.mmr(typed, "q", 1, 0.55, True).collect()] == [1]
 
 
+def test_multimodal_mmr_has_all_vectors(spark, sf_dir):
+    import numpy as np
+
+    from tessera.operators.retrieve import MMR_WEIGHTS
+    from tessera.plans.catalog import QUERIES
+
+    groups = {}
+    for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect():
+        v = np.array(r["embedding"], float)
+        groups.setdefault(r["label"], []).append((r["vec_id"], 1.0 - (r["vec_id"] % 17) / 20.0, v / (np.linalg.norm(v) or 1), ("speech", "frame_caption", "frame")[r["vec_id"] % 3]))
+    want = set()
+    for label, rows in groups.items():
+        chosen = []
+        while len(chosen) < min(3, len(rows)):
+            def gain(r):
+                weighed = r[1] * MMR_WEIGHTS.get(r[3], 1.0)
+                return round(weighed + (0.08 if weighed >= 0.05 and r[3] not in {c[3] for c in chosen} else 0) - 0.55 * max([0.0, *(float(r[2] @ c[2]) for c in chosen)]), 9)
+
+            chosen.append(max((r for r in rows if r[1] >= 0.05 and all(r is not c for c in chosen)), key=lambda r: (gain(r), -r[0])))
+            want.add((label, chosen[-1][0], len(chosen)))
+    assert {tuple(r) for r in QUERIES["g_mmr_multimodal"](spark, sf_dir).select("cluster_id", "item", "place").collect()} == want
+
+
 def test_overlap_coefficient(spark):
     of = lambda a, b: one(spark, contract.overlap_coefficient(F.array(*map(F.lit, a)), F.array(*map(F.lit, b)) if b else F.array().cast("array<string>")))
     assert of("abc", "bcd") == pytest.approx(2 / 3) and of("abc", "") == 0
