@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import struct
 import zlib
 from typing import NamedTuple
@@ -109,20 +110,79 @@ def _bmp(b: bytes, at: int) -> int:
     return size if not reserved and header in (12, 40, 52, 56, 64, 108, 124) and 26 <= offset <= size <= len(b) - at else 0
 
 
+#: Bytes of a value by its TIFF type, tags that hold places of further IFDs, and pairs of tags for places and sizes of data (fixed values).
+TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
+TIFF_IFDS = (330, 400, 34665, 34853, 40965)
+TIFF_DATA = ((273, 279), (324, 325), (513, 514), (288, 289))
+
+
 def _tiff(b: bytes, at: int) -> int:
+    """The furthest end of any IFD, value, strip or tile, over all IFDs."""
     order = "<" if b[at : at + 2] == b"II" else ">"
     if at + 8 > len(b):
         return 0
-    entry = struct.unpack(order + "I", b[at + 4 : at + 8])[0]
-    if entry < 8 or at + entry + 2 > len(b):
-        return 0
-    n = struct.unpack(order + "H", b[at + entry : at + entry + 2])[0]
-    return len(b) - at if n and at + entry + 6 + 12 * n <= len(b) else 0
+    todo, done, upto = [struct.unpack(order + "I", b[at + 4 : at + 8])[0]], set(), 8
+    while todo:
+        entry = todo.pop()
+        if entry in done:
+            continue
+        done.add(entry)
+        if entry < 8 or at + entry + 2 > len(b):
+            return 0
+        n = struct.unpack(order + "H", b[at + entry : at + entry + 2])[0]
+        end = entry + 6 + 12 * n
+        if not n or at + end > len(b):
+            return 0
+        upto, tags = max(upto, end), {}
+        for pos in range(at + entry + 2, at + end - 4, 12):
+            tag, kind, count = struct.unpack(order + "HHI", b[pos : pos + 8])
+            size = TIFF_SIZES.get(kind, 0) * count
+            place = pos + 8
+            if size > 4:
+                place = at + struct.unpack(order + "I", b[pos + 8 : pos + 12])[0]
+                upto = max(upto, place + size - at)
+                if place + size > len(b):
+                    return 0
+            if kind in (3, 4, 13) and count:
+                tags[tag] = struct.unpack(f"{order}{count}{'H' if kind == 3 else 'I'}", b[place : place + size])
+        for tag in TIFF_IFDS:
+            todo += tags.get(tag, ())
+        for places, sizes in TIFF_DATA:
+            known = tags.get(sizes, ())
+            if places == 273 and not known and 273 in tags:  # old files of one uncompressed strip leave its size out
+                wide, high, each = (tags.get(t, (d,)) for t, d in ((256, 0), (257, 0), (277, 1)))
+                bits = tags.get(258, (1,))
+                known = (high[0] * -(-wide[0] * (sum(bits) if len(bits) > 1 else bits[0] * each[0]) // 8),)
+            upto = max([upto, *(p + n for p, n in zip(tags.get(places, ()), known))])
+        following = struct.unpack(order + "I", b[at + end - 4 : at + end])[0]
+        todo += [following] if following else []
+    return upto if at + upto <= len(b) else 0
+
+
+LINEARIZED = re.compile(rb"/Linearized\b")
+PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
+XREF = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
 
 
 def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+    """The stated length of a linearised file, if an end stands there; else up to the last section that belongs to it.
+
+    A later section belongs if no other header stands before its end, or if its cross-references are where it says, counted
+    from this file's start, and after the section before.
+    """
+    first = b.find(b"%%EOF", at)
+    if first < 0 or b.find(b"startxref", at, first) < 0:
+        return 0
+    upto = first + 5
+    head = b[at : at + 1024]
+    stated = re.search(rb"/L\s+(\d+)", head) if LINEARIZED.search(head) else None
+    if stated and at + int(stated[1]) >= upto and at + int(stated[1]) <= len(b) and b[: at + int(stated[1])][-16:].rstrip().endswith(b"%%EOF"):
+        upto = at + int(stated[1])
+    for m in PDF_END.finditer(b, upto):
+        place = at + int(m[1])
+        if b.find(b"%PDF-", upto, m.end()) < 0 or upto <= place < m.start() and XREF.match(b, place):
+            upto = m.end()
+    return upto - at
 
 
 def _zip(b: bytes, at: int) -> int:
@@ -155,8 +215,134 @@ def _ogg(b: bytes, at: int) -> int:
     return pos - at
 
 
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x >> (bits - 1) else 0)) & ((1 << bits) - 1)
+        out.append(x)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+class _Bits:
+    """Reads bits from the highest on; IndexError past the end."""
+
+    def __init__(self, b: bytes, at: int):
+        self.b, self.pos = b, at * 8
+
+    def skip(self, n: int) -> None:
+        self.pos += n
+        if self.pos > 8 * len(self.b):
+            raise IndexError
+
+    def read(self, n: int) -> int:
+        start = self.pos
+        self.skip(n)
+        last = (self.pos + 7) // 8
+        return int.from_bytes(self.b[start // 8 : last], "big") >> (8 * last - self.pos) & ((1 << n) - 1)
+
+    def zeros(self) -> int:
+        """The number of zeros up to the next one, which is read too."""
+        start, byte, left = self.pos, self.pos // 8, 8 - self.pos % 8
+        part = self.b[byte] & ((1 << left) - 1)
+        while not part:
+            byte, left = byte + 1, 8
+            part = self.b[byte]
+        self.pos = byte * 8 + 9 - part.bit_length()
+        return self.pos - 1 - start
+
+
+def _residual(bits: _Bits, block: int, order: int) -> None:
+    method, parts = bits.read(2), bits.read(4)
+    if method > 1 or block % (1 << parts) or block >> parts < order:
+        raise ValueError
+    wide = 4 + method
+    for i in range(1 << parts):
+        n = (block >> parts) - (order if i == 0 else 0)
+        k = bits.read(wide)
+        if k == (1 << wide) - 1:
+            bits.skip(n * bits.read(5))
+        else:
+            for _ in range(n):
+                bits.zeros()
+                bits.skip(k)
+
+
+def _flac_frame(b: bytes, pos: int, depth: int) -> tuple[int, int]:
+    """(end, samples) of the frame at a place, read through as its coding says; ValueError or IndexError if it is none."""
+    bits = _Bits(b, pos)
+    if bits.read(15) != 0x7FFC:
+        raise ValueError
+    bits.skip(1)
+    size, rate, channels, wide = bits.read(4), bits.read(4), bits.read(4), bits.read(3)
+    if bits.read(1) or not size or rate == 15 or channels > 10 or wide == 3:
+        raise ValueError
+    lead = bits.read(8)
+    more = 0 if lead < 128 else 7 - (lead ^ 255).bit_length() if 192 <= lead < 255 else -1
+    if more < 0:
+        raise ValueError
+    bits.skip(8 * more)
+    block = 192 if size == 1 else 144 << size if size < 6 else bits.read(8) + 1 if size == 6 else bits.read(16) + 1 if size == 7 else 1 << size
+    bits.skip({12: 8, 13: 16, 14: 16}.get(rate, 0))
+    check = 0
+    for x in b[pos : bits.pos // 8]:
+        check = _CRC8[check ^ x]
+    if check != bits.read(8):
+        raise ValueError
+    depth = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}.get(wide, depth)
+    for c in range(channels + 1 if channels < 8 else 2):
+        each = depth + (c == 1 and channels in (8, 10) or c == 0 and channels == 9)
+        if bits.read(1):
+            raise ValueError
+        kind = bits.read(6)
+        each -= bits.zeros() + 1 if bits.read(1) else 0
+        if each <= 0:
+            raise ValueError
+        if kind < 2:
+            bits.skip(each * (block if kind else 1))
+        elif 8 <= kind <= 12 or kind >= 32:
+            order = kind - 8 if kind < 32 else kind - 31
+            bits.skip(each * order)
+            if kind >= 32:
+                precision = bits.read(4) + 1
+                if precision == 16:
+                    raise ValueError
+                bits.skip(5 + precision * order)
+            _residual(bits, block, order)
+        else:
+            raise ValueError
+    end = (bits.pos + 7) // 8 + 2
+    check = 0
+    for x in b[pos:end]:
+        check = (check << 8 & 0xFFFF) ^ _CRC16[check >> 8 ^ x]
+    if end > len(b) or check:
+        raise ValueError
+    return end, block
+
+
 def _flac(b: bytes, at: int) -> int:
-    return len(b) - at if at + 42 <= len(b) and b[at + 4] & 127 == 0 and b[at + 5 : at + 8] == b"\x00\x00\x22" else 0
+    """Metadata blocks, then frames up to the stated number of samples, or as long as they check out if none is stated."""
+    if at + 42 > len(b) or b[at + 4] & 127 or b[at + 5 : at + 8] != b"\x00\x00\x22":
+        return 0
+    told = int.from_bytes(b[at + 18 : at + 26], "big")
+    depth, total = (told >> 36 & 31) + 1, told & ((1 << 36) - 1)
+    pos, last = at + 4, False
+    while not last:
+        if pos + 4 > len(b):
+            return 0
+        last, pos = b[pos] >= 128, pos + 4 + int.from_bytes(b[pos + 1 : pos + 4], "big")
+    samples = 0
+    while pos < len(b) and (not total or samples < total):
+        try:
+            pos, n = _flac_frame(b, pos, depth)
+        except (ValueError, IndexError):
+            break
+        samples += n
+    return pos - at if pos <= len(b) and samples >= total else 0
 
 
 def _mp4(b: bytes, at: int) -> int:
@@ -171,8 +357,50 @@ def _mp4(b: bytes, at: int) -> int:
     return pos - at if boxes else 0
 
 
+SEGMENT = 0x18538067
+#: What a segment and a cluster may hold (fixed values); of a cluster without a size, anything else ends it.
+IN_SEGMENT = frozenset((0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0x1941A469, 0x1043A770, 0x1254C367, 0xEC, 0xBF))
+IN_CLUSTER = frozenset((0xE7, 0x5854, 0xA7, 0xAB, 0xA3, 0xA0, 0xAF, 0xEC, 0xBF))
+
+
+def _element(b: bytes, pos: int) -> tuple[int, int, int | None]:
+    """(id, where its data start, their size or None if it is not stated) of an EBML element; IndexError if there is none."""
+    n = 9 - b[pos].bit_length()
+    m = 9 - b[pos + n].bit_length()
+    if n > 4 or m > 8 or pos + n + m > len(b):
+        raise IndexError
+    size = int.from_bytes(b[pos + n : pos + n + m], "big") & ((1 << 7 * m) - 1)
+    return int.from_bytes(b[pos : pos + n], "big"), pos + n + m, None if size == (1 << 7 * m) - 1 else size
+
+
 def _matroska(b: bytes, at: int) -> int:
-    return len(b) - at if b.find(b"matroska", at, at + 64) > 0 or b.find(b"webm", at, at + 64) > 0 else 0
+    """The header and its segments, by their sizes; a segment or cluster of unknown size goes on as long as its elements do."""
+    pos, segments = at, 0
+    try:
+        _, data, size = _element(b, at)
+        if size is None or data + size > len(b) or not any(x in b[data : data + size] for x in (b"matroska", b"webm")):
+            return 0
+        pos = data + size
+        while True:
+            kind, data, size = _element(b, pos)
+            if kind != SEGMENT:
+                break
+            if size is not None:
+                if data + size > len(b):
+                    return 0
+                pos, segments = data + size, segments + 1
+                continue
+            pos, segments = data, segments + 1
+            inside = False
+            while True:
+                kind, data, size = _element(b, pos)
+                if kind not in IN_SEGMENT and not (inside and kind in IN_CLUSTER) or size is None and kind != 0x1F43B675 or size is not None and data + size > len(b):
+                    break
+                inside = size is None or inside and kind in IN_CLUSTER
+                pos = data if size is None else data + size
+    except IndexError:
+        pass
+    return pos - at if segments else 0
 
 
 def _pnm(b: bytes, at: int) -> int:
@@ -207,14 +435,13 @@ def magic_automaton():
 def find_media(blob: bytes, automaton, embedded: bool = True) -> list[Media]:
     """Media in a blob whose structure checks out, by place; none inside another unless ``embedded``.
 
-    One scan locates magic bytes; a match counts if its format's structure and lengths hold. Two-byte magic
-    counts at the very start only.
+    One scan locates magic bytes; a match counts if its format's structure and lengths hold.
     """
     out: list[Media] = []
     upto = 0
     for last, (n, offset, kind) in automaton.iter(blob.decode("latin-1")):
         at = last - n + 1 - offset
-        if at < 0 or n == 2 and at or not embedded and at < upto:
+        if at < 0 or not embedded and at < upto:
             continue
         size = CHECKS[kind](blob, at)
         if size:

@@ -51,6 +51,63 @@ def test_carving():
     assert M.carve(blob, [m._asdict() for m in found]) == parts
 
 
+def tiff():
+    strip, entry = b"pixels", 8 + 6
+    tags = [(256, 4, 1, 3), (257, 4, 1, 2), (258, 3, 1, 8), (273, 4, 1, 8), (279, 4, 1, len(strip)), (270, 2, 9, entry + 6 + 12 * 6)]
+    return b"II*\0" + struct.pack("<I", entry) + strip + struct.pack("<H", 6) + b"".join(struct.pack("<HHII", *t) for t in tags) + b"\0" * 4 + b"described"
+
+
+def flac(total=None):
+    """Two frames of one channel: a verbatim one, and one of a fixed predictor with Rice codes."""
+    def crc(data, poly, bits):
+        x = 0
+        for byte in data:
+            x ^= byte << (bits - 8)
+            for _ in range(8):
+                x = (x << 1 ^ (poly if x >> (bits - 1) & 1 else 0)) & ((1 << bits) - 1)
+        return x.to_bytes(bits // 8, "big")
+
+    out, n = b"", 16
+    for i, body in enumerate(("0" + "000001" + "0" + "".join(f"{7 * x % 256:08b}" for x in range(n)), "0" + "001001" + "0" + f"{5:08b}" + "00" + "0000" + "0010" + "".join("0" * (x % 7) + "1" + f"{x % 4:02b}" for x in range(n - 1)))):
+        head = bytes([0xFF, 0xF8, 0x60, 0x02, i, n - 1])
+        head += crc(head, 0x07, 8)
+        frame = head + int(body.ljust(-(-len(body) // 8) * 8, "0"), 2).to_bytes(-(-len(body) // 8), "big")
+        out += frame + crc(frame, 0x8005, 16)
+    told = (8000 << 44 | 7 << 36 | (2 * n if total is None else total)).to_bytes(8, "big")
+    return b"fLaC\0\0\0\x22" + struct.pack(">HH", n, n) + b"\0" * 6 + told + b"\0" * 16 + b"\x84\0\0\5notes" + out
+
+
+def matroska(known=True):
+    sized = lambda kind, data, say=True: kind + (bytes([0x80 | len(data)]) if say else b"\xff") + data
+    cluster = sized(b"\x1fC\xb6u", sized(b"\xe7", b"\0") + sized(b"\xa3", b"\x81\0\0\x80xyz"), known)
+    return sized(b"\x1aE\xdf\xa3", sized(b"B\x82", b"webm")) + sized(b"\x18S\x80g", sized(b"\x15I\xa9f", b"") + cluster + sized(b"\x1cS\xbbk", b"q"), known)
+
+
+UPDATED = PDF + b"\n2 0 obj\nendobj\nstartxref\n9\n%%EOF"
+
+
+def test_embedded_media_have_their_own_lengths():
+    junk = b"\0 what follows is not of it "
+    whole = {"image/bmp": [BMP], "image/tiff": [tiff()], "audio/flac": [flac(), flac(0)], "video/x-matroska": [matroska(), matroska(False)], "application/pdf": [PDF, UPDATED]}
+    for kind, blobs in whole.items():
+        for blob in blobs:
+            for before in (b"", b"some bytes before "):
+                found = [m for m in M.find_media(before + blob + junk, AC, embedded=False)]
+                assert [(m.type, m.start, m.length) for m in found] == [(kind, len(before), len(blob))], (kind, before)
+            if kind not in ("application/pdf",) and blob not in (flac(0), matroska(False)):
+                assert not [m for m in M.find_media(blob[:-1], AC) if m.type == kind], kind
+    two = [m.length for m in M.find_media(UPDATED + junk + PDF, AC)]
+    assert two == [len(UPDATED), len(PDF)]
+
+
+def test_updates_of_a_pdf_that_hold_a_pdf():
+    first = b"%PDF-1.4\nxref\nstartxref\n9\n%%EOF\n"
+    update = b"3 0 obj\nstream\n" + first + b"endstream\nendobj\n"
+    whole = first + update + b"xref\nstartxref\n%d\n%%%%EOF" % len(first + update)
+    assert M.find_media(b"x" + whole + b" x", AC, embedded=False) == [M.Media("application/pdf", 1, len(whole))]
+    assert [m.length for m in M.find_media(first + first, AC)] == [len(first.rstrip())] * 2
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=700))
 def test_round_trip(text):
