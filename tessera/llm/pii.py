@@ -6,6 +6,9 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import sys
+import unicodedata
+from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -15,13 +18,19 @@ from tessera.llm.common import map_texts, prepare
 #: The production key is a parameter; the default serves tests and examples.
 DEFAULT_KEY = b"surrogate-key"
 ROUNDS = 8
-#: Surrogates tried for one entity of a document before the longest form is taken.
+#: Surrogates of an entity's own shape tried in a document before longer ones are taken.
 TRIES = 64
 
 _TITLE_F = "Mrs|Ms|Miss|Madam|Mme|Mlle|Madame|Frau|Sra|Srta|Señora|Doña|Г-жа|г-жа|Κα|Κυρία"
 _TITLE_M = "Mr|Sir|Herr|Monsieur|Sr|Señor|Don|Г-н|г-н|Κος|Κύριος"
 _TITLE_N = "Dr|Prof|Professor|Doktor|Dra"
-_NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
+#: Marks that stand on letters, as in decomposed Latin or in Indic scripts, as a regex class's content.
+_MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))
+_LETTER = rf"(?:[^\W\d_]|[{_MARKS}])"
+_NAME = rf"[^\W\d_a-zà-öø-ÿа-яα-ω]{_LETTER}+(?:-{_LETTER}+)?"
+
+_H = "[0-9A-Fa-f]{1,4}"
+_V4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: Detectors in order of priority: type, regex, the group that is replaced (0: all of it).
 DETECTORS = [
@@ -34,8 +43,8 @@ DETECTORS = [
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), 0),
     ("card", re.compile(r"(?<![\w.+-])(?:\d[ -]?){12,18}\d(?![\w-])"), 0),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), 0),
+    ("ipv6", re.compile(rf"(?<!\w)(?:(?:{_H}:){{6}}(?:{_V4}|{_H}:{_H})|(?:{_H}(?::{_H}){{0,6}})?::(?:(?:{_H}:){{0,5}}{_V4}|{_H}(?::{_H}){{0,6}})?)(?!\w|:[0-9A-Fa-f:]|\.\d)"), 0),
     ("ipv4", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"), 0),
-    ("ipv6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"), 0),
     ("mac", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:])"), 0),
     ("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])|(?<![\w.+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"), 0),
     ("person_f", re.compile(rf"\b(?:{_TITLE_F})\.? ({_NAME}(?: {_NAME})?)"), 1),
@@ -48,6 +57,7 @@ TITLES = {"person_f": _TITLE_F.split("|"), "person_m": _TITLE_M.split("|"), "per
 NEEDS = {"private_key": ["-----BEGIN"], "email": ["@"], "mac": [":", "-"], "ipv6": [":"]} | TITLES
 DIGITS = {"iban": 2, "card": 13, "ssn": 9, "ipv4": 4, "phone": 7}
 SECRETS = ["=", ":", "AKIA", "ASIA", "gh", "sk", "pk_live_", "xox", "AIza", "glpat-", "hf_", "eyJ"]
+_GROUP_BEFORE = re.compile(r"(?:(?<![^\W_])[0-9A-Fa-f]{1,4}|:):\Z")
 _DIGIT = re.compile("[0-9]")
 _NO_DIGIT = str.maketrans("", "", "0123456789")
 
@@ -67,6 +77,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_ipv6(text: str, start: int, found: str) -> bool:
+    """Whether it is a valid address with any digit (``::`` alone names nobody), not the rest of a longer row of groups."""
+    try:
+        ipaddress.IPv6Address(found)
+    except ValueError:
+        return False
+    return found != "::" and not _GROUP_BEFORE.search(text, max(0, start - 6), start)
+
+
 def detect(text: str | None) -> list[Entity]:
     """Entities of a text by place, none overlapping: earlier detectors win."""
     if not text:
@@ -83,6 +102,8 @@ def detect(text: str | None) -> list[Entity]:
             digits = re.sub(r"\D", "", m[group])
             if kind == "card" and not (13 <= len(digits) <= 19 and len(set(digits)) > 1):
                 continue
+            if kind == "ipv6" and not _is_ipv6(text, a, m[group]):
+                continue
             if kind == "phone" and not 7 <= len(digits) <= 15:
                 continue
             taken.append(Entity(kind, a, b, m[group]))
@@ -109,6 +130,7 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
 #: Letters by script and kind, the same number of upper-case ones following by rule (fixed values).
 ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 _CLASS = {c: a for a in ALPHABETS for c in a}
+_WORD = re.compile(f"{_LETTER}+")
 _KANJI = "".join(map(chr, range(0x4E00, 0x9FA0)))
 _KANA = "".join(map(chr, range(0x30A1, 0x30FB)))
 _HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
@@ -116,6 +138,14 @@ _HANGUL = "".join(map(chr, range(0xAC00, 0xD7A4)))
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
+@lru_cache(4096)
+def _block(char: str) -> str:
+    """The letters of a letter's script and case among the 128 code points around it."""
+    like = unicodedata.category(char), unicodedata.name(char, "").split(" ")[0]
+    around = map(chr, range(ord(char) & ~127, (ord(char) | 127) + 1))
+    return "".join(c for c in around if (unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]) == like)
+
+
 def _alphabet(char: str, names: bool) -> str:
     """The characters that may stand for one: of its case and, in names, of its script and kind; else only itself."""
     if char in _DIGITS:
@@ -125,11 +155,12 @@ def _alphabet(char: str, names: bool) -> str:
     low = char.lower()
     if low in _CLASS:
         kind = _CLASS[low]
-        return kind if char == low else kind.upper() if len(kind.upper()) == len(kind) else char
+        kind = kind if char == low else kind.upper()
+        return kind if char in kind and len(kind) == len(_CLASS[low]) else _block(char)
     for block in (_KANJI, _KANA, _HIRAGANA, _HANGUL):
         if block[0] <= char <= block[-1]:
             return block
-    return char
+    return _block(char) if char.isalpha() else char
 
 
 def _spell(text: str, alphabets: list[str], key: bytes, tweak: str) -> str:
@@ -155,7 +186,9 @@ def canonical(kind: str, text: str) -> str:
         return text.lower()
     if kind in ("card", "iban", "phone", "ssn"):
         return re.sub(r"[^0-9A-Za-z+]", "", text)
-    if kind in ("ipv6", "mac"):
+    if kind == "ipv6":
+        return f"{int(ipaddress.IPv6Address(text)):032x}"
+    if kind == "mac":
         return re.sub(r"[:-]", "", text).lower()
     return text
 
@@ -178,18 +211,69 @@ def _ipv4(plain: str, key: bytes, tweak: str) -> str:
             return str(new)
 
 
+def _ipv6(plain: str, text: str, key: bytes, tweak: str, whole: bool) -> str:
+    """An address with zero groups and leading zeros in the same places, written as the mention is; of any shape if ``whole``."""
+    groups = [int(plain[i : i + 4], 16) for i in range(0, 32, 4)]
+    if whole:
+        return ipaddress.IPv6Address(permute(int(plain, 16), 1 << 128, key, f"{tweak}|whole")).exploded
+    mapped = groups[:6] == [0, 0, 0, 0, 0, 0xFFFF]
+    if mapped:
+        new = int(ipaddress.IPv4Address(_ipv4(str(ipaddress.IPv4Address(int(plain[24:], 16))), key, tweak.replace("ipv6", "ipv4", 1))))
+        groups[6:] = new >> 16, new & 0xFFFF
+    else:
+        lows = [16 ** (len(f"{g:x}") - 1) if g > 15 else 1 for g in groups]
+        value, size = 0, 1
+        for g, low in zip(groups, lows):
+            span = 16 * low - low if g else 1
+            value, size = value * span + (g - low if g else 0), size * span
+        value = permute(value, size, key, f"{tweak}|{[len(f'{g:x}') if g else 0 for g in groups]}")
+        for i in range(7, -1, -1):
+            if groups[i]:
+                value, at = divmod(value, 15 * lows[i])
+                groups[i] = lows[i] + at
+    head, dotted = re.fullmatch(r"(.*?)((?:\d+\.){3}\d+)?", text).groups()
+    front, _, back = head.partition("::") if "::" in head else (head, "", "")
+    n = len([x for x in back.split(":") if x]) + 2 * bool(dotted)
+    out, i, upto = [], 0, 8 - n if "::" in head else 8
+    for part in re.split(r"(::|:)", head):
+        if part == "::":
+            i = upto
+        if not part or part[0] == ":":
+            out.append(part)
+            continue
+        new = f"{groups[i]:0{len(part)}x}"
+        out.append(new.upper() if re.search("[A-F]", part) else new)
+        i += 1
+    return "".join(out) + (str(ipaddress.IPv4Address(groups[6] << 16 | groups[7])) if dotted else "")
+
+
+def _longer(n: int, alphabet: str, key: bytes, tweak: str) -> str:
+    """A keyed string of n characters."""
+    noise = int.from_bytes(hashlib.shake_256(key + f"|longer|{tweak}".encode("utf-8", "surrogatepass")).digest(2 * n + 8), "big")
+    out = []
+    for _ in range(n):
+        noise, at = divmod(noise, len(alphabet))
+        out.append(alphabet[at])
+    return "".join(out)
+
+
 def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of a mention: the same for every mention of its entity, another for any other entity.
 
     It is a permutation of the entities of the same type and shape, so no two meet. Kept as they are: country code and
     the reserved 555 exchange of phones, leading digit and check of cards, class of addresses, top-level domains, country
-    of bank accounts, vowels' and consonants' places, upper case and the last letter of names (their gender).
+    of bank accounts, zeros of IPv6 addresses, vowels' and consonants' places, upper case and the last letter of names
+    (their gender). From TRIES on, names, mail addresses and secrets get longer ones at each attempt, and addresses and
+    phones are drawn from all of their type.
     """
     plain = canonical(kind, text)
+    more = max(0, attempt - TRIES + 1)
     tweak = f"{'person' if kind.startswith('person') else kind}|{attempt}"
     if kind in ("ipv4", "ipv6", "mac"):
         if kind == "ipv4":
-            return _ipv4(plain, key, tweak)
+            return str(ipaddress.IPv4Address(permute(int(ipaddress.IPv4Address(plain)), 1 << 32, key, f"{tweak}|whole"))) if more else _ipv4(plain, key, tweak)
+        if kind == "ipv6":
+            return _ipv6(plain, text, key, tweak, more > 0)
         new = _spell(plain, [_HEX] * len(plain), key, tweak)
     elif kind == "card":
         check = luhn(plain)
@@ -198,7 +282,7 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         if check:
             new += next(d for d in _DIGITS if luhn(new + d))
     elif kind == "phone":
-        code = re.match(r"\+\d{1,3}(?=[ (.-])", text)
+        code = None if more else re.match(r"\+\d{1,3}(?=[ (.-])", text)
         head = re.sub(r"\D", "", code[0]) if code else ""
         body = plain[1 + len(head) :] if code else plain.lstrip("+")
         lead = "+" if plain.startswith("+") else ""
@@ -218,19 +302,24 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         name, dot, top = domain.rpartition(".")
         mixed = local + "@" + name
         new = _spell(mixed, [_alphabet(c, False) for c in mixed], key, f"{tweak}|{top}") + dot + top
-        return "".join(c.upper() if p.isupper() else c for p, c in zip(text, new))
+        return _longer(more, _LOWER, key, f"{tweak}|{plain}") + "".join(c.upper() if p.isupper() else c for p, c in zip(text, new))
     elif kind.startswith("person"):
         alphabets = [_alphabet(c, True) for c in plain]
-        alphabets = [plain[i] if len(plain) > 2 and (i + 1 == len(plain) or not plain[i + 1].isalpha()) and plain[i].isalpha() and ord(plain[i]) < 0x3000 else a for i, a in enumerate(alphabets)]
-        return _spell(plain, alphabets, key, tweak)
+        last = {m.end() - 1 for m in _WORD.finditer(plain)}
+        last = {next((j for j in range(i, -1, -1) if plain[j].isalpha()), i) for i in last}  # the letter under any marks
+        alphabets = [plain[i] if len(plain) > 2 and i in last and ord(plain[i]) < 0x3000 else a for i, a in enumerate(alphabets)]
+        tail = next((_alphabet(c.lower(), True) for c in reversed(plain) if c.isalpha()), _LOWER)
+        return _spell(plain, alphabets, key, tweak) + _longer(more, tail if len(tail) > 1 else _LOWER, key, f"{tweak}|{plain}")
     elif re.fullmatch(r"[0-9a-f]*[a-f][0-9a-f]*", plain):
         new = _spell(plain, [_HEX] * len(plain), key, tweak)
         while new.isdigit():  # a permutation walks on until it is back among strings with letters
             new = _spell(new, [_HEX] * len(plain), key, tweak)
+        if more:
+            return new + _longer(more, _HEX, key, f"{tweak}|{plain}")
     else:
         new = _spell(plain, [_alphabet(c, False) for c in plain], key, tweak)
         if plain == text:
-            return new
+            return new + _longer(more, _LOWER, key, f"{tweak}|{plain}")
     out, it = [], iter(new.lstrip("+"))
     for p in text:
         out.append((lambda c: c.upper() if p.isupper() else c)(next(it, "")) if p.isalnum() else p)
@@ -241,7 +330,8 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[dict]]:
     """(text with surrogates, entities as type, start and end in the new text and the original, and their count of tries).
 
     Collision check: a surrogate that equals an original of the document, its own included, is drawn again with the
-    next tweak, and so is one that equals another entity's surrogate, so entities of the document stay apart.
+    next tweak, and so is one that equals another entity's surrogate, so entities of the document stay apart. Longer
+    surrogates end this where all of an entity's own shape are taken or there is but one.
     """
     found = detect(text)
     if not found:
@@ -256,7 +346,7 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[dict]]:
         attempt = given.get(who, 0)
         new = surrogate(e.type, e.text, key, attempt)
         if who not in given:
-            while attempt < TRIES and (new in originals or canonical(e.type, new) in whole or used.get(canonical(e.type, new), who) != who):
+            while new in originals or canonical(e.type, new) in whole or used.get(canonical(e.type, new), who) != who:
                 attempt += 1
                 new = surrogate(e.type, e.text, key, attempt)
             given[who] = attempt

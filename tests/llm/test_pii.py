@@ -56,6 +56,42 @@ def test_coreference_and_distinctness():
     assert P.pseudonymise(mails[0], b"another")[0] != out[0]
 
 
+def test_every_form_of_ipv6():
+    import ipaddress
+
+    forms = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8::", "1::", "::ffff:192.0.2.128", "64:ff9b::198.51.100.7", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "2001:DB8:0:0:8:800:200C:417A", "1:2:3:4:5:6:9.8.7.6"]
+    for f in forms:
+        for before, after in (("at ", " now"), ("ip:", ", "), ("(", ")."), ("[", "]:80")):
+            new, found = P.pseudonymise(before + f + after, KEY)
+            assert [e["type"] for e in found] == ["ipv6"] and new.startswith(before) and new.endswith(after), (f, before, new)
+            out = new[len(before) : len(new) - len(after)]
+            assert ipaddress.IPv6Address(out) != ipaddress.IPv6Address(f), f
+    new = P.pseudonymise("2001:db8::1 is 2001:0db8:0:0:0:0:0:1 but 2001:d::b81", KEY)[0].split()
+    assert ipaddress.IPv6Address(new[0]) == ipaddress.IPv6Address(new[2]) != ipaddress.IPv6Address(new[4])
+    many = {f"2001:db8::{i:x}" for i in range(1, 300)}
+    assert len({P.pseudonymise(f, KEY)[0] for f in many}) == len(many)
+    for clean in ("std::vector and x :: y", "at 12:30:15", "1:2:3:4:5:6:7:8:9", "a:b", "1::2::3", "::"):
+        assert P.pseudonymise(clean, KEY) == (clean, [])
+
+
+def test_names_of_all_scripts():
+    for name in ("محمد", "משה", "शर्मा", "สมชาย", "გიორგი", "Արամ", "Łukasz", "Șerban", "Çelik", "Ñandu", "Ґалаґан", "Zoe\u0308lla"):
+        new, found = P.pseudonymise(f"Dr. {name} said", KEY)
+        assert [e["upto"] - e["from"] for e in found] == [len(name)], name
+        out = new[4:-5]
+        assert out != name and len(out) == len(name) and out.isidentifier() and all(a.isupper() == b.isupper() for a, b in zip(name, out)), (name, out)
+
+
+def test_collisions_end():
+    full = " ".join(f"::{d:x}" for d in range(1, 16))
+    new, found = P.pseudonymise(full, KEY)
+    assert len(found) == 15 and len(set(new.split())) == 15 and not set(new.split()) & set(full.split())
+    two = " ".join(f"{a}@{b}.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")
+    new, found = P.pseudonymise(two, KEY)
+    assert len(found) == 676 == len(set(new.split())) and not set(new.split()) & set(two.split())
+    assert P.pseudonymise("password=!!!!!!!!", KEY)[0] != "password=!!!!!!!!"
+
+
 def test_spans_and_clean_texts():
     for t in ("", None, "No data here: chapter 12, page 3.", "version 1.2.3 of 2020-01-02", "x = y; a@ b @c"):
         assert P.pseudonymise(t, KEY) == (t, [])
