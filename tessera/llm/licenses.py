@@ -180,7 +180,8 @@ def detect(words: list[bytes], rules: list[Rule], gate: bool = True) -> list[tup
     """(first word, last word, rule, kept) of every match, by place.
 
     A match is suppressed if a match of higher priority, or of the same priority and longer, contains it; of equal
-    spans at one priority the earlier rule's stays.
+    spans at one priority the earlier rule's stays. A copyright notice takes words after the year as its holder, so it
+    suppresses notices only, no license.
     """
     text = b" ".join(words)
     if gate and not any(k in text for k in GATE):
@@ -198,13 +199,14 @@ def detect(words: list[bytes], rules: list[Rule], gate: bool = True) -> list[tup
                 first = text.count(b" ", 0, m.start())
                 found.append((first, first + m.group().count(b" "), rule))
     order = sorted(range(len(found)), key=lambda i: (-found[i][2].priority, found[i][0] - found[i][1], found[i][0], i))
-    kept: list[tuple[int, int]] = []
+    kept: list[tuple[int, int, bool]] = []
     out = []
     for i in order:
         a, b, rule = found[i]
-        stays = not any(x <= a and b <= y for x, y in kept)
+        notice = rule.label == "copyright"
+        stays = not any(x <= a and b <= y and (notice or not n) for x, y, n in kept)
         if stays:
-            kept.append((a, b))
+            kept.append((a, b, notice))
         out.append((a, b, rule, stays))
     return sorted(out, key=lambda x: (x[0], x[1], x[2].name))
 

@@ -47,6 +47,13 @@ def test_suppression():
     assert kept == {"lgpl"} and any(r.label == "gpl" and not k for _, _, r, k in found)
 
 
+def test_licenses_after_a_copyright_notice():
+    for said, label in (("Copyright 2019 Acme. ISC License", "isc"), ("Copyright (c) 2020 Foo BSD License", "bsd"), ("Copyright 2021 MIT License", "mit"), ("Copyright 2021 2022 by Foo, zlib license", "zlib"), ("Copyright 2020. All rights reserved", "proprietary")):
+        assert {r.label for _, _, r, k in L.detect(ascii_words(said), RULES) if k} == {"copyright", label}, said
+    twice = [k for _, _, r, k in L.detect(ascii_words("(c) Copyright 2019 Acme"), RULES) if r.label == "copyright"]
+    assert len(twice) == 2
+
+
 def test_query_and_edge_rows(spark, sf_dir):
     rows = [(1, None), (2, ""), (3, "MIT License mit LICENSE."), (3, "MIT License mit LICENSE."), (4, "Apache\nLicense; GNU General-Public_License"), (5, "x " * 40000 + "mit license"), (None, "no license")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_words int")
