@@ -19,8 +19,8 @@ SPAN = "struct<first:long,last:long,start:long,end:long>"
 _BUILT: dict[str, tuple] = {}
 
 
-def _automaton(key: str, items: list[tuple[str, str | None]]):
-    """(automaton over word ids, ids of words, item ids of each window): built once in a worker."""
+def _automaton(key: str, items: list[tuple[str | None, str | None]]):
+    """(automaton over word ids, ids of words): built once in a worker; a window holds the ids of its items, none if they have none."""
     if key not in _BUILT:
         import ahocorasick
 
@@ -30,7 +30,7 @@ def _automaton(key: str, items: list[tuple[str, str | None]]):
             words = tuple(ids.setdefault(w, len(ids) + 1) for w in ascii_words(text))
             for i in range(max(1, len(words) - WINDOW + 1) if words else 0):
                 mine = owners.setdefault(words[i : i + WINDOW], [])
-                if not mine or mine[-1] != item:
+                if item is not None and (not mine or mine[-1] != item):
                     mine.append(item)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for words, who in owners.items():
@@ -42,13 +42,17 @@ def _automaton(key: str, items: list[tuple[str, str | None]]):
     return _BUILT[key]
 
 
-def scan(words: list[bytes], automaton, ids: dict[bytes, int]) -> tuple[list[tuple[int, int]], list[str]]:
-    """Merged runs of hit words as [first, last], and the items met."""
+def scan(words: list[bytes], automaton, ids: dict[bytes, int]) -> tuple[list[tuple[int, int]], list[str], bool]:
+    """Merged runs of hit words as [first, last], the items met, and whether a window of items without an id was met."""
     if automaton is None or not words:
-        return [], []
+        return [], [], False
     runs: list[list[int]] = []
     items: set[str] = set()
+    unnamed = False
     for last, (n, who) in automaton.iter(tuple(map(ids.get, words, [0] * len(words)))):
+        if not who:
+            unnamed = True
+            continue
         first = last - n + 1
         while runs and runs[-1][0] >= first:
             runs.pop()
@@ -57,7 +61,7 @@ def scan(words: list[bytes], automaton, ids: dict[bytes, int]) -> tuple[list[tup
         else:
             runs.append([first, last])
         items.update(who)
-    return [(a, b) for a, b in runs], sorted(items)
+    return [(a, b) for a, b in runs], sorted(items), unnamed
 
 
 def word_offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -77,17 +81,18 @@ def benchmark_blocks(benchmark: DataFrame) -> list[tuple]:
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     out = []
     for b in range(blocks):
-        items = [(str(r[0]), r[1]) for r in benchmark.where("item_id IS NOT NULL").where(part == b).select("item_id", "text").collect()]
+        items = [(None if r[0] is None else str(r[0]), r[1]) for r in benchmark.where(part == b).select("item_id", "text").collect()]
         key = hashlib.sha256(repr(sorted(items, key=repr)).encode("utf-8", "surrogatepass")).hexdigest()
         out.append((spark.sparkContext.broadcast(items), key))
     return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, hits, items) for every row of docs.
+    """(doc_id, n_words, hits, items, unnamed) for every row of docs.
 
     hits: runs of words inside occurrences of windows of WINDOW item words, with byte offsets in the original
-    text; a shorter item is one window; items: ids of the items met, as sorted strings. Null texts have no words;
+    text; a shorter item is one window; items: ids of the items met, as sorted strings. Both are of items with an id;
+    unnamed: whether the text holds a window that only items without an id have. Null texts have no words;
     items without words match nothing; equal items are each met; repeated rows get equal results; an empty
     benchmark hits nothing. The benchmark's size is checked: past BLOCK_CHARS it is scanned in blocks, whose
     results are merged by row.
@@ -97,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = benchmark_blocks(benchmark)
     rows = docs.select("doc_id", "text")
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id())) if len(blocks) > 1 else rows.withColumn("rid", F.lit(0).cast("long"))
-    schema = f"rid long, doc_id long, n_words long, hits array<{SPAN}>, items array<string>"
+    schema = f"rid long, doc_id long, n_words long, hits array<{SPAN}>, items array<string>, unnamed boolean"
     found = None
     for held, key in blocks:
 
@@ -105,15 +110,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             automaton, ids = _automaton(key, held.value)
 
             def fn(rids, doc_ids, texts):
-                n, hits, met = [], [], []
+                n, hits, met, bare = [], [], [], []
                 for text in texts:
                     words = ascii_words(text)
-                    runs, who = scan(words, automaton, ids)
+                    runs, who, unnamed = scan(words, automaton, ids)
                     n.append(len(words))
                     at = word_offsets(text, runs) if runs else []
                     hits.append([{"first": a, "last": z, "start": s, "end": e} for (a, z), (s, e) in zip(runs, at)])
                     met.append(who)
-                return rids, doc_ids, n, hits, met
+                    bare.append(unnamed)
+                return rids, doc_ids, n, hits, met, bare
 
             return fn
 
@@ -123,6 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = found.groupBy("rid").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.max("unnamed").alias("unnamed"),
         )
     return found.drop("rid")
 
@@ -135,7 +142,7 @@ def hit_words(hits: str = "hits"):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a single window of the benchmark, in one pass over whole rows for each block of it."""
+    """The documents without a single window of the benchmark, of items without an id too, in one pass over whole rows for each block of it."""
     spark = docs.sparkSession
     prepare(spark)
     kept = docs
@@ -143,7 +150,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def make(held=held, key=key):
             automaton, ids = _automaton(key, held.value)
-            return lambda texts: [bool(scan(ascii_words(t), automaton, ids)[0]) for t in texts]
+
+            def fn(texts):
+                found = [scan(ascii_words(t), automaton, ids) for t in texts]
+                return [bool(runs) or unnamed for runs, _, unnamed in found]
+
+            return fn
 
         kept = kept.where(~text_column(make, "boolean")("text"))
     return kept

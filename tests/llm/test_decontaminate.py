@@ -54,6 +54,18 @@ def test_edge_rows(spark, block, monkeypatch):
     assert D.contamination(docs.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [10, 2_000_000])
+def test_items_without_an_id_contaminate(spark, block, monkeypatch, tmp_path):
+    monkeypatch.setattr(D, "BLOCK_CHARS", block)
+    texts = [(1, "this has no id in it"), (2, "a short item here"), (3, "neither of them"), (4, "no id and short item"), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in op2_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {1: (True, 0), 2: (True, 2), 3: (False, 0), 4: (True, 2), 5: (False, 0)}
+    read = lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")
+    assert sorted(r["doc_id"] for r in D.clean(read("documents"), read("benchmark")).collect()) == [3, 5]
+
+
 def test_query(spark, sf_dir):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = {r["doc_id"]: r for r in op2_benchmark_decontamination(spark, sf_dir).collect()}
