@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +25,22 @@ ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-#: Words that a worker remembers, about 80 MB, and that it sends to the library at once; the memory is emptied when full.
-CACHE = 400_000
-AT_ONCE = 16_384
-
-#: Pieces that the vocabulary's pre-tokenizer makes of lower-cased Latin-1 text without white space (fixed values).
+#: Words, and pieces of words, that a worker's memories hold in each of two generations, about 60 MB each.
+CACHE = 300_000
+
+#: The normalizer and pre-tokenizer that PIECE stands for, as the vocabulary's file states them (fixed values).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KNOWN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: Pieces that this pre-tokenizer makes of lower-cased Latin-1 text without white space (fixed values).
 PIECE = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\na-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 #: Characters whose class or folding the libraries could see differently, and special tokens' start.
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0Ā-\U0010ffff]|<\\|")
@@ -38,64 +52,115 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-SPACES = re.compile(r"[\t-\r]+")
-
-
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, with a memory of words.
+    """Ids of whole texts by the tokenizers library, with a memory of words and of their pieces.
 
     White space always ends a piece and leaves no id, so a text's ids are those of its words in turn, and a word's
-    those of its pieces. The new words of a batch go to the library's BPE model together, as pieces separated by spaces
-    with a line end after each word, whose id marks where the next begins. A word with any character beyond plain
-    Latin-1, or with the start of a special token, goes through the library's whole pipeline instead.
+    those of its pieces, each of which the library's model encodes once. A word with any character beyond plain
+    Latin-1, or with the start of a special token, goes through the library's whole pipeline instead. So does every whole
+    text if the file states another normalizer or pre-tokenizer than KNOWN, or adds tokens that could span words.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.words: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        said = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in said["added_tokens"]]
+        self.plain = (said["normalizer"], said["pre_tokenizer"]) == KNOWN and said["truncation"] is None and said["padding"] is None and all(re.fullmatch(r"<\|\w+\|>", t) for t in added)
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.byte_chars = {b: chr(b if b in shown else next(rest)) for b in range(256)}
-        self.line = self.byte_chars[10]
-        self.line_id = self.tokenizer.token_to_id(self.line + "</w>")
-        self.plain = getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>" and self.line_id is not None
-        self.table = {**self.byte_chars, 32: " "}
-
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of words."""
-        odd = words if not self.plain else [w for w in words if ODD.search(w)] if ODD.search("".join(words)) else []
-        for w in odd:
-            self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.int32).tobytes()
-        rest = [w for w in words if w not in self.words] if odd else words
-        for at in range(0, len(rest), AT_ONCE):
-            plain = rest[at : at + AT_ONCE]
-            pieces = " ".join(PIECE.findall("\n".join(plain).lower() + "\n"))
-            said = pieces.encode().decode("latin-1").translate(self.table)
-            ids = np.array(self.model.encode_batch_fast([said], add_special_tokens=False)[0].ids, dtype=np.int32)
-            stops = np.flatnonzero(ids == self.line_id).tolist()
-            raw = ids.tobytes()
-            self.words.update(zip(plain, [raw[4 * a : 4 * b] for a, b in zip([0, *[x + 1 for x in stops]], stops)]))
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as 32-bit integers, the end id last."""
-        if len(self.words) > CACHE:
-            self.words = {"": b""}
-        end = np.array([END], dtype=np.int32).tobytes()
-        split = [SPACES.sub(" ", t).split(" ") if t else [] for t in texts]
-        unseen = set().union(*split).difference(self.words)
-        if unseen:
-            self.learn(list(unseen))
-        of = self.words.__getitem__
-        return [b"".join(map(of, words)) + end for words in split]
+        self.words, self.pieces = _Memory(), _Memory()
+
+    def piece(self, text: str) -> bytes:
+        """The model's ids of one piece."""
+        said = text if text.isascii() else text.encode().decode("latin-1").translate(self.byte_chars)
+        return array("i", [t.id for t in self.model.tokenize(said)]).tobytes()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids by the library's whole pipeline."""
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words without white space."""
+        return self.words.of(words, self.learn)
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the memory does not hold: plain ones by their pieces, others by the whole pipeline."""
+        if ODD.search("".join(words)):
+            odd = [w for w in words if ODD.search(w)]
+            plain = [w for w in words if not ODD.search(w)]
+            found = dict(zip(odd, self.whole(odd))) | dict(zip(plain, self.learn(plain)))
+            return [found[w] for w in words]
+        if not words:
+            return []
+        pieces = PIECE.findall("\n".join(words).lower() + "\n")
+        distinct = list(set(pieces))
+        values = dict(zip(distinct, self.pieces.of(distinct, lambda new: [_STOP if p == "\n" else self.piece(p) for p in new])))
+        raw = b"".join(map(values.__getitem__, pieces))
+        stops = (4 * np.flatnonzero(np.frombuffer(raw, dtype=np.int32) == -1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *[x + 4 for x in stops]], stops)]
+
+    def arrow(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text of a string array, the end id last."""
+        if not self.plain:
+            return _lists([x + _END for x in self.whole([t or "" for t in texts.to_pylist()])])
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        flat = _lists(self.ids(_strings(coded.dictionary))).take(coded.indices)
+        # the ids of a text: those of its words, and the end id after them
+        ends = flat.offsets.to_numpy()[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        ids = np.insert(flat.flatten().to_numpy(), ends[1:], np.int32(END))
+        return pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(ids))
 
     def text(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.texts([text])[0], dtype=np.int32).tolist()
+        return self.arrow(pa.array([text], pa.string()))[0].as_py()
+
+
+class _Memory:
+    """Values by key in two generations: the older one goes when the newer has CACHE keys, less what is asked for again."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, keys: list[str], make) -> list[bytes]:
+        """The keys' values; ``make`` gives those of the keys that are not held."""
+        if len(self.now) > CACHE:
+            self.now, self.old = {}, self.now
+        got = list(map(self.now.get, keys))
+        away = [i for i, x in enumerate(got) if x is None]
+        if self.old:
+            for i in away:
+                got[i] = self.old.get(keys[i])
+            new = [i for i in away if got[i] is None]
+        else:
+            new = away
+        for i, x in zip(new, make([keys[i] for i in new]) if new else []):
+            got[i] = x
+        self.now.update(zip([keys[i] for i in away], [got[i] for i in away]))
+        return got
 
 
+def _strings(array: pa.Array) -> list[str]:
+    """The strings of an array without spaces."""
+    if not len(array):
+        return []
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array), " ")
+    return joined[0].as_py().split(" ")
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    at = np.zeros(len(ids) + 1, dtype=np.int32)
+    np.cumsum([len(x) // 4 for x in ids], out=at[1:])
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+
+
+_END = np.array([END], dtype=np.int32).tobytes()
+_STOP = np.array([-1], dtype=np.int32).tobytes()
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -110,7 +175,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Write (part, pos, doc_id, ids) in ascending doc_id order: file by file, and within each file.
 
     Null and empty texts are just the end id. A null doc_id sorts first; rows of one doc_id are ordered by a hash
-    of their texts. Further columns are not read; an empty table gives an empty folder.
+    of their texts, which also deals them, so that many rows without an id do not meet in one task. Further columns are not read; an empty table gives an empty folder.
     """
     path = path or default_path()
     schema = "part int, pos long, doc_id long, ids array<int>"
@@ -122,18 +187,14 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
         encoder, part, pos = encoder_of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.num_rows
-            ids = encoder.texts(batch.column(1).to_pylist())
-            at = np.zeros(n + 1, dtype=np.int32)
-            np.cumsum([len(x) // 4 for x in ids], out=at[1:])
-            values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at), values)], schema=arrow
-            )
+            ids = encoder.arrow(batch.column(1).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), batch.column(0).cast(pa.int64()), ids], schema=arrow)
             pos += n
         tidy()
 
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     rows.mapInArrow(run, schema).write.options(**ORC).orc(folder)
 
 

@@ -45,6 +45,35 @@ def test_memory_is_emptied(monkeypatch, library):
         assert e.text(t) == library.encode(t, add_special_tokens=False).ids + [1]
 
 
+def test_other_files_go_through_the_library(tmp_path):
+    """Another vocabulary, and one of the same suffix and vocabulary with another pre-tokenizer or normalizer."""
+    import json
+
+    import public_tokenizers
+
+    said = json.loads(open(K.default_path()).read())
+    upper = said | {"normalizer": {"type": "NFC"}}
+    spaced = said | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, said["pre_tokenizer"]["pretokenizers"][1]]}}
+    paths = [public_tokenizers.path("byte_bpe_50k.json")]
+    for i, other in enumerate((upper, spaced)):
+        paths.append(str(tmp_path / f"{i}.json"))
+        open(paths[-1], "w").write(json.dumps(other))
+    for path in paths:
+        library, e = tokenizers.Tokenizer.from_file(path), K.WordEncoder(path)
+        assert not e.plain
+        for t in (*ODD, "Don't STOP, it's 2024!", "two  spaces"):
+            assert e.text(t) == library.encode(t or "", add_special_tokens=False).ids + [1], (path, t)
+
+
+def test_a_sliced_array(encoder, library):
+    import pyarrow as pa
+
+    texts = ["x y", None, "it's", "", "  a\tb ", "é日 <|"]
+    got = encoder.arrow(pa.array(["left out", *texts, "too"]).slice(1, len(texts))).to_pylist()
+    assert got == [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert encoder.arrow(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_round_trip(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("lang", "ids")
     got = {r["doc_id"]: r for r in K.tokenized(docs).collect()}
