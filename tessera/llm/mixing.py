@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, running_before, word_count
@@ -10,8 +12,12 @@ from tessera.llm.common import cut, running_before, word_count
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
+#: Words in a slot's block, and the slots that a schedule has at least: smaller blocks where the mix is small, so that a
+#: source of a thousandth of it still comes within about a hundredth of its target.
 BLOCK_WORDS = 1024
-GOLDEN = 0.6180339887498949
+LEAST_SLOTS = 1 << 18
+#: The golden ratio's fractional part, times 2**64.
+GOLDEN = 11400714819323198485
 #: Up to so many sources, their table is broadcast; beyond, it is joined like any other.
 BROADCAST_SOURCES = 10_000
 SEED = 7
@@ -43,27 +49,40 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return levels.select("sid", "source", "n", "source_size", target.alias("target"))
 
 
-def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(slot, sid, k, slots): the source of each slot and the slot's rank k among its source's.
+def block_size(total: float, block_words: int = BLOCK_WORDS, least_slots: int = LEAST_SLOTS) -> int:
+    """Words in a slot's block: ``block_words``, or as few as give the schedule ``least_slots`` slots."""
+    return max(1, min(block_words, int(total // least_slots)))
+
+
+def point(slot: str = "id", step: int = GOLDEN) -> Column:
+    """The slot's point in [0, 1): the fractional part of (slot + 1) steps of step / 2**64, exact for any slot."""
+    turns = (F.col(slot) + 1).cast("decimal(18,0)") * F.lit(Decimal(step)).cast("decimal(20,0)")
+    return (F.pmod(turns, F.lit(Decimal(1 << 64)).cast("decimal(20,0)")) / F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).cast("double")
 
-    Slot j's point is the fractional part of (j + 1) golden ratios; the source is the one whose stretch of the
-    cumulative targets holds it. Stretches are met through bins of the unit interval, an equi-join. A source too
-    small for any slot gets one at the end.
+
+def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, least_slots: int = LEAST_SLOTS, step: int = GOLDEN) -> tuple[DataFrame, int]:
+    """((slot, sid, k), words in a slot's block): the source of each slot and the slot's rank k among its source's.
+
+    There are as many slots as blocks go into all targets. Slot j's point is the fractional part of (j + 1) golden
+    ratios; the source is the one whose stretch of the cumulative targets holds it. Stretches are met through bins of
+    the unit interval, an equi-join. Any run of slots serves each source by its share to within a few slots. A source
+    whose stretch is too short for any point gets one slot at the end.
     """
     spark = sources.sparkSession
     head = sources.agg(F.sum("target"), F.count("*"), F.max("sid")).first()
     total, count = float(head[0] or 0), int(head[1])
-    slots = max(1, round(total / block_words))
+    block = block_size(total, block_words, least_slots)
+    slots = max(1, round(total / block))
     if not total:
-        return spark.createDataFrame([], "slot long, sid int, k long, slots long")
+        return spark.createDataFrame([], "slot long, sid int, k long"), block
     bins = 4 * count
     w = Window.orderBy("sid")
     upto = F.sum("target").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(total)
     stretch = sources.select("sid", "target", upto.alias("high")).withColumn("low", F.coalesce(F.lag("high").over(w), F.lit(0.0)))
     stretch = stretch.withColumn("high", F.when(F.col("sid") == head[2], 1.1).otherwise(F.col("high"))).where("high > low AND target > 0")
     binned = stretch.withColumn("bin", F.explode(F.expr(f"sequence(cast(floor(low * {bins}) as bigint), least(cast(floor(high * {bins}) as bigint), {bins - 1}L))")))
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("u"))
-    points = points.withColumn("bin", F.floor(F.col("u") * bins).cast("long"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point("id", step).alias("u"))
+    points = points.withColumn("bin", F.least(F.floor(F.col("u") * bins), F.lit(bins - 1)).cast("long"))
     if count <= BROADCAST_SOURCES:
         binned = F.broadcast(binned)
     taken = points.join(binned, "bin").where("u >= low AND u < high").select("slot", "sid")
@@ -71,52 +90,50 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     taken = cut(taken.unionByName(none.select((F.lit(slots) + F.col("sid")).cast("long").alias("slot"), "sid")))
     chunk = max(64, int(slots**0.5) // 4)
     ranked = running_before(taken.withColumn("chunk", F.floor(F.col("slot") / chunk)), ["sid"], "chunk", ["slot"], F.lit(1), "k")
-    counts = taken.groupBy("sid").agg(F.count("*").alias("slots"))
-    if count <= BROADCAST_SOURCES:
-        counts = F.broadcast(counts)
-    return ranked.select("slot", "sid", F.col("k").cast("long").alias("k")).join(counts, "sid")
+    return ranked.select("slot", "sid", F.col("k").cast("long").alias("k")), block
 
 
-def mixture(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mixture(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, least_slots: int = LEAST_SLOTS, step: int = GOLDEN) -> DataFrame:
     """(slot, sid, k, rid, words): the words of each document that each slot of the schedule takes.
 
-    A source's documents, shuffled by hash, make a stream that is read again once it ends; its target's worth of
-    the stream is cut into as many blocks of equal words as the schedule has slots for it, and block k goes to the
-    slot of rank k. Positions in the stream are two-level sums over hash ranges, so a source of any size is
-    dealt over many tasks.
+    A source's documents, shuffled by hash, make a stream that is read again once it ends, ``most`` times at most. The
+    source's slot of rank k takes block k of the stream, all blocks of equal words, so what a source gives is the number
+    of its slots in blocks. Only two things shorten a block: the end of the stream, and, for the one slot of a source
+    too small for the schedule, its target. Positions in the stream are two-level sums over hash ranges, so a source of any
+    size is dealt over many tasks.
     """
     head = sources.agg(F.sum("n"), F.count("*")).first()
     per = max(16, int(float(head[0] or 0) ** 0.5) // 4)
     few = int(head[1]) <= BROADCAST_SOURCES
-    plan = schedule(sources, block_words)
+    plan, block = schedule(sources, block_words, least_slots, step)
     plan = cut(plan)
     slots = plan.groupBy("sid").agg(F.count("*").alias("slots"))
-    own = sources.join(slots, "sid").select("sid", "source", "n", "source_size", F.round("target").cast("long").alias("goal"), "slots")
+    goal = F.when(F.col("slots") > 1, F.col("slots") * F.lit(block)).otherwise(F.least(F.lit(block), F.round("target").cast("long")))
+    upto = F.least(goal, F.floor(F.col("source_size") * F.lit(MOST)).cast("long"))
+    own = sources.join(slots, "sid").select("sid", "source", "n", "source_size", upto.alias("upto"))
     rows = sizes.where("size > 0").join(F.broadcast(own) if few else own, sizes["source"].eqNullSafe(own["source"])).drop("source")
     buckets = F.ceil(F.col("n") / per)
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 8), buckets))
     at = running_before(rows, ["sid"], "bucket", ["h", "doc_id", "size", "rid"], F.col("size"), "at")
-    laps = at.withColumn("lap", F.explode(F.expr("sequence(0L, 1L)"))).withColumn("low", F.col("at") + F.col("lap") * F.col("source_size"))
-    laps = laps.withColumn("high", F.least(F.col("low") + F.col("size"), "goal")).where("low < high")
-    # block k of a source holds the words from floor(k * goal / slots) on
-    edge = lambda k: f"cast(floor(cast({k} as decimal(38,0)) * goal / slots) as bigint)"
-    first = "greatest(0L, cast(floor(cast(low as double) * slots / goal) as bigint) - 1)"
-    last = "least(slots - 1, cast(floor(cast(high - 1 as double) * slots / goal) as bigint) + 1)"
-    pieces = laps.withColumn("k", F.explode(F.expr(f"sequence({first}, {last})")))
-    pieces = pieces.withColumn("words", F.expr(f"least(high, {edge('k + 1')}) - greatest(low, {edge('k')})")).where("words > 0")
-    return plan.select("slot", "sid", "k").join(pieces.select("sid", "k", "rid", "words"), ["sid", "k"])
+    laps = at.withColumn("lap", F.explode(F.expr(f"sequence(0L, {int(-(-MOST // 1)) - 1}L)"))).withColumn("low", F.col("at") + F.col("lap") * F.col("source_size"))
+    laps = laps.withColumn("high", F.least(F.col("low") + F.col("size"), "upto")).where("low < high")
+    pieces = laps.withColumn("k", F.explode(F.expr(f"sequence(low div {block}L, (high - 1) div {block}L)")))
+    pieces = pieces.withColumn("words", F.expr(f"least(high, (k + 1) * {block}L) - greatest(low, k * {block}L)"))
+    return plan.join(pieces.select("sid", "k", "rid", "words"), ["sid", "k"])
 
 
-def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(rid, doc_id, source, size, source_size, target, taken) for every row of docs.
+def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, least_slots: int = LEAST_SLOTS, step: int = GOLDEN) -> DataFrame:
+    """(rid, doc_id, source, size, source_size, target, taken, first_slot) for every row of docs.
 
-    Null and blank texts have size 0 and nothing taken; a null source is a source of its own, the last; repeated
+    taken: the words that the slots of the schedule take of it; first_slot: the first of these slots, null without any,
+    whose order is that of the mix. A source's taken words differ from its target by a few blocks at most. Null and
+    blank texts have size 0 and nothing taken; a null source is a source of its own, the last; repeated
     rows are documents of their own; an empty table gives none. Ties of the shuffle are broken by doc_id and size.
     """
     sizes = sized(docs)
     sources = cut(source_targets(sizes))
     few = sources.count() <= BROADCAST_SOURCES
-    took = mixture(sizes, sources, block_words).groupBy("rid").agg(F.sum("words").alias("taken"))
+    took = mixture(sizes, sources, block_words, least_slots, step).groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     own = sources.select(F.col("source").alias("_source"), "source_size", "target")
     rows = sizes.join(F.broadcast(own) if few else own, sizes["source"].eqNullSafe(F.col("_source"))).drop("_source")
     return rows.join(took, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
@@ -125,7 +142,8 @@ def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: each as often as its taken words go into its size, to the nearest whole.
 
-    A document cut at the end of its source's target counts whole if at least half of it is taken.
+    A document cut at the end of its source's last slot counts whole if at least half of it is taken. Rows of one doc_id
+    share the count of the one taken most; rows without an id are counted together in the same way.
     """
     copies = taken_words(docs).where("taken > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n")).where("_n > 0")
     copies = copies.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_n").alias("_n"))

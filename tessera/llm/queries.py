@@ -47,7 +47,7 @@ def op6_media_columns(spark, sf_dir):
 
 
 def op7_source_mixing(spark, sf_dir):
-    return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_token_output(spark, sf_dir):

@@ -18,16 +18,66 @@ def plain_targets(sizes):
         open_ -= set(over)
 
 
-def check(rows):
+def check(rows, block_words=M.BLOCK_WORDS, least_slots=M.LEAST_SLOTS):
     sizes = {}
     for r in rows:
         sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
     targets = plain_targets(sizes)
+    block = M.block_size(sum(targets.values()), block_words, least_slots)
     for s in sizes:
         own = [r for r in rows if r["source"] == s]
         assert all(abs(r["target"] - targets[s]) < 1e-6 * max(1, targets[s]) and r["source_size"] == sizes[s] for r in own)
-        assert abs(sum(r["taken"] for r in own) - targets[s]) <= 0.5
-        assert all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+        assert abs(sum(r["taken"] for r in own) - targets[s]) <= 5 * block
+        assert all(0 <= r["taken"] <= 2 * r["size"] and (r["first_slot"] is None) == (r["taken"] == 0) for r in own)
+
+
+def plain_mix(rows, sources, block_words, least_slots, step):
+    """Words and first slot by rid, slot by slot and word by word. rows: (rid, doc_id, source, size, h); sources: by place."""
+    targets = {s["source"]: s["target"] for s in sources}
+    total = sum(targets.values())
+    block = M.block_size(total, block_words, least_slots)
+    slots = max(1, round(total / block))
+    streams = {s: [r["rid"] for r in sorted((r for r in rows if r["source"] == s), key=lambda r: order_of(r, rows, sources)) for _ in range(r["size"])] for s in targets}
+    at, took, first = dict.fromkeys(targets, 0), {}, {}
+
+    def serve(slot, s, upto):
+        words = (streams[s] * 2)[at[s] : min(at[s] + block, upto)]
+        at[s] += block
+        for rid in words:
+            took[rid] = took.get(rid, 0) + 1
+            first.setdefault(rid, slot)
+
+    for j in range(slots):
+        u, high = ((j + 1) * step % 2**64) / 2**64, 0.0
+        for s in targets:
+            high += targets[s] / total
+            if u < high or s == list(targets)[-1]:
+                break
+        serve(j, s, 1 << 60)
+    for i, s in enumerate(targets):
+        if not at[s] and targets[s]:
+            serve(slots + i + 1, s, round(targets[s]))
+    return took, first
+
+
+def order_of(r, rows, sources):
+    n = sum(x["source"] == r["source"] for x in rows)
+    per = max(16, int(len(rows) ** 0.5) // 4)
+    return ((r["h"] % 2**64) >> 8) % -(-n // per), r["h"], (r["doc_id"] is not None, r["doc_id"]), r["size"], r["rid"]
+
+
+def test_slots_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = M.sized(docs)
+    sources = M.source_targets(sizes).cache()
+    rows, places = sizes.collect(), sources.orderBy("sid").collect()
+    other = {}
+    for block, least, step in ((1024, 1 << 12, M.GOLDEN), (7, 1, M.GOLDEN), (7, 1, 0xB504F333F9DE6484)):
+        took, first = plain_mix(rows, places, block, least, step)
+        got = M.mixture(sizes, sources, block, least, step).groupBy("rid").agg({"words": "sum", "slot": "min"}).collect()
+        assert {r["rid"]: r["sum(words)"] for r in got} == took and {r["rid"]: r["min(slot)"] for r in got} == first
+        other[block, step] = took
+    assert other[7, M.GOLDEN] != other[7, 0xB504F333F9DE6484], "the points decide what is taken"
 
 
 def test_small_tables(spark, sf_dir):
@@ -45,9 +95,9 @@ def test_edge_rows(spark):
     rows = [(1, text * 40, "b", 1), (2, text, "b", 1), (2, text, "b", 1), (3, None, None, 1), (4, text * 90, None, 1), (5, "", "a", 1), (None, text * 30, "é", 1), (6, "x", "a", 1), (7, text * 500, "z", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
     for block in (1, 7, 1024):
-        got = M.taken_words(docs, block).collect()
+        got = M.taken_words(docs, block, 16).collect()
         assert len(got) == len(rows)
-        check(got)
+        check(got, block, 16)
     mixed = M.mixed(docs)
     assert mixed.columns == docs.columns and mixed.count() > 0
     assert M.taken_words(docs.where("false")).count() == 0 and M.mixed(docs.where("false")).count() == 0
@@ -57,7 +107,9 @@ def test_edge_rows(spark):
 
 def test_schedule_is_even(spark):
     sources = spark.createDataFrame([(1, "a", 1, 10, 60000.0), (2, "b", 1, 10, 30000.0), (3, "c", 1, 10, 10000.0), (4, "d", 1, 1, 3.0)], "sid int, source string, n long, source_size long, target double")
-    slots = M.schedule(sources, 100).collect()
+    slots, block = M.schedule(sources, 100, 1)
+    slots = slots.collect()
+    assert block == 100
     n = sum(1 for r in slots if r["sid"] < 4)
     for sid, share in ((1, 0.6), (2, 0.3), (3, 0.1)):
         places = sorted(r["slot"] for r in slots if r["sid"] == sid)
