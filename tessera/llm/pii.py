@@ -8,6 +8,7 @@ import ipaddress
 import re
 import sys
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -34,12 +35,12 @@ _V4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: Detectors in order of priority: type, regex, the group that is replaced (0: all of it).
 DETECTORS = [
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.+?)-----END [A-Z ]*PRIVATE KEY-----", re.S), 1),
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![\w-])"), 0),
+    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----((?:[^-]|-(?!----))+)-----END [A-Z ]{0,40}PRIVATE KEY-----"), 1),
+    ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![\w-])"), 0),
     ("secret", re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|bearer|client[_-]?secret|private[_-]?key)[\"']?\s*[=:]\s*[\"']?([^\s\"',;<>]{6,})"), 1),
     ("secret", re.compile(r"\b(?:AKIA|ASIA)([0-9A-Z]{16})\b"), 1),
     ("secret", re.compile(r"\b(?:gh[pousr]_|github_pat_|sk-|pk_live_|sk_live_|xox[abprs]-|AIza|glpat-|hf_)([A-Za-z0-9_-]{16,})"), 1),
-    ("secret", re.compile(r"\beyJ[\w-]{8,}\.([\w-]{8,}\.[\w-]{8,})"), 1),
+    ("secret", re.compile(r"(?<![\w-])eyJ[\w-]{8,}\.([\w-]{8,}\.[\w-]{8,})"), 1),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), 0),
     ("card", re.compile(r"(?<![\w.+-])(?:\d[ -]?){12,18}\d(?![\w-])"), 0),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), 0),
@@ -77,6 +78,20 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+#: Groups that cards and bank accounts are printed in: a number in these needs no valid check digit (fixed values).
+_CARD_GROUPS = re.compile(r"(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?:[ -]\d{3})?")
+_IBAN_GROUPS = re.compile(r"[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?")
+
+
+def _is_card(text: str, digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and (luhn(digits) or _CARD_GROUPS.fullmatch(text) is not None)
+
+
+def _is_iban(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return _IBAN_GROUPS.fullmatch(text) is not None or 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def _is_ipv6(text: str, start: int, found: str) -> bool:
     """Whether it is a valid address with any digit (``::`` alone names nobody), not the rest of a longer row of groups."""
     try:
@@ -86,51 +101,125 @@ def _is_ipv6(text: str, start: int, found: str) -> bool:
     return found != "::" and not _GROUP_BEFORE.search(text, max(0, start - 6), start)
 
 
+class _Spans:
+    """Entities by place, none overlapping."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.rows: list[Entity] = []
+
+    def put(self, e: Entity) -> None:
+        at = bisect_left(self.starts, e.end)
+        if not at or self.rows[at - 1].end <= e.start:
+            self.starts.insert(at, e.start)
+            self.rows.insert(at, e)
+
+
 def detect(text: str | None) -> list[Entity]:
-    """Entities of a text by place, none overlapping: earlier detectors win."""
+    """Entities of a text by place, none overlapping: earlier detectors win.
+
+    Cards and bank accounts need a valid check number or their printed groups. Persons are found by a title, or by a given name
+    and a surname of the lists; further mentions of their full names, and of single parts that the text does not use as a
+    word in lower case too, are found as well.
+    """
     if not text:
         return []
-    taken: list[Entity] = []
+    spans = _Spans()
     digits_here = len(text) - len(text.translate(_NO_DIGIT)) if _DIGIT.search(text) else 0
     for kind, rx, group in DETECTORS:
         if kind in DIGITS and digits_here < DIGITS[kind] or not any(x in text for x in NEEDS.get(kind, SECRETS if kind == "secret" else [""])):
             continue
         for m in rx.finditer(text):
             a, b = m.span(group)
-            if any(e.start < b and a < e.end for e in taken):
-                continue
             digits = re.sub(r"\D", "", m[group])
-            if kind == "card" and not (13 <= len(digits) <= 19 and len(set(digits)) > 1):
+            if kind == "card" and not _is_card(m[group], digits) or kind == "iban" and not _is_iban(m[group]):
                 continue
             if kind == "ipv6" and not _is_ipv6(text, a, m[group]):
                 continue
             if kind == "phone" and not 7 <= len(digits) <= 15:
                 continue
-            taken.append(Entity(kind, a, b, m[group]))
-    return sorted(taken, key=lambda e: e.start)
+            spans.put(Entity(kind, a, b, m[group]))
+    for m in _CAPITALS.finditer(text):
+        kind = _GENDER.get(m[1])
+        if kind and m[2] in _SURNAMES:
+            spans.put(Entity(kind, m.start(1), m.end(2), text[m.start(1) : m.end(2)]))
+    people = {}
+    for e in spans.rows:
+        if e.type.startswith("person"):
+            for part in _WORD.findall(e.text):
+                people.setdefault(canonical(e.type, part), e.type)
+    if people:
+        words = [(m.start(), m.end(), m[0]) for m in _WHOLE.finditer(text)]
+        lower = {p.lower() for p in people}
+        usual = {w for _, _, w in words if w in lower}
+        people = {p: k for p, k in people.items() if len(p) > 2 or ord(p[0]) >= 0x2E80}
+        names = [people.get(canonical("person", w)) for _, _, w in words]
+        for i, (a, b, w) in enumerate(words):
+            if names[i]:
+                follows = i + 1 < len(words) and names[i + 1] and text[b : words[i + 1][0]] == " "
+                leads = i and names[i - 1] and text[words[i - 1][1] : a] == " "
+                if follows or leads or w.lower() == w or w.lower() not in usual:
+                    spans.put(Entity(names[i], a, b, w))
+    return spans.rows
+
+
+def _rounds(value: int, half: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """A Feistel network over 2 * half bits, or its inverse."""
+    mask, width = (1 << half) - 1, (half + 7) // 8
+    left, right = value >> half, value & mask
+    for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        said = f"{tweak}|{size}|{i}|{left if back else right}".encode("utf-8", "surrogatepass")
+        noise = int.from_bytes(hashlib.blake2b(said, key=key[:64], digest_size=min(64, max(8, width))).digest() * (width // 64 + 1), "big") & mask
+        left, right = (right ^ noise, left) if back else (right, left ^ noise)
+    return (left << half) | right
 
 
-def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of range(size): a Feistel network over the next even number of bits, walked until inside."""
+def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """A keyed permutation of range(size), or its inverse: a Feistel network over the next even number of bits, walked until inside."""
     if size < 2:
         return value
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask, width = (1 << half) - 1, (half + 7) // 8
     while True:
-        left, right = value >> half, value & mask
-        for i in range(ROUNDS):
-            said = f"{tweak}|{size}|{i}|{right}".encode("utf-8", "surrogatepass")
-            noise = int.from_bytes(hashlib.blake2b(said, key=key[:64], digest_size=min(64, max(8, width))).digest() * (width // 64 + 1), "big")
-            left, right = right, left ^ (noise & mask)
-        value = (left << half) | right
+        value = _rounds(value, half, size, key, tweak, back)
         if value < size:
             return value
 
 
+def derange(value: int, size: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of range(size) that leaves no value in its place, unless there is but one: a single cycle."""
+    return permute((permute(value, size, key, tweak) + 1) % size, size, key, tweak, back=True) if size > 1 else value
+
+
+#: Given names by gender, and surnames, by script (fixed values). A surname's feminine form has its own list.
+GIVEN_F = [
+    "Anna Maria Laura Julia Sara Elena Sofia Clara Emma Eva Lena Paula Marta Lucia Carla Nina Olivia Amelia Sophia Isabella Mia Ella Victoria Amanda Jessica Angela Linda Barbara Patricia Sandra Monica Veronica Diana Teresa Silvia Petra Sabrina Claudia Martina",
+    "Alice Mary Jane Susan Karen Helen Nancy Betty Margaret Dorothy Ruth Sharon Carol Emily Charlotte Chloe Lucy Sophie Claire Marie Camille Brigitte Nicole Isabel Carmen Pilar Heidi Ingrid Elizabeth Jennifer Michelle Kimberly Deborah Rachel Catherine",
+    "Анна Елена Ольга Татьяна Ирина Светлана Екатерина Людмила Галина Марина Нина Вера Надежда Полина",
+    "Мария Наталья Юлия Анастасия Виктория Ксения Дарья Евгения Валерия София Лидия",
+]
+GIVEN_M = [
+    "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Kenneth George Edward Brian Ronald Kevin Jason Peter Henry Jack Oliver Harry Hans Klaus Jürgen Wolfgang Stefan Uwe Karl Friedrich Pierre Jean Louis François Philippe Luis Carlos Juan José Miguel Pedro Antonio Diego Pablo Sergio",
+    "Александр Сергей Владимир Андрей Алексей Дмитрий Михаил Иван Николай Павел Виктор Юрий Олег Игорь Борис Максим",
+]
+SURNAMES = [
+    "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson White Harris Thompson Robinson Clark Lewis Walker Hall Allen Young Wright Hill Scott Green Adams Baker Nelson Carter Mitchell Roberts Turner Phillips Campbell Parker Evans Edwards Collins Stewart Morris Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Bauer Koch Richter Klein Wolf Schröder Neumann Martin Bernard Dubois Durand Leroy Moreau Fournier Girard Lambert Fernández González Rodríguez López Martínez Sánchez Pérez Gómez",
+    "García Molina Ortega Vega Peña Silva Rivera Herrera Medina Mendoza Costa Rossa",
+    "Иванов Смирнов Кузнецов Попов Васильев Петров Соколов Михайлов Новиков Фёдоров Морозов Волков Алексеев Лебедев Семёнов Егоров Павлов Козлов Степанов Николаев",
+    "Иванова Смирнова Кузнецова Попова Васильева Петрова Соколова Михайлова Новикова Фёдорова Морозова Волкова Алексеева Лебедева Семёнова Егорова Павлова Козлова Степанова Николаева",
+]
+#: A listed name's list, by its family's name for the key, and its place there; feminine surnames follow the masculine ones.
+_PLACE = {w: (f"given_f{i}", n, names.split()) for i, names in enumerate(GIVEN_F) for n, w in enumerate(names.split())}
+_PLACE |= {w: (f"given_m{i}", n, names.split()) for i, names in enumerate(GIVEN_M) for n, w in enumerate(names.split())}
+_PLACE |= {w: (f"surname{min(i, 2)}", n, names.split()) for i, names in enumerate(SURNAMES) for n, w in enumerate(names.split())}
+_GENDER = {w: "person_f" for names in GIVEN_F for w in names.split()} | {w: "person_m" for names in GIVEN_M for w in names.split()}
+_SURNAMES = {w for names in SURNAMES for w in names.split()}
+_CAPITALS = re.compile(r"(?<!\w)([A-ZА-Я][a-zß-ÿа-яё]+)(?= ([A-ZА-Я][a-zß-ÿа-яё]+)(?!\w))")
+
 #: Letters by script and kind, the same number of upper-case ones following by rule (fixed values).
 ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 _CLASS = {c: a for a in ALPHABETS for c in a}
 _WORD = re.compile(f"{_LETTER}+")
+_WHOLE = re.compile(rf"(?<!\w){_LETTER}+(?!\w)")
 _KANJI = "".join(map(chr, range(0x4E00, 0x9FA0)))
 _KANA = "".join(map(chr, range(0x30A1, 0x30FB)))
 _HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
@@ -164,11 +253,11 @@ def _alphabet(char: str, names: bool) -> str:
 
 
 def _spell(text: str, alphabets: list[str], key: bytes, tweak: str) -> str:
-    """A keyed permutation of the strings whose characters come from the alphabets."""
+    """A keyed permutation of the strings whose characters come from the alphabets, none in its place."""
     value, size = 0, 1
     for c, a in zip(text, alphabets):
         value, size = value * len(a) + a.index(c), size * len(a)
-    value = permute(value, size, key, f"{tweak}|{'|'.join(map(_shape, alphabets))}")
+    value = derange(value, size, key, f"{tweak}|{'|'.join(map(_shape, alphabets))}")
     out = []
     for a in reversed(alphabets):
         value, at = divmod(value, len(a))
@@ -190,6 +279,8 @@ def canonical(kind: str, text: str) -> str:
         return f"{int(ipaddress.IPv6Address(text)):032x}"
     if kind == "mac":
         return re.sub(r"[:-]", "", text).lower()
+    if kind.startswith("person") and len(text) > 1 and text.isupper():
+        return text[0] + text[1:].lower()
     return text
 
 
@@ -257,13 +348,28 @@ def _longer(n: int, alphabet: str, key: bytes, tweak: str) -> str:
     return "".join(out)
 
 
+def _name(plain: str, key: bytes, tweak: str) -> str:
+    """The stand-in of one part of a name: of its list if it is listed, else of its letters' shape and off the lists."""
+    if plain in _PLACE:
+        family, at, names = _PLACE[plain]
+        return names[derange(at, len(names), key, f"{tweak}|{family}")]
+    alphabets = [_alphabet(c, True) for c in plain]
+    if len(plain) > 2 and ord(plain[-1]) < 0x3000:  # the last letter, under any marks
+        last = next((i for i in range(len(plain) - 1, -1, -1) if plain[i].isalpha()), len(plain) - 1)
+        alphabets[last] = plain[last]
+    new = _spell(plain, alphabets, key, tweak)
+    while new in _PLACE:  # walks on among the names of this shape that no list holds
+        new = _spell(new, alphabets, key, tweak)
+    return new
+
+
 def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of a mention: the same for every mention of its entity, another for any other entity.
+    """The replacement of a mention, or of one part of a name: the same for every mention of its entity, another for any other.
 
-    It is a permutation of the entities of the same type and shape, so no two meet. Kept as they are: country code and
-    the reserved 555 exchange of phones, leading digit and check of cards, class of addresses, top-level domains, country
-    of bank accounts, zeros of IPv6 addresses, vowels' and consonants' places, upper case and the last letter of names
-    (their gender). From TRIES on, names, mail addresses and secrets get longer ones at each attempt, and addresses and
+    It is a permutation of the entities of the same type and shape that leaves none in its place, so no two meet. Kept as
+    they are: country code and the reserved 555 exchange of phones, leading digit and check of cards, class of addresses,
+    top-level domains, country of bank accounts, zeros of IPv6 addresses; a listed name's script, gender and kind, the places
+    of vowels and consonants and the last letter (gender) of any other, and upper case. From TRIES on, names, mail addresses and secrets get longer ones at each attempt, and addresses and
     phones are drawn from all of their type.
     """
     plain = canonical(kind, text)
@@ -304,12 +410,10 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         new = _spell(mixed, [_alphabet(c, False) for c in mixed], key, f"{tweak}|{top}") + dot + top
         return _longer(more, _LOWER, key, f"{tweak}|{plain}") + "".join(c.upper() if p.isupper() else c for p, c in zip(text, new))
     elif kind.startswith("person"):
-        alphabets = [_alphabet(c, True) for c in plain]
-        last = {m.end() - 1 for m in _WORD.finditer(plain)}
-        last = {next((j for j in range(i, -1, -1) if plain[j].isalpha()), i) for i in last}  # the letter under any marks
-        alphabets = [plain[i] if len(plain) > 2 and i in last and ord(plain[i]) < 0x3000 else a for i, a in enumerate(alphabets)]
+        new = _name(plain, key, tweak)
         tail = next((_alphabet(c.lower(), True) for c in reversed(plain) if c.isalpha()), _LOWER)
-        return _spell(plain, alphabets, key, tweak) + _longer(more, tail if len(tail) > 1 else _LOWER, key, f"{tweak}|{plain}")
+        new += _longer(more, tail if len(tail) > 1 else _LOWER, key, f"{tweak}|{plain}")
+        return new.upper() if plain != text else new
     elif re.fullmatch(r"[0-9a-f]*[a-f][0-9a-f]*", plain):
         new = _spell(plain, [_HEX] * len(plain), key, tweak)
         while new.isdigit():  # a permutation walks on until it is back among strings with letters
@@ -329,31 +433,41 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[dict]]:
     """(text with surrogates, entities as type, start and end in the new text and the original, and their count of tries).
 
-    Collision check: a surrogate that equals an original of the document, its own included, is drawn again with the
-    next tweak, and so is one that equals another entity's surrogate, so entities of the document stay apart. Longer
-    surrogates end this where all of an entity's own shape are taken or there is but one.
+    The parts of a name are entities of their own, so that a surname alone follows the full name. Collision check: a
+    surrogate that equals an original of the document, its own included, is drawn again with the next tweak, and so is
+    one that equals another entity's surrogate, so entities of the document stay apart. Longer surrogates end this
+    where all of an entity's own shape are taken or there is but one.
     """
     found = detect(text)
     if not found:
         return text, []
-    originals = {e.text for e in found}
-    whole = {canonical(e.type, e.text) for e in found}
+    units = [[(m.start(), m.end(), m[0]) for m in _WORD.finditer(e.text)] if e.type.startswith("person") else [(0, len(e.text), e.text)] for e in found]
+    whole = {canonical(e.type, t) for e, parts in zip(found, units) for _, _, t in parts} | {t for parts in units for _, _, t in parts}
     given: dict[tuple[str, str], int] = {}
     used: dict[str, tuple[str, str]] = {}
-    out, spans, at, size = [], [], 0, 0
-    for e in found:
-        who = ("person" if e.type.startswith("person") else e.type, canonical(e.type, e.text))
+
+    def stand_in(kind: str, said: str) -> tuple[str, int]:
+        who = ("person" if kind.startswith("person") else kind, canonical(kind, said))
         attempt = given.get(who, 0)
-        new = surrogate(e.type, e.text, key, attempt)
+        new = surrogate(kind, said, key, attempt)
         if who not in given:
-            while new in originals or canonical(e.type, new) in whole or used.get(canonical(e.type, new), who) != who:
+            while new in whole or canonical(kind, new) in whole or used.get(canonical(kind, new), who) != who:
                 attempt += 1
-                new = surrogate(e.type, e.text, key, attempt)
+                new = surrogate(kind, said, key, attempt)
             given[who] = attempt
-            used[canonical(e.type, new)] = who
+            used[canonical(kind, new)] = who
+        return new, attempt
+
+    out, spans, at, size = [], [], 0, 0
+    for e, parts in zip(found, units):
+        new, tries, upto = "", 0, 0
+        for a, b, said in parts:
+            one, attempt = stand_in(e.type, said)
+            new, tries, upto = new + e.text[upto:a] + one, max(tries, attempt), b
+        new += e.text[upto:]
         out += [text[at : e.start], new]
         size += e.start - at
-        spans.append({"type": e.type, "start": size, "end": size + len(new), "from": e.start, "upto": e.end, "tries": attempt})
+        spans.append({"type": e.type, "start": size, "end": size + len(new), "from": e.start, "upto": e.end, "tries": tries})
         size, at = size + len(new), e.end
     return "".join([*out, text[at:]]), spans
 
@@ -364,8 +478,9 @@ ENTITY = "struct<type:string,start:int,`end`:int,`from`:int,upto:int,tries:int>"
 def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """(doc_id, text, entities) for every row of docs: texts with surrogates, and where they stand.
 
-    Surrogates depend on the key and the entity only, so mentions agree across documents and executors without any
-    exchange. Null texts stay null, empty ones empty; texts without entities are unchanged; repeated rows get equal results.
+    First draws depend on the key and the entity only, so mentions agree across documents and executors without any
+    exchange, and distinct entities get distinct ones everywhere. Only where a draw collides inside a document is the entity
+    drawn again there: its mentions still agree in that document, but may differ from those elsewhere. Null texts stay null, empty ones empty; texts without entities are unchanged; repeated rows get equal results.
     """
     secret = hmac.new(key, b"surrogates", "sha256").digest()
 
