@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -19,7 +20,7 @@ BLOCK = frozenset(
 )
 BOILERPLATE = frozenset("nav footer aside form button select option label input dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-#: Words of class and id names that mark what is not the article (fixed values).
+#: Last words of class and id names that say what an element is, if it is not the article (fixed values).
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored sponsors promo promotion promotions "
     "nav navbar navigation menu menubar topnav breadcrumb breadcrumbs crumbs pager pagination toc "
@@ -28,6 +29,13 @@ NAMES = frozenset(
     "comment comments commentlist disqus reply replies respond responses discussion "
     "share sharing social related recommended recommendations trending popular tags tagcloud search searchbox form hidden skip toolbar".split()
 )
+#: Those that mark as much as a first word; and those that mark inside an article too (fixed values).
+FIRST = frozenset("ad ads advert advertisement adslot nav navbar sidebar footer cookie gdpr breadcrumb breadcrumbs comment comments disqus share sharing social newsletter promo sponsored".split())
+INSIDE = frozenset("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo cookie cookies consent gdpr newsletter comment comments commentlist disqus respond share sharing sidebar nav navbar navigation menu hidden paywall popup modal".split())
+#: Words that say no more than that there is a box, first words of states, and whose header is the article's own (fixed values).
+BOXES = frozenset("list box wrapper wrap container area block bar slot unit links item items button buttons left right top bottom inner outer section group panel row col column main primary secondary global site page content".split())
+STATES = frozenset("with has no without is js not".split())
+OWN = frozenset("article entry post content story main section chapter".split())
 #: A start tag of the first group closes an open element of the second (fixed values).
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -35,98 +43,157 @@ CLOSES = {
 }
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?=[\s=/>]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+TAG_STOP = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?=[\s=/>]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
+_NAME_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds")
+    __slots__ = ("tag", "parent", "parts", "dropped", "soft", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, soft: bool = False):
+        self.tag, self.parent, self.dropped, self.soft = tag, parent, dropped, soft
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.holds = False
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def _named(name: str, inside_article: bool) -> str:
+    """What a class or id says of its element: "drop" for what is not the article, "soft" for what may be, "" for the rest.
+
+    The last word that means more than a box counts, as in English: a reader-comments is comments, a notice-period none.
+    """
+    words = [w.lower() for w in _NAME_WORD.findall(name)]
+    if not words or words[0] in STATES:
+        return ""
+    first = words[0]
+    while len(words) > 1 and (words[-1] in BOXES or words[-1].isdigit()):
+        words.pop()
+    last = words[-1]
+    if last in ("header", "masthead") and (inside_article or len(words) > 1 and words[-2] in OWN):
+        return ""
+    if last in NAMES and (not inside_article or last in INSIDE) or first in FIRST and (not inside_article or first in INSIDE):
+        return "drop"
+    return "soft" if last in NAMES else ""
+
+
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> str:
+    """"drop" for an element that is boilerplate by its tag, role, visibility or name, "soft" for one that is if mostly links."""
     if tag in BOILERPLATE or tag == "header" and not inside_article:
-        return True
+        return "drop"
     if tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    soft = ""
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and any(w in NAMES for w in re.split(r"[^a-z0-9]+", value)):
-            return True
-        if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id"):
+            said = {_named(x, inside_article) for x in value.split()}
+            if "drop" in said:
+                return "drop"
+            soft = "soft" if "soft" in said else soft
+        elif name == "hidden" or name == "role" and value.strip().lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
+            return "drop"
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
+            return "drop"
+    return soft
+
+
+def _tag_end(page: str, at: int) -> tuple[int, int]:
+    """(end of the attributes, end of the tag) from a place after the tag's name; a quote that never closes is a character."""
+    while (m := TAG_STOP.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.start(), m.end()
+        close = page.find(m[0], m.end())
+        at = m.end() if close < 0 else close + 1
+    return len(page), -1
+
+
+class _Open:
+    """The open elements, with the depths of those of each tag."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def deepest(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def outermost(self, tags, below: int) -> int:
+        """The least depth over ``below`` of an open element of the tags, else 0."""
+        found = [d[i] for t in tags if (d := self.depths.get(t)) and (i := bisect_right(d, below)) < len(d)]
+        return min(found, default=0)
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
+
+
+#: Elements that an open paragraph does not reach across.
+_P_SCOPE = ("td", "th", "li", "div", "article", "section", "body", "blockquote", "table")
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """(root, all elements in page order) of a page; open elements are closed as far as HTML implies, unknown ends ignored."""
-    root = node = Node("#root", None)
-    nodes, at, articles = [root], 0, 0
-    lower = None
-    scan = TOKEN.search
-    while (m := scan(page, at)) is not None:
-        if m.start() > at:
-            node.parts.append(html.unescape(page[at : m.start()]))
-        at = m.end()
+    """(root, all elements in page order) of a page; open elements are closed as far as HTML implies, unknown ends ignored.
+
+    Each character is read once, and open elements are met by their depths, so the time grows with the page.
+    """
+    root = Node("#root", None)
+    nodes, at, unread = [root], 0, 0
+    open_ = _Open(root)
+    while (m := MARKUP.search(page, at)) is not None:
+        if m.start() > unread:
+            open_.stack[-1].parts.append(html.unescape(page[unread : m.start()]))
+        at = unread = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                node.parts.append(m[0][9:-3])
+                open_.stack[-1].parts.append(m[0][9:-3])
             continue
         tag = m[2].lower()
+        stop, end = _tag_end(page, at)
+        if end < 0:  # the page ends inside this tag
+            unread = len(page)
+            break
+        attributes = page[at:stop]
+        at = unread = end
         if m[1]:
-            back = node
-            while back is not root and back.tag != tag:
-                back = back.parent
-            if back is not root:
-                while node is not back:
-                    articles -= node.tag in ("article", "main")
-                    node = node.parent
-                articles -= tag in ("article", "main")
-                node = back.parent
+            depth = open_.deepest((tag,))
+            if depth:
+                open_.close(depth)
             elif tag == "p":
-                node.parts.append("\n")
+                open_.stack[-1].parts.append("\n")
             continue
         if tag in RAW:
-            lower = lower if lower is not None else page.lower()
-            end = lower.find(f"</{tag}", at)
-            at = len(page) if end < 0 else (lower.find(">", end) + 1 or len(page))
+            closing = RAW_END[tag].search(page, at)
+            at = unread = closing.end() if closing else len(page)
             continue
         if tag in BLOCK and tag != "body":
-            back = node
-            while back is not root and back.tag != "p" and back.tag not in ("td", "th", "li", "div", "article", "section", "body", "blockquote", "table"):
-                back = back.parent
-            if back.tag == "p":
-                node = back.parent
+            depth = open_.deepest(("p",))
+            if depth and depth > open_.deepest(_P_SCOPE):
+                open_.close(depth)
         if tag in CLOSES:
-            back, last = node, None
-            while back is not root and back.tag not in _SCOPE[tag]:
-                if back.tag in CLOSES[tag]:
-                    last = back
-                back = back.parent
-            if last is not None:
-                node = last.parent
-        if m[0][-1] != ">":
-            continue  # the page ends inside this tag
+            depth = open_.outermost(CLOSES[tag], open_.deepest(_SCOPE[tag]))
+            if depth:
+                open_.close(depth)
+        node = open_.stack[-1]
         if tag == "br":
             node.parts.append(" ")
             continue
-        new = Node(tag, node, _unwanted(tag, m[3], articles > 0))
+        said = _unwanted(tag, attributes, open_.deepest(("article", "main")) > 0)
+        new = Node(tag, node, said == "drop", said == "soft")
         node.parts.append(new)
         nodes.append(new)
-        if tag not in VOID and not m[3].endswith("/"):
-            node = new
-            articles += tag in ("article", "main")
-    if at < len(page):
-        node.parts.append(html.unescape(page[at:]))
+        if tag not in VOID and not attributes.endswith("/"):
+            open_.push(new)
+    if unread < len(page):
+        open_.stack[-1].parts.append(html.unescape(page[unread:]))
     return root, nodes
 
 
@@ -150,6 +217,24 @@ def _rescue(nodes: list[Node]) -> None:
         n.dropped = n.dropped and not wrapper or n.parent is not None and n.parent.dropped
 
 
+def _drop_link_boxes(nodes: list[Node]) -> None:
+    """Elements of a doubtful name go if at least half of their characters are links'."""
+    chars, links = dict.fromkeys(map(id, nodes), 0), dict.fromkeys(map(id, nodes), 0)
+    for n in reversed(nodes):
+        if n.dropped:
+            continue
+        own = chars[id(n)] = chars[id(n)] + sum(len(x.strip()) for x in n.parts if isinstance(x, str))
+        if n.tag == "a":
+            links[id(n)] = own
+        if n.soft and 2 * links[id(n)] >= own:
+            n.dropped = True
+        elif n.parent is not None:
+            chars[id(n.parent)] += own
+            links[id(n.parent)] += links[id(n)]
+    for n in nodes:
+        n.dropped = n.dropped or n.parent is not None and n.parent.dropped
+
+
 def measure(nodes: list[Node]) -> None:
     """Characters, tags and link shares of each subtree that stays, its density, and the sum of its children's densities."""
     for n in reversed(nodes):
@@ -175,60 +260,67 @@ def measure(nodes: list[Node]) -> None:
             n.parent.total += n.density
 
 
+#: Elements that hold blocks of text; others are blocks or parts of one, and no content by themselves (fixed values).
+CONTAINERS = frozenset("#root html body article main section div td blockquote center details figure table".split())
+#: A wrapper belongs to the content if it is at least so dense as the part of it that does; an article or main, so much less.
+CLIMB, CLIMB_TAGGED = 0.5, 0.1
+
+
 def content(nodes: list[Node]) -> list[Node]:
-    """Roots of the main content: the subtree of the largest density sum, and others as dense as its path to the body.
+    """Roots of the main content: the subtree of the largest density sum among containers, and others as dense as its path to the body.
 
-    An article or main that holds the densest subtree is content whole, and so are articles beside it that are not mostly
-    links. A wrapper of articles that hold at least half of its characters gives way to the densest of them.
+    A wrapper of articles that hold at least half of its characters gives way to the densest of them. The subtree grows to
+    what wraps it while the wrapper is nearly as dense, up to an article or main if there is one, for which less will do:
+    short blocks beside long ones are text too. Sections beside it that are much like it belong as well, and beside an article
+    or main those that are not mostly links.
     """
     stay = [n for n in nodes if not n.dropped and n.chars]
     if not stay:
         return []
-    best = max(stay, key=lambda n: n.total)
+    best = max((n for n in stay if n.tag in CONTAINERS), key=lambda n: n.total, default=nodes[0])
     if best.total <= 0:
         return [nodes[0]]
-    held = _article(best)
-    if held is None:
-        inside = [n for n in stay if n.tag in ("article", "main") and _article(n) is n and _above(best, n)]
+    article: dict[int, Node | None] = {}  # the outermost article or main around each node, itself included
+    for n in nodes:
+        above = article.get(id(n.parent)) if n.parent is not None else None
+        article[id(n)] = above or (n if n.tag in ("article", "main") else None)
+    if article[id(best)] is None:
+        held = {id(n) for n in stay if article[id(n)] is n}
+        inside, under = [], {id(best)}
+        for n in stay:
+            if n.parent is not None and id(n.parent) in under:
+                under.add(id(n))
+                if id(n) in held:
+                    inside.append(n)
         if inside and 2 * sum(n.chars for n in inside) >= best.chars:
-            best = held = max(inside, key=lambda n: n.total)
-    threshold, up = best.density, best.parent
-    while up is not None and up.tag not in ("html", "#root"):
-        threshold, up = min(threshold, up.density), up.parent
-    # sections beside the best one that are much like it are content whole, whatever short blocks they hold
-    alike = {id(n) for n in stay if n.parent is best.parent and n.tag == best.tag and n.total >= 0.3 * best.total and n.link_chars < 0.3 * n.chars}
-    if held is not None:
-        best = held
-        alike |= {id(n) for n in stay if n.parent is held.parent and n.tag == held.tag and n.link_chars < 0.3 * n.chars}
+            best = max(inside, key=lambda n: n.total)
+    own = article[id(best)]
+    while best.parent is not None and best is not own and best.parent.tag not in ("body", "html", "#root"):
+        up = best.parent
+        if up.density < (CLIMB_TAGGED if own is not None else CLIMB) * best.density or 2 * up.link_chars > up.chars:
+            break
+        best = up
+    path, up = {id(best)}, best.parent
+    threshold = best.density
+    while up is not None:
+        path.add(id(up))
+        if up.tag not in ("html", "#root"):
+            threshold = min(threshold, up.density)
+        up = up.parent
+    plain = lambda n: n.link_chars < 0.3 * n.chars
+    alike = {id(n) for n in stay if n.parent is best.parent and n.tag == best.tag and plain(n) and (n.tag in ("article", "main") or n.total >= 0.3 * best.total)}
     out, kept = [], {id(best)}
     for n in stay:
-        inside_kept = n.parent is not None and id(n.parent) in kept
-        if inside_kept:
+        if n.parent is not None and id(n.parent) in kept:
             kept.add(id(n))
         elif n is best:
             out.append(n)
-        elif (n.density >= threshold or id(n) in alike) and n.tag not in ("#root", "html", "body") and not _above(n, best):
+        elif (n.density >= threshold or id(n) in alike) and n.tag not in ("#root", "html", "body") and id(n) not in path:
             kept.add(id(n))
             out.append(n)
     return out
 
 
-def _article(n: Node) -> Node | None:
-    """The outermost article or main around a node, itself included."""
-    found = None
-    while n is not None:
-        found, n = n if n.tag in ("article", "main") else found, n.parent
-    return found
-
-
-def _above(n: Node, other: Node) -> bool:
-    while other is not None:
-        if other is n:
-            return True
-        other = other.parent
-    return False
-
-
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks of a subtree in page order, white space as single spaces, none empty."""
     out: list[str] = []
@@ -262,6 +354,7 @@ def main_text(page: str | None) -> str:
         return ""
     _, nodes = parse(page)
     _rescue(nodes)
+    _drop_link_boxes(nodes)
     measure(nodes)
     return "\n".join(b for n in content(nodes) for b in blocks(n))
 

@@ -49,12 +49,100 @@ def test_density_chooses_beside_an_article():
     assert dense.strip() in H.main_text(page(f"<article>{BODY}</article><div><p>{dense}</p></div>"))
 
 
+def test_names_inside_the_article():
+    """A word in a class or id decides only where it names the element."""
+    kept = '<div class="article-header"><p>Heading words of the article itself stand here.</p></div><section id="related-work"><p>Others wrote about this before, and more than once.</p></section><p class="notice-period">The notice period is three months for all of them.</p>'
+    want = ["Heading words of the article itself stand here.", "Others wrote about this before, and more than once.", "The notice period is three months for all of them."]
+    for tag in ("article", "main", "div"):
+        got = H.main_text(page(f"<{tag}>{kept}{BODY}</{tag}>"))
+        assert got == "\n".join([*want, *ARTICLE]), tag
+    links = '<div class="related"><a href="/1">One story</a> <a href="/2">Another story</a></div>'
+    assert H.main_text(page(f"<article>{BODY}{links}</article>")) == WANT
+    for name in ("reader-comments", "commentList", "share-buttons", "ad-slot", "cookie_notice", "newsletter-box", "sidebar2"):
+        box = f'<div class="{name}"><p>Words that are not of the article but look like it in every way there is.</p></div>'
+        assert H.main_text(page(f"<article>{BODY}{box}</article>")) == WANT, name
+        assert H.main_text(page(f"<div><div>{BODY}</div>{box}</div>")) == WANT, name
+
+
+def plain_sums(node):
+    """(characters, tags, link characters, link tags) of a subtree by recursion."""
+    total = [0, 1, 0, 0]
+    for x in node.parts:
+        if isinstance(x, str):
+            total[0] += len(x.strip())
+        elif not x.dropped:
+            total = [a + b for a, b in zip(total, plain_sums(x))]
+    return [total[0], total[1], total[0], total[3] + 1] if node.tag == "a" else total
+
+
+def test_density_by_brute_force(spark, sf_dir):
+    import math
+
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(30).collect()]
+    pages += [page(f"<div><div>{BODY}</div><p>x <a href='/'>link</a></p></div>"), page(f"<main><section>{BODY}</section><section>{BODY}</section></main>")]
+    for p in pages:
+        _, nodes = H.parse(p)
+        H._rescue(nodes)
+        H._drop_link_boxes(nodes)
+        H.measure(nodes)
+        chars, _, links, _ = plain_sums(nodes[0])
+        sums = dict.fromkeys(map(id, nodes), 0.0)
+        for n in nodes:
+            c, t, lc, lt = plain_sums(n)
+            if n.dropped or not c:
+                continue
+            base = math.log(c / max(1, c - lc) * lc + links / max(1, chars) * c + math.e)
+            want = c / t * math.log(max(c / max(1, lc) * t / max(1, lt), 1) + 1) / math.log(base + 1)
+            assert abs(n.density - want) < 1e-9 * max(1, want)
+            if n.parent is not None:
+                sums[id(n.parent)] += want
+        assert all(abs(n.total - sums[id(n)]) < 1e-6 for n in nodes if not n.dropped)
+        best = max((n for n in nodes if not n.dropped and n.chars and n.tag in H.CONTAINERS), key=lambda n: sums[id(n)])
+        inside = {id(x) for n in H.content(nodes) for x in subtree(n)}
+        assert all(id(x) in inside for x in subtree(best) if x.tag in ("p", "h1")) or best.tag == "body"
+
+
+def subtree(node):
+    yield node
+    for x in node.parts:
+        if not isinstance(x, str) and not x.dropped:
+            yield from subtree(x)
+
+
+def test_driver_pages_without_article_tags(spark, sf_dir):
+    """The same articles in plain boxes: density alone finds them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    n = right = 0
+    for r in pages.collect():
+        want = H.main_text(r["html"])
+        for tag in ('<div class="x">', "<section>"):
+            end = "</div>" if tag[1] == "d" else "</section>"
+            n += 1
+            right += H.main_text(r["html"].replace("<article>", tag).replace("</article>", end)) == want
+    assert right >= 0.98 * n, (right, n)
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    def seconds(text):
+        began = time.process_time()
+        H.main_text(text)
+        return time.process_time() - began
+
+    hostile = ['<a "', "<a '>", "<b>", "<b><p>", "<div>", "<p><b>", "<li>", "<ul><li>", "<b><li></li>", "</x>", "<script>", "<!--", "<td><b>", "<article><p>x</p>", "&", '<p class="', "<İ>"]
+    for part in hostile:
+        small, large = min(seconds("<b>" * 500 + part * 2000 + "x") for _ in range(3)), min(seconds("<b>" * 2000 + part * 8000 + "x") for _ in range(2))
+        assert large < 4 * 2.5 * max(small, 0.01), (part, small, large)
+
+
 def test_markup():
     assert H.main_text("<p>a &amp; b &lt;c&gt; &eacute;&#233;&#xe9;</p>") == "a & b <c> ééé"
     assert H.main_text("<p>one  <b>two</b>\n three<br>four</p><p>five") == "one two three four\nfive"
     assert H.main_text("<div>a<p>b<p>c<div>d</div>e</div>") == "a\nb\nc\nd\ne"
     assert H.main_text("plain text") == "plain text" and H.main_text("a < b and <i>c</i>") == "a < b and c"
     assert H.main_text("<p>x</p><p cla") == "x" and H.main_text("<p>x<!-- never ends") == "x"
+    assert H.main_text('<p>x</p><p a="never closed>y</p>') == "x\ny" and H.main_text("<p>İİ</p><script>x</SCRIPT ><p>y</p>") == "İİ\ny"
     assert H.main_text("<SCRIPT>1</SCRIPT><P>x</P><script>never ends") == "x"
     assert [H.main_text(x) for x in (None, "", "  ", "<html></html>", "<nav>a</nav>")] == [""] * 5
 
