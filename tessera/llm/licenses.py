@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import ascii_words, map_texts, prepare
@@ -176,37 +177,61 @@ GATE = [
 ]
 
 
+class _Reach:
+    """Of spans put in, the furthest end among those that begin at or before a place; in logarithmic time."""
+
+    def __init__(self, starts: list[int]):
+        self.rank = {x: i + 1 for i, x in enumerate(sorted(set(starts)))}
+        self.best = [-1] * (len(self.rank) + 1)
+
+    def put(self, start: int, end: int) -> None:
+        i = self.rank[start]
+        while i < len(self.best):
+            self.best[i] = max(self.best[i], end)
+            i += i & -i
+
+    def upto(self, start: int) -> int:
+        i, found = self.rank[start], -1
+        while i:
+            found = max(found, self.best[i])
+            i -= i & -i
+        return found
+
+
 def detect(words: list[bytes], rules: list[Rule], gate: bool = True) -> list[tuple[int, int, Rule, bool]]:
     """(first word, last word, rule, kept) of every match, by place.
 
     A match is suppressed if a match of higher priority, or of the same priority and longer, contains it; of equal
     spans at one priority the earlier rule's stays. A copyright notice takes words after the year as its holder, so it
-    suppresses notices only, no license.
+    suppresses notices only, no license. Places are met in an array of the words' starts, and containment by the furthest
+    end before a place, so the time grows with the text and its matches.
     """
     text = b" ".join(words)
     if gate and not any(k in text for k in GATE):
         return []
     found: list[tuple[int, int, Rule]] = []
     present: dict[bytes, bool] = {}
+    spaces = None
     for rule in rules:
         ok = True
         for k in rule.keywords:
             if k not in present:
                 present[k] = k in text
             ok = ok and present[k]
-        if ok:
-            for m in rule.regex.finditer(text):
-                first = text.count(b" ", 0, m.start())
-                found.append((first, first + m.group().count(b" "), rule))
+        if ok and (spans := [m.span() for m in rule.regex.finditer(text)]):
+            if spaces is None:
+                spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+            found += [(int(a), int(b), rule) for a, b in np.searchsorted(spaces, spans)]
     order = sorted(range(len(found)), key=lambda i: (-found[i][2].priority, found[i][0] - found[i][1], found[i][0], i))
-    kept: list[tuple[int, int, bool]] = []
+    starts = [a for a, _, _ in found]
+    licenses, notices = _Reach(starts), _Reach(starts)
     out = []
     for i in order:
         a, b, rule = found[i]
         notice = rule.label == "copyright"
-        stays = not any(x <= a and b <= y and (notice or not n) for x, y, n in kept)
+        stays = licenses.upto(a) < b and not (notice and notices.upto(a) >= b)
         if stays:
-            kept.append((a, b, notice))
+            (notices if notice else licenses).put(a, b)
         out.append((a, b, rule, stays))
     return sorted(out, key=lambda x: (x[0], x[1], x[2].name))
 

@@ -32,6 +32,40 @@ def test_gate_loses_nothing(words):
     assert L.detect(said, RULES) == L.detect(said, RULES, gate=False)
 
 
+def by_hand(found):
+    """Suppression by comparing every match with every one kept before."""
+    order = sorted(range(len(found)), key=lambda i: (-found[i][2].priority, found[i][0] - found[i][1], found[i][0], RULES.index(found[i][2])))
+    kept, out = [], set()
+    for i in order:
+        a, b, rule, _ = found[i]
+        if not any(x <= a and b <= y and (rule.label == "copyright" or other != "copyright") for x, y, other in kept):
+            kept.append((a, b, rule.label))
+            out.add(i)
+    return [i in out for i in range(len(found))]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("the mit license apache general public gnu gpl lesser version 2 0 cc by nc sa 4 spdx identifier bsd 3 clause under licensed copyright 2020 2021 all rights reserved isc".split()), max_size=60))
+def test_suppression_by_brute_force(words):
+    found = L.detect(" ".join(words).encode().split(), RULES)
+    assert [k for *_, k in found] == by_hand(found)
+    for a, b, rule, _ in found:
+        assert rule.regex.fullmatch(" ".join(words[a : b + 1]).encode())
+
+
+def test_time_grows_with_the_matches():
+    import time
+
+    def seconds(n):
+        said = ("licensed under the mit license version 2 copyright 2020 x " * n).encode().split()
+        began = time.process_time()
+        L.detect(said, RULES)
+        return time.process_time() - began
+
+    small, large = min(seconds(1500) for _ in range(2)), min(seconds(6000) for _ in range(2))
+    assert large < 4 * 2.5 * max(small, 0.01), (small, large)
+
+
 def test_every_rule_passes_the_gate():
     for names in L.NAMES.values():
         for name in names:
