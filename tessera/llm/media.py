@@ -30,7 +30,61 @@ class Media(NamedTuple):
     length: int
 
 
-def _png(b: bytes, at: int) -> int:
+class Look:
+    """What several checks of one blob share, so that each place is searched once: the next places of patterns, and ends of chains."""
+
+    def __init__(self, b: bytes):
+        self.b = b
+        self.known: dict[bytes, tuple[int, int]] = {}
+        self.ends: dict[str, dict[int, int]] = {"mp4": {}, "ogg": {}}
+        self.streams: dict[int, tuple[int, int, int]] = {}
+        self._pdf_ends: tuple | None = None
+
+    def next(self, pattern: bytes, at: int) -> int:
+        """The first place of a pattern from ``at`` on, -1 without any."""
+        since, found = self.known.get(pattern, (0, -2))
+        if found == -2 or not since <= at or 0 <= found < at:
+            found = self.b.find(pattern, at)
+            self.known[pattern] = at, found
+        return found
+
+    def pdf_ends(self):
+        """Starts, ends and stated places of all cross-reference ends."""
+        if self._pdf_ends is None:
+            found = [(m.start(), m.end(), min(int(m[1][-18:]), 1 << 60)) for m in PDF_END.finditer(self.b)]
+            self._pdf_ends = tuple(np.array([x[i] for x in found], dtype=np.int64) for i in range(3))
+        return self._pdf_ends
+
+    def inflated(self, at: int) -> tuple[int, int, int]:
+        """(end, check number, size) of the deflate stream at a place, end 0 if there is none."""
+        if at not in self.streams:
+            reader, view = zlib.decompressobj(-15), memoryview(self.b)
+            pos, crc, size = at, 0, 0
+            try:
+                while pos < len(self.b) and not reader.eof:
+                    data = view[pos : pos + (1 << 16)]
+                    pos += len(data)
+                    while data:
+                        out = reader.decompress(data, 1 << 20)
+                        crc, size = zlib.crc32(out, crc), size + len(out)
+                        data = reader.unconsumed_tail
+            except zlib.error:
+                pass
+            self.streams[at] = (pos - len(reader.unused_data), crc, size) if reader.eof else (0, 0, 0)
+        return self.streams[at]
+
+    def chain(self, kind: str, at: int, step) -> int:
+        """The end of the chain of parts that starts at a place; ``step`` gives the end of one part, or its own start."""
+        ends, seen, pos = self.ends[kind], [], at
+        while pos not in ends and (end := step(pos)) > pos:
+            seen.append(pos)
+            pos = end
+        end = ends.get(pos, pos)
+        ends.update(dict.fromkeys(seen, end))
+        return end
+
+
+def _png(b: bytes, at: int, look: Look) -> int:
     pos = at + 8
     first = True
     while pos + 12 <= len(b):
@@ -43,7 +97,7 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, look: Look) -> int:
     if at + 13 > len(b):
         return 0
     flags = b[at + 10]
@@ -65,7 +119,7 @@ def _gif(b: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(b: bytes, at: int, look: Look) -> int:
     pos = at + 2
     while pos + 2 <= len(b):
         if b[pos] != 0xFF:
@@ -91,7 +145,7 @@ def _jpeg(b: bytes, at: int) -> int:
     return 0
 
 
-def _riff(b: bytes, at: int) -> int:
+def _riff(b: bytes, at: int, look: Look) -> int:
     if at + 12 > len(b):
         return 0
     size = struct.unpack("<I", b[at + 4 : at + 8])[0]
@@ -103,7 +157,7 @@ def _riff(b: bytes, at: int) -> int:
     return end - at if pos in (end, end + 1) else 0
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(b: bytes, at: int, look: Look) -> int:
     if at + 54 > len(b):
         return 0
     size, reserved, offset, header = struct.unpack("<IIII", b[at + 2 : at + 18])
@@ -116,7 +170,7 @@ TIFF_IFDS = (330, 400, 34665, 34853, 40965)
 TIFF_DATA = ((273, 279), (324, 325), (513, 514), (288, 289))
 
 
-def _tiff(b: bytes, at: int) -> int:
+def _tiff(b: bytes, at: int, look: Look) -> int:
     """The furthest end of any IFD, value, strip or tile, over all IFDs."""
     order = "<" if b[at : at + 2] == b"II" else ">"
     if at + 8 > len(b):
@@ -164,55 +218,69 @@ PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
 XREF = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
 
 
-def _pdf(b: bytes, at: int) -> int:
+def _pdf(b: bytes, at: int, look: Look) -> int:
     """The stated length of a linearised file, if an end stands there; else up to the last section that belongs to it.
 
     A later section belongs if no other header stands before its end, or if its cross-references are where it says, counted
     from this file's start, and after the section before.
     """
-    first = b.find(b"%%EOF", at)
-    if first < 0 or b.find(b"startxref", at, first) < 0:
+    first = look.next(b"%%EOF", at)
+    if first < 0 or not 0 <= look.next(b"startxref", at) < first:
         return 0
     upto = first + 5
     head = b[at : at + 1024]
-    stated = re.search(rb"/L\s+(\d+)", head) if LINEARIZED.search(head) else None
-    if stated and at + int(stated[1]) >= upto and at + int(stated[1]) <= len(b) and b[: at + int(stated[1])][-16:].rstrip().endswith(b"%%EOF"):
+    stated = re.search(rb"/L\s+(\d{1,15})", head) if LINEARIZED.search(head) else None
+    if stated and at + int(stated[1]) >= upto and at + int(stated[1]) <= len(b) and b[at + int(stated[1]) - 16 : at + int(stated[1])].rstrip().endswith(b"%%EOF"):
         upto = at + int(stated[1])
-    for m in PDF_END.finditer(b, upto):
-        place = at + int(m[1])
-        if b.find(b"%PDF-", upto, m.end()) < 0 or upto <= place < m.start() and XREF.match(b, place):
-            upto = m.end()
+    starts, ends, places = look.pdf_ends()
+    i = int(np.searchsorted(starts, upto))
+    pointing = np.flatnonzero((starts >= upto) & (at + places >= upto) & (at + places < starts))
+    while i < len(starts):
+        header = b.find(b"%PDF-", upto)
+        near = int(np.searchsorted(ends, header if header >= 0 else len(b), side="right"))
+        if near <= i:  # another header stands before the next end
+            far = pointing[np.searchsorted(pointing, i) :]
+            near = next((int(k) + 1 for k in far if at + places[k] >= upto and XREF.match(b, at + int(places[k]))), 0)
+        if not near:
+            break
+        upto, i = int(ends[near - 1]), near
     return upto - at
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, look: Look) -> int:
+    end = look.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
     size, offset, note = struct.unpack("<IIH", b[end + 12 : end + 22])
     return end + 22 + note - at if at + offset + size == end and end + 22 + note <= len(b) else 0
 
 
-def _gzip(b: bytes, at: int) -> int:
-    reader = zlib.decompressobj(31)
-    try:
-        data = b[at:]
-        while data:
-            reader.decompress(data, 1 << 20)
-            data = reader.unconsumed_tail
-    except zlib.error:
+def _gzip(b: bytes, at: int, look: Look) -> int:
+    """A header, its fields as flagged, a deflate stream, and its check number and size."""
+    if at + 18 > len(b) or b[at + 3] & 0xE0:
         return 0
-    return len(b) - at - len(reader.unused_data) if reader.eof else 0
-
-
-def _ogg(b: bytes, at: int) -> int:
-    pos = at
-    while b[pos : pos + 5] == b"OggS\x00" and pos + 27 <= len(b):
+    flags, pos = b[at + 3], at + 10
+    if flags & 4:
+        pos += 2 + int.from_bytes(b[pos : pos + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            pos = look.next(b"\0", pos) + 1
+            if not pos:
+                return 0
+    pos += flags & 2
+    end, crc, size = look.inflated(pos)
+    return end + 8 - at if end and b[end : end + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF) else 0
+
+
+def _ogg(b: bytes, at: int, look: Look) -> int:
+    def page(pos: int) -> int:
+        if b[pos : pos + 5] != b"OggS\x00" or pos + 27 > len(b):
+            return pos
         n = b[pos + 26]
-        pos += 27 + n + sum(b[pos + 27 : pos + 27 + n])
-        if pos > len(b):
-            return 0
-    return pos - at
+        return pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
+
+    end = look.chain("ogg", at, page)
+    return end - at if end <= len(b) else 0
 
 
 def _crc_table(poly: int, bits: int) -> list[int]:
@@ -324,7 +392,7 @@ def _flac_frame(b: bytes, pos: int, depth: int) -> tuple[int, int]:
     return end, block
 
 
-def _flac(b: bytes, at: int) -> int:
+def _flac(b: bytes, at: int, look: Look) -> int:
     """Metadata blocks, then frames up to the stated number of samples, or as long as they check out if none is stated."""
     if at + 42 > len(b) or b[at + 4] & 127 or b[at + 5 : at + 8] != b"\x00\x00\x22":
         return 0
@@ -345,16 +413,16 @@ def _flac(b: bytes, at: int) -> int:
     return pos - at if pos <= len(b) and samples >= total else 0
 
 
-def _mp4(b: bytes, at: int) -> int:
-    pos, boxes = at, 0
-    while pos + 8 <= len(b):
+def _mp4(b: bytes, at: int, look: Look) -> int:
+    def box(pos: int) -> int:
+        if pos + 8 > len(b):
+            return pos
         size, kind = struct.unpack(">I4s", b[pos : pos + 8])
         if size == 1 and pos + 16 <= len(b):
             size = struct.unpack(">Q", b[pos + 8 : pos + 16])[0]
-        if size < 8 or pos + size > len(b) or not all(32 <= c < 127 for c in kind):
-            break
-        pos, boxes = pos + size, boxes + 1
-    return pos - at if boxes else 0
+        return pos if size < 8 or pos + size > len(b) or not all(32 <= c < 127 for c in kind) else pos + size
+
+    return look.chain("mp4", at, box) - at
 
 
 SEGMENT = 0x18538067
@@ -373,12 +441,12 @@ def _element(b: bytes, pos: int) -> tuple[int, int, int | None]:
     return int.from_bytes(b[pos : pos + n], "big"), pos + n + m, None if size == (1 << 7 * m) - 1 else size
 
 
-def _matroska(b: bytes, at: int) -> int:
+def _matroska(b: bytes, at: int, look: Look) -> int:
     """The header and its segments, by their sizes; a segment or cluster of unknown size goes on as long as its elements do."""
     pos, segments = at, 0
     try:
         _, data, size = _element(b, at)
-        if size is None or data + size > len(b) or not any(x in b[data : data + size] for x in (b"matroska", b"webm")):
+        if size is None or data + size > len(b) or not any(b.find(x, data, data + min(size, 4096)) >= 0 for x in (b"matroska", b"webm")):
             return 0
         pos = data + size
         while True:
@@ -403,7 +471,7 @@ def _matroska(b: bytes, at: int) -> int:
     return pos - at if segments else 0
 
 
-def _pnm(b: bytes, at: int) -> int:
+def _pnm(b: bytes, at: int, look: Look) -> int:
     parts = b[at : at + 64].split(None, 4)
     try:
         wide, high, top = (int(x) for x in parts[1:4])
@@ -438,12 +506,13 @@ def find_media(blob: bytes, automaton, embedded: bool = True) -> list[Media]:
     One scan locates magic bytes; a match counts if its format's structure and lengths hold.
     """
     out: list[Media] = []
+    look = Look(blob)
     upto = 0
     for last, (n, offset, kind) in automaton.iter(blob.decode("latin-1")):
         at = last - n + 1 - offset
         if at < 0 or not embedded and at < upto:
             continue
-        size = CHECKS[kind](blob, at)
+        size = CHECKS[kind](blob, at, look)
         if size:
             out.append(Media(RIFF_TYPES.get(blob[at + 8 : at + 12], kind) if kind == "riff" else kind, at, size))
             upto = max(upto, at + size)

@@ -108,6 +108,43 @@ def test_updates_of_a_pdf_that_hold_a_pdf():
     assert [m.length for m in M.find_media(first + first, AC)] == [len(first.rstrip())] * 2
 
 
+def plain_pdf(b, at):
+    """The end of a PDF by looking at every later section in turn."""
+    first = b.find(b"%%EOF", at)
+    if first < 0 or b.find(b"startxref", at, first) < 0:
+        return 0
+    upto = first + 5
+    for m in M.PDF_END.finditer(b, upto):
+        place = at + int(m[1])
+        if b.find(b"%PDF-", upto, m.end()) < 0 or upto <= place < m.start() and M.XREF.match(b, place):
+            upto = m.end()
+    return upto - at
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"%PDF-1.4\n", b"xref\n", b"startxref\n9\n%%EOF\n", b"startxref\n40\n%%EOF", b"startxref 75 %%EOF ", b"1 0 obj", b"junk ", b"%%EOF"]), max_size=14))
+def test_sections_of_a_pdf_by_brute_force(parts):
+    blob = b"".join(parts)
+    look = M.Look(blob)
+    at = blob.find(b"%PDF-")
+    while at >= 0:
+        assert M._pdf(blob, at, look) == plain_pdf(blob, at)
+        at = blob.find(b"%PDF-", at + 1)
+
+
+def test_time_grows_with_the_blob():
+    import time
+
+    def seconds(blob):
+        began = time.process_time()
+        M.find_media(blob, AC)
+        return time.process_time() - began
+
+    for part in (b"%PDF-", b"%PDF-startxref 1 %%EOF ", b"PK\x03\x04", b"\x1f\x8b\x08", b"\0\0\0\x08ftyp", b"OggS\0" + b"\0" * 22, b"\x1aE\xdf\xa3\x40\xff", b"BM", b"RIFF", b"II*\0"):
+        small, large = min(seconds(part * 4000) for _ in range(3)), min(seconds(part * 16000) for _ in range(2))
+        assert large < 4 * 2.5 * max(small, 0.006), (part, small, large)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=700))
 def test_round_trip(text):
