@@ -70,6 +70,12 @@ def crc32_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def drawn(column: str, seed: int, share: Column | float) -> Column:
+    """Whether a row belongs to a share of all, by a 53-bit hash of a column: the same rows in every run, at any number of rows."""
+    h = F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+    return h < (share if isinstance(share, Column) else F.lit(float(share)))
+
+
 def tidy() -> None:
     """Give freed memory back to the system: idle workers stay, and their executor's other tasks need the room."""
     import ctypes

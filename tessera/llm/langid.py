@@ -8,14 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc32_of, map_texts, prepare
+from tessera.llm.common import crc32_of, drawn, map_texts, prepare
 
-#: n-gram lengths that the kernel blends, buckets of n-grams, and landmarks of each language.
+#: n-gram lengths that the kernel blends, and buckets that n-grams are hashed to: those of one bucket are one feature of the kernel.
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
-LANDMARKS = 96
-#: Rows of each language that a fit reads at most (expected).
-FIT_ROWS = 400
+#: Landmarks and fit rows of each language, and of all languages together: with more languages, each has fewer. A row
+#: reaches the driver as BUCKETS bits, so the fit holds 4 KB for each row and 128 KB for each landmark.
+LANDMARKS, ALL_LANDMARKS = 96, 2048
+FIT_ROWS, ALL_FIT_ROWS = 400, 20_000
 RIDGE = 1e-3
 UNDETERMINED = "und"
 
@@ -44,6 +45,13 @@ def has_letter(text: str | None) -> bool:
     return text is not None and _LETTER.search(text) is not None
 
 
+def packed(text: str) -> bytes:
+    """The presence row of a text as bits."""
+    flags = np.zeros(BUCKETS, dtype=bool)
+    flags[presence(text)] = True
+    return np.packbits(flags).tobytes()
+
+
 def presence_rows(texts: list[str]) -> np.ndarray:
     """A matrix of normalised presence rows, so that a product of two rows is their blended-spectrum kernel."""
     out = np.zeros((len(texts), BUCKETS), dtype=np.float32)
@@ -53,30 +61,41 @@ def presence_rows(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """Normalised presence rows of packed ones."""
+    flags = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+    return flags / np.sqrt(np.maximum(1, flags.sum(1, keepdims=True)))
+
+
+def fit(rows: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """(languages, weights): one-versus-rest kernel ridge regression in the space of Nystroem landmarks.
 
-    The landmarks are the first texts of each language. With K the kernel of the rows against the landmarks and W
-    that of the landmarks, the ridge solves (K'K + r n W) a = K'Y. The kernel is a product of presence rows, so the
-    landmarks' rows and a fold into one matrix: scoring a batch is one product with it.
+    rows: packed presence rows; the landmarks are the first of each language. With K the kernel of the rows against the
+    landmarks and W that of the landmarks, and rows weighed so that languages count alike, the ridge solves
+    (K'K + r n W + e n I) a = K'Y. The kernel is a product of presence rows, so the landmarks' rows and a fold into one
+    matrix: scoring a batch is one product with it.
     """
     names = sorted(set(langs))
+    if not names:
+        return [], np.zeros((BUCKETS, 0), dtype=np.float32)
+    each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(names)))
     seen: dict[str, int] = {}
     chosen = []
     for i, lang in enumerate(langs):
         seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= LANDMARKS:
+        if seen[lang] <= each:
             chosen.append(i)
-    if not names:
-        return [], np.zeros((BUCKETS, 0), dtype=np.float32)
-    marks = presence_rows([texts[i] for i in chosen])
-    w = (marks @ marks.T).astype(np.float64)
-    k = np.concatenate([presence_rows(texts[i : i + 256]) @ marks.T for i in range(0, len(texts), 256)]).astype(np.float64)
-    y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
-    balance = np.array([1 / seen[lang] for lang in langs])[:, None]
-    balance *= len(langs) / balance.sum()
+    marks = unpacked([rows[i] for i in chosen])
     n = len(langs)
-    a = np.linalg.solve(k.T @ (k * balance) + RIDGE * n * w + 1e-6 * n * np.eye(len(chosen)), k.T @ (y * balance))
+    left = RIDGE * n * (marks @ marks.T).astype(np.float64) + 1e-6 * n * np.eye(len(chosen))
+    right = np.zeros((len(chosen), len(names)))
+    for at in range(0, n, 256):
+        part = langs[at : at + 256]
+        k = (unpacked(rows[at : at + 256]) @ marks.T).astype(np.float64)
+        balance = np.array([n / len(names) / seen[lang] for lang in part])[:, None]
+        left += k.T @ (k * balance)
+        right += k.T @ (balance * np.array([[1.0 if lang == name else -1.0 for name in names] for lang in part]))
+    a = np.linalg.solve(left, right)
     return names, (marks.T @ a.astype(np.float32)).astype(np.float32)
 
 
@@ -85,16 +104,21 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Fit on documents outside the held-out fifth with a text and a lang: about FIT_ROWS of each, chosen by hash."""
+    """Fit on documents outside the held-out fifth with letters and a lang: about FIT_ROWS of each language, chosen by hash."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], np.zeros((BUCKETS, 0), dtype=np.float32)
-    keep = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(1_000_000 * min(1.0, FIT_ROWS / n)))])
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000))
-    got = known.where(rank < keep[F.col("lang")]).select("lang", "text", F.xxhash64("doc_id", F.lit(4)).alias("h")).collect()
-    rows = sorted((r["h"], r["lang"], r["text"]) for r in got if has_letter(r["text"]))
-    return fit([r[2] for r in rows], [r[1] for r in rows])
+    most = min(FIT_ROWS, max(1, ALL_FIT_ROWS // len(counts)))
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, most / n))])
+    rows = known.where(drawn("doc_id", 4, share[F.col("lang")])).select("lang", "text", F.xxhash64("doc_id", F.lit(4)).alias("h"))
+
+    def make():
+        return lambda langs, texts, hs: (langs, [packed(t) if has_letter(t) else None for t in texts], hs)
+
+    got = map_texts(rows, "lang string, row binary, h long", make, ["lang", "text", "h"]).where("row IS NOT NULL").collect()
+    found = sorted((r["h"], r["lang"], bytes(r["row"])) for r in got)
+    return fit([r[2] for r in found], [r[1] for r in found])
 
 
 def identify(docs: DataFrame) -> DataFrame:
