@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, crc32_of, cut, map_texts, prepare, text_column
+from tessera.llm.common import as_bytes, crc32_of, cut, drawn, map_texts, prepare, text_column
 
 #: Labelled rows that a fit reads at most (expected), and preference pairs that it draws from them.
 FIT_ROWS = 20_000
@@ -127,16 +127,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc32_of(doc_id) % 3 == 1, F.lit(False))
 
 
-def learn(rows: DataFrame, labels: DataFrame) -> dict:
-    """Fit on (doc_id, x) rows with a 0/1 quality label outside the held-out third; about FIT_ROWS of them, chosen by hash.
+def fit_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y): the labels that a fit reads, 0 or 1, outside the held-out third: all up to FIT_ROWS, else about so many by hash.
 
-    A doc_id of several labels counts by its smallest; rows without a label or with any other value are left out.
+    A doc_id of several labels counts by its smallest; rows with any other value are left out.
     """
     own = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"))
     total = own.count()
-    if total > FIT_ROWS:
-        own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / total))
-    got = rows.join(own, "doc_id").select("x", "y").toArrow()
+    return own.where(drawn("doc_id", 9, FIT_ROWS / total)) if total > FIT_ROWS else own
+
+
+def learn(rows: DataFrame, labels: DataFrame) -> dict:
+    """Fit on the (doc_id, x) rows that have a label of ``fit_labels``."""
+    got = rows.join(labels, "doc_id").select("x", "y").toArrow()
     x = np.array(got.column(0).to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, np.array(got.column(1).to_pylist(), dtype=int))
 
@@ -148,7 +151,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     both values every score is the one label's (0.5 without any). Further columns are not read.
     """
     rows = cut(featured(docs))
-    model = learn(rows, labels)
+    model = learn(rows, fit_labels(labels))
     scored = rows.select("doc_id", held_out().alias("held_out"), score("x", model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -156,14 +159,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, whole rows, scored in one pass after the fit.
 
-    Only labelled documents are read for the fit.
+    The model is that of ``quality_scores``; only the documents it is fit on are read before. Repeated rows are kept or
+    rejected together; null and empty texts are scored like any other.
     """
-    known = labels.where("quality IN (0, 1)").select("doc_id").distinct()
-    total = known.count()
-    if total > FIT_ROWS:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(1_500_000 * FIT_ROWS / total))
-    fit_rows = docs.select("doc_id", "text").join(known, "doc_id", "left_semi")
-    model = learn(featured(fit_rows), labels)
+    own = cut(fit_labels(labels))
+    model = learn(featured(docs.select("doc_id", "text").join(own.select("doc_id"), "doc_id", "left_semi")), own)
 
     x = text_column(lambda: lambda texts: [features(t) for t in texts], "array<double>")
     prepare(docs.sparkSession)
