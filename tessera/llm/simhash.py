@@ -41,16 +41,17 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp the fingerprint as a signed long."""
+    """(doc_id, fp, th): fp the fingerprint as a signed long, th a hash of the text that tells rows of one doc_id apart."""
 
     def make():
-        def fn(ids, texts):
-            return ids, np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+        def fn(ids, hashes, texts):
+            return ids, np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64), hashes
 
         return fn
 
     prepare(docs.sparkSession)
-    return map_texts(docs, "doc_id long, fp long", make, ["doc_id", "text"])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return map_texts(rows, "doc_id long, fp long, th long", make, ["doc_id", "th", "text"])
 
 
 def block_ranges(low: int, high: int, blocks: int) -> list[tuple[int, int]]:
@@ -181,7 +182,7 @@ def _links(batches):
     """Arrow batches of (k, v, j, s, fp, rep), sorted by bucket and unsigned fp -> (u, v) links that span each bucket's components."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     held: list[np.ndarray] = []
-    size = 0
+    size, enough = 0, 100_000
 
     def solve(rows: np.ndarray):
         """rows: k, v, j, s, fp, rep by column; whole buckets."""
@@ -198,15 +199,16 @@ def _links(batches):
             continue
         held.append(np.stack([np.ascontiguousarray(batch.column(i).cast(pa.int64()).to_numpy()) for i in range(6)]))
         size += batch.num_rows
-        if size >= 100_000:
+        if size >= enough:
             rows = np.concatenate(held, axis=1)
             last = rows[:4, -1:]
             open_at = rows.shape[1] - int(np.argmin(np.concatenate([(rows[:4] == last).all(axis=0)[::-1], [False]])))
             if open_at:
                 yield solve(rows[:, :open_at])
-                held, size = [rows[:, open_at:]], rows.shape[1] - open_at
+                held, size = [rows[:, open_at:].copy()], rows.shape[1] - open_at
             else:
                 held = [rows]
+            enough = max(100_000, 2 * size)  # an open bucket is copied each time it doubles only
     if size:
         yield solve(np.concatenate(held, axis=1))
 
@@ -218,27 +220,40 @@ def near_links(reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "u long, v long")
 
 
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, fp, th) of every row, (fp, label) of every fingerprint): label names the fingerprint's component."""
+    rows = cut(fingerprints(docs))
+    fps = cut(rows.select("fp").distinct())
+    found = connected_components(near_links(fps.select("fp", F.col("fp").alias("rep"))))
+    return rows, fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("label"))
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
     component_id: the smallest doc_id reachable over fingerprints that differ in at most BUDGET bits; equal
-    fingerprints are met once, by their smallest doc_id. Null and empty texts have fingerprint 0 and link like
-    any other; a null doc_id never names a component unless all of the component's are null; repeated rows get equal results;
-    an empty table gives none. Further columns are not read.
+    fingerprints are met once. Null and empty texts have fingerprint 0 and link like any other; rows of one doc_id are
+    rows of their own, each by its text; a null doc_id never names a component unless all of the component's are null;
+    repeated rows get equal results; an empty table gives none. Further columns are not read.
     """
-    fps = cut(fingerprints(docs))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = reps.where("rep IS NOT NULL")
-    found = connected_components(near_links(named))
-    heads = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(heads, "fp")
+    rows, labels = labelled(docs)
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("m"))
+    heads = cut(labels.join(least, "fp"))
+    named = heads.groupBy("label").agg(F.min("m").alias("component_id"))
+    return rows.select("doc_id", "fp").join(heads.join(named, "label").select("fp", "component_id"), "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: that of its smallest doc_id. Rows without a doc_id have no say and stay."""
-    heads = near_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each component, whole rows: that of its smallest doc_id. Rows without a doc_id have no say and stay.
+
+    Of rows of one doc_id in one component the one of the smallest hash of its text stays, of equal rows one; rows of
+    one doc_id in several components are documents of their own.
+    """
+    rows, labels = labelled(docs)
+    least = rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("m"))
+    heads = labels.join(least, "fp").groupBy("label").agg(F.min("m").alias("m")).select(F.col("m.doc_id").alias("doc_id"), F.col("m.th").alias("_h"))
+    kept = docs.where("doc_id IS NOT NULL").withColumn("_h", F.xxhash64("text")).join(heads, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def as_hex(fp: str = "fp"):

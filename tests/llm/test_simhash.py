@@ -101,6 +101,17 @@ def test_edge_rows(spark):
     assert S.near_components(rows.where("false")).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """They are rows of their own: each stays with its component, and a component keeps its head whatever its id is used for elsewhere."""
+    a, b = "one two three four five six seven", "quite other words are said here and now"
+    rows = [(5, a, "p"), (5, b, "q"), (5, b, "q"), (7, a, "r"), (9, b, "s"), (2, "nothing alike at all in this text", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h string")
+    kept = sorted((r["doc_id"], r["text"]) for r in S.keep_one(docs).collect())
+    assert kept == sorted([(5, a), (5, b), (2, rows[-1][1])]) and S.keep_one(docs).columns == docs.columns
+    got = sorted((r["doc_id"], r["component_id"]) for r in S.near_components(docs).collect())
+    assert got == [(2, 2), (5, 5), (5, 5), (5, 5), (7, 5), (9, 5)]
+
+
 def test_query(spark, sf_dir):
     from tessera.llm.queries import op10_simhash_near_dedup
 
