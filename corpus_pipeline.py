@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm import decontaminate, mixing, quality, simhash, tokens
-from tessera.llm.common import new_folder, table
+from tessera.llm.common import new_folder, remove_folder, table
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -34,15 +34,21 @@ STAGES = [
     ("token_output", tokens_stage),
 ]
 
-#: Fits, components and a schedule are beyond SQL; tests/llm compares each stage with a brute-force version.
+#: Fits, components and a schedule are beyond SQL; tests/llm compares each stage with a plain version of its own.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to documents; each result is written to the shared folder and read again by the next."""
+    """Apply the stages to documents; each result is written to the shared folder and read again by the next, then deleted."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         folder = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove_folder(spark, before)
+        before = folder
+    last = STAGES[-1][1](spark, docs, sf_dir)  # its result no longer depends on what it read
+    remove_folder(spark, before)
+    return last

@@ -32,11 +32,11 @@ SILENT = "silent video. no spoken transcript is available"
 
 def route_modality(videos: DataFrame, segments: DataFrame) -> DataFrame:
     """(video_id, mode, speech_density, visual_score): by the length and density of speech and by visual hints."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "text"))), lambda x: x["text"]), " ")
-    spoken = segments.groupBy("video_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s"))).alias("spoken"), joined.alias("all_text"))
-    rows = videos.join(spoken, "video_id", "left").select("video_id", "title", "duration", F.coalesce("spoken", F.lit(0.0)).alias("spoken"), F.coalesce("all_text", F.lit("")).alias("all_text"))
+    spoken = segments.groupBy("video_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s"))).alias("spoken"), F.bool_or(contains_any(F.col("text"), VISUAL_HINTS)).alias("hinted"))
+    rows = videos.join(spoken, "video_id", "left").select("video_id", "title", "duration", F.coalesce("spoken", F.lit(0.0)).alias("spoken"), F.coalesce("hinted", F.lit(False)).alias("hinted"))
     length = F.coalesce(F.nullif(F.col("duration"), F.lit(0.0)), F.nullif(F.col("spoken"), F.lit(0.0)), F.lit(1.0))
-    rows = rows.withColumn("density", F.col("spoken") / length).withColumn("score", F.when(contains_any(F.concat_ws(" ", F.col("title"), F.col("all_text")), VISUAL_HINTS), 0.65).otherwise(0.15))
+    hinted = F.col("hinted") | F.coalesce(contains_any(F.col("title"), VISUAL_HINTS), F.lit(False))
+    rows = rows.withColumn("density", F.col("spoken") / length).withColumn("score", F.when(hinted, 0.65).otherwise(0.15))
     mode = F.when(F.col("score") >= 0.5, "vision_supportive").otherwise("text_dominant")
     return rows.select("video_id", mode.alias("mode"), F.round("density", 3).alias("speech_density"), F.col("score").alias("visual_score"))
 
@@ -66,13 +66,17 @@ def temporal_relation(question: Column) -> Column:
     return out
 
 
-def modality_weight(text: Column, caption: Column, has_frames: Column, question_visual: Column | None = None) -> Column:
-    """(text, vision) shares: speech length over 220 and caption length over 180 or a floor, normalised, 3 places."""
-    said, seen = F.length(F.trim(text)), F.length(F.trim(caption))
-    t = F.least(F.lit(1.0), said / 220)
-    v = F.greatest(F.when(has_frames, 0.15).otherwise(0.0), F.least(F.lit(0.8), seen / 180))
-    if question_visual is not None:
-        v = F.when(question_visual, F.greatest(v, F.lit(0.35))).otherwise(v)
+def modality_weight(text: Column, caption: Column, has_frames: Column, question: Column | None = None) -> Column:
+    """(text, vision) shares, 3 places: speech length over 220 against caption length over 180, at most .8.
+
+    Frames alone give vision .15, a visual hint in speech or caption .35, a question that needs to look .45, at least.
+    """
+    text, caption = F.trim(F.coalesce(text, F.lit(""))), F.trim(F.coalesce(caption, F.lit("")))
+    t = F.least(F.lit(1.0), F.length(text) / 220)
+    v = F.greatest(F.when(has_frames, 0.15).otherwise(0.0), F.least(F.lit(0.8), F.length(caption) / 180))
+    v = F.when(contains_any(F.concat_ws(" ", text, caption), VISUAL_HINTS), F.greatest(v, F.lit(0.35))).otherwise(v)
+    if question is not None:
+        v = F.when(needs_visual(F.coalesce(question, F.lit(""))), F.greatest(v, F.lit(0.45))).otherwise(v)
     total = t + v
     share = lambda x: F.when(total > 0, F.round(x / total, 3)).otherwise(0.0)
     return F.struct(share(t).alias("text"), share(v).alias("vision"))

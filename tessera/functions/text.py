@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +29,36 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(text), w))
 
 
+def _lowered(tokens: Column) -> Column:
+    """Lower-cased elements, without a function call for each."""
+    return F.array_remove(F.split(F.lower(F.array_join(tokens, " ")), " "), "")
+
+
 def base_tokens(text) -> Column:
-    return F.transform(_all(text, TOKEN), lambda t: F.lower(t))
+    return _lowered(_all(text, TOKEN))
 
 
 def tokenize(text) -> Column:
-    """Lower-cased tokens, then the bigrams of the single CJK characters among them."""
+    """Lower-cased tokens, then the bigrams of the single CJK characters among them; only texts with CJK look for these."""
     base = base_tokens(text)
     cjk = F.filter(base, lambda t: t.rlike(r"^[\x{4e00}-\x{9fff}]$"))
     n = F.greatest(F.size(cjk) - 1, F.lit(0))
-    return F.concat(base, F.zip_with(F.slice(cjk, F.lit(1), n), F.slice(cjk, F.lit(2), n), lambda a, b: F.concat(a, b)))
+    pairs = F.zip_with(F.slice(cjk, F.lit(1), n), F.slice(cjk, F.lit(2), n), lambda a, b: F.concat(a, b))
+    return F.when(has_cjk(text if isinstance(text, Column) else F.col(text)), F.concat(base, pairs)).otherwise(base)
+
+
+_PLAIN_TOKEN = re.compile(TOKEN.replace(r"\x{4e00}", "\u4e00").replace(r"\x{9fff}", "\u9fff"))
+
+
+def plain_tokens(text: str) -> list[str]:
+    """The tokens of ``tokenize`` in Python, for steps that run there."""
+    tokens = _PLAIN_TOKEN.findall(text)
+    cjk = [t for t in tokens if "\u4e00" <= t <= "\u9fff"]
+    return [t.lower() for t in tokens] + [a + b for a, b in zip(cjk, cjk[1:])]
 
 
 def metric_tokens(text) -> Column:
-    return F.transform(_all(text, METRIC_TOKEN), lambda t: F.lower(t))
+    return _lowered(_all(text, METRIC_TOKEN))
 
 
 def collapse(text: Column) -> Column:
@@ -67,7 +85,7 @@ def has_topic_marker(text: Column) -> Column:
 
 def keywords(rows: DataFrame, key: list[str], text: str, limit: int = 8) -> DataFrame:
     """(key, keywords): a text's most frequent words, then by spelling."""
-    words = rows.select(*key, F.explode(F.transform(_all(text, KEYWORD), lambda t: F.lower(t))).alias("word")).where(~F.col("word").isin(STOP_WORDS))
+    words = rows.select(*key, F.explode(_lowered(_all(text, KEYWORD))).alias("word")).where(~F.col("word").isin(STOP_WORDS))
     counts = words.groupBy(*key, "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "word"))
     top = counts.withColumn("rn", rank).where(F.col("rn") <= limit)
@@ -76,24 +94,22 @@ def keywords(rows: DataFrame, key: list[str], text: str, limit: int = 8) -> Data
 
 def keyword_list(text: Column, limit: int = 8) -> Column:
     """A text's keywords by array functions alone, for texts too short to be worth a shuffle."""
-    words = F.filter(F.transform(_all(text, KEYWORD), lambda t: F.lower(t)), lambda t: ~t.isin(STOP_WORDS))
+    words = F.filter(_lowered(_all(text, KEYWORD)), lambda t: ~t.isin(STOP_WORDS))
     counted = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), w.alias("w")))
     return F.slice(F.transform(F.array_sort(counted), lambda x: x["w"]), 1, limit)
 
 
 def replace_alias(text: Column, alias: str, canonical: str) -> Column:
     """Case-insensitive replacement of whole tokens; aliases that are not Latin match anywhere."""
-    import re
-
     quoted = re.escape(alias)
     latin = re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9 _.-]*", alias)
-    return F.regexp_replace(text, f"(?i)(?<![A-Za-z0-9]){quoted}(?![A-Za-z0-9])" if latin else f"(?i){quoted}", canonical.replace("\\", "\\\\").replace("$", "\\$"))
+    return F.regexp_replace(text, f"(?iu)(?<![A-Za-z0-9]){quoted}(?![A-Za-z0-9])" if latin else f"(?iu){quoted}", canonical.replace("\\", "\\\\").replace("$", "\\$"))
 
 
 def count_alias(text: Column, alias: str) -> Column:
-    import re
-
-    return F.size(_all(text, f"(?i)(?<![A-Za-z0-9]){re.escape(alias)}(?![A-Za-z0-9])"))
+    quoted = re.escape(alias)
+    latin = re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9 _.-]*", alias)
+    return F.size(_all(text, f"(?iu)(?<![A-Za-z0-9]){quoted}(?![A-Za-z0-9])" if latin else f"(?iu){quoted}"))
 
 
 def format_timestamp(seconds: Column) -> Column:

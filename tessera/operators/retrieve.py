@@ -6,13 +6,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokenize
+from tessera.functions.text import plain_tokens, tokenize
+from tessera.storage import materialise
 
 K1, B, RRF_K, DIMS = 1.5, 0.75, 60, 128
+#: Bonuses of a query term that the text holds anywhere, and of the whole query.
+EXACT, PHRASE = 0.08, 0.2
 TYPE_WEIGHTS = {"speech": 1.2, "frame_caption": 1.0, "frame": 0.95}
 MMR_WEIGHTS = {"speech": 1.15, "frame_caption": 1.0, "frame": 0.95}
-#: Query terms that are matched as substrings in one pass over the documents; more take as many passes.
-TERM_BLOCK = 2000
+#: Stated queries that are scored in one pass over the documents; more take as many passes.
+QUERY_BLOCK = 256
 
 
 def evidence_documents(segments: DataFrame, captions: DataFrame) -> DataFrame:
@@ -23,10 +26,137 @@ def evidence_documents(segments: DataFrame, captions: DataFrame) -> DataFrame:
 
 
 def term_stats(docs: DataFrame, key: str = "video_id", doc: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (key, doc, term, tf), document frequencies (key, term, df) and corpora (key, n, avgdl)."""
+    """Postings (key, doc, term, tf), frequencies (key, term, df, cf) and corpora (key, n, avgdl).
+
+    Frequencies need no postings: a document's tokens and its distinct tokens are counted together, so what is shuffled
+    are partial counts by source and term.
+    """
     tokens = docs.select(key, doc, tokenize("text").alias("tokens"))
     postings = tokens.select(key, doc, F.explode("tokens").alias("term")).groupBy(key, doc, "term").agg(F.count("*").alias("tf"))
-    return postings, postings.groupBy(key, "term").agg(F.count("*").alias("df")), tokens.groupBy(key).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    once = tokens.select(key, F.explode(F.array_distinct("tokens")).alias("term"), F.lit(1).alias("d"))
+    every = tokens.select(key, F.explode("tokens").alias("term"), F.lit(0).alias("d"))
+    frequencies = once.unionAll(every).groupBy(key, "term").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("cf"))
+    return postings, frequencies, tokens.groupBy(key).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+
+
+def _blocks(queries: DataFrame, size: int = QUERY_BLOCK):
+    """The stated queries in blocks of (query_id, text)."""
+    held: list[tuple] = []
+    for r in queries.select("query_id", "text").where("text IS NOT NULL").toLocalIterator():
+        held.append((r["query_id"], r["text"]))
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _best(scores: np.ndarray, doc_ids: list, videos: list, query_ids: list, top_k: int):
+    """(query, video, doc, score) rows of a batch: of each query and source only its best top_k, positive ones, ties by doc_id."""
+    order_of = np.argsort(np.argsort(np.array(doc_ids)))
+    groups: dict = {}
+    for i, v in enumerate(videos):
+        groups.setdefault(v, []).append(i)
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    for video, rows in groups.items():
+        at = np.array(rows)
+        part = scores[at]
+        for j, query in enumerate(query_ids):
+            column = part[:, j]
+            if len(column) > 4 * top_k:
+                floor = np.partition(column, -top_k)[-top_k]
+                near = np.flatnonzero((column >= floor) & (column > 0))
+            else:
+                near = np.flatnonzero(column > 0)
+            for i in near[np.lexsort((order_of[at[near]], -column[near]))[:top_k]]:
+                out[0].append(query)
+                out[1].append(video)
+                out[2].append(doc_ids[at[i]])
+                out[3].append(float(column[i]))
+    return out
+
+
+def _scored(rows: DataFrame, columns: list[str], queries: list[tuple], make, top_k: int) -> DataFrame:
+    """(query_id, video_id, doc_id, raw): each batch's best rows; ``make() -> fn``, fn gives a batch's documents x queries scores."""
+    import pyarrow as pa
+
+    query_ids = [q for q, _ in queries]
+    kinds = {"query_id": "long" if all(isinstance(q, int) for q in query_ids) else "string"} | {c: rows.schema[c].dataType.simpleString() for c in ("video_id", "doc_id")}
+    schema = f"query_id {kinds['query_id']}, video_id {kinds['video_id']}, doc_id {kinds['doc_id']}, raw double"
+
+    def run(batches):
+        score = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                videos, docs = part.column(0).to_pylist(), part.column(1).to_pylist()
+                found = _best(np.round(score(part), 9), docs, videos, query_ids, top_k)
+                types = [pa.int64() if kinds["query_id"] == "long" else pa.string(), part.schema.field(0).type, part.schema.field(1).type, pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types)], names=["query_id", "video_id", "doc_id", "raw"])
+
+    return rows.select("video_id", "doc_id", *columns).mapInArrow(run, schema)
+
+
+def _ranked(parts: list[DataFrame], top_k: int) -> DataFrame:
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    w = Window.partitionBy("query_id", "video_id").orderBy(F.desc("raw"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top_k)
+
+
+def query_terms(queries: list[tuple]) -> tuple[list[str], list[list[int]], list[str]]:
+    """(terms, each query's terms, each query's phrase) of a block of queries."""
+    ids: dict[str, int] = {}
+    own = [sorted({ids.setdefault(t, len(ids)) for t in plain_tokens(text)}) for _, text in queries]
+    return list(ids), own, [text.lower().strip(" ") for _, text in queries]
+
+
+def document_terms(docs: DataFrame, terms: list[str], phrases: list[str]) -> DataFrame:
+    """(video_id, doc_id, evidence_type, len, terms, tfs, holds, phrases): what a document has of a block of queries.
+
+    terms: ids of those among its tokens, with their counts; holds: ids of those of three characters or more that its lower-cased
+    text holds anywhere; phrases: queries that it holds whole. One Aho-Corasick automaton finds the last two in one
+    scan of each text.
+    """
+    import pyarrow as pa
+
+    held = docs.sparkSession.sparkContext.broadcast((terms, phrases))
+    names = ["video_id", "doc_id", "evidence_type"]
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names) + ", len int, terms array<int>, tfs array<int>, holds array<int>, phrases array<int>"
+
+    def run(batches):
+        import ahocorasick
+
+        terms, phrases = held.value
+        ids = {t: i for i, t in enumerate(terms)}
+        said: dict[str, list[int]] = {}
+        for i, t in enumerate(terms):
+            if len(t) >= 3:
+                said.setdefault(t, []).append(i)
+        for i, p in enumerate(phrases):
+            if p:
+                said.setdefault(p, []).append(len(terms) + i)
+        automaton = ahocorasick.Automaton()
+        for text, who in said.items():
+            automaton.add_word(text, tuple(who))
+        if said:
+            automaton.make_automaton()
+        for batch in batches:
+            columns: tuple = ([], [], [], [], [])
+            for text in batch.column(3).to_pylist():
+                tokens = plain_tokens(text)
+                count: dict[int, int] = {}
+                for i in map(ids.get, tokens):
+                    if i is not None:
+                        count[i] = count.get(i, 0) + 1
+                found = {i for who in {who for _, who in automaton.iter(text.lower())} for i in who} if said else set()
+                for column, x in zip(columns, (len(tokens), list(count), list(count.values()), [i for i in found if i < len(terms)], [i - len(terms) for i in found if i >= len(terms)])):
+                    column.append(x)
+            types = [pa.int32(), *[pa.list_(pa.int32())] * 4]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, t) for c, t in zip(columns, types)]], names=[*names, "len", "terms", "tfs", "holds", "phrases"])
+
+    return docs.select(*names, "text").where("text IS NOT NULL").mapInArrow(run, schema)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int = 8, types: list[str] | None = None) -> DataFrame:
@@ -35,44 +165,53 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int = 8, types: list[str] |
     docs: (video_id, doc_id, evidence_type, text); queries: (query_id, text). Statistics come from a source's whole
     corpus, the type filter only limits what is scored. A distinct query term of three characters or more adds a bonus
     where the text holds it anywhere, and so does the whole query. Scores are shares of a source's best; ties
-    keep document order. Documents are read once: only tokens that some query has are exploded and shuffled.
+    keep document order.
+
+    The stated queries come in blocks. A block reads each text once, into a slim row of what it has of the block's terms.
+    Sources' document frequencies are joined to these rows, a batch of which is scored against all the block's queries by one
+    product and sends on only its best of each query and source; so what is shuffled does not grow with documents times queries.
     """
-    spark = docs.sparkSession
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
-    phrase = queries.select("query_id", F.trim(F.lower("text")).alias("phrase")).where("phrase <> ''")
-    wanted = sorted(r[0] for r in terms.select("term").distinct().collect())
-    phrases = [(r["query_id"], r["phrase"]) for r in phrase.collect()]
-    tokens = docs.select("video_id", "doc_id", "evidence_type", F.lower("text").alias("low"), tokenize("text").alias("tokens"))
-    corpora = tokens.groupBy("video_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    table = spark.createDataFrame([(t,) for t in wanted], "term string")
-    hits = tokens.select("video_id", "doc_id", "evidence_type", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    if len(wanted) <= 50_000:
-        table = F.broadcast(table)
-    tf = hits.join(table, "term").groupBy("video_id", "doc_id", "evidence_type", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("video_id", "term").agg(F.count("*").alias("df"))
-    allowed = F.col("evidence_type").isin(types or ["speech", "frame_caption"])
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)))
-    scored = tf.where(allowed).join(df, ["video_id", "term"]).join(corpora, "video_id").select("video_id", "doc_id", "term", weight.alias("w"))
-    parts = [scored.join(terms, "term").select("query_id", "video_id", "doc_id", "w")]
-    long_terms = [t for t in wanted if len(t) >= 3]
-    for at in range(0, len(long_terms), TERM_BLOCK):
-        block = F.array(*[F.lit(t) for t in long_terms[at : at + TERM_BLOCK]])
-        found = tokens.where(allowed).select("video_id", "doc_id", F.explode(F.filter(block, lambda t: F.contains(F.col("low"), t))).alias("term"))
-        parts.append(found.join(terms, "term").select("query_id", "video_id", "doc_id", F.lit(0.08).alias("w")))
-    for at in range(0, len(phrases), TERM_BLOCK):
-        block = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(p).alias("p")) for q, p in phrases[at : at + TERM_BLOCK]])
-        found = tokens.where(allowed).select("video_id", "doc_id", F.explode(F.filter(block, lambda x: F.contains(F.col("low"), x["p"]))).alias("x"))
-        parts.append(found.select(F.col("x.q").alias("query_id"), "video_id", "doc_id", F.lit(0.2).alias("w")))
-    together = parts[0]
-    for p in parts[1:]:
-        together = together.unionByName(p)
-    sums = together.groupBy("query_id", "video_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("raw")).where("raw > 0")
-    w = Window.partitionBy("query_id", "video_id")
-    ranked = sums.withColumn("rank", F.row_number().over(w.orderBy(F.desc("raw"), "doc_id")).cast("long"))
-    # the best row of a group is always among the first k, so the group limit can stay below the maximum
-    best = ranked.where(F.col("rank") <= top_k).withColumn("score", F.round(F.col("raw") / F.max("raw").over(w), 6))
-    return best.select("query_id", "video_id", "doc_id", "raw", "score", "rank")
+    parts = []
+    for block in _blocks(queries):
+        terms, own, phrases = query_terms(block)
+        rows = materialise(document_terms(docs, terms, phrases))
+        corpora = rows.groupBy("video_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+        df = rows.select("video_id", F.explode("terms").alias("t")).groupBy("video_id", "t").agg(F.count("*").alias("df"))
+        every = corpora.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(terms) - 1)))).alias("t"))
+        dense = every.join(df, ["video_id", "t"], "left").groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", F.coalesce("df", F.lit(0)).alias("df")))), lambda x: x["df"]).alias("dense"))
+        stats = corpora.join(dense, "video_id").select(F.col("video_id").alias("_v"), "n", "avgdl", "dense")
+        met = rows.where(F.col("evidence_type").isin(types or ["speech", "frame_caption"])).join(stats, F.col("video_id") == F.col("_v"))
+        met = met.withColumn("dfs", F.transform("terms", lambda t: F.get(F.col("dense"), t))).drop("dense")
+
+        def make(terms=terms, own=own):
+            member = np.zeros((len(terms), len(own)))
+            for j, ids in enumerate(own):
+                member[ids, j] = 1
+
+            def score(batch):
+                lens, ids, tfs, dfs, holds, said, n, avgdl = (batch.column(i) for i in range(2, 10))
+                rows_ = batch.num_rows
+                place = lambda lists: np.repeat(np.arange(rows_), np.diff(lists.offsets.to_numpy()))
+                have = np.zeros((rows_, len(terms)))
+                at = place(ids)
+                tf, df = tfs.flatten().to_numpy().astype(float), dfs.flatten().to_numpy().astype(float)
+                mean = avgdl.to_numpy()
+                spread = 1 - B + B * lens.to_numpy().astype(float) / np.where(mean > 0, mean, 1.0)
+                idf = np.log(1 + (n.to_numpy().astype(float)[at] - df + 0.5) / (df + 0.5))
+                have[at, ids.flatten().to_numpy()] = idf * tf * (K1 + 1) / (tf + K1 * spread[at])
+                have[place(holds), holds.flatten().to_numpy()] += EXACT
+                out = have @ member
+                out[place(said), said.flatten().to_numpy()] += PHRASE
+                return out
+
+            return score
+
+        parts.append(_scored(met, ["len", "terms", "tfs", "dfs", "holds", "phrases", "n", "avgdl"], block, make, top_k))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], f"query_id long, video_id {docs.schema['video_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, raw double, score double, rank long")
+    best = _ranked(parts, top_k)
+    top = F.max("raw").over(Window.partitionBy("query_id", "video_id"))
+    return best.select("query_id", "video_id", "doc_id", "raw", F.round(F.col("raw") / top, 6).alias("score"), "rank")
 
 
 def hash_vectors(rows: DataFrame, key: list[str], text: str = "text", dims: int = DIMS) -> DataFrame:
@@ -101,13 +240,47 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def sparse_top_k(docs: DataFrame, queries: DataFrame, top_k: int = 24, types: list[str] | None = None) -> DataFrame:
-    """(query_id, video_id, doc_id, score, rank): documents by cosine of hashed bags of words; those sharing no bucket are not ranked."""
+    """(query_id, video_id, doc_id, score, rank): documents by cosine of hashed bags of words; those sharing no bucket are not ranked.
+
+    The stated queries come in blocks; a batch of documents is scored against a block by one product of DIMS columns and
+    sends on only its best of each query and source.
+    """
     rows = docs.where(F.col("evidence_type").isin(types)) if types else docs
-    own = hash_vectors(rows, ["video_id", "doc_id"])
-    asked = hash_vectors(queries, ["query_id"]).select("query_id", "bucket", F.col("value").alias("q"))
-    sums = own.join(asked, "bucket").groupBy("query_id", "video_id", "doc_id").agg(F.round(F.sum(F.col("value") * F.col("q")), 9).alias("score"))
-    w = Window.partitionBy("query_id", "video_id").orderBy(F.desc("score"), "doc_id")
-    return sums.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top_k)
+    parts = []
+    for block in _blocks(queries):
+
+        def make(block=block):
+            buckets: dict[str, int] = {}
+            asked = hashed_bags([t for _, t in block], buckets).T
+
+            def score(batch):
+                if len(buckets) > 500_000:
+                    buckets.clear()
+                return hashed_bags(batch.column(2).to_pylist(), buckets) @ asked
+
+            return score
+
+        parts.append(_scored(rows.where("text IS NOT NULL"), ["text"], block, make, top_k))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], f"query_id long, video_id {docs.schema['video_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, rank long")
+    return _ranked(parts, top_k).withColumnRenamed("raw", "score").select("query_id", "video_id", "doc_id", "score", "rank")
+
+
+def hashed_bags(texts: list[str], buckets: dict[str, int], dims: int = DIMS) -> np.ndarray:
+    """Hashed bags of words of unit length, as rows; zeros for a text without words. ``buckets`` remembers words' buckets."""
+    import hashlib
+    import re
+
+    out = np.zeros((len(texts), dims))
+    for row, text in zip(out, texts):
+        words = re.findall(r"[^ \t\n\x0b\f\r]+", text.lower())
+        for w in words:
+            b = buckets.get(w)
+            if b is None:
+                b = buckets[w] = int.from_bytes(hashlib.sha256(w.encode("utf-8", "surrogatepass")).digest()[:4], "big") % dims
+            row[b] += 1
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm == 0, 1, norm)
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, top_k: int, block: int = 256) -> DataFrame:

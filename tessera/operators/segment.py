@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import TOPIC_MARKERS
+from tessera.functions.text import TOPIC_MARKERS, entities, keywords, normalize_asr
+from tessera.operators.fold import fold_rows
 from tessera.operators.intervals import point_join
 
 MAX_CHARS = 1800
@@ -16,51 +17,60 @@ def _fold(items: DataFrame, key: str, order: list[str], shortest: float, longest
     """(key, segment, *items' columns): number the segments of each source's ordered items.
 
     What splits depends on where the segment began, so a source's items are folded in order; only times, text
-    lengths and marker flags go to Python, a source at a time.
+    lengths and marker flags go to Python, a batch at a time.
     """
     lows = [m.lower() for m in TOPIC_MARKERS]
     marker = F.exists(F.array(*[F.lit(m) for m in lows]), lambda m: F.contains(F.lower("text"), m))
     slim = items.select(key, *dict.fromkeys([*order, "start_s", "end_s"]), F.length("text").alias("_len"), marker.alias("_marker"))
 
-    def number(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(order, kind="stable")
-        out = np.zeros(len(pdf), dtype=np.int64)
-        segment = -1
-        begin = size = before = 0.0
-        for i, (start, end, n, marked) in enumerate(zip(pdf["start_s"], pdf["end_s"], pdf["_len"], pdf["_marker"])):
-            lasts = end - begin
-            split = segment < 0 or lasts >= longest or lasts >= shortest and marked or size + n > chars or gap is not None and start - before > gap
-            if split:
-                segment, begin, size = segment + 1, start, n
+    def start():
+        return {"segment": -1, "begin": 0.0, "size": 0, "before": 0.0}
+
+    def step(state, *columns):
+        *places, starts, ends, sizes, marked = columns  # a place that is also a time comes twice
+        out = []
+        segment, begin, size, before = state["segment"], state["begin"], state["size"], state["before"]
+        for s, e, n, mark in zip(starts, ends, sizes, marked):
+            lasts = e - begin
+            if segment < 0 or lasts >= longest or lasts >= shortest and mark or size + n > chars or gap is not None and s - before > gap:
+                segment, begin, size = segment + 1, s, n
             else:
                 size += 1 + n
-            before = end
-            out[i] = segment
-        return pdf[[key, *order]].assign(segment=out)
+            before = e
+            out.append(segment)
+        state.update(segment=segment, begin=begin, size=size, before=before)
+        return (*places, out)
 
     fields = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in (key, *order))
-    numbers = slim.groupBy(key).applyInPandas(number, f"{fields}, segment long")
+    numbers = fold_rows(slim, key, [(F.col(c), False) for c in order], [*order, "start_s", "end_s", "_len", "_marker"], start, step, f"{fields}, segment long")
     return items.join(numbers, [key, *order])
 
 
 def _segments(rows: DataFrame, key: str, order: list[str], cut: int | None) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct(*order, F.trim("text").alias("_t"))))
     text = F.array_join(F.transform(parts, lambda x: x["_t"]), " ")
-    out = rows.groupBy(key, "segment").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_items"), text.alias("text"))
-    out = out.withColumn("text", F.substring("text", 1, cut)) if cut else out
+    more = [F.min_by("speaker", F.struct(*order)).alias("speaker")] if "speaker" in rows.columns else []
+    more += [F.avg("asr_confidence").alias("asr_confidence")] if "asr_confidence" in rows.columns else []
+    out = rows.groupBy(key, "segment").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_items"), text.alias("text"), *more)
+    if cut:
+        words = keywords(out, [key, "segment"], "text")
+        out = out.withColumn("entities", entities("text")).join(words, [key, "segment"], "left")
+        none = F.array().cast("array<string>")
+        out = out.withColumn("keywords", F.coalesce("keywords", none)).withColumn("text", F.substring("text", 1, cut))
     return out.withColumn("segment_id", F.format_string("seg_%04d", "segment"))
 
 
 def segment_transcript(items: DataFrame, key: str = "video_id", order: str = "item_ord", shortest: float = 60.0, longest: float = 120.0) -> DataFrame:
-    """(key, segment, segment_id, start_s, end_s, n_items, text): items in their own order, split before an item that
-    makes the segment too long in seconds or characters, or that opens a topic once it is long enough. Blank items go."""
-    return _segments(_fold(items.where("trim(text) <> ''"), key, [order], shortest, longest, MAX_CHARS, None), key, [order], MAX_CHARS)
+    """(key, segment, segment_id, start_s, end_s, n_items, text, keywords, entities[, speaker, asr_confidence]): items in their
+    own order, their texts mended first, split before an item that makes the segment too long in seconds or characters, or that
+    opens a topic once it is long enough. Blank items go. The speaker is the first item's, the confidence the mean of
+    those known; keywords and entities are of the whole text, which is then cut to MAX_CHARS."""
+    rows = items.withColumn("text", normalize_asr(F.col("text"))).where("text <> ''")
+    return _segments(_fold(rows, key, [order], shortest, longest, MAX_CHARS, None), key, [order], MAX_CHARS)
 
 
 def merge_segments(items: DataFrame, key: str = "video_id", order: str = "item_ord", shortest: float = 60.0, longest: float = 120.0, chars: int = MERGE_CHARS, gap: float = 4.0) -> DataFrame:
-    """As segment_transcript, in time order, and split at silences of more than ``gap`` seconds too."""
+    """As segment_transcript without keywords and entities, in time order, and split at silences of more than ``gap`` seconds too."""
     return _segments(_fold(items, key, ["start_s", order], shortest, longest, chars, gap), key, ["start_s", order], None)
 
 

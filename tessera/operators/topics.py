@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.fold import fold_rows
 from tessera.operators.retrieve import cosine
 
 CONSENSUS, DISAGREEMENT, LEADER = 0.78, 0.45, 0.72
@@ -27,52 +28,125 @@ def kmeans_clusters(vectors: DataFrame, k: int | None = None, seed: int = 42) ->
 def leader_clusters(vectors: DataFrame, key: str, threshold: float = LEADER) -> DataFrame:
     """(key, vec_id, leader): in id order, a vector joins the first leader that is near enough, else leads.
 
-    One fold for each key over its leaders only; what it keeps grows with the leaders, not with the vectors.
+    One fold for each key; what it holds grows with the leaders, not with the vectors.
     """
 
-    def fold(pdf):
+    def start():
+        return {"ids": [], "m": None, "n": 0}
+
+    def step(state, ids, vectors):
         import numpy as np
-        import pandas as pd
 
-        pdf = pdf.sort_values("vec_id")
-        m = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        m /= np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
-        leaders: list[int] = []
         out = []
-        for i in range(len(m)):
-            near = np.flatnonzero(np.round(m[leaders] @ m[i], 9) >= threshold) if leaders else []
+        for i, v in zip(ids, vectors):
+            x = np.array(v, dtype=float)
+            x = x / (np.linalg.norm(x) or 1.0)
+            if state["m"] is None:
+                state["m"] = np.zeros((16, len(x)))
+            near = np.flatnonzero(np.round(state["m"][: state["n"]] @ x, 9) >= threshold)
             if len(near):
-                out.append(leaders[int(near[0])])
-            else:
-                leaders.append(i)
-                out.append(i)
-        ids = pdf["vec_id"].to_numpy()
-        return pd.DataFrame({key: pdf[key].to_numpy(), "vec_id": ids, "leader": ids[out]})
+                out.append(state["ids"][int(near[0])])
+                continue
+            if state["n"] == len(state["m"]):  # twice the room, so that leaders are copied a few times only
+                state["m"] = np.concatenate([state["m"], np.zeros_like(state["m"])])
+            state["m"][state["n"]] = x
+            state["n"] += 1
+            state["ids"].append(i)
+            out.append(i)
+        return ids, out
+
+    return fold_rows(vectors, key, [(F.col("vec_id"), False)], ["vec_id", "embedding"], start, step, f"{key} {vectors.schema[key].dataType.simpleString()}, vec_id long, leader long")
+
 
-    return vectors.select(key, "vec_id", "embedding").groupBy(key).applyInPandas(fold, f"{key} long, vec_id long, leader long")
+#: Vectors in a block of a cluster.
+BLOCK = 256
 
 
-def pairwise(vectors: DataFrame, key: str, block: int = 256) -> DataFrame:
-    """(key, a, b, similarity): all pairs of a cluster, by blocks: a report for clusters that were made to be read.
+def block_pairs(vectors: DataFrame, key: str, queries: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(key, left, right): pairs of blocks of a cluster, each a list of (vec_id, embedding), that hold all its pairs once.
 
-    Rows are dealt into blocks of a cluster; a pair of blocks is one equi-join key, so a large cluster is spread over
-    tasks by its block pairs.
+    A cluster's rows are dealt into blocks by hash; a pair of blocks is one equi-join key, so a large cluster is
+    spread over tasks by its block pairs. With ``queries``, left blocks hold those rows only and meet every right block.
     """
-    w = Window.partitionBy(key).orderBy("vec_id")
-    rows = vectors.select(key, "vec_id", "embedding", F.floor((F.row_number().over(w) - 1) / block).alias("_b"))
-    top = rows.groupBy(key).agg(F.max("_b").alias("_m"))
-    dealt = rows.join(top, key)
-    left = dealt.select(key, F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), F.col("_b").alias("_i"), F.explode(F.sequence("_b", "_m")).alias("_j"))
-    right = dealt.select(key, F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), F.col("_b").alias("_j"), F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("_i"))
-    return left.join(right, [key, "_i", "_j"]).where("a < b").select(key, "a", "b", F.round(cosine(F.col("ea"), F.col("eb")), 4).alias("similarity"))
-
-
-def consensus(pairs: DataFrame, key: str, most: int = 12) -> DataFrame:
-    """(key, kind, a, b, similarity, place): a cluster's first agreeing and first disagreeing pairs."""
-    kind = F.when(F.col("similarity") >= CONSENSUS, "consensus").when(F.col("similarity") <= DISAGREEMENT, "disagreement")
-    rows = pairs.withColumn("kind", kind).where("kind IS NOT NULL")
+    sizes = vectors.groupBy(key).agg(F.ceil(F.count("*") / block).cast("long").alias("_m"))
+    dealt = vectors.select(key, "vec_id", "embedding", *([queries.alias("_q")] if queries is not None else [])).join(sizes, key)
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.col("_m")))
+    held = F.collect_list(F.struct("vec_id", "embedding"))
+    whole = dealt.groupBy(key, "_b", "_m").agg(held.alias("right"))
+    if queries is None:
+        left = whole.select(key, F.col("_b").alias("_i"), F.col("right").alias("left"), F.explode(F.sequence("_b", F.col("_m") - 1)).alias("_j"))
+        right = whole.select(key, F.col("_b").alias("_j"), "right", F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("_i"))
+    else:
+        some = dealt.where("_q").groupBy(key, "_b", "_m").agg(held.alias("left"))
+        left = some.select(key, F.col("_b").alias("_i"), "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_j"))
+        right = whole.select(key, F.col("_b").alias("_j"), "right", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_i"))
+    return left.join(right, [key, "_i", "_j"]).select(key, (F.col("_i") == F.col("_j")).alias("same"), "left", "right")
+
+
+def _similarities(pairs: DataFrame, key: str, choose, fields: str) -> DataFrame:
+    """Rows of (key, fields) that ``choose(same, left ids, right ids, similarities)`` gives of each block pair."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = f"{key} {pairs.schema[key].dataType.simpleString()}, {fields}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def matrix(rows):
+        import numpy as np
+
+        ids, vectors = rows.field(0).to_numpy(), rows.field(1)
+        m = vectors.flatten().to_numpy().astype(float).reshape(len(ids), -1)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return ids, m / np.where(norm == 0, 1, norm)
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, x = matrix(batch.column(2)[i].values)
+                b, y = matrix(batch.column(3)[i].values)
+                found = choose(batch.column(1)[i].as_py(), a, b, np.round(x @ y.T, 4) + 0.0)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found[0]), arrow[0].type), *[pa.array(v, f.type) for v, f in zip(found, list(arrow)[1:])]], schema=arrow)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def pairwise(vectors: DataFrame, key: str, queries: Column) -> DataFrame:
+    """(key, a, b, similarity): the similarity of each stated query vector a to every other vector b of its cluster."""
+
+    def choose(same, a, b, sims):
+        import numpy as np
+
+        i, j = np.nonzero(a[:, None] != b[None, :])
+        return a[i], b[j], sims[i, j]
+
+    return _similarities(block_pairs(vectors, key, queries), key, choose, "a long, b long, similarity double")
+
+
+def consensus(vectors: DataFrame, key: str, most: int = 12) -> DataFrame:
+    """(key, kind, a, b, similarity, place): a cluster's first agreeing and first disagreeing pairs a < b, in their order.
+
+    A pair of blocks sends on only its first ``most`` of each kind.
+    """
+
+    def choose(same, a, b, sims):
+        import numpy as np
+
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for kind, hit in (("consensus", sims >= CONSENSUS), ("disagreement", sims <= DISAGREEMENT)):
+            i, j = np.nonzero(hit & ((a[:, None] < b[None, :]) if same else (a[:, None] != b[None, :])))
+            low, high = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+            first = np.lexsort((high, low))[:most]
+            for column, values in zip(out, ([kind] * len(first), low[first], high[first], sims[i, j][first])):
+                column.extend(values)
+        return out
+
+    found = _similarities(block_pairs(vectors, key), key, choose, "kind string, a long, b long, similarity double")
     w = Window.partitionBy(key, "kind").orderBy("a", "b")
-    return rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most)
+    return found.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most)
 
 
 def author_changes(vectors: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -53,9 +53,9 @@ def j_mean_best_iou(spark, d):
     return J.mean_best_iou(i.where("gold_id % 2 = 0"), gold, "video_id").withColumn("iou", F.round("iou", 6))
 
 
-@query("j_token_f1", "WITH p AS (SELECT item_id, substr(text, 1, 60) AS a, substr(text, 20, 60) AS b FROM benchmark), x AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, lower(unnest(regexp_extract_all(a, '[A-Za-z0-9_]+|[\\x{4e00}-\\x{9fff}]'))) AS t FROM p) z GROUP BY ALL), y AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, lower(unnest(regexp_extract_all(b, '[A-Za-z0-9_]+|[\\x{4e00}-\\x{9fff}]'))) AS t FROM p) z GROUP BY ALL), o AS (SELECT item_id, sum(least(x.n, y.n)) AS o FROM x JOIN y USING (item_id, t) GROUP BY 1), nx AS (SELECT item_id, sum(n) AS nx FROM x GROUP BY 1), ny AS (SELECT item_id, sum(n) AS ny FROM y GROUP BY 1) SELECT item_id, round(CASE WHEN coalesce(o, 0) = 0 THEN 0 ELSE 2.0::DOUBLE * (o / nx) * (o / ny) / (o / nx + o / ny) END, 6) AS f1 FROM nx JOIN ny USING (item_id) LEFT JOIN o USING (item_id)")
+@query("j_token_f1", "WITH p AS (SELECT item_id, text AS a, substr(text, 20) AS b FROM benchmark), x AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, lower(unnest(regexp_extract_all(a, '[A-Za-z0-9_]+|[\\x{4e00}-\\x{9fff}]'))) AS t FROM p) z GROUP BY ALL), y AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, lower(unnest(regexp_extract_all(b, '[A-Za-z0-9_]+|[\\x{4e00}-\\x{9fff}]'))) AS t FROM p) z GROUP BY ALL), o AS (SELECT item_id, sum(least(x.n, y.n)) AS o FROM x JOIN y USING (item_id, t) GROUP BY 1), nx AS (SELECT item_id, sum(n) AS nx FROM x GROUP BY 1), ny AS (SELECT item_id, sum(n) AS ny FROM y GROUP BY 1) SELECT item_id, round(CASE WHEN coalesce(o, 0) = 0 THEN 0 ELSE 2.0::DOUBLE * (o / nx) * (o / ny) / (o / nx + o / ny) END, 6) AS f1 FROM nx JOIN ny USING (item_id) LEFT JOIN o USING (item_id)")
 def j_token_f1(spark, d):
-    p = X.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("a"), F.substring("text", 20, 60).alias("b"))
+    p = X.table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"), F.expr("substr(text, 20)").alias("b"))
     return J.token_f1(p, "item_id", "a", "b").withColumn("f1", F.round("f1", 6))
 
 
@@ -105,14 +105,14 @@ def k_leader_clusters(spark, d):
     return K.leader_clusters(X.views(spark, d), "cluster_id")
 
 
-@query("k_pairwise", sql("views", _SIM + " SELECT a.cluster_id, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) + 0.0::DOUBLE AS similarity FROM v a JOIN v b ON a.cluster_id = b.cluster_id AND a.vec_id < b.vec_id"))
+@query("k_pairwise", sql("views", _SIM + " SELECT a.cluster_id, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) + 0.0::DOUBLE AS similarity FROM v a JOIN v b ON a.cluster_id = b.cluster_id AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0"))
 def k_pairwise(spark, d):
-    return K.pairwise(X.views(spark, d), "cluster_id", 32).withColumn("similarity", F.col("similarity") + 0.0)
+    return K.pairwise(X.views(spark, d), "cluster_id", F.col("vec_id") % 50 == 0)
 
 
 @query("k_consensus", sql("views", _SIM + ", p AS (SELECT a.cluster_id, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) + 0.0::DOUBLE AS similarity FROM v a JOIN v b ON a.cluster_id = b.cluster_id AND a.vec_id < b.vec_id), k AS (SELECT *, CASE WHEN similarity >= 0.78 THEN 'consensus' WHEN similarity <= 0.45 THEN 'disagreement' END AS kind FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, kind ORDER BY a, b) AS place FROM k WHERE kind IS NOT NULL) SELECT cluster_id, a, b, similarity, kind, place FROM r WHERE place <= 12"))
 def k_consensus(spark, d):
-    return K.consensus(K.pairwise(X.views(spark, d), "cluster_id", 32), "cluster_id").withColumn("similarity", F.col("similarity") + 0.0)
+    return K.consensus(X.views(spark, d), "cluster_id")
 
 
 @query("k_author_changes", sql("views", "p AS (SELECT cluster_id, author, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY cluster_id, author ORDER BY vec_id) AS q FROM views) SELECT cluster_id, author, vec_id, round(list_cosine_similarity(e, q), 4) + 0.0::DOUBLE AS similarity, CASE WHEN list_cosine_similarity(e, q) >= 0.78 THEN 'stable' ELSE 'changed' END AS change FROM p WHERE q IS NOT NULL"))
@@ -138,14 +138,16 @@ def k_topics(spark, d):
     return X.views(spark, d).groupBy("cluster_id").agg(F.count("*").alias("n"), F.countDistinct("author").alias("authors"), F.min("vec_id").alias("first"))
 
 
-_MEM = "m AS (SELECT event_type || '-' || user_id AS memory_id, event_type, frequency, (1706745600000000 - last_us) / 86400000000.0::DOUBLE AS age, CASE event_type WHEN 'view' THEN 0.08::DOUBLE WHEN 'signup' THEN 0.01 ELSE 0.03 END AS alpha, (user_id % 10) / 10.0::DOUBLE AS sim, (user_id % 4) / 2.0::DOUBLE AS importance FROM memories), w AS (SELECT *, greatest(0, sim) * exp(-alpha * greatest(0, age)) * (1 + 0.15::DOUBLE * ln(greatest(1, frequency) + 1)) * importance AS weight FROM m)"
+#: The kinds that events stand for; 'remark' is a kind that no rule knows.
+_KIND = "CASE WHEN user_id % 11 = 0 THEN 'remark' WHEN user_id % 7 = 0 THEN 'model_summary' WHEN event_type = 'view' THEN 'speech' WHEN event_type = 'click' THEN 'frame_caption' WHEN event_type = 'signup' THEN 'user_preference' WHEN event_type = 'purchase' THEN 'user_verified' ELSE 'derived_insight' END"
+_DECAY = "CASE kind WHEN 'speech' THEN 0.015 WHEN 'frame_caption' THEN 0.012 WHEN 'user_preference' THEN 0.00375 WHEN 'model_summary' THEN 0.009 WHEN 'user_verified' THEN 0.00225 WHEN 'derived_insight' THEN 0.0075 ELSE 0.015 END::DOUBLE"
+_MEM = f"m AS (SELECT event_type || '-' || user_id AS memory_id, event_type, {_KIND} AS kind, frequency, (1706745600000000 - last_us) / 86400000000.0::DOUBLE AS age, (user_id % 10) / 10.0::DOUBLE AS sim, (user_id % 4) / 2.0::DOUBLE AS importance FROM memories), w AS (SELECT *, greatest(0, sim) * exp(-({_DECAY}) * greatest(0, age)) * (1 + 0.25::DOUBLE * ln(greatest(1, frequency) + 1)) * greatest(0, importance) AS weight FROM m)"
 
 
 def _memories(spark, d):
     m = X.memories(spark, d)
-    rows = m.select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("memory_id"), "event_type", "frequency", "last_us", ((NOW_US - F.col("last_us")) / 86400000000).alias("age"), (F.col("user_id") % 10 / 10).alias("similarity"), (F.col("user_id") % 4 / 2).alias("importance"))
-    alpha = M.alpha_of(F.col("event_type"), {"view": 0.08, "signup": 0.01})
-    return rows.withColumn("weight", M.decay_weight(F.col("similarity"), F.col("age"), F.col("frequency"), F.col("importance"), alpha))
+    rows = m.select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("memory_id"), "event_type", F.expr(_KIND).alias("memory_type"), "frequency", "last_us", ((NOW_US - F.col("last_us")) / 86400000000).alias("age"), (F.col("user_id") % 10 / 10).alias("similarity"), (F.col("user_id") % 4 / 2).alias("importance"))
+    return rows.withColumn("weight", M.decay_weight(F.col("similarity"), F.col("age"), F.col("frequency"), F.col("importance"), M.alpha_of(F.col("memory_type"))))
 
 
 @query("l_decay_weight", sql("memories", _MEM + " SELECT memory_id, round(weight, 6) AS weight FROM w"))
@@ -164,16 +166,15 @@ def l_mark_used(spark, d):
     return M.mark_used(m, m.where("user_id % 3 = 0").select("memory_id"), NOW_US).select("event_type", "user_id", "frequency", "last_us")
 
 
-@query("l_cleanup", sql("memories", _MEM + " SELECT memory_id FROM w WHERE exp(-alpha * greatest(0, age)) * (1 + 0.15::DOUBLE * ln(greatest(1, frequency) + 1)) * importance >= 0.5"))
+@query("l_cleanup", sql("memories", _MEM + f" SELECT memory_id FROM m WHERE exp(-({_DECAY}) * greatest(0, age + 300)) * (1 + 0.25::DOUBLE * ln(greatest(1, frequency) + 1)) * greatest(0, importance) >= 0.01"))
 def l_cleanup(spark, d):
-    m = _memories(spark, d)
-    full = M.decay_weight(F.lit(1.0), F.col("age"), F.col("frequency"), F.col("importance"), M.alpha_of(F.col("event_type"), {"view": 0.08, "signup": 0.01}))
-    return m.where(full >= 0.5).select("memory_id")
+    """What is left of the memories 300 days on."""
+    return M.cleanup(_memories(spark, d).withColumn("age", F.col("age") + 300)).select("memory_id")
 
 
-@query("l_add", "SELECT doc_id, trim(substr(text, 1, 30)) AS content FROM documents WHERE trim(substr(text, 1, 30)) <> '' AND doc_id % 5 <> 0")
+@query("l_add", "SELECT doc_id, trim(text) AS content FROM documents WHERE trim(text) <> '' AND doc_id % 5 <> 0")
 def l_add(spark, d):
-    rows = X.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 30).alias("content"), F.when(F.col("doc_id") % 5 == 0, -1.0).otherwise(0.5).alias("importance"), F.lit(None).cast("long").alias("frequency"))
+    rows = X.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.when(F.col("doc_id") % 5 == 0, -1.0).otherwise(0.5).alias("importance"), F.lit(None).cast("long").alias("frequency"))
     return M.add_memories(rows).select("doc_id", "content")
 
 
@@ -242,10 +243,31 @@ def l_verify(spark, d):
 
 
 
-@query("l_historical_context", "WITH RECURSIVE o AS (SELECT source, doc_id, n_chars::BIGINT AS size, lang, doc_id % 9 AS claim, row_number() OVER (PARTITION BY source ORDER BY (doc_id * 37) % 101 DESC, doc_id) AS rn FROM documents), f AS (SELECT DISTINCT source, 0::BIGINT AS rn, 0::BIGINT AS used, []::BIGINT[] AS picked, []::VARCHAR[] AS langs, []::BIGINT[] AS claims FROM o UNION ALL SELECT source, rn, CASE WHEN fits THEN used + size ELSE used END, CASE WHEN fits THEN list_append(picked, doc_id) ELSE picked END, CASE WHEN fits THEN list_append(langs, lang) ELSE langs END, CASE WHEN fits THEN list_append(claims, claim) ELSE claims END FROM (SELECT f.source, o.rn, used, picked, langs, claims, doc_id, size, lang, claim, used + size <= 6000 AND len(picked) < 4 AND NOT list_contains(claims, claim) AND len(list_filter(langs, lambda l: l = lang)) < 2 AS fits FROM f JOIN o ON o.source = f.source AND o.rn = f.rn + 1) x), z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rn DESC) AS k FROM f) SELECT source, array_to_string(picked, ',') AS picked FROM z WHERE k = 1")
+_HISTORY = """q AS (SELECT user_id % 50 AS question_id, min(source) AS video_id FROM events, (SELECT DISTINCT source, dense_rank() OVER (ORDER BY source) - 1 AS place, 0 AS z FROM documents) s WHERE place = user_id % 5 GROUP BY 1),
+ c AS (SELECT doc_id AS memory_id, source AS video_id, (doc_id % 11) / 10.0::DOUBLE AS importance, doc_id % 13 = 0 AS pinned, 'c' || (doc_id % 17) AS claim, 200 + (doc_id * 31) % 900 AS size, doc_id % 9 <> 4 AS stands FROM documents),
+ f AS (SELECT question_id, q.video_id AS asked, c.*, ((memory_id * 37 + question_id * 11) % 101) / 100.0::DOUBLE AS similarity FROM q, c WHERE (memory_id + question_id) % 7 = 0),
+ t AS (SELECT DISTINCT source AS video_id, lang AS topic FROM documents WHERE doc_id % 3 = 0),
+ k AS (SELECT question_id, memory_id, video_id, claim, size, round(similarity + CASE WHEN EXISTS (SELECT 1 FROM t a, t b WHERE a.video_id = f.asked AND b.video_id = f.video_id AND a.topic = b.topic) THEN 0.08 ELSE 0 END + 0.05::DOUBLE * importance + CASE WHEN pinned THEN 0.05 ELSE 0 END, 9) AS score FROM f WHERE asked <> video_id AND similarity >= 0.35 AND stands),
+ o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, memory_id) AS rn FROM k),
+ g AS (SELECT DISTINCT question_id, 0::BIGINT AS rn, 0::BIGINT AS used, []::BIGINT[] AS picked, []::VARCHAR[] AS videos, []::VARCHAR[] AS claims FROM o UNION ALL
+  SELECT question_id, rn, CASE WHEN fits THEN used + size ELSE used END, CASE WHEN fits THEN list_append(picked, memory_id) ELSE picked END, CASE WHEN fits THEN list_append(videos, video_id) ELSE videos END, CASE WHEN fits THEN list_append(claims, claim) ELSE claims END
+  FROM (SELECT g.question_id, o.rn, used, picked, videos, claims, memory_id, size, video_id, claim, used + size <= 3010 AND len(picked) < 4 AND NOT list_contains(claims, claim) AND len(list_filter(videos, lambda l: l = video_id)) < 2 AS fits FROM g JOIN o ON o.question_id = g.question_id AND o.rn = g.rn + 1) x),
+ z AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rn DESC) AS r FROM g) SELECT question_id, array_to_string(picked, ',') AS picked FROM z WHERE r = 1"""
+
+
+@query("l_historical_context", "WITH RECURSIVE " + _HISTORY)
 def l_historical_context(spark, d):
-    docs = X.table(spark, d, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("id"), (F.col("doc_id") * 37 % 101).alias("score"), F.col("n_chars").cast("long").alias("size"), F.col("lang").alias("source"), (F.col("doc_id") % 9).cast("string").alias("claim"))
-    return M.budget_fill(docs, "key", 6000, 4, 2).select(F.col("key").alias("source"), F.array_join(F.transform("picked", lambda x: x.cast("string")), ",").alias("picked"))
+    docs = X.table(spark, d, "documents")
+    places = docs.select("source").distinct().withColumn("place", F.dense_rank().over(Window.orderBy("source")) - 1)
+    users = X.table(spark, d, "events").select((F.col("user_id") % 50).alias("question_id"), (F.col("user_id") % 5).alias("place")).distinct()
+    questions = users.join(places, "place").groupBy("question_id").agg(F.min("source").alias("video_id"))
+    k = F.col("doc_id")
+    catalog = docs.select(k.alias("memory_id"), F.col("source").alias("video_id"), (k % 11 / 10).alias("importance"), (k % 13 == 0).alias("pinned"), F.concat(F.lit("c"), (k % 17).cast("string")).alias("claim"), (200 + k * 31 % 900).alias("size"))
+    asked = docs.select(k.alias("memory_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("question_id")).where((F.col("memory_id") + F.col("question_id")) % 7 == 0)
+    found = asked.withColumn("similarity", (F.col("memory_id") * 37 + F.col("question_id") * 11) % 101 / 100)
+    topics = docs.where("doc_id % 3 = 0").select(F.col("source").alias("video_id"), F.col("lang").alias("topic")).distinct()
+    rows = M.historical_context(questions, found, catalog, docs.where("doc_id % 9 <> 4").select(k.alias("memory_id")), topics)
+    return rows.select("question_id", F.array_join(F.transform("picked", lambda x: x.cast("string")), ",").alias("picked"))
 
 
 @query("l_memory_context", "WITH RECURSIVE u AS (SELECT source, substr(text, 1, 200) AS c, min(doc_id) AS doc_id, any_value(n_chars)::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY 1, 2), o AS (SELECT source, doc_id, least(n, 700) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM u), f AS (SELECT DISTINCT source, 0::BIGINT AS rn, 0::BIGINT AS used, []::BIGINT[] AS picked FROM o UNION ALL SELECT f.source, o.rn, CASE WHEN used + size <= 3000 THEN used + size ELSE used END, CASE WHEN used + size <= 3000 THEN list_append(picked, doc_id) ELSE picked END FROM f JOIN o ON o.source = f.source AND o.rn = f.rn + 1), z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rn DESC) AS k FROM f) SELECT source, array_to_string(picked, ',') AS picked FROM z WHERE k = 1")

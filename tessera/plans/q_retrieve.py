@@ -32,24 +32,23 @@ _BM25 = (
   UNION ALL SELECT query_id, video_id, doc_id, 0.08::DOUBLE FROM docs, qt WHERE length(term) >= 3 AND contains(low, term) AND {{types}}
   UNION ALL SELECT query_id, video_id, doc_id, 0.2::DOUBLE FROM docs, (SELECT query_id, trim(lower(text)) AS phrase FROM query_texts) q WHERE phrase <> '' AND contains(low, phrase) AND {{types}}),
  sums AS (SELECT query_id, video_id, doc_id, round(sum(w), 9) AS raw FROM parts GROUP BY ALL HAVING round(sum(w), 9) > 0),
- words AS (SELECT query_id, video_id, doc_id, round(raw, 6) AS raw, round(raw / max(raw) OVER (PARTITION BY query_id, video_id), 6) AS score, row_number() OVER (PARTITION BY query_id, video_id ORDER BY raw DESC, doc_id) AS rank FROM sums)"""
+ words AS (SELECT query_id, video_id, doc_id, raw, round(raw / max(raw) OVER (PARTITION BY query_id, video_id), 6) AS score, row_number() OVER (PARTITION BY query_id, video_id ORDER BY raw DESC, doc_id) AS rank FROM sums)"""
 )
 
 
 @query("g_bm25", sql("evidence query_texts", _BM25.replace("{types}", "true") + " SELECT * FROM words WHERE rank <= 5"))
 def g_bm25(spark, d):
-    return R.bm25(_bm25_docs(spark, d), X.query_texts(spark, d), 5).withColumn("raw", F.round("raw", 6))
+    return R.bm25(_bm25_docs(spark, d), X.query_texts(spark, d), 5)
 
 
 @query("g_bm25_captions", sql("evidence query_texts", _BM25.replace("{types}", "evidence_type = 'frame_caption'") + " SELECT * FROM words WHERE rank <= 3"))
 def g_bm25_captions(spark, d):
-    return R.bm25(_bm25_docs(spark, d), X.query_texts(spark, d), 3, ["frame_caption"]).withColumn("raw", F.round("raw", 6))
+    return R.bm25(_bm25_docs(spark, d), X.query_texts(spark, d), 3, ["frame_caption"])
 
 
 @query("f_term_stats", sql("evidence", _DOCS + ", tf AS (SELECT video_id, doc_id, unnest(tokens) AS term FROM docs) SELECT video_id, term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tf GROUP BY 1, 2"))
 def f_term_stats(spark, d):
-    postings, df, _ = R.term_stats(_bm25_docs(spark, d))
-    return postings.groupBy("video_id", "term").agg(F.sum("tf").alias("cf")).join(df, ["video_id", "term"])
+    return R.term_stats(_bm25_docs(spark, d))[1]
 
 
 @query("f_evidence_docs", sql("items", "SELECT video_id, video_id || ':' || item_ord || ':speech' AS evidence_id, 'speech' AS evidence_type, length(text) AS n FROM items WHERE trim(text) <> '' UNION ALL SELECT video_id, video_id || ':' || item_ord || ':frame_caption:f' || item_ord, 'frame_caption', length(speaker) FROM items"))
@@ -146,13 +145,13 @@ def g_vector_store_search(spark, d):
 def g_boosted_cosine(spark, d):
     top = R.sparse_top_k(X.evidence(spark, d), X.query_texts(spark, d), 5, ["speech", "frame_caption"]).drop("rank")
     q = X.query_texts(spark, d).select("query_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("ws"))
-    rows = top.join(X.table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")), "doc_id").join(F.broadcast(q), "query_id")
+    rows = top.join(X.table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")), "doc_id").join(q, "query_id")
     return rows.select("query_id", "video_id", "doc_id", F.round(F.col("score") + F.when(F.exists("ws", lambda w: F.contains(F.col("t"), w)), 0.05).otherwise(0.0), 6).alias("score"))
 
 
 def _mmr_sql(first, later, k=3):
     """Unrolled greedy choice in SQL: c holds candidates with cos to each other."""
-    out = "c AS (SELECT cluster_id, vec_id, {rel} AS rel, embedding AS e FROM views WHERE vec_id % 5 = 0)".format(rel=first)
+    out = "c AS (SELECT cluster_id, vec_id, {rel} AS rel, embedding AS e FROM views)".format(rel=first)
     out += ", p1 AS (SELECT cluster_id, vec_id, e FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(rel, 9) DESC, vec_id) AS rn FROM c) x WHERE rn = 1)"
     for i in range(2, k + 1):
         before = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, i))
@@ -163,7 +162,7 @@ def _mmr_sql(first, later, k=3):
 
 @query("g_mmr", sql("views", _mmr_sql("1.0::DOUBLE - (vec_id % 17) / 20.0", "0.7::DOUBLE")))
 def g_mmr(spark, d):
-    c = X.views(spark, d).where("vec_id % 5 = 0").select("cluster_id", F.col("vec_id").alias("item"), (1.0 - (F.col("vec_id") % 17) / 20.0).alias("relevance"), "embedding")
+    c = X.views(spark, d).select("cluster_id", F.col("vec_id").alias("item"), (1.0 - (F.col("vec_id") % 17) / 20.0).alias("relevance"), "embedding")
     return R.mmr(c, "cluster_id", 3)
 
 

@@ -86,10 +86,10 @@ def a_content_hash(spark, d):
     return X.table(spark, d, "documents").select("doc_id", A.content_hash_id(F.col("text")).alias("content_id"))
 
 
-@query("a_eval_case_aliases", "SELECT CAST(item_id AS VARCHAR) AS case_id, 'v' || (item_id % 5) AS video_id, substr(text, 1, 40) AS question, substr(text, 1, 10) AS answers, 'e' || item_id || '|f' AS evidence_ids FROM benchmark")
+@query("a_eval_case_aliases", "SELECT CAST(item_id AS VARCHAR) AS case_id, 'v' || (item_id % 5) AS video_id, text AS question, lower(text) AS answers, 'e' || item_id || '|f' AS evidence_ids FROM benchmark")
 def a_eval_case_aliases(spark, d):
     b = X.table(spark, d, "benchmark")
-    q, a, ids = F.substring("text", 1, 40), F.substring("text", 1, 10), F.array(F.concat(F.lit("e"), F.col("item_id").cast("string")), F.lit("f"))
+    q, a, ids = F.col("text"), F.lower("text"), F.array(F.concat(F.lit("e"), F.col("item_id").cast("string")), F.lit("f"))
     video = F.concat(F.lit("v"), (F.col("item_id") % 5).cast("string"))
     one = F.to_json(F.struct(F.col("item_id").cast("string").alias("case_id"), video.alias("video_id"), q.alias("question"), a.alias("answer"), ids.alias("evidence_ids")))
     two = F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), video.alias("video"), q.alias("query"), F.array(a).alias("gold_answer"), ids.alias("segment_ids")))
@@ -179,19 +179,50 @@ def b_entity_merge(spark, d):
     return merge_entities(e).select("key", "confidence", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("b_entity_normalize", "SELECT doc_id, replace(regexp_replace(' ' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) || ' ', '(?i) thst ', ' Toast ', 'g'), ' erer ', ' Error ') AS text FROM (SELECT doc_id, text FROM documents WHERE false) x")
+#: Aliases that occur in the texts: of a confident entity, one that needs review, one that is its name in another case, one that is not Latin.
+ENTITIES = [("Theseus", ["the", "thst", "the a"], 0.96), ("Queen", ["que"], 0.88), ("Error", ["erer"], 0.6), ("Der", ["DER"], 0.99), ("Ügen", ["ü"], 0.85)]
+_APART = r"regexp_replace(text, '([^A-Za-z0-9])', ' \1 ', 'g')"
+
+
+def _replaced(said: str, alias: str, canonical: str) -> str:
+    """SQL for the replacement of a whole Latin token in a text whose separators stand apart."""
+    spaced = alias.replace(" ", "   ")
+    return f"regexp_replace({said}, '(?i)(^|[^A-Za-z0-9]){spaced}($|[^A-Za-z0-9])', '\\1{canonical}\\2', 'g')"
+
+
+def _met(said: str, alias: str) -> str:
+    return f"regexp_matches({said}, '(?i)(^|[^A-Za-z0-9]){alias.replace(' ', '   ')}($|[^A-Za-z0-9])')"
+
+
+_ENTITY_STEPS = [("thst", "Theseus", "0.96"), ("the a", "Theseus", "0.96"), ("the", "Theseus", "0.96"), ("que", "Queen", "0.88")]
+
+
+def _entity_sql() -> str:
+    out, before = f"t0 AS (SELECT doc_id, text AS raw, {_APART} AS said, '' AS found FROM documents)", "t0"
+    order = sorted(_ENTITY_STEPS[:3], key=lambda s: (-len(s[0]), s[0])) + _ENTITY_STEPS[3:]
+    for i, (alias, canonical, _) in enumerate(order, 1):
+        out += f", t{i} AS (SELECT doc_id, raw, {_replaced('said', alias, canonical)} AS said, found || CASE WHEN {_met('said', alias)} THEN '{alias}>{canonical};' ELSE '' END AS found FROM {before})"
+        before = f"t{i}"
+    joined = "regexp_replace(said, ' ([^A-Za-z0-9]) ', '\\1', 'g')"
+    return f"WITH {out}, u AS (SELECT doc_id, raw, {joined} AS text, found FROM {before}) SELECT doc_id, regexp_replace(text, '(?i)ü', 'Ügen', 'g') AS text, found || CASE WHEN regexp_matches(text, '(?i)ü') THEN 'ü>Ügen;' ELSE '' END AS found, coalesce(regexp_replace(text, '(?i)ü', 'Ügen', 'g') <> raw, false) AS applied FROM u"
+
+
+@query("b_entity_normalize", _entity_sql())
 def b_entity_normalize(spark, d):
     from tessera.operators.entities import normalize_entities
 
-    return normalize_entities(X.table(spark, d, "documents").where("false").select("doc_id", "text"), [("Toast", ["thst"], 0.96), ("Error", ["erer"], 0.6)])
+    rows = normalize_entities(X.table(spark, d, "documents").select("doc_id", "text"), ENTITIES)
+    found = F.array_join(F.transform("replacements", lambda x: F.concat(x["raw"], F.lit(">"), x["canonical"], F.lit(";"))), "")
+    return rows.select("doc_id", "text", F.when(F.col("raw").isNotNull(), found).alias("found"), "applied")
 
 
 @query("b_fuzzy_alias")
 def b_fuzzy_alias(spark, d):
+    """Titles are the first words of every fiftieth document of a source."""
     from tessera.operators.entities import infer_aliases
 
     docs = X.table(spark, d, "documents")
-    titles = docs.where("doc_id % 50 = 0 AND text IS NOT NULL").select(F.col("source").alias("video_id"), F.regexp_extract("text", "([A-Za-z]{4,})", 1).alias("title")).where("title <> ''").distinct()
+    titles = docs.where("doc_id % 50 = 0 AND text IS NOT NULL").select(F.col("source").alias("video_id"), F.regexp_extract("text", "([A-Za-z]{4,}(?: [A-Za-z]{4,})?)", 1).alias("title")).where("title <> ''").distinct()
     return infer_aliases(titles, docs.select(F.col("source").alias("video_id"), "text"))
 
 
@@ -236,9 +267,9 @@ def b_stable_id(spark, d):
     return X.table(spark, d, "documents").select("doc_id", T.stable_id(F.col("source"), F.col("text")).alias("id"))
 
 
-@query("b_label_normalize", r"SELECT doc_id, trim(trim(regexp_replace(lower(substr(text, 1, 40)), '\s+', ' ', 'g')), ' .,;:。；，') AS label FROM documents")
+@query("b_label_normalize", r"SELECT doc_id, trim(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' .,;:。；，') AS label FROM documents")
 def b_label_normalize(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", T.normalize_label(F.substring("text", 1, 40)).alias("label"))
+    return X.table(spark, d, "documents").select("doc_id", T.normalize_label(F.col("text")).alias("label"))
 
 
 @query("b_json_salvage", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{\"a\":' || event_id || '}' END AS found FROM events")
@@ -282,16 +313,37 @@ def e_needs_visual(spark, d):
     return X.questions(spark).select("question_id", R.needs_visual(F.col("question")).alias("visual"))
 
 
-@query("e_modality_weight", sql("items", "SELECT video_id, item_ord, CAST(round(least(1.0, length(trim(text)) / 220.0) / (least(1.0, length(trim(text)) / 220.0) + 0.15), 3) AS DOUBLE) AS text_share, CAST(round(0.15 / (least(1.0, length(trim(text)) / 220.0) + 0.15), 3) AS DOUBLE) AS vision_share FROM items"))
+def _any(said: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({said}), '{w.lower()}')" for w in words) + ")"
+
+
+def _holds(said: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({said}, '{w}')" for w in words) + ")"
+
+
+_LOOKS = f"(CASE WHEN {_holds('question', R.ACTION_ADVICE)} AND NOT {_holds('question', R.ADVICE_VISUALS)} THEN false ELSE {_any('question', R.QUESTION_VISUAL_HINTS)} END)"
+
+
+@query("e_modality_weight", sql("items questions", f"""x AS (SELECT video_id, item_ord, trim(text) AS said, CASE item_ord % 3 WHEN 0 THEN '' WHEN 1 THEN speaker || ' shows a demo' ELSE trim(text) END AS seen, item_ord % 2 = 0 AS frames, (video_id + item_ord) % 21 AS question_id FROM items),
+ y AS (SELECT x.*, coalesce({_LOOKS}, false) AS looks FROM x LEFT JOIN questions USING (question_id)),
+ z AS (SELECT *, least(1.0, length(said) / 220.0::DOUBLE) AS t, greatest(CASE WHEN frames THEN 0.15 ELSE 0 END, least(0.8, length(seen) / 180.0::DOUBLE), CASE WHEN {_any("said || ' ' || seen", R.VISUAL_HINTS)} THEN 0.35 ELSE 0 END, CASE WHEN looks THEN 0.45 ELSE 0 END)::DOUBLE AS v FROM y)
+ SELECT video_id, item_ord, CASE WHEN t + v > 0 THEN round(t / (t + v), 3) ELSE 0 END::DOUBLE AS text_share, CASE WHEN t + v > 0 THEN round(v / (t + v), 3) ELSE 0 END::DOUBLE AS vision_share FROM z"""))
 def e_modality_weight(spark, d):
-    w = R.modality_weight(F.col("text"), F.lit(""), F.lit(True))
-    return X.items(spark, d).select("video_id", "item_ord", w.alias("w")).select("video_id", "item_ord", F.col("w.text").alias("text_share"), F.col("w.vision").alias("vision_share"))
+    caption = F.when(F.col("item_ord") % 3 == 0, "").when(F.col("item_ord") % 3 == 1, F.concat("speaker", F.lit(" shows a demo"))).otherwise(F.col("text"))
+    rows = X.items(spark, d).withColumn("question_id", (F.col("video_id") + F.col("item_ord")) % 21).join(X.questions(spark), "question_id", "left")
+    w = R.modality_weight(F.col("text"), caption, F.col("item_ord") % 2 == 0, F.col("question"))
+    return rows.select("video_id", "item_ord", w.alias("w")).select("video_id", "item_ord", F.col("w.text").alias("text_share"), F.col("w.vision").alias("vision_share"))
+
+
+_TITLE = "CASE video_id % 4 WHEN 0 THEN 'A Slide deck' WHEN 1 THEN '教程 one' ELSE 'a title' END"
 
 
-@query("e_route_modality", sql("items", "SELECT video_id, CASE WHEN bool_or(contains(lower(text), 'demo') OR contains(lower(text), 'slide') OR contains(lower(text), 'ppt')) THEN 'vision_supportive' ELSE 'text_dominant' END AS mode, CAST(round(sum((end_ms - start_ms) / 1000.0) / 397.0, 3) AS DOUBLE) AS speech_density, CASE WHEN bool_or(contains(lower(text), 'demo') OR contains(lower(text), 'slide') OR contains(lower(text), 'ppt')) THEN 0.65::DOUBLE ELSE 0.15 END AS visual_score FROM items GROUP BY video_id"))
+@query("e_route_modality", sql("items", f"""v AS (SELECT video_id, {_TITLE} AS title, CASE WHEN video_id % 5 = 0 THEN 0 ELSE 300 + video_id END::DOUBLE AS duration, sum(greatest(0, (end_ms - start_ms) / 1000.0::DOUBLE)) AS spoken, bool_or({_any("text", R.VISUAL_HINTS)}) AS hinted FROM items GROUP BY video_id),
+ w AS (SELECT *, hinted OR {_any("title", R.VISUAL_HINTS)} AS h FROM v) SELECT video_id, CASE WHEN h THEN 'vision_supportive' ELSE 'text_dominant' END AS mode, CAST(round(spoken / coalesce(nullif(duration, 0), nullif(spoken, 0), 1), 3) AS DOUBLE) AS speech_density, CASE WHEN h THEN 0.65::DOUBLE ELSE 0.15 END AS visual_score FROM w"""))
 def e_route_modality(spark, d):
     items = X.items(spark, d).select("video_id", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), "text")
-    return R.route_modality(items.select("video_id").distinct().select("video_id", F.lit("a title").alias("title"), F.lit(397.0).alias("duration")), items)
+    videos = items.select("video_id").distinct().select("video_id", F.expr(_TITLE).alias("title"), F.when(F.col("video_id") % 5 == 0, 0.0).otherwise(300.0 + F.col("video_id")).alias("duration"))
+    return R.route_modality(videos, items)
 
 
 @query("e_question_context", "SELECT question_id, question_id = 8 AS whole_video, question_id IN (9, 13) AS visual_hint, question_id IN (3, 12, 17) AS speech_hint, CASE question_id WHEN 7 THEN 'sequence' WHEN 8 THEN 'stage' WHEN 13 THEN 'before_after' WHEN 19 THEN 'transition' ELSE 'none' END AS relation, question_id = 4 AS choice_based FROM generate_series(1, 20) t(question_id)")

@@ -27,23 +27,27 @@ def _fold_sql(gap: bool, chars: int, cut: int | None) -> str:
     silent = " OR o.start_ms - f.prev_end > 4000" if gap else ""
     split = f"(o.end_ms - f.begin >= 120000 OR (o.end_ms - f.begin >= 60000 AND o.marked) OR f.size + o.len > {chars}{silent})"
     text = "string_agg(trim(text), ' ' ORDER BY rn)"
-    return f"""o AS (SELECT video_id, item_ord, start_ms, end_ms, text, length(text) AS len, {_MARK} AS marked, row_number() OVER (PARTITION BY video_id ORDER BY item_ord) AS rn FROM items WHERE trim(text) <> ''),
+    return f"""o AS (SELECT video_id, item_ord, start_ms, end_ms, speaker, asr_confidence, text, length(text) AS len, {_MARK} AS marked, row_number() OVER (PARTITION BY video_id ORDER BY item_ord) AS rn FROM items WHERE trim(text) <> ''),
     f AS (SELECT video_id, rn, 0::BIGINT AS segment, start_ms AS begin, len AS size, end_ms AS prev_end FROM o WHERE rn = 1
       UNION ALL SELECT o.video_id, o.rn, f.segment + CASE WHEN {split} THEN 1 ELSE 0 END, CASE WHEN {split} THEN o.start_ms ELSE f.begin END, CASE WHEN {split} THEN o.len ELSE f.size + 1 + o.len END, o.end_ms
       FROM f JOIN o ON o.video_id = f.video_id AND o.rn = f.rn + 1),
-    seg AS (SELECT video_id, segment, min(start_ms) / 1000.0::DOUBLE AS start_s, max(end_ms) / 1000.0::DOUBLE AS end_s, count(*) AS n_items, {f"substr({text}, 1, {cut})" if cut else text} AS text FROM f JOIN o USING (video_id, rn) GROUP BY 1, 2)"""
+    seg AS (SELECT video_id, segment, min(start_ms) / 1000.0::DOUBLE AS start_s, max(end_ms) / 1000.0::DOUBLE AS end_s, count(*) AS n_items, avg(asr_confidence) AS asr_confidence, arg_min({{'s': speaker}}, rn).s AS speaker, {text} AS whole, {f"substr({text}, 1, {cut})" if cut else text} AS text FROM f JOIN o USING (video_id, rn) GROUP BY 1, 2)"""
 
 
 _SEG = _fold_sql(True, 1000, None)
+_KEYWORDS = """, words AS (SELECT video_id, segment, lower(unnest(regexp_extract_all(whole, '[A-Za-z][A-Za-z0-9_-]{2,}|[\\x{4e00}-\\x{9fff}]{2,}'))) AS word FROM seg),
+    counted AS (SELECT video_id, segment, word, row_number() OVER (PARTITION BY video_id, segment ORDER BY count(*) DESC, word) AS place FROM words WHERE word NOT IN ('这个', '我们', '一个', '以及', '然后', '所以', 'the', 'and', 'that', 'with', 'for') GROUP BY video_id, segment, word),
+    kw AS (SELECT video_id, segment, string_agg(word, ' ' ORDER BY place) AS keywords FROM counted WHERE place <= 8 GROUP BY 1, 2)"""
 
 
 def _segments(spark, d):
-    return S.merge_segments(_seconds(X.items(spark, d).where("trim(text) <> ''")))
+    return S.merge_segments(_seconds(X.items(spark, d).where("trim(text) <> ''"))).drop("speaker", "asr_confidence")
 
 
-@query("c_segment_transcript", sql("items", _fold_sql(False, 1800, 1800) + " SELECT video_id, segment, printf('seg_%04d', segment) AS segment_id, start_s, end_s, n_items, text FROM seg", True))
+@query("c_segment_transcript", sql("items", _fold_sql(False, 1800, 1800).replace("FROM items WHERE", "FROM (SELECT * REPLACE (trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text) FROM items) i WHERE") + _KEYWORDS + " SELECT video_id, segment, printf('seg_%04d', segment) AS segment_id, start_s, end_s, n_items, text, speaker, asr_confidence, coalesce(keywords, '') AS keywords FROM seg LEFT JOIN kw USING (video_id, segment)", True))
 def c_segment_transcript(spark, d):
-    return S.segment_transcript(_seconds(X.items(spark, d)))
+    rows = S.segment_transcript(_seconds(X.items(spark, d)))
+    return rows.drop("entities").withColumn("keywords", F.array_join("keywords", " "))
 
 
 @query("c_merge_segments", sql("items", _SEG + " SELECT video_id, segment, printf('seg_%04d', segment) AS segment_id, start_s, end_s, n_items, text FROM seg", True))
@@ -98,14 +102,31 @@ def d_dedupe_frames(spark, d):
     return V.dedupe_frames(X.frames(spark, d)).select("video_id", "frame_id")
 
 
+def _named(spark, d):
+    return _aligned(spark, d).withColumn("segment_id", F.format_string("seg_%04d", "segment"))
+
+
+def _minimum(spark, d, chosen):
+    segments = _seconds(X.items(spark, d)).select("video_id", F.col("item_ord").alias("segment"), "start_s", "end_s")
+    return V.with_minimum(chosen, segments, X.frames(spark, d).withColumn("ts_s", F.col("ts_ms") / 1000))
+
+
 @query("d_keyframes")
 def d_keyframes(spark, d):
-    return V.keyframes(_aligned(spark, d))
+    return _minimum(spark, d, V.keyframes(_named(spark, d)))
 
 
 @query("d_keyframes_random")
 def d_keyframes_random(spark, d):
-    return V.keyframes(_aligned(spark, d), strategy="random")
+    return _minimum(spark, d, V.keyframes(_named(spark, d), strategy="random"))
+
+
+@query("d_average_hash")
+def d_average_hash(spark, d):
+    """Vectors as grey pictures of 8 x 8 pixels."""
+    pixels = F.to_binary(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x + 1) * 127.5))).cast("long")), 2, "0")), ""), F.lit("hex"))
+    e = X.table(spark, d, "embeddings").select("vec_id", pixels.alias("pixels"), F.lit(8).alias("wide"), F.lit(8).alias("high"))
+    return V.image_hashes(e).select("vec_id", "phash")
 
 
 @query("d_nearest_frame", sql("items frames", _ALIGN + ", s AS (SELECT *, row_number() OVER (PARTITION BY video_id, segment ORDER BY abs(2 * ts_ms - start_ms - end_ms), ts_ms, frame_id) AS rn FROM al) SELECT video_id, segment, frame_id FROM s WHERE rn = 1"))
@@ -309,12 +330,11 @@ def h_scope(spark, d):
     return _covered(spark, d).select("video_id", C.scope_status(F.col("video_id") % 4 != 0, F.col("covered"), F.lit(1)).alias("scope"))
 
 
-@query("h_contract", sql("evidence", "q AS (SELECT DISTINCT video_id, unnest(['speech', 'visual']) AS modality FROM evidence) SELECT q.video_id, modality, count(*) FILTER (WHERE trim(text) <> '' AND ((modality = 'speech' AND evidence_type = 'speech') OR (modality = 'visual' AND evidence_type <> 'speech'))) > 0 AS available FROM q JOIN (SELECT * FROM evidence WHERE doc_id % 7 = 0) e USING (video_id) GROUP BY 1, 2"))
+@query("h_contract", sql("evidence", "e AS (SELECT coalesce(video_id, '') || '-' || (doc_id % 61) AS video_id, evidence_type, text FROM evidence), q AS (SELECT DISTINCT video_id, unnest(['speech', 'visual']) AS modality FROM e) SELECT q.video_id, modality, count(*) FILTER (WHERE trim(text) <> '' AND ((modality = 'speech' AND evidence_type = 'speech') OR (modality = 'visual' AND evidence_type <> 'speech'))) > 0 AS available FROM q JOIN e USING (video_id) GROUP BY 1, 2"))
 def h_contract(spark, d):
-    e = X.evidence(spark, d)
-    some = e.where("doc_id % 7 = 0")
-    q = some.select("video_id").distinct().withColumn("required", F.array(F.lit("speech"), F.lit("visual")))
-    return C.modality_contract(q, some, "video_id")
+    e = X.evidence(spark, d).withColumn("video_id", F.concat_ws("-", F.coalesce("video_id", F.lit("")), (F.col("doc_id") % 61).cast("string")))
+    q = e.select("video_id").distinct().withColumn("required", F.array(F.lit("speech"), F.lit("visual")))
+    return C.modality_contract(q, e, "video_id")
 
 
 @query("h_fact_support", "SELECT item_id AS question_id, 'Fact ' || item_id AS fact, CASE WHEN item_id % 4 = 0 THEN 'unsupported' WHEN item_id % 4 = 1 THEN 'unsupported' ELSE 'supported' END AS status, CASE WHEN item_id % 4 < 2 THEN 0 ELSE 1 END::BIGINT AS n_valid FROM benchmark")

@@ -11,9 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark, d) -> DataFrame:
-    """Transcript items with integer times in ms: (video_id, item_ord, speaker, text, start_ms, end_ms)."""
+    """Transcript items with integer times in ms: (video_id, item_ord, speaker, text, asr_confidence, start_ms, end_ms)."""
     rows = table(spark, d, "conversations").select(
         F.col("conv_id").alias("video_id"), F.col("turn").alias("item_ord"), F.col("role").alias("speaker"), "text",
+        F.when(F.col("turn") % 7 != 6, F.col("turn") % 5 / 4).alias("asr_confidence"),
         F.greatest(F.lit(1000), F.length("text") * 60).cast("long").alias("dur_ms"), F.when(F.col("turn") % 3 == 2, 6000).otherwise(500).alias("gap_ms"),
     )
     w = Window.partitionBy("video_id").orderBy("item_ord").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,7 +42,7 @@ def evidence(spark, d) -> DataFrame:
 
 
 def query_texts(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def views(spark, d) -> DataFrame:
@@ -88,7 +89,7 @@ def _values(rows, names: str) -> str:
 
 #: The views in SQL, by name.
 SQL = {
-    "items": """SELECT video_id, item_ord, speaker, text, CAST(COALESCE(SUM(dur_ms + gap_ms) OVER w, 0) AS BIGINT) AS start_ms,
+    "items": """SELECT video_id, item_ord, speaker, text, CASE WHEN item_ord % 7 <> 6 THEN (item_ord % 5) / 4.0::DOUBLE END AS asr_confidence, CAST(COALESCE(SUM(dur_ms + gap_ms) OVER w, 0) AS BIGINT) AS start_ms,
         CAST(COALESCE(SUM(dur_ms + gap_ms) OVER w, 0) + dur_ms AS BIGINT) AS end_ms
         FROM (SELECT conv_id AS video_id, turn AS item_ord, role AS speaker, text, CAST(greatest(1000, length(text) * 60) AS BIGINT) AS dur_ms,
               CASE WHEN turn % 3 = 2 THEN 6000 ELSE 500 END AS gap_ms FROM conversations) x
@@ -97,7 +98,7 @@ SQL = {
         substr(sha256(concat(event_type, '|', CAST(CAST(floor(value / 100) AS BIGINT) AS VARCHAR))), 1, 16) AS phash, event_type = 'view' AS selected FROM events""",
     "evidence": """SELECT source AS video_id, doc_id, CASE doc_id % 3 WHEN 0 THEN 'speech' WHEN 1 THEN 'frame_caption' ELSE 'frame' END AS evidence_type,
         CAST(doc_id * 10 AS DOUBLE) AS start_s, CAST(doc_id * 10 + 10 AS DOUBLE) AS end_s, text FROM documents""",
-    "query_texts": "SELECT item_id AS query_id, substr(text, 1, 80) AS text FROM benchmark",
+    "query_texts": "SELECT item_id AS query_id, text FROM benchmark",
     "views": "SELECT vec_id, CAST(label AS BIGINT) AS cluster_id, vec_id % 7 AS author, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings",
     "memories": "SELECT event_type, user_id, count(*) AS frequency, max(epoch_us(ts)) AS last_us FROM events GROUP BY 1, 2",
     "stages": """SELECT user_id AS video_id, event_id, epoch_us(ts) AS ts_us,
