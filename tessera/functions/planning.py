@@ -149,3 +149,8 @@ def frame_name_seconds(name: Column) -> Column:
 def auto_refine(question: Column, confidence: Column, agreement: Column) -> Column:
     """Refine frames for a question about pictures that words answer badly."""
     return ~((agreement >= 0.3) & (confidence != "low")) & R.needs_visual(question)
+
+
+def guarded(top_k: Column, max_ranges: Column, padding: Column) -> Column:
+    """A refinement call's arguments: counts of one at least, padding of none at least."""
+    return F.struct(F.greatest(F.lit(1), top_k).alias("top_k"), F.greatest(F.lit(1), max_ranges).alias("max_ranges"), F.greatest(F.lit(0.0), padding).alias("padding"))

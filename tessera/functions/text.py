@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import spread
+
 #: Token grammar (fixed values): identifiers, numbers, single CJK characters.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_.-]*|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]"
 METRIC_TOKEN = r"[A-Za-z0-9_]+|[\x{4e00}-\x{9fff}]"
@@ -85,7 +87,7 @@ def has_topic_marker(text: Column) -> Column:
 
 def keywords(rows: DataFrame, key: list[str], text: str, limit: int = 8) -> DataFrame:
     """(key, keywords): a text's most frequent words, then by spelling."""
-    words = rows.select(*key, F.explode(_lowered(_all(text, KEYWORD))).alias("word")).where(~F.col("word").isin(STOP_WORDS))
+    words = spread(rows.select(*key, text)).select(*key, F.explode(_lowered(_all(text, KEYWORD))).alias("word")).where(~F.col("word").isin(STOP_WORDS))
     counts = words.groupBy(*key, "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "word"))
     top = counts.withColumn("rn", rank).where(F.col("rn") <= limit)

@@ -70,3 +70,14 @@ def aggregate(scores: DataFrame, metrics: list[str], thresholds: dict[str, float
 
 def report(rows: DataFrame, by: list[str], correct: str, latency: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("double")).alias("accuracy"), F.avg(latency).alias("mean_latency"), F.percentile(latency, 0.5).alias("median_latency"))
+
+
+def case_sample(cases: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n cases by the lowest hashes of seed and id: the same ones whenever the ids are the same."""
+    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    return cases.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+
+
+def smoke(rows: DataFrame) -> DataFrame:
+    """(total, passed): cases that the model itself routed as expected. rows: (source, expected, route)."""
+    return rows.agg(F.count("*").alias("total"), F.count_if((F.col("source") == "llm") & (F.col("route") == F.col("expected"))).alias("passed"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import plain_tokens, tokenize
-from tessera.storage import materialise
+from tessera.storage import materialise, spread
 
 K1, B, RRF_K, DIMS = 1.5, 0.75, 60, 128
 #: Bonuses of a query term that the text holds anywhere, and of the whole query.
@@ -31,7 +33,7 @@ def term_stats(docs: DataFrame, key: str = "video_id", doc: str = "doc_id") -> t
     Frequencies need no postings: a document's tokens and its distinct tokens are counted together, so what is shuffled
     are partial counts by source and term.
     """
-    tokens = docs.select(key, doc, tokenize("text").alias("tokens"))
+    tokens = spread(docs.select(key, doc, "text")).select(key, doc, tokenize("text").alias("tokens"))
     postings = tokens.select(key, doc, F.explode("tokens").alias("term")).groupBy(key, doc, "term").agg(F.count("*").alias("tf"))
     once = tokens.select(key, F.explode(F.array_distinct("tokens")).alias("term"), F.lit(1).alias("d"))
     every = tokens.select(key, F.explode("tokens").alias("term"), F.lit(0).alias("d"))
@@ -156,7 +158,7 @@ def document_terms(docs: DataFrame, terms: list[str], phrases: list[str]) -> Dat
             types = [pa.int32(), *[pa.list_(pa.int32())] * 4]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, t) for c, t in zip(columns, types)]], names=[*names, "len", "terms", "tfs", "holds", "phrases"])
 
-    return docs.select(*names, "text").where("text IS NOT NULL").mapInArrow(run, schema)
+    return spread(docs.select(*names, "text").where("text IS NOT NULL")).mapInArrow(run, schema)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int = 8, types: list[str] | None = None) -> DataFrame:
@@ -196,9 +198,9 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int = 8, types: list[str] |
                 at = place(ids)
                 tf, df = tfs.flatten().to_numpy().astype(float), dfs.flatten().to_numpy().astype(float)
                 mean = avgdl.to_numpy()
-                spread = 1 - B + B * lens.to_numpy().astype(float) / np.where(mean > 0, mean, 1.0)
+                stretch = 1 - B + B * lens.to_numpy().astype(float) / np.where(mean > 0, mean, 1.0)
                 idf = np.log(1 + (n.to_numpy().astype(float)[at] - df + 0.5) / (df + 0.5))
-                have[at, ids.flatten().to_numpy()] = idf * tf * (K1 + 1) / (tf + K1 * spread[at])
+                have[at, ids.flatten().to_numpy()] = idf * tf * (K1 + 1) / (tf + K1 * stretch[at])
                 have[place(holds), holds.flatten().to_numpy()] += EXACT
                 out = have @ member
                 out[place(said), said.flatten().to_numpy()] += PHRASE
@@ -216,7 +218,7 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int = 8, types: list[str] |
 
 def hash_vectors(rows: DataFrame, key: list[str], text: str = "text", dims: int = DIMS) -> DataFrame:
     """(key, bucket, value): hashed bags of words of unit length; a text without words has no rows."""
-    words = rows.select(*key, F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("word"))
+    words = spread(rows.select(*key, text)).select(*key, F.explode(F.array_remove(F.split(F.lower(text), r"\s+"), "")).alias("word"))
     bucket = (F.conv(F.substring(F.sha2("word", 256), 1, 8), 16, 10).cast("long") % dims).alias("bucket")
     counts = words.select(*key, bucket).groupBy(*key, "bucket").agg(F.count("*").alias("c"))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(*key)))
@@ -245,7 +247,7 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, top_k: int = 24, types: li
     The stated queries come in blocks; a batch of documents is scored against a block by one product of DIMS columns and
     sends on only its best of each query and source.
     """
-    rows = docs.where(F.col("evidence_type").isin(types)) if types else docs
+    rows = spread((docs.where(F.col("evidence_type").isin(types)) if types else docs).select("video_id", "doc_id", "text"))
     parts = []
     for block in _blocks(queries):
 
@@ -319,14 +321,18 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, top_k: int, block: int =
 
 def reciprocal_rank_fusion(lists: list[tuple[DataFrame, float]], key: list[str], item: str, top_k: int, k: int = RRF_K, kind: str | None = None) -> DataFrame:
     """(key, item, score, rank): items of several ranked lists by weighted reciprocal ranks, as shares of the best; ties by first list, then rank."""
+    # lists meet by outer joins: a union of lists dealt alike counts as dealt, which fails where Spark merges the parts of one only
     rows = None
     for place, (ranked, weight) in enumerate(lists):
         modality = F.lit(1.0)
         if kind:
             modality = F.coalesce(F.create_map(*[F.lit(x) for p in TYPE_WEIGHTS.items() for x in p])[F.col(kind)], F.lit(1.0))
-        part = ranked.select(*key, item, (modality * weight / (k + F.col("rank"))).alias("w"), (F.lit(place * 1_000_000) + F.col("rank")).alias("seen"))
-        rows = part if rows is None else rows.unionByName(part)
-    sums = rows.groupBy(*key, item).agg(F.round(F.sum("w"), 12).alias("w"), F.min("seen").alias("seen"))
+        part = ranked.groupBy(*key, item).agg(F.sum(modality * weight / (k + F.col("rank"))).alias(f"w{place}"), F.min(F.lit(place * 1_000_000) + F.col("rank")).alias(f"s{place}"))
+        rows = part if rows is None else rows.join(part, [*key, item], "full")
+    places = range(len(lists))
+    total = reduce(lambda a, b: a + b, [F.coalesce(f"w{i}", F.lit(0.0)) for i in places])
+    seen = F.array_min(F.array(*[f"s{i}" for i in places]))
+    sums = rows.select(*key, item, F.round(total, 12).alias("w"), seen.alias("seen"))
     w = Window.partitionBy(*key)
     ranked = sums.withColumn("rank", F.row_number().over(w.orderBy(F.desc("w"), "seen")).cast("long")).where(F.col("rank") <= top_k)
     return ranked.select(*key, item, F.round(F.col("w") / F.max("w").over(w), 6).alias("score"), "rank")
@@ -337,7 +343,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int
     kinds = docs.select("doc_id", "evidence_type")
     vector = sparse_top_k(docs, queries, max(top_k, depth) if mode == "hybrid" else top_k, ["speech", "frame_caption"])
     if mode in ("vector", "chroma"):
-        return vector.select("query_id", "video_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+        return vector.select("query_id", "video_id", "doc_id", "score", "rank")
     words = bm25(docs, queries, max(top_k, depth) if mode == "hybrid" else top_k)
     if mode == "bm25":
         return words.select("query_id", "video_id", "doc_id", "score", "rank")
@@ -414,3 +420,12 @@ def index_changes(old: DataFrame, new: DataFrame, key: str, content: str) -> Dat
 def cache_misses(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """The distinct wanted rows that the cache does not hold."""
     return wanted.dropDuplicates([key]).join(cache.select(key), key, "left_anti")
+
+
+def trace(lists: dict[str, DataFrame], key: list[str], item: str, most: int = 20) -> DataFrame:
+    """(key, a column for each list): the first ``most`` of each ranked list, as (rank, item) in order."""
+    rows = None
+    for name, ranked in lists.items():
+        own = ranked.where(F.col("rank") <= most).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", item))).alias(name))
+        rows = own if rows is None else rows.join(own, key, "full")
+    return rows

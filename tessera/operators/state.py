@@ -43,3 +43,60 @@ def history(turns: DataFrame, key: str, order: str, most: int = 6) -> DataFrame:
 
 def latest_completed(states: DataFrame, key: str, at: str) -> DataFrame:
     return states.where("status = 'succeeded'").groupBy(key).agg(F.max(at).alias(at))
+
+
+#: Restarts of a stage, seconds of a rate limit's cooldown, and tasks that may wait or run at once.
+RESTARTS, COOLDOWN_S, PENDING = 2, 30.0, 16
+
+
+def restarts(failures: DataFrame, key: list[str], order: list[str], rate_limited: Column, limit: int = RESTARTS, cooldown: float = COOLDOWN_S) -> DataFrame:
+    """Failures of a stage in order with (attempt, wait_s, exhausted): how long its next attempt waits, longer at each and at
+    least the cooldown after a rate limit; none after ``limit`` restarts."""
+    at = F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long")
+    rows = failures.withColumn("attempt", at).where(F.col("attempt") <= limit + 1)
+    wait = F.when(rate_limited, F.greatest(F.lit(float(cooldown)), 1.5 * F.col("attempt"))).otherwise(F.least(F.lit(5.0), 1.5 * F.col("attempt")))
+    return rows.withColumn("exhausted", F.col("attempt") > limit).withColumn("wait_s", F.when(~F.col("exhausted"), wait))
+
+
+def run_with_restarts(job, record, limit: int = RESTARTS, cooldown: float = COOLDOWN_S, is_rate_limit=lambda e: "429" in str(e), sleep=None):
+    """The job's result; failed attempts are recorded and tried again, ``limit`` times at most."""
+    import time
+
+    sleep = sleep or time.sleep
+    for attempt in range(1, max(0, limit) + 2):
+        try:
+            return job()
+        except Exception as e:  # noqa: BLE001  whatever failed is recorded
+            record(attempt, e)
+            if attempt > limit:
+                raise RuntimeError(f"gave up after {limit} restarts: {str(e).splitlines()[0] if str(e) else type(e).__name__}") from e
+            sleep(max(cooldown, 1.5 * attempt) if is_rate_limit(e) else min(5.0, 1.5 * attempt))
+
+
+def admitted(tasks: DataFrame, key: str, limit: int = PENDING) -> DataFrame:
+    """(key, task_id, admitted): tasks are taken while fewer than ``limit`` admitted ones have not finished.
+
+    tasks: (key, task_id, submitted, finished). A refused task takes no place, so a key's tasks are folded in order of submission.
+    """
+    import heapq
+
+    from tessera.operators.fold import fold_rows
+
+    def step(open_, ids, submitted, finished):
+        out = []
+        for start, end in zip(submitted, finished):
+            while open_ and open_[0] <= start:
+                heapq.heappop(open_)
+            ok = len(open_) < limit
+            if ok:
+                heapq.heappush(open_, end)
+            out.append(ok)
+        return ids, out
+
+    kinds = dict(tasks.dtypes)
+    return fold_rows(tasks, key, [(F.col("submitted"), False), (F.col("task_id"), False)], ["task_id", "submitted", "finished"], list, step, f"{key} {kinds[key]}, task_id {kinds['task_id']}, admitted boolean")
+
+
+def lock_holders(claims: DataFrame, key: str, owner: str, order: list[str]) -> DataFrame:
+    """(key, owner): who holds each source's lock: the first of its claims that has not been released."""
+    return claims.where(~F.col("released")).groupBy(key).agg(F.min_by(owner, F.struct(*order)).alias(owner))

@@ -78,3 +78,8 @@ def evidence_extent(items: DataFrame, segments: DataFrame, key: str) -> DataFram
 def story_metadata(nodes: DataFrame, key: str = "video_id") -> DataFrame:
     """(key, n, covered_s, n_supported, statuses)."""
     return nodes.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(F.col("time_end") - F.col("time_start")), 3).alias("covered_s"), F.count_if(F.col("status") == "supported").alias("n_supported"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
+
+
+def planner_outline(rows: DataFrame, items: int = 12, questions: int = 8) -> DataFrame:
+    """rows with the first entries of their outline and open questions, as many as a planner reads."""
+    return rows.withColumn("outline", F.slice("outline", 1, items)).withColumn("questions", F.slice("questions", 1, questions))

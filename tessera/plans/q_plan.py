@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import planning as P
+from tessera.functions import routing as R
+from tessera.plans.q_text import CHOICES_SQL, LOOKS_SQL, RELATION_SQL, TIMES_SQL
 from tessera.plans.registry import query
 from tessera.sources import fixtures as X
 from tessera.sources.fixtures import sql
@@ -17,35 +19,37 @@ def _case(options, column="question", default="explanation", test="contains({c},
 _TASK = "CASE " + " ".join(f"WHEN regexp_matches(question, '(?i){p}') THEN '{n}'" for n, p in P.TASKS) + " ELSE 'factual' END"
 
 
-@query("e_classify_question", sql("questions", f"SELECT question_id, {_case(P.CLASSES)} AS class FROM questions"))
+@query("e_classify_question", sql("asked", f"SELECT question_id, {_case(P.CLASSES)} AS class FROM asked"))
 def e_classify_question(spark, d):
-    return X.questions(spark).select("question_id", P.classify_question(F.col("question")).alias("class"))
+    return X.asked(spark, d).select("question_id", P.classify_question(F.col("question")).alias("class"))
 
 
-_ANALYSIS = f"a AS (SELECT question_id, question, {_TASK} AS task, CASE WHEN question_id IN (2, 19) THEN 'interval' WHEN question_id IN (1, 11, 13) THEN 'point' WHEN question_id = 8 THEN 'whole_video' ELSE 'none' END AS scope, CASE question_id WHEN 7 THEN 'sequence' WHEN 8 THEN 'stage' WHEN 13 THEN 'before_after' WHEN 19 THEN 'transition' ELSE 'none' END AS relation, CASE WHEN question_id IN (9, 13) THEN 'visual' WHEN question_id IN (3, 12, 17) THEN 'speech' WHEN question_id % 2 = 0 THEN 'speech' ELSE 'visual' END AS modalities, question_id = 4 AS choice_based FROM questions)"
+_SAID = f"CASE WHEN regexp_matches(question, '{R.EXPLICIT_SPEECH}') THEN CASE WHEN regexp_matches(question, '{R.EXPLICIT_VISUAL}') THEN 'speech,visual' ELSE 'speech' END WHEN regexp_matches(question, '{R.EXPLICIT_VISUAL}') THEN 'visual' WHEN question_id % 2 = 0 THEN 'speech' ELSE 'visual' END"
+_ANALYSIS = f"{TIMES_SQL}, a0 AS (SELECT *, {_TASK} AS task, {RELATION_SQL} AS relation, {_SAID} AS modalities, len({CHOICES_SQL}) > 0 AS choice_based FROM times), a AS (SELECT *, CASE WHEN len(spans) > 0 THEN 'interval' WHEN len(points) > 0 THEN 'point' WHEN regexp_matches(question, '{R.WHOLE_VIDEO}') THEN 'whole_video' WHEN relation = 'before_after' THEN 'event_local' ELSE 'none' END AS scope FROM a0)"
 
 
-def _analyses(spark):
-    q = X.questions(spark)
+def _analyses(spark, d):
+    q = X.asked(spark, d)
     return q.withColumn("a", P.analysis(F.col("question"), F.col("question_id") % 2 == 0))
 
 
-@query("e_question_analysis", sql("questions", _ANALYSIS + " SELECT question_id, task, scope, relation, modalities, choice_based FROM a"))
+@query("e_question_analysis", sql("asked", _ANALYSIS + " SELECT question_id, task, scope, relation, modalities, choice_based FROM a"))
 def e_question_analysis(spark, d):
-    return _analyses(spark).select("question_id", "a.task", "a.scope", "a.relation", F.array_join("a.modalities", ",").alias("modalities"), "a.choice_based")
+    return _analyses(spark, d).select("question_id", "a.task", "a.scope", "a.relation", F.array_join("a.modalities", ",").alias("modalities"), "a.choice_based")
 
 
-_PLAN = "p AS (SELECT *, CASE WHEN relation <> 'none' OR scope = 'whole_video' THEN 2 ELSE 1 END::BIGINT AS min_timestamps, scope = 'whole_video' AS whole FROM a)"
+_STRICT = "whole AND (" + " OR ".join(f"contains(question, '{w}')" for w in P.ALL_OF_IT) + ")"
+_PLAN = f"p0 AS (SELECT *, CASE WHEN relation <> 'none' OR scope = 'whole_video' THEN 2 ELSE 1 END::BIGINT AS min_timestamps, scope = 'whole_video' AS whole, len(string_split(modalities, ',')) AS n_facts FROM a), p AS (SELECT *, {_STRICT} AS strict FROM p0)"
 
 
-@query("e_evidence_plan", sql("questions", _ANALYSIS + ", " + _PLAN + " SELECT question_id, 1::BIGINT AS n_facts, min_timestamps, relation <> 'none' AS ordered, whole, CASE WHEN whole THEN 'whole_video' ELSE 'local' END AS target, CASE WHEN whole THEN 'best_effort' ELSE 'none' END AS completeness, true AS partial_ok FROM p"))
+@query("e_evidence_plan", sql("asked", _ANALYSIS + ", " + _PLAN + " SELECT question_id, n_facts, min_timestamps, relation <> 'none' AS ordered, whole, CASE WHEN whole THEN 'whole_video' WHEN n_facts > 1 THEN 'multi_event' ELSE 'local' END AS target, CASE WHEN strict THEN 'strict' WHEN whole THEN 'best_effort' ELSE 'none' END AS completeness, NOT strict AS partial_ok FROM p"))
 def e_evidence_plan(spark, d):
-    return _analyses(spark).select("question_id", P.evidence_plan(F.col("question"), F.col("a")).alias("p")).select("question_id", "p.*")
+    return _analyses(spark, d).select("question_id", P.evidence_plan(F.col("question"), F.col("a")).alias("p")).select("question_id", "p.*")
 
 
-@query("e_intent_view", sql("questions", _ANALYSIS + ", " + _PLAN + " SELECT question_id, CASE modalities WHEN 'speech' THEN 'speech' ELSE 'frame_caption' END AS required, CASE modalities WHEN 'speech' THEN 'frame_caption' ELSE 'speech' END AS optional, modalities = 'visual' AS visual, task IN ('explanation', 'critique', 'action_items') AS general_ok, CASE WHEN modalities = 'visual' THEN min_timestamps ELSE 0 END AS min_visual_times FROM p"))
+@query("e_intent_view", sql("asked", _ANALYSIS + ", " + _PLAN + " SELECT question_id, CASE modalities WHEN 'speech' THEN 'speech' WHEN 'visual' THEN 'frame_caption' ELSE 'speech,frame_caption' END AS required, CASE modalities WHEN 'speech' THEN 'frame_caption' WHEN 'visual' THEN 'speech' ELSE '' END AS optional, modalities <> 'speech' AS visual, task IN ('explanation', 'critique', 'action_items') AS general_ok, CASE WHEN modalities <> 'speech' THEN min_timestamps ELSE 0 END AS min_visual_times FROM p"))
 def e_intent_view(spark, d):
-    rows = _analyses(spark).withColumn("p", P.evidence_plan(F.col("question"), F.col("a")))
+    rows = _analyses(spark, d).withColumn("p", P.evidence_plan(F.col("question"), F.col("a")))
     v = rows.select("question_id", P.intent_view(F.col("a"), F.col("p")).alias("v"))
     return v.select("question_id", F.array_join("v.required", ",").alias("required"), F.array_join("v.optional", ",").alias("optional"), "v.visual", "v.general_ok", "v.min_visual_times")
 
@@ -57,10 +61,18 @@ def e_retrieval_plan(spark, d):
     return X.questions(spark).select("question_id", F.array_join(P.retrieval_queries(q, options), "|").alias("queries"))
 
 
-@query("e_relevance", "SELECT * FROM (VALUES (1, true, 'question_terms_overlap_video_metadata_or_transcript'), (2, true, 'question_asks_about_video_content_or_time'), (3, false, 'chat_smalltalk'), (4, false, 'empty_question'), (5, false, 'no_overlap_with_video_topic'), (6, true, 'conservative_relevance_possible')) v(id, relevant, reason)")
+_TITLE = "An introduction to Spark joins 学习 and the said"
+_TERMS = r"regexp_extract_all(question, '[A-Za-z0-9_\x{4e00}-\x{9fff}]{2,}')"
+
+
+@query("e_relevance", sql("asked", f"""x AS (SELECT question_id, question, trim(question) AS q, {_TERMS} AS terms FROM asked UNION ALL SELECT -1, ' ', '', [] UNION ALL SELECT -2, '你好', '你好', ['你好'] UNION ALL SELECT -3, '晚饭 吃饭', '晚饭 吃饭', ['晚饭', '吃饭']),
+ y AS (SELECT question_id, CASE WHEN q = '' THEN 'empty_question' WHEN q IN ({", ".join(f"'{w}'" for w in P.SMALL_TALK)}) THEN 'chat_smalltalk' WHEN len(list_filter(terms, lambda t: contains(lower('{_TITLE}'), lower(t)))) > 0 THEN 'question_terms_overlap_video_metadata_or_transcript'
+  WHEN {" OR ".join(f"contains(lower(q), '{w}')" for w in P.VIDEO_WORDS)} THEN 'question_asks_about_video_content_or_time' WHEN len(terms) <= 2 THEN 'no_overlap_with_video_topic' ELSE 'conservative_relevance_possible' END AS reason FROM x)
+ SELECT question_id, reason NOT IN ('empty_question', 'chat_smalltalk', 'no_overlap_with_video_topic') AS relevant, reason FROM y"""))
 def e_relevance(spark, d):
-    asked = spark.createDataFrame([(1, "tell me about Spark"), (2, "这个视频好吗"), (3, "你好"), (4, " "), (5, "晚饭 吃饭"), (6, "dinner recipe ideas tonight")], "id int, question string")
-    return asked.select("id", P.relevance(F.col("question"), F.lit("An introduction to Spark joins")).alias("r")).select("id", "r.*")
+    more = spark.createDataFrame([(-1, " "), (-2, "你好"), (-3, "晚饭 吃饭")], "question_id long, question string")
+    rows = X.asked(spark, d).union(more)
+    return rows.select("question_id", P.relevance(F.col("question"), F.lit(_TITLE)).alias("r")).select("question_id", "r.*")
 
 
 @query("e_memory_gate", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'current_video_only' WHEN event_id % 5 = 0 THEN 'search_history' WHEN event_id % 3 = 0 THEN 'current_video_only' WHEN event_id % 2 = 0 THEN 'search_history' ELSE 'current_video_only' END AS route, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 'config' WHEN event_id % 3 = 0 THEN 'fallback' WHEN event_id % 2 = 0 THEN 'llm' ELSE 'fallback' END AS source FROM events")
@@ -107,10 +119,10 @@ def s_frame_name_ts(spark, d):
     return X.table(spark, d, "events").select("event_id", P.frame_name_seconds(F.concat(F.lit("frame_"), F.col("event_id").cast("string"), F.lit("x5.jpg"))).alias("seconds"))
 
 
-@query("s_auto_refine", "SELECT question_id, question_id IN (9, 15, 20) AND question_id % 2 = 1 AS refine FROM generate_series(1, 20) t(question_id)")
+@query("s_auto_refine", sql("asked", f"SELECT question_id, {LOOKS_SQL} AND question_id % 2 = 1 AS refine FROM asked"))
 def s_auto_refine(spark, d):
     odd = F.col("question_id") % 2 == 1
-    return X.questions(spark).select("question_id", P.auto_refine(F.col("question"), F.when(odd, "low").otherwise("high"), F.lit(0.5)).alias("refine"))
+    return X.asked(spark, d).select("question_id", P.auto_refine(F.col("question"), F.when(odd, "low").otherwise("high"), F.lit(0.5)).alias("refine"))
 
 
 @query("s_abstain", sql("query_texts", "SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'insufficient_evidence' ELSE 'answered' END AS outcome FROM query_texts"))

@@ -107,7 +107,7 @@ _VEC = (
 )
 
 
-@query("g_vector_topk", sql("evidence query_texts", _VEC + " SELECT query_id, video_id, doc_id, round(score, 6) AS score, rank FROM vec WHERE rank <= 5"))
+@query("g_vector_topk", sql("evidence query_texts", _VEC + " SELECT query_id, video_id, doc_id, score, rank FROM vec WHERE rank <= 5"))
 def g_vector_topk(spark, d):
     return R.hybrid(X.evidence(spark, d), X.query_texts(spark, d), "vector", 5)
 
@@ -135,18 +135,18 @@ def g_rrf(spark, d):
     return R.reciprocal_rank_fusion([(a, 1.0), (b, 1.0)], ["cluster_id"], "vec_id", 10)
 
 
-@query("g_vector_store_search", "WITH v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v, v q WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+@query("g_vector_store_search", "WITH v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v, v q WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
 def g_vector_store_search(spark, d):
     e = X.table(spark, d, "embeddings")
-    return R.dense_top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).withColumn("score", F.round("score", 6))
+    return R.dense_top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
 
 
-@query("g_boosted_cosine", sql("evidence query_texts", _VEC + ", low AS (SELECT doc_id, lower(text) AS t FROM documents), qq AS (SELECT query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM query_texts) SELECT query_id, video_id, vec.doc_id, round(score + CASE WHEN len(list_filter(ws, lambda x: contains(t, x))) > 0 THEN 0.05 ELSE 0 END, 6) AS score FROM vec JOIN low USING (doc_id) JOIN qq USING (query_id) WHERE rank <= 5"))
+@query("g_boosted_cosine", sql("evidence query_texts", _VEC + ", low AS (SELECT doc_id, lower(text) AS t FROM documents), qq AS (SELECT query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM query_texts) SELECT query_id, video_id, vec.doc_id, score + CASE WHEN len(list_filter(ws, lambda x: contains(t, x))) > 0 THEN 0.05::DOUBLE ELSE 0 END AS score FROM vec JOIN low USING (doc_id) JOIN qq USING (query_id) WHERE rank <= 5"))
 def g_boosted_cosine(spark, d):
     top = R.sparse_top_k(X.evidence(spark, d), X.query_texts(spark, d), 5, ["speech", "frame_caption"]).drop("rank")
     q = X.query_texts(spark, d).select("query_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("ws"))
     rows = top.join(X.table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")), "doc_id").join(q, "query_id")
-    return rows.select("query_id", "video_id", "doc_id", F.round(F.col("score") + F.when(F.exists("ws", lambda w: F.contains(F.col("t"), w)), 0.05).otherwise(0.0), 6).alias("score"))
+    return rows.select("query_id", "video_id", "doc_id", (F.col("score") + F.when(F.exists("ws", lambda w: F.contains(F.col("t"), w)), 0.05).otherwise(0.0)).alias("score"))
 
 
 def _mmr_sql(first, later, k=3):
@@ -209,9 +209,9 @@ def s_cosine(spark, d):
     return v.join(b, "vec_id").select("vec_id", F.round(R.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
-@query("s_has_cjk", "SELECT question_id, question_id NOT IN (2, 4, 8, 13, 17) AS cjk FROM generate_series(1, 20) t(question_id)")
+@query("s_has_cjk", sql("asked", "SELECT question_id, regexp_matches(question, '[\\x{4e00}-\\x{9fff}]') AS cjk FROM asked"))
 def s_has_cjk(spark, d):
-    return X.questions(spark).select("question_id", T.has_cjk(F.col("question")).alias("cjk"))
+    return X.asked(spark, d).select("question_id", T.has_cjk(F.col("question")).alias("cjk"))
 
 
 @query("s_unique", sql("stages", "SELECT video_id, string_agg(stage, ',' ORDER BY o) AS stages FROM (SELECT video_id, stage, min(printf('%020d%010d', ts_us, event_id)) AS o FROM stages GROUP BY ALL) x GROUP BY 1"))

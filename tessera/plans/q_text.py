@@ -241,25 +241,48 @@ def b_escape_html(spark, d):
     return X.table(spark, d, "pages").select("page_id", T.escape_html(F.col("html")).alias("html"))
 
 
-@query("b_question_times", "SELECT * FROM (VALUES (1::BIGINT, '80.0'), (2, ''), (3, ''), (4, ''), (11, '1200.0|30.0|300.0'), (13, '125.0'), (19, '')) v(question_id, seconds)")
+#: Seconds of a clock in SQL, and the grammars without look-ahead: what may not follow is matched on a text whose other characters stand twice.
+_SECONDS = "list_reduce([x::DOUBLE for x in regexp_split_to_array({c}, '[:：]')], lambda a, b: a * 60 + b)"
+_RANGE_SQL = P.RANGE.replace("(?i)", "")
+_TWICE = "regexp_replace(rest, '([^0-9:：])', '\\1\\1', 'g')"
+TIMES_SQL = f"""q0 AS (SELECT question_id, question, regexp_replace(question, '(?i){_RANGE_SQL}', ' ', 'g') AS rest, regexp_extract_all(question, '(?i){_RANGE_SQL}', 1) AS ra, regexp_extract_all(question, '(?i){_RANGE_SQL}', 2) AS rb FROM asked),
+ q1 AS (SELECT *, regexp_extract_all({_TWICE}, '(?:^|[^0-9])((?:[0-9]{{1,2}}[:：])?[0-9]{{1,2}}[:：][0-9]{{2}})(?:[^0-9]|$)', 1) AS clocks, regexp_extract_all(rest, '{P.UNIT}', 1) AS nums, regexp_extract_all(rest, '{P.UNIT}', 2) AS units FROM q0),
+ times AS (SELECT question_id, question, list_concat([{_SECONDS.format(c="c")} for c in clocks], [nums[i]::DOUBLE * CASE WHEN regexp_matches(units[i], '(?i)^(分钟|minute)') THEN 60 ELSE 1 END for i in generate_series(1, len(nums))]) AS points,
+  list_filter([{{'a': {_SECONDS.format(c="ra[i]")}, 'b': {_SECONDS.format(c="rb[i]")}}} for i in generate_series(1, len(ra))], lambda p: p.b >= p.a) AS spans FROM q1)"""
+
+
+def _first_seen(values: str) -> str:
+    """SQL for a list's distinct values in order."""
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+
+@query("b_question_times", sql("asked", TIMES_SQL + f" SELECT question_id, array_to_string([round(x, 3)::VARCHAR for x in {_first_seen('points')}], '|') AS seconds FROM times"))
 def b_question_times(spark, d):
-    rows = X.questions(spark).where("question_id IN (1, 2, 3, 4, 11, 13, 19)")
-    return rows.select("question_id", F.array_join(F.transform(P.point_times(F.col("question")), lambda x: x.cast("string")), "|").alias("seconds"))
+    return X.asked(spark, d).select("question_id", F.array_join(F.transform(P.point_times(F.col("question")), lambda x: F.round(x, 3).cast("string")), "|").alias("seconds"))
 
 
-@query("b_question_intervals", "SELECT * FROM (VALUES (2::BIGINT, 30.0::DOUBLE, 90.0::DOUBLE), (19, 750.0, 825.0)) v(question_id, start_s, end_s)")
+@query("b_question_intervals", sql("asked", TIMES_SQL + " SELECT DISTINCT question_id, s.a AS start_s, s.b AS end_s FROM (SELECT question_id, unnest(spans) AS s FROM times) x"))
 def b_question_intervals(spark, d):
-    return X.questions(spark).select("question_id", F.explode(P.intervals(F.col("question"))).alias("i")).select("question_id", F.col("i.start").alias("start_s"), F.col("i.end").alias("end_s"))
+    return X.asked(spark, d).select("question_id", F.explode(P.intervals(F.col("question"))).alias("i")).select("question_id", F.col("i.start").alias("start_s"), F.col("i.end").alias("end_s"))
+
 
+_CN = "CASE WHEN t = '十' THEN 10 WHEN starts_with(t, '十') THEN 10 + {r} WHEN contains(t, '十') THEN {l} * 10 + {r} WHEN length(t) = 1 THEN {w} END"
+_CN_DIGIT = "coalesce(list_position(['一', '二', '三', '四', '五', '六', '七', '八', '九'], replace({x}, '两', '二')), 0)"
+_CN_SQL = _CN.format(r=_CN_DIGIT.format(x="split_part(t, '十', -1)"), l=_CN_DIGIT.format(x="split_part(t, '十', 1)"), w=_CN_DIGIT.format(x="t"))
+ANCHORS_SQL = f"""n AS (SELECT question_id, question, list_concat([{_SECONDS.format(c="c")} for c in regexp_extract_all(question, '{P.ANCHOR}', 1)], [x::DOUBLE * 60 for x in regexp_extract_all(question, '([0-9]+(?:\\.[0-9]+)?)\\s*分钟', 1)],
+  [60.0::DOUBLE * {_CN_SQL} for t in regexp_extract_all(question, '{P.CHINESE_MINUTES}', 1) if ({_CN_SQL}) > 0],
+  [x::DOUBLE for x in regexp_extract_all(question, '([0-9]+(?:\\.[0-9]+)?)\\s*秒', 1)], CASE WHEN contains(question, '开头') THEN [0.0::DOUBLE] ELSE [] END, CASE WHEN contains(question, '结尾') THEN [240.0::DOUBLE] ELSE [] END) AS found FROM asked),
+ r AS (SELECT question_id, found, [round_even(x, 0) for x in found] AS near FROM n)"""
 
-@query("b_time_anchors", "SELECT * FROM (VALUES (1::BIGINT, '80.0'), (2, '30.0|90.0'), (3, '600.0'), (11, '1200.0|30.0'), (12, '0.0'), (13, '125.0'), (19, '750.0|825.0'), (20, '1500.0')) v(question_id, anchors)")
+
+@query("b_time_anchors", sql("asked", ANCHORS_SQL + """ SELECT question_id, array_to_string([x::VARCHAR for x in list_filter(found, lambda x, i: list_position(near, near[i]) = i)], '|') AS anchors FROM r WHERE len(found) > 0"""))
 def b_time_anchors(spark, d):
-    return X.questions(spark).select("question_id", F.array_join(F.transform(P.time_anchors(F.col("question"), F.lit(300.0)), lambda x: x.cast("string")), "|").alias("anchors")).where("anchors <> ''")
+    return X.asked(spark, d).select("question_id", F.array_join(F.transform(P.time_anchors(F.col("question"), F.lit(300.0)), lambda x: x.cast("string")), "|").alias("anchors")).where("anchors <> ''")
 
 
-@query("b_choices", "SELECT * FROM (VALUES (4::BIGINT, 'A. red|B. blue|C. green')) v(question_id, choices)")
+@query("b_choices", sql("asked", f"SELECT question_id, array_to_string([x.k || '. ' || x.v for x in c], '|') AS choices FROM (SELECT question_id, CHOICES AS c FROM asked) x WHERE len(c) > 0".replace("CHOICES", r"list_filter(list_transform(string_split(question, chr(10)), lambda l: regexp_extract(l, '^\s*([A-H])\s*[.、):：]\s*(.+?)\s*$', ['k', 'v'])), lambda x: x.k <> '')")))
 def b_choices(spark, d):
-    return X.questions(spark).select("question_id", F.array_join(P.choices(F.col("question")), "|").alias("choices")).where("choices <> ''")
+    return X.asked(spark, d).select("question_id", F.array_join(P.choices(F.col("question")), "|").alias("choices")).where("choices <> ''")
 
 
 @query("b_stable_id", "SELECT doc_id, substr(sha256(concat_ws(chr(31), source, text)), 1, 24) AS id FROM documents")
@@ -303,16 +326,6 @@ def b_query_expand(spark, d):
     return q.union(q.where(F.contains(F.lower("text"), F.lit("the"))).select("query_id", F.regexp_replace("text", "(?i)the", "THE_ENTITY")))
 
 
-@query("e_route_question", "SELECT question_id, CASE WHEN question_id = 5 THEN 'fast' ELSE 'full' END AS mode, CASE WHEN question_id = 5 THEN 'simple_current_video_entity_fact' WHEN question_id = 10 THEN 'empty_or_cross_video_scope' WHEN question_id IN (6, 8, 9, 13, 14, 15, 20) THEN 'temporal_explanation_comparison_or_explicit_visual_detail' ELSE 'not_high_confidence_simple_fact' END AS reason FROM generate_series(1, 20) t(question_id)")
-def e_route_question(spark, d):
-    return X.questions(spark).select("question_id", R.route_question(F.col("question")).alias("r")).select("question_id", "r.mode", "r.reason")
-
-
-@query("e_needs_visual", "SELECT question_id, question_id IN (9, 15, 20) AS visual FROM generate_series(1, 20) t(question_id)")
-def e_needs_visual(spark, d):
-    return X.questions(spark).select("question_id", R.needs_visual(F.col("question")).alias("visual"))
-
-
 def _any(said: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({said}), '{w.lower()}')" for w in words) + ")"
 
@@ -321,11 +334,22 @@ def _holds(said: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({said}, '{w}')" for w in words) + ")"
 
 
-_LOOKS = f"(CASE WHEN {_holds('question', R.ACTION_ADVICE)} AND NOT {_holds('question', R.ADVICE_VISUALS)} THEN false ELSE {_any('question', R.QUESTION_VISUAL_HINTS)} END)"
+LOOKS_SQL = f"(CASE WHEN {_holds('question', R.ACTION_ADVICE)} AND NOT {_holds('question', R.ADVICE_VISUALS)} THEN false ELSE {_any('question', R.QUESTION_VISUAL_HINTS)} END)"
+
+
+@query("e_route_question", sql("asked", f"""q AS (SELECT question_id, trim(question) AS q FROM asked), r AS (SELECT question_id, CASE WHEN q = '' OR regexp_matches(q, '{R.CROSS_VIDEO}') THEN 1 WHEN regexp_matches(q, '{R.COMPLEX}') OR regexp_matches(q, '{R.UI_DETAIL}') THEN 2 WHEN regexp_matches(q, '{R.ENTITY_FACT}') THEN 3 ELSE 4 END AS k FROM q)
+ SELECT question_id, CASE k WHEN 3 THEN 'fast' ELSE 'full' END AS mode, CASE k WHEN 1 THEN 'empty_or_cross_video_scope' WHEN 2 THEN 'temporal_explanation_comparison_or_explicit_visual_detail' WHEN 3 THEN 'simple_current_video_entity_fact' ELSE 'not_high_confidence_simple_fact' END AS reason FROM r"""))
+def e_route_question(spark, d):
+    return X.asked(spark, d).select("question_id", R.route_question(F.col("question")).alias("r")).select("question_id", "r.mode", "r.reason")
+
+
+@query("e_needs_visual", sql("asked", f"SELECT question_id, {LOOKS_SQL} AS visual FROM asked"))
+def e_needs_visual(spark, d):
+    return X.asked(spark, d).select("question_id", R.needs_visual(F.col("question")).alias("visual"))
 
 
 @query("e_modality_weight", sql("items questions", f"""x AS (SELECT video_id, item_ord, trim(text) AS said, CASE item_ord % 3 WHEN 0 THEN '' WHEN 1 THEN speaker || ' shows a demo' ELSE trim(text) END AS seen, item_ord % 2 = 0 AS frames, (video_id + item_ord) % 21 AS question_id FROM items),
- y AS (SELECT x.*, coalesce({_LOOKS}, false) AS looks FROM x LEFT JOIN questions USING (question_id)),
+ y AS (SELECT x.*, coalesce({LOOKS_SQL}, false) AS looks FROM x LEFT JOIN questions USING (question_id)),
  z AS (SELECT *, least(1.0, length(said) / 220.0::DOUBLE) AS t, greatest(CASE WHEN frames THEN 0.15 ELSE 0 END, least(0.8, length(seen) / 180.0::DOUBLE), CASE WHEN {_any("said || ' ' || seen", R.VISUAL_HINTS)} THEN 0.35 ELSE 0 END, CASE WHEN looks THEN 0.45 ELSE 0 END)::DOUBLE AS v FROM y)
  SELECT video_id, item_ord, CASE WHEN t + v > 0 THEN round(t / (t + v), 3) ELSE 0 END::DOUBLE AS text_share, CASE WHEN t + v > 0 THEN round(v / (t + v), 3) ELSE 0 END::DOUBLE AS vision_share FROM z"""))
 def e_modality_weight(spark, d):
@@ -346,10 +370,15 @@ def e_route_modality(spark, d):
     return R.route_modality(videos, items)
 
 
-@query("e_question_context", "SELECT question_id, question_id = 8 AS whole_video, question_id IN (9, 13) AS visual_hint, question_id IN (3, 12, 17) AS speech_hint, CASE question_id WHEN 7 THEN 'sequence' WHEN 8 THEN 'stage' WHEN 13 THEN 'before_after' WHEN 19 THEN 'transition' ELSE 'none' END AS relation, question_id = 4 AS choice_based FROM generate_series(1, 20) t(question_id)")
+#: In SQL: the relation of a question, and whether it lists choices.
+RELATION_SQL = "CASE " + " ".join(f"WHEN regexp_matches(question, '{p}') THEN '{n}'" for n, p in R.RELATIONS) + " ELSE 'none' END"
+CHOICES_SQL = r"list_filter(list_transform(string_split(question, chr(10)), lambda l: regexp_extract(l, '^\s*([A-H])\s*[.、):：]\s*(.+?)\s*$', ['k', 'v'])), lambda x: x.k <> '')"
+
+
+@query("e_question_context", sql("asked", f"SELECT question_id, regexp_matches(question, '{R.WHOLE_VIDEO}') AS whole_video, regexp_matches(question, '{R.EXPLICIT_VISUAL}') AS visual_hint, regexp_matches(question, '{R.EXPLICIT_SPEECH}') AS speech_hint, {RELATION_SQL} AS relation, len({CHOICES_SQL}) > 0 AS choice_based FROM asked"))
 def e_question_context(spark, d):
     q = F.col("question")
-    return X.questions(spark).select(
+    return X.asked(spark, d).select(
         "question_id", q.rlike(R.WHOLE_VIDEO).alias("whole_video"), q.rlike(R.EXPLICIT_VISUAL).alias("visual_hint"), q.rlike(R.EXPLICIT_SPEECH).alias("speech_hint"),
         R.temporal_relation(q).alias("relation"), (F.size(P.choices(q)) > 0).alias("choice_based"),
     )

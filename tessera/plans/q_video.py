@@ -11,6 +11,7 @@ from tessera.operators import frames as V
 from tessera.operators import intervals as I
 from tessera.operators import segment as S
 from tessera.operators import story as N
+from tessera.plans.q_text import ANCHORS_SQL, LOOKS_SQL
 from tessera.plans.registry import query
 from tessera.sources import fixtures as X
 from tessera.sources.fixtures import sql
@@ -193,11 +194,11 @@ def d_refine_attach(spark, d):
     return rows.select("video_id", "segment", F.array_join("f", ",").alias("frames"), F.size("f").cast("long").alias("n"))
 
 
-@query("d_refine_trigger", "SELECT question_id, question_id IN (9, 15, 20) OR question_id % 5 = 0 AS refine FROM generate_series(1, 20) t(question_id)")
+@query("d_refine_trigger", sql("asked", f"SELECT question_id, {LOOKS_SQL} OR question_id % 5 = 0 AS refine FROM asked"))
 def d_refine_trigger(spark, d):
     from tessera.functions.routing import needs_visual
 
-    return X.questions(spark).select("question_id", (needs_visual(F.col("question")) | (F.col("question_id") % 5 == 0)).alias("refine"))
+    return X.asked(spark, d).select("question_id", (needs_visual(F.col("question")) | (F.col("question_id") % 5 == 0)).alias("refine"))
 
 
 @query("d_fps_policy", sql("items", _DUR + " SELECT video_id, CASE video_id % 3 WHEN 0 THEN 0.016667 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS fps, least(600, ceil(duration * CASE video_id % 3 WHEN 0 THEN 1.0::DOUBLE / 60 WHEN 1 THEN 0.5 ELSE 1.0 END))::BIGINT AS max_frames FROM v"))
@@ -395,13 +396,13 @@ def h_audit(spark, d):
     return C.audit(nodes, s)
 
 
-@query("h_plan", "SELECT question_id, CASE WHEN question_id IN (1, 2, 3, 11, 12, 13, 19, 20) THEN 'time_window' WHEN question_id IN (9, 15) THEN 'visual_refine' ELSE 'text_only' END AS action FROM generate_series(1, 20) t(question_id)")
+@query("h_plan", sql("asked", ANCHORS_SQL.replace("contains(question, '结尾')", "false") + f" SELECT asked.question_id, CASE WHEN len(found) > 0 THEN 'time_window' WHEN {LOOKS_SQL} THEN 'visual_refine' ELSE 'text_only' END AS action FROM asked JOIN r USING (question_id)"))
 def h_plan(spark, d):
     from tessera.functions.routing import needs_visual
     from tessera.functions.timeparse import time_anchors
 
     q = F.col("question")
-    return X.questions(spark).select("question_id", F.when(F.size(time_anchors(q)) > 0, "time_window").when(needs_visual(q), "visual_refine").otherwise("text_only").alias("action"))
+    return X.asked(spark, d).select("question_id", F.when(F.size(time_anchors(q)) > 0, "time_window").when(needs_visual(q), "visual_refine").otherwise("text_only").alias("action"))
 
 
 # --- storylines ---------------------------------------------------------------------------------------------------

@@ -92,3 +92,14 @@ def notes(rows: DataFrame, key: str, order: str, line: Column) -> DataFrame:
     """(key, note): lines of a note in order, one note a key."""
     lines = rows.select(key, F.struct(F.col(order).alias("o"), line.alias("l")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x"))
     return lines.select(key, F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias("note"))
+
+
+def frame_paths(wanted: DataFrame, files: DataFrame, frame: str) -> DataFrame:
+    """wanted with the first path whose file is named like its frame, null without any. files: (path)."""
+    named = files.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias(frame)).groupBy(frame).agg(F.min("path").alias("path"))
+    return wanted.join(named, frame, "left")
+
+
+def append_once(log: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """The blocks that the log does not hold yet, each once."""
+    return blocks.dropDuplicates([key]).join(log.select(key), key, "left_anti")

@@ -82,6 +82,12 @@ def questions(spark) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "question_id long, question string")
 
 
+def asked(spark, d) -> DataFrame:
+    """The questions, and every turn of the conversations as one: (question_id, question)."""
+    turns = table(spark, d, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("question_id"), F.col("text").alias("question"))
+    return questions(spark).union(turns.where("question IS NOT NULL"))
+
+
 def _values(rows, names: str) -> str:
     quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else "NULL" if x is None else str(x) for x in row) + ")" for row in rows)
     return f"SELECT * FROM (VALUES {quoted}) AS v({names})"
@@ -108,6 +114,7 @@ SQL = {
         CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) + 1800 AS end_s FROM events""",
     "questions": f"SELECT CAST(question_id AS BIGINT) AS question_id, question FROM ({_values(QUESTIONS, 'question_id, question')}) q",
 }
+SQL["asked"] = f"SELECT question_id, question FROM ({SQL['questions']}) q UNION ALL SELECT CAST(1000 + conv_id * 1000 + turn AS BIGINT), text FROM conversations WHERE text IS NOT NULL"
 
 
 def sql(names: str, body: str, recursive: bool = False) -> str:

@@ -13,3 +13,16 @@ def materialise(df: DataFrame) -> DataFrame:
     if folder and context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True) if context.getCheckpointDir() else df.persist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt over all cores before a step that costs more than a shuffle of it.
+
+    Only files that come in fewer partitions than there are cores are dealt; larger inputs, and what has been shuffled
+    already, stay as they are.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
