@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import spread
+
 #: Rows in an Arrow batch: long documents stay a few MB a batch.
 BATCH_ROWS = 512
 
@@ -118,7 +120,7 @@ def map_texts(df: DataFrame, schema: str, make, columns: list[str]) -> DataFrame
         del fn
         tidy()
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return spread(df.select(*columns)).mapInArrow(run, schema)
 
 
 def text_column(make, returns: str):

@@ -603,24 +603,28 @@ def carve(blob: bytes, found: list[dict]) -> list[bytes]:
 
 
 def read_back(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) for every row of docs.
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media_type, corrected,
+    embedded) for every row of docs.
 
-    The media column is sniffed, the WAV at its start carved by its checked length, and its samples read back.
+    The media column is sniffed, the WAV at its start carved by its checked length, and its samples read back. media_type is
+    what the column really holds, corrected whether that was declared otherwise, embedded how many media of any kind
+    stand inside it.
     """
 
     def make():
-        def fn(ids, sizes, blobs, types, found):
+        def fn(ids, sizes, blobs, types, corrected, found):
             out = []
-            for blob, kind, media in zip(blobs, types, found):
+            for blob, kind, wrong, media in zip(blobs, types, corrected, found):
                 whole = next((carve(blob, [m])[0] for m in media if m["start"] == 0 and m["type"] == "audio/wav"), b"")
                 samples = from_wav(whole)
-                out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), f"{kind};{features(samples)}"))
-            return (ids, sizes, *([x[i] for x in out] for i in range(6)))
+                inside = sum(m["start"] > 0 for m in media)
+                out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), f"{kind};{features(samples)}", kind, wrong, inside))
+            return (ids, sizes, *([x[i] for x in out] for i in range(9)))
 
         return fn
 
     seen = inspect_media(to_media(docs), ["doc_id", "n_bytes"])
     return map_texts(
-        seen, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
-        make, ["doc_id", "n_bytes", "media", "type", "found"],
+        seen, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean, embedded long",
+        make, ["doc_id", "n_bytes", "media", "type", "corrected", "found"],
     )

@@ -163,4 +163,7 @@ def test_query(spark, sf_dir):
         payload, n = M.payload_of(text)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert r["media_sha256"] == hashlib.sha256(M.to_wav(payload)).hexdigest() and r["media_bytes"] == len(payload) + 44 and r["feature"].startswith("audio/wav;")
+        assert (r["media_type"], r["corrected"], r["embedded"]) == ("audio/wav", True, 0)
     assert len(got) == 6 and M.read_back(docs.where("false")).count() == 0
+    held = spark.createDataFrame([(1, "look: P5\n2 2 255\nabcd and P6\n1 1 255\nxyz.", "x")], "doc_id long, text string, media string")
+    assert M.read_back(held).first()["embedded"] == 2
