@@ -140,16 +140,23 @@ def text_column(make, returns: str):
     return F.pandas_udf(run, returns)
 
 
+#: Buckets whose sums are accumulated together, before the sums of these groups are.
+FANOUT = 64
+
+
 def running_before(df: DataFrame, group: list[str], bucket: str, order: list, value: Column, name: str) -> DataFrame:
-    """Sum of ``value`` over the rows before each row of its group, in the order of (bucket, order).
+    """Sum of ``value`` over the rows before each row of its group, in the order of (bucket, order); buckets are numbers.
 
-    Two levels: sums by bucket are accumulated first, rows only inside their bucket, so that a group of any
-    size is dealt over as many tasks as it has buckets.
+    Three levels: the sums of every FANOUT buckets together, of the buckets among these, and of the rows inside their
+    bucket, so that a group of any size is dealt over as many tasks as it has buckets, and a window over all of a
+    group holds a FANOUT-th of its buckets.
     """
     rows = df.withColumn("_v", value)
-    sums = rows.groupBy(*group, bucket).agg(F.sum("_v").alias("_s"))
-    w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*group, bucket, F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    near = rows.withColumn("_near", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
+    sums = rows.groupBy(*group, bucket).agg(F.sum("_v").alias("_s")).withColumn("_g", F.floor(F.col(bucket) / FANOUT))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    tops = sums.groupBy(*group, "_g").agg(F.sum("_s").alias("_t"))
+    tops = tops.select(*group, "_g", F.coalesce(F.sum("_t").over(before.partitionBy(*group).orderBy("_g")), F.lit(0)).alias("_top"))
+    mid = F.coalesce(F.sum("_s").over(before.partitionBy(*group, "_g").orderBy(bucket)), F.lit(0))
+    base = sums.withColumn("_mid", mid).join(tops, [*group, "_g"]).select(*group, bucket, (F.col("_top") + F.col("_mid")).alias("_base"))
+    near = rows.withColumn("_near", F.coalesce(F.sum("_v").over(before.partitionBy(*group, bucket).orderBy(*order)), F.lit(0)))
     return near.join(base, [*group, bucket]).withColumn(name, F.col("_base") + F.col("_near")).drop("_v", "_near", "_base")

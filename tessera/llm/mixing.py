@@ -99,7 +99,7 @@ def mixture(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS
     A source's documents, shuffled by hash, make a stream that is read again once it ends, ``most`` times at most. The
     source's slot of rank k takes block k of the stream, all blocks of equal words, so what a source gives is the number
     of its slots in blocks. Only two things shorten a block: the end of the stream, and, for the one slot of a source
-    too small for the schedule, its target. Positions in the stream are two-level sums over hash ranges, so a source of any
+    too small for the schedule, its target. Positions in the stream are sums by levels over hash ranges, so a source of any
     size is dealt over many tasks.
     """
     head = sources.agg(F.sum("n"), F.count("*")).first()
