@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.routing import SILENT
 from tessera.operators.intervals import interval_join
 
-SILENT = "silent video. no spoken transcript is available"
-
 
 def overlap_coefficient(a: Column, b: Column) -> Column:
     """Common distinct items over the smaller set; 0 if either is empty."""

@@ -354,39 +354,36 @@ def hybrid(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int
 def mmr(candidates: DataFrame, key: str, k: int, weight: float = 0.7, multimodal: bool = False, bonus: float = 0.08, least: float = 0.05) -> DataFrame:
     """(key, item, place): greedy choice of relevant items that differ; candidates: (key, item, relevance, embedding[, evidence_type]).
 
-    For retrieval's bounded candidate lists: a group is one Arrow batch of at most its list's depth. Ties fall to the
-    earlier item. Multimodal choice weighs types, rewards a type not chosen yet and leaves out what is barely relevant.
+    A round for each place: every key's best candidate is a partial aggregate, and its similarity to the key's other candidates
+    lowers their gains in the next round, so a key of any size stays dealt over its tasks. Ties fall to the earlier item.
+    Multimodal choice weighs types, rewards a type not chosen yet and leaves out what is barely relevant.
     """
-
-    def choose(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("item", kind="stable").reset_index(drop=True)
-        vectors = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        unit = vectors / np.where(norms == 0, 1, norms)
-        relevance = pdf["relevance"].to_numpy(float)
-        left = np.ones(len(pdf), bool)
-        gain = relevance.copy()
+    rows = candidates.select(key, "item", F.col("relevance").cast("double").alias("_r"), F.transform("embedding", lambda x: x.cast("double")).alias("_e"), *(["evidence_type"] if multimodal else []))
+    rows = rows.withColumn("_gain", F.col("_r")).withColumn("_worst", F.lit(0.0))
+    if multimodal:
+        factor = F.coalesce(F.create_map(*[F.lit(x) for p in MMR_WEIGHTS.items() for x in p])[F.col("evidence_type")], F.lit(1.0))
+        some = materialise(rows.groupBy(F.col(key).alias("_k")).agg(F.bool_or(F.col("_r") >= least).alias("_any")))
+        rows = rows.join(some, F.col(key) == F.col("_k")).where(~F.col("_any") | (F.col("_r") >= least)).drop("_any", "_k")
+        rows = rows.withColumn("_gain", F.col("_r") * factor).withColumn("_seen", F.array().cast("array<string>"))
+    places = []
+    for place in range(1, k + 1):
+        extra = F.when(~F.array_contains("_seen", F.col("evidence_type")) & (F.col("_gain") >= least), bonus).otherwise(0.0) if multimodal else F.lit(0.0)
+        now = F.round(F.col("_gain") + extra - weight * F.greatest(F.lit(0.0), "_worst"), 9)
+        kept = [F.col("item"), F.col("_e"), *([F.col("evidence_type")] if multimodal else [])]
+        best = materialise(rows.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*kept), F.struct(now.alias("g"), (-F.col("item")).alias("i"))).alias("_b")))
+        places.append(best.select(F.col("_k").alias(key), "_b.item", F.lit(place).cast("long").alias("place")))
+        if place == k:
+            break
+        near = cosine(F.col("_e"), F.col("_b._e"))
+        rows = rows.join(best, F.col(key) == F.col("_k")).where(F.col("item") != F.col("_b.item"))
+        rows = rows.withColumn("_worst", near if place == 1 else F.greatest("_worst", near))
         if multimodal:
-            kinds = pdf["evidence_type"].to_numpy()
-            gain = relevance * np.array([MMR_WEIGHTS.get(t, 1.0) for t in kinds])
-            if (relevance >= least).any():
-                left = relevance >= least
-        worst, seen, chosen = np.zeros(len(pdf)), set(), []
-        while left.any() and len(chosen) < k:
-            extra = np.array([bonus if t not in seen and g >= least else 0.0 for t, g in zip(kinds, gain)]) if multimodal else 0.0
-            now = np.where(left, np.round(gain + extra - weight * np.maximum(0, worst), 9), -np.inf)
-            best = int(np.argmax(now))
-            chosen.append(best)
-            left[best] = False
-            similar = unit @ unit[best]
-            worst = similar if len(chosen) == 1 else np.maximum(worst, similar)
-            if multimodal:
-                seen.add(kinds[best])
-        return pd.DataFrame({key: pdf[key].iloc[0], "item": pdf["item"].iloc[chosen].to_numpy(), "place": range(1, len(chosen) + 1)})
-
-    return candidates.groupBy(key).applyInPandas(choose, f"{key} long, item long, place long")
+            rows = rows.withColumn("_seen", F.array_union("_seen", F.array("_b.evidence_type")))
+        rows = rows.drop("_k", "_b")
+    out = places[0]
+    for p in places[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def coverage_sample(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
