@@ -28,6 +28,9 @@ ORC = {
 #: Words, and pieces of words, that a worker's memories hold in each of two generations, about 60 MB each.
 CACHE = 300_000
 
+#: Rows, or bytes of text, that are encoded together.
+GATHER_ROWS, GATHER_BYTES = 2048, 16 << 20
+
 #: The normalizer and pre-tokenizer that PIECE stands for, as the vocabulary's file states them (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 KNOWN = (
@@ -171,6 +174,23 @@ def encoder_of(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _gathered(batches):
+    """(doc_ids, texts) of several batches together, so that a word which they share is looked up once."""
+    held: list[pa.RecordBatch] = []
+
+    def out():
+        found = pa.concat_arrays([b.column(0).cast(pa.int64()) for b in held]), pa.concat_arrays([b.column(1).cast(pa.string()) for b in held])
+        held.clear()
+        return found
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHER_ROWS or sum(b.nbytes for b in held) >= GATHER_BYTES:
+            yield out()
+    if held:
+        yield out()
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Write (part, pos, doc_id, ids) in ascending doc_id order: file by file, and within each file.
 
@@ -185,10 +205,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
         from pyspark import TaskContext
 
         encoder, part, pos = encoder_of(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            ids = encoder.arrow(batch.column(1).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), batch.column(0).cast(pa.int64()), ids], schema=arrow)
+        for doc_ids, texts in _gathered(batches):
+            n = len(texts)
+            ids = encoder.arrow(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), doc_ids, ids], schema=arrow)
             pos += n
         tidy()
 
