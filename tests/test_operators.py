@@ -216,3 +216,58 @@ def test_url_rules(spark):
     safe = lambda u: one(spark, adapters.url_safe(F.lit(u)))
     assert safe("https://www.example.com/x") and not safe("http://localhost/") and not safe("http://10.0.0.1/") and not safe("http://u:p@example.com/") and not safe("file:///etc")
     assert one(spark, adapters.url_video_id(F.lit("https://v.example/watch?v=abc123_X&t=1"))) == "abc123_X"
+
+
+def test_restarts_are_bounded():
+    from tessera.operators.state import run_with_restarts
+
+    seen, waits, tries = [], [], iter([ValueError("429 slow down"), OSError("broken pipe\nmore"), "done"])
+
+    def job():
+        x = next(tries)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert run_with_restarts(job, lambda n, e: seen.append((n, str(e))), sleep=waits.append) == "done"
+    assert [n for n, _ in seen] == [1, 2] and waits == [30.0, 3.0]
+    with pytest.raises(RuntimeError, match="gave up after 1 restarts: always"):
+        run_with_restarts(lambda: (_ for _ in ()).throw(ValueError("always\nand more")), lambda n, e: None, limit=1, sleep=lambda s: None)
+
+
+def test_confident_aliases_only(spark):
+    from tessera.operators.entities import normalize_entities
+
+    rows = spark.createDataFrame([(1, "打开 WalkBody，然后点击按钮"), (2, None), (3, "walkbodyish workbuddy")], "segment_id long, text string")
+    got = {r["segment_id"]: r for r in normalize_entities(rows, [("Workbuddy", ["WalkBody", "workBUDDY"], 0.96)]).collect()}
+    assert got[1]["text"] == "打开 Workbuddy，然后点击按钮" and got[1]["raw"] == "打开 WalkBody，然后点击按钮" and got[1]["applied"]
+    assert [(x["raw"], x["canonical"]) for x in got[1]["replacements"]] == [("WalkBody", "Workbuddy")]
+    assert got[2]["text"] is None and not got[2]["applied"] and got[3]["text"] == "walkbodyish workbuddy" and got[3]["replacements"] == []
+    assert normalize_entities(rows, [("Workbuddy", ["WalkBody"], 0.6)]).where("applied").count() == 0
+
+
+def test_decay_by_type(spark):
+    """Constants of the kinds of memory, by hand."""
+    import math
+
+    rows = spark.createDataFrame([("speech", 0.015), ("frame_caption", 0.012), ("user_preference", 0.00375), ("model_summary", 0.009), ("user_verified", 0.00225), ("derived_insight", 0.0075), ("other", 0.015)], "memory_type string, alpha double")
+    got = rows.select("alpha", memory.decay_weight(F.lit(0.9), F.lit(30.0), F.lit(3), F.lit(2.0), memory.alpha_of(F.col("memory_type"))).alias("w")).collect()
+    for r in got:
+        assert r["w"] == pytest.approx(0.9 * math.exp(-r["alpha"] * 30) * (1 + 0.25 * math.log(4)) * 2)
+
+
+def test_related_rooms_by_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    own = {v: rng.sample("abcde", rng.randint(1, 4)) for v in range(40)}
+    rows = [(v, t, i) for v, ts in own.items() for i, t in enumerate(ts)]
+    want = set()
+    for v, ts in own.items():
+        best = {}
+        for o, others in own.items():
+            if o != v and (n := len(set(ts) & set(others))):
+                best[others[0]] = max(best.get(others[0], 0), n)
+        want |= {(v, room, n, i + 1) for i, (room, n) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:2])}
+    got = memory.related_rooms(spark.createDataFrame(rows, "video_id long, topic string, pos int")).select("video_id", "room", "overlap", "place").collect()
+    assert {tuple(r) for r in got} == want
