@@ -25,11 +25,11 @@ ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-#: Words, and pieces of words, that a worker's memories hold in each of two generations, about 60 MB each.
+#: Pieces of words that a worker's memory holds in each of two generations, about 60 MB each.
 CACHE = 300_000
 
-#: Rows, or bytes of text, that are encoded together.
-GATHER_ROWS, GATHER_BYTES = 2048, 16 << 20
+#: Rows, or bytes of text, that are encoded together: each of their distinct words is looked at once.
+GATHER_ROWS, GATHER_BYTES = 8192, 32 << 20
 
 #: The normalizer and pre-tokenizer that PIECE stands for, as the vocabulary's file states them (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -56,7 +56,7 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, with a memory of words and of their pieces.
+    """Ids of whole texts by the tokenizers library, with a memory of pieces of words.
 
     White space always ends a piece and leaves no id, so a text's ids are those of its words in turn, and a word's
     those of its pieces, each of which the library's model encodes once. A word with any character beyond plain
@@ -75,7 +75,7 @@ class WordEncoder:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.byte_chars = {b: chr(b if b in shown else next(rest)) for b in range(256)}
-        self.words, self.pieces = _Memory(), _Memory()
+        self.pieces = _Memory()
 
     def piece(self, text: str) -> bytes:
         """The model's ids of one piece."""
@@ -86,25 +86,24 @@ class WordEncoder:
         """Ids by the library's whole pipeline."""
         return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words without white space."""
-        return self.words.of(words, self.learn)
-
-    def learn(self, words: list[str]) -> list[bytes]:
-        """Ids of words that the memory does not hold: plain ones by their pieces, others by the whole pipeline."""
-        if ODD.search("".join(words)):
-            odd = [w for w in words if ODD.search(w)]
-            plain = [w for w in words if not ODD.search(w)]
-            found = dict(zip(odd, self.whole(odd))) | dict(zip(plain, self.learn(plain)))
-            return [found[w] for w in words]
+    def lists(self, words: list[str]) -> pa.ListArray:
+        """Ids of distinct words without white space: plain ones by their pieces, others by the whole pipeline."""
         if not words:
-            return []
-        pieces = PIECE.findall("\n".join(words).lower() + "\n")
-        distinct = list(set(pieces))
-        values = dict(zip(distinct, self.pieces.of(distinct, lambda new: [_STOP if p == "\n" else self.piece(p) for p in new])))
-        raw = b"".join(map(values.__getitem__, pieces))
-        stops = (4 * np.flatnonzero(np.frombuffer(raw, dtype=np.int32) == -1)).tolist()
-        return [raw[a:b] for a, b in zip([0, *[x + 4 for x in stops]], stops)]
+            return _lists([])
+        odd = [i for i, w in enumerate(words) if ODD.search(w)] if ODD.search("".join(words)) else []
+        plain = list(words) if odd else words
+        for i in odd:
+            plain[i] = ""
+        pieces = PIECE.findall("\n".join(plain).lower() + "\n")
+        self.pieces.of(list(set(pieces)), lambda new: [_STOP if p == "\n" else self.piece(p) for p in new])
+        ids = np.frombuffer(b"".join(map(self.pieces.now.__getitem__, pieces)), dtype=np.int32)
+        stops = np.flatnonzero(ids == -1)
+        found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops - np.arange(len(stops))]).astype(np.int32)), pa.array(ids[ids != -1]))
+        if odd:
+            place = np.arange(len(words))
+            place[odd] = len(words) + np.arange(len(odd))
+            found = pa.concat_arrays([found, _lists(self.whole([words[i] for i in odd]))]).take(pa.array(place))
+        return found
 
     def arrow(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text of a string array, the end id last."""
@@ -112,7 +111,7 @@ class WordEncoder:
             return _lists([x + _END for x in self.whole([t or "" for t in texts.to_pylist()])])
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        flat = _lists(self.ids(_strings(coded.dictionary))).take(coded.indices)
+        flat = self.lists(_strings(coded.dictionary)).take(coded.indices)
         # the ids of a text: those of its words, and the end id after them
         ends = flat.offsets.to_numpy()[split.offsets.to_numpy() - split.offsets[0].as_py()]
         ids = np.insert(flat.flatten().to_numpy(), ends[1:], np.int32(END))
@@ -175,7 +174,7 @@ def encoder_of(path: str) -> WordEncoder:
 
 
 def _gathered(batches):
-    """(doc_ids, texts) of several batches together, so that a word which they share is looked up once."""
+    """(doc_ids, texts) of several batches together."""
     held: list[pa.RecordBatch] = []
 
     def out():
