@@ -16,6 +16,8 @@ MOST = 2.0
 #: source of a thousandth of it still comes within about a hundredth of its target.
 BLOCK_WORDS = 1024
 LEAST_SLOTS = 1 << 18
+#: Share of its target by which a source's blocks may miss it.
+NEAR = 0.01
 #: The golden ratio's fractional part, times 2**64.
 GOLDEN = 11400714819323198485
 #: Up to so many sources, their table is broadcast; beyond, it is joined like any other.
@@ -65,8 +67,8 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, least_slots: in
 
     There are as many slots as blocks go into all targets. Slot j's point is the fractional part of (j + 1) golden
     ratios; the source is the one whose stretch of the cumulative targets holds it. Stretches are met through bins of
-    the unit interval, an equi-join. Any run of slots serves each source by its share to within a few slots. A source
-    whose stretch is too short for any point gets one slot at the end.
+    the unit interval, an equi-join. Any run of slots serves each source by its share to within a few slots. Where those
+    few are more than NEAR of a source's target, for it has hardly any slots, it gets the missing ones at the end.
     """
     spark = sources.sparkSession
     head = sources.agg(F.sum("target"), F.count("*"), F.max("sid")).first()
@@ -86,8 +88,11 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, least_slots: in
     if count <= BROADCAST_SOURCES:
         binned = F.broadcast(binned)
     taken = points.join(binned, "bin").where("u >= low AND u < high").select("slot", "sid")
-    none = sources.where("target > 0").select("sid").join(taken.select("sid").distinct(), "sid", "left_anti")
-    taken = cut(taken.unionByName(none.select((F.lit(slots) + F.col("sid")).cast("long").alias("slot"), "sid")))
+    taken = cut(taken)
+    goal = F.round("target").cast("long")
+    held = sources.where("target > 0").join(taken.groupBy("sid").agg(F.count("*").alias("_n")), "sid", "left").select("sid", goal.alias("_goal"), F.coalesce("_n", F.lit(0)).alias("_n"))
+    short = held.where(F.col("_goal") - F.col("_n") * block > NEAR * F.col("_goal")).withColumn("_j", F.explode(F.expr(f"sequence(0L, cast(ceil(_goal / {block}) as bigint) - _n - 1L)")))
+    taken = taken.unionByName(short.select((F.lit(slots) + F.col("_j") * (count + 1) + F.col("sid")).cast("long").alias("slot"), "sid"))
     chunk = max(64, int(slots**0.5) // 4)
     ranked = running_before(taken.withColumn("chunk", F.floor(F.col("slot") / chunk)), ["sid"], "chunk", ["slot"], F.lit(1), "k")
     return ranked.select("slot", "sid", F.col("k").cast("long").alias("k")), block
@@ -98,8 +103,8 @@ def mixture(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS
 
     A source's documents, shuffled by hash, make a stream that is read again once it ends, ``most`` times at most. The
     source's slot of rank k takes block k of the stream, all blocks of equal words, so what a source gives is the number
-    of its slots in blocks. Only two things shorten a block: the end of the stream, and, for the one slot of a source
-    too small for the schedule, its target. Positions in the stream are sums by levels over hash ranges, so a source of any
+    of its slots in blocks. Only two things shorten a block: the end of the stream, and the target of a source of so few
+    slots that whole blocks would miss it by more than NEAR. Positions in the stream are sums by levels over hash ranges, so a source of any
     size is dealt over many tasks.
     """
     head = sources.agg(F.sum("n"), F.count("*")).first()
@@ -108,8 +113,8 @@ def mixture(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS
     plan, block = schedule(sources, block_words, least_slots, step)
     plan = cut(plan)
     slots = plan.groupBy("sid").agg(F.count("*").alias("slots"))
-    goal = F.when(F.col("slots") > 1, F.col("slots") * F.lit(block)).otherwise(F.least(F.lit(block), F.round("target").cast("long")))
-    upto = F.least(goal, F.floor(F.col("source_size") * F.lit(MOST)).cast("long"))
+    given, goal = F.col("slots") * F.lit(block), F.round("target").cast("long")
+    upto = F.least(F.when(F.abs(given - goal) > NEAR * goal, goal).otherwise(given), F.floor(F.col("source_size") * F.lit(MOST)).cast("long"))
     own = sources.join(slots, "sid").select("sid", "source", "n", "source_size", upto.alias("upto"))
     rows = sizes.where("size > 0").join(F.broadcast(own) if few else own, sizes["source"].eqNullSafe(own["source"])).drop("source")
     buckets = F.ceil(F.col("n") / per)
@@ -126,7 +131,7 @@ def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, least_slots: in
     """(rid, doc_id, source, size, source_size, target, taken, first_slot) for every row of docs.
 
     taken: the words that the slots of the schedule take of it; first_slot: the first of these slots, null without any,
-    whose order is that of the mix. A source's taken words differ from its target by a few blocks at most. Null and
+    whose order is that of the mix. A source's taken words are within NEAR of its target, and a word. Null and
     blank texts have size 0 and nothing taken; a null source is a source of its own, the last; repeated
     rows are documents of their own; an empty table gives none. Ties of the shuffle are broken by doc_id and size.
     """
