@@ -25,11 +25,11 @@ ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-#: Pieces of words that a worker's memory holds in each of two generations, about 60 MB each.
-CACHE = 300_000
+#: Pieces of words that a worker's memory holds in each of two generations, about 40 MB each.
+CACHE = 200_000
 
 #: Rows, or bytes of text, that are encoded together: each of their distinct words is looked at once.
-GATHER_ROWS, GATHER_BYTES = 8192, 32 << 20
+GATHER_ROWS, GATHER_BYTES = 8192, 12 << 20
 
 #: The normalizer and pre-tokenizer that PIECE stands for, as the vocabulary's file states them (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -110,10 +110,12 @@ class WordEncoder:
         if not self.plain:
             return _lists([x + _END for x in self.whole([t or "" for t in texts.to_pylist()])])
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.flatten().dictionary_encode()
+        starts, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        del split
         flat = self.lists(_strings(coded.dictionary)).take(coded.indices)
+        del coded
         # the ids of a text: those of its words, and the end id after them
-        ends = flat.offsets.to_numpy()[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        ends = flat.offsets.to_numpy()[starts - starts[0]]
         ids = np.insert(flat.flatten().to_numpy(), ends[1:], np.int32(END))
         return pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(ids))
 
