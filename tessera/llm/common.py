@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,3 +162,55 @@ def running_before(df: DataFrame, group: list[str], bucket: str, order: list, va
     base = sums.withColumn("_mid", mid).join(tops, [*group, "_g"]).select(*group, bucket, (F.col("_top") + F.col("_mid")).alias("_base"))
     near = rows.withColumn("_near", F.coalesce(F.sum("_v").over(before.partitionBy(*group, bucket).orderBy(*order)), F.lit(0)))
     return near.join(base, [*group, bucket]).withColumn(name, F.col("_base") + F.col("_near")).drop("_v", "_near", "_base")
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Number of each row in its group, from 0, by ``order``; equal rows are numbered in some order. The result is written.
+
+    Rows are dealt by ranges of (group, order) and a number of their own, so that a group, or a row that repeats, of any
+    size is dealt over many tasks. Each task counts through its sorted rows; the rows that a partition's first group has in
+    earlier ones are added from a table of one row a partition, whose size the number of partitions bounds.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    keys = [*group, *order, "_tie"]
+    rows = cut(df.withColumn("_tie", F.monotonically_increasing_id()))
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    schema = dealt.withColumns({"_near": F.lit(0).cast("long"), "_pos": F.lit(0).cast("long"), "_opens": F.lit(True)}).schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        pos, start, opened, before = 0, 0, True, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, own = batch.num_rows, [batch.column(c) for c in group]
+            if before is None:
+                before = [c.slice(0, 1) for c in own]
+            new = np.zeros(n, bool)
+            for c, b in zip(own, before):
+                new |= _differs(pa.concat_arrays([b, c.slice(0, n - 1)]), c)
+            before = [c.slice(n - 1, 1) for c in own]
+            at = pos + np.arange(n)
+            starts = np.maximum.accumulate(np.where(new, at, start))
+            opens = opened & ~np.maximum.accumulate(new)
+            extra = [pa.array(at - starts), pa.array(at), pa.array(opens)]
+            yield pa.RecordBatch.from_arrays([*(x.cast(f.type) for x, f in zip(batch.columns, arrow)), *extra], schema=arrow)
+            pos, start, opened = pos + n, int(starts[-1]), bool(opens[-1])
+
+    found = cut(dealt.mapInArrow(run, schema))
+    last = F.max_by(F.struct(*group), "_pos").alias("last")
+    parts = found.groupBy("_part").agg(F.min_by(F.struct(*group), "_pos").alias("first"), last, (F.max_by("_near", "_pos") + 1).alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("last").orderBy("_part"))
+    parts = parts.withColumn("so_far", so_far)
+    by_part = Window.orderBy("_part")
+    goes_on = F.lag("last").over(by_part).eqNullSafe(F.col("first"))
+    parts = parts.select("_part", F.when(goes_on, F.lag("so_far").over(by_part)).otherwise(F.lit(0)).alias("_base"))
+    base = F.when(F.col("_opens"), F.col("_base")).otherwise(F.lit(0))
+    return found.join(F.broadcast(parts), "_part").withColumn(name, F.col("_near") + base).drop("_tie", "_part", "_near", "_pos", "_opens", "_base")
+
+
+def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where values differ; null differs from all but null."""
+    differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return differ | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
