@@ -42,17 +42,13 @@ def _automaton(key: str, items: list[tuple[str | None, str | None]]):
     return _BUILT[key]
 
 
-def scan(words: list[bytes], automaton, ids: dict[bytes, int]) -> tuple[list[tuple[int, int]], list[str], bool]:
-    """Merged runs of hit words as [first, last], the items met, and whether a window of items without an id was met."""
+def scan(words: list[bytes], automaton, ids: dict[bytes, int]) -> tuple[list[tuple[int, int]], list[str]]:
+    """Merged runs of hit words as [first, last], and the ids of the items met; items without an id hit words as others do."""
     if automaton is None or not words:
-        return [], [], False
+        return [], []
     runs: list[list[int]] = []
     items: set[str] = set()
-    unnamed = False
     for last, (n, who) in automaton.iter(tuple(map(ids.get, words, [0] * len(words)))):
-        if not who:
-            unnamed = True
-            continue
         first = last - n + 1
         while runs and runs[-1][0] >= first:
             runs.pop()
@@ -61,7 +57,7 @@ def scan(words: list[bytes], automaton, ids: dict[bytes, int]) -> tuple[list[tup
         else:
             runs.append([first, last])
         items.update(who)
-    return [(a, b) for a, b in runs], sorted(items), unnamed
+    return [(a, b) for a, b in runs], sorted(items)
 
 
 def word_offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,11 +84,11 @@ def benchmark_blocks(benchmark: DataFrame) -> list[tuple]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, hits, items, unnamed) for every row of docs.
+    """(doc_id, n_words, hits, items) for every row of docs.
 
     hits: runs of words inside occurrences of windows of WINDOW item words, with byte offsets in the original
-    text; a shorter item is one window; items: ids of the items met, as sorted strings. Both are of items with an id;
-    unnamed: whether the text holds a window that only items without an id have. Null texts have no words;
+    text; a shorter item is one window; items: ids of the items met, as sorted strings. Items without an id hit words
+    as others do and are missing from ``items`` only. Null texts have no words; very long ones are scanned once;
     items without words match nothing; equal items are each met; repeated rows get equal results; an empty
     benchmark hits nothing. The benchmark's size is checked: past BLOCK_CHARS it is scanned in blocks, whose
     results are merged by row.
@@ -102,7 +98,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = benchmark_blocks(benchmark)
     rows = docs.select("doc_id", "text")
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id())) if len(blocks) > 1 else rows.withColumn("rid", F.lit(0).cast("long"))
-    schema = f"rid long, doc_id long, n_words long, hits array<{SPAN}>, items array<string>, unnamed boolean"
+    schema = f"rid long, doc_id long, n_words long, hits array<{SPAN}>, items array<string>"
     found = None
     for held, key in blocks:
 
@@ -110,16 +106,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             automaton, ids = _automaton(key, held.value)
 
             def fn(rids, doc_ids, texts):
-                n, hits, met, bare = [], [], [], []
+                n, hits, met = [], [], []
                 for text in texts:
                     words = ascii_words(text)
-                    runs, who, unnamed = scan(words, automaton, ids)
+                    runs, who = scan(words, automaton, ids)
                     n.append(len(words))
                     at = word_offsets(text, runs) if runs else []
                     hits.append([{"first": a, "last": z, "start": s, "end": e} for (a, z), (s, e) in zip(runs, at)])
                     met.append(who)
-                    bare.append(unnamed)
-                return rids, doc_ids, n, hits, met, bare
+                return rids, doc_ids, n, hits, met
 
             return fn
 
@@ -129,7 +124,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = found.groupBy("rid").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.max("unnamed").alias("unnamed"),
         )
     return found.drop("rid")
 
@@ -151,11 +145,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def make(held=held, key=key):
             automaton, ids = _automaton(key, held.value)
 
-            def fn(texts):
-                found = [scan(ascii_words(t), automaton, ids) for t in texts]
-                return [bool(runs) or unnamed for runs, _, unnamed in found]
-
-            return fn
+            return lambda texts: [bool(scan(ascii_words(t), automaton, ids)[0]) for t in texts]
 
         kept = kept.where(~text_column(make, "boolean")("text"))
     return kept

@@ -3,11 +3,12 @@
 import hashlib
 import re
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as D
-from tessera.llm.queries import op2_benchmark_decontamination
+from tessera.llm.queries import ORACLES, op2_benchmark_decontamination
 
 
 def words(text):
@@ -23,7 +24,7 @@ def plain(text, items):
             for i in range(len(own) - len(w) + 1):
                 if tuple(own[i : i + len(w)]) == w:
                     hit |= set(range(i, i + len(w)))
-                    met.add(str(item))
+                    met |= {str(item)} if item is not None else set()
     return len(own), hit, sorted(met)
 
 
@@ -40,8 +41,7 @@ def test_edge_rows(spark, block, monkeypatch):
     docs = spark.createDataFrame([(i, t, [1]) for i, t in DOCS], "doc_id long, text string, hits array<int>")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = D.contamination(docs, bench).select("*", D.hit_words().alias("n_hit")).collect()
-    items = [x for x in ITEMS if x[0] is not None]
-    want = sorted((-1 if i is None else i, *(lambda n, h, m: (n, len(h), tuple(m)))(*plain(t, items))) for i, t in DOCS)
+    want = sorted((-1 if i is None else i, *(lambda n, h, m: (n, len(h), tuple(m)))(*plain(t, ITEMS))) for i, t in DOCS)
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == want
     kept = D.clean(docs, bench)
     assert kept.columns == docs.columns
@@ -60,8 +60,10 @@ def test_items_without_an_id_contaminate(spark, block, monkeypatch, tmp_path):
     texts = [(1, "this has no id in it"), (2, "a short item here"), (3, "neither of them"), (4, "no id and short item"), (5, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in op2_benchmark_decontamination(spark, str(tmp_path)).collect()}
-    assert got == {1: (True, 0), 2: (True, 2), 3: (False, 0), 4: (True, 2), 5: (False, 0)}
+    found = op2_benchmark_decontamination(spark, str(tmp_path))
+    got = {r["doc_id"]: (r["contaminated"], r["n_hit"], r["n_items"]) for r in found.collect()}
+    assert got == {1: (True, 2, 0), 2: (True, 2, 2), 3: (False, 0, 0), 4: (True, 4, 2), 5: (False, 0, 0)}
+    assert not (wrong := oracle.differences(found, oracle.connect(str(tmp_path)), ORACLES["op2_benchmark_decontamination"])), wrong
     read = lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")
     assert sorted(r["doc_id"] for r in D.clean(read("documents"), read("benchmark")).collect()) == [3, 5]
 
