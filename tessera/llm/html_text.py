@@ -13,7 +13,7 @@ from tessera.llm.common import map_texts, prepare
 
 #: Elements by their part in HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object canvas".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -32,6 +32,8 @@ NAMES = frozenset(
 #: Those that mark as much as a first word; and those that mark inside an article too (fixed values).
 FIRST = frozenset("ad ads advert advertisement adslot nav navbar sidebar footer cookie gdpr breadcrumb breadcrumbs comment comments disqus share sharing social newsletter promo sponsored".split())
 INSIDE = frozenset("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo cookie cookies consent gdpr newsletter comment comments commentlist disqus respond share sharing sidebar nav navbar navigation menu hidden paywall popup modal".split())
+#: Those that name readers' comments beside an article or main, and content where there is none (fixed values).
+BESIDE = frozenset("thread threads".split())
 #: Words that say no more than that there is a box, first words of states, and whose header is the article's own (fixed values).
 BOXES = frozenset("list box wrapper wrap container area block bar slot unit links item items button buttons left right top bottom inner outer section group panel row col column main primary secondary global site page content".split())
 STATES = frozenset("with has no without is js not".split())
@@ -52,10 +54,11 @@ _NAME_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "soft", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds")
+    __slots__ = ("tag", "parent", "parts", "dropped", "soft", "beside", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, soft: bool = False):
-        self.tag, self.parent, self.dropped, self.soft = tag, parent, dropped, soft
+    def __init__(self, tag: str, parent: Node | None, said: str = ""):
+        self.tag, self.parent = tag, parent
+        self.dropped, self.soft, self.beside = said == "drop", said == "soft", said == "beside"
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -63,7 +66,8 @@ class Node:
 
 
 def _named(name: str, inside_article: bool) -> str:
-    """What a class or id says of its element: "drop" for what is not the article, "soft" for what may be, "" for the rest.
+    """What a class or id says of its element: "drop" for what is not the article, "soft" for what may be, "beside" for what is
+    not if there is an article or main on the page, "" for the rest.
 
     The last word that means more than a box counts, as in English: a reader-comments is comments, a notice-period none.
     """
@@ -76,13 +80,14 @@ def _named(name: str, inside_article: bool) -> str:
     last = words[-1]
     if last in ("header", "masthead") and (inside_article or len(words) > 1 and words[-2] in OWN):
         return ""
-    if last in NAMES and (not inside_article or last in INSIDE) or first in FIRST and (not inside_article or first in INSIDE):
+    if last in NAMES and (not inside_article or last in INSIDE) or first in FIRST and (not inside_article or first in INSIDE and last in NAMES):
         return "drop"
-    return "soft" if last in NAMES else ""
+    return "soft" if last in NAMES else "beside" if last in BESIDE and not inside_article else ""
 
 
 def _unwanted(tag: str, attributes: str, inside_article: bool) -> str:
-    """"drop" for an element that is boilerplate by its tag, role, visibility or name, "soft" for one that is if mostly links."""
+    """"drop" for an element that is boilerplate by its tag, role, visibility or name, "soft" for one that is if mostly links,
+    "beside" for one that is beside an article."""
     if tag in BOILERPLATE or tag == "header" and not inside_article:
         return "drop"
     if tag in ("html", "body", "article", "main"):
@@ -94,7 +99,7 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> str:
             said = {_named(x, inside_article) for x in value.split()}
             if "drop" in said:
                 return "drop"
-            soft = "soft" if "soft" in said else soft
+            soft = next((x for x in ("soft", "beside") if x in said or x == soft), "")
         elif name == "hidden" or name == "role" and value.strip().lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
             return "drop"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
@@ -187,7 +192,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             node.parts.append(" ")
             continue
         said = _unwanted(tag, attributes, open_.deepest(("article", "main")) > 0)
-        new = Node(tag, node, said == "drop", said == "soft")
+        new = Node(tag, node, said)
         node.parts.append(new)
         nodes.append(new)
         if tag not in VOID and not attributes.endswith("/"):
@@ -199,8 +204,10 @@ def parse(page: str) -> tuple[Node, list[Node]]:
 
 def _rescue(nodes: list[Node]) -> None:
     """An element dropped by its name alone comes back if it wraps an article or main; without any of these on the
-    page, if it wraps a first heading and at least half of the page's paragraphs."""
+    page, if it wraps a first heading and at least half of the page's paragraphs. Readers' threads go where there is one."""
     anchors = {id(n) for n in nodes if n.tag in ("article", "main")}
+    for n in nodes:
+        n.dropped = n.dropped or n.beside and bool(anchors)
     paragraphs = {id(n): int(n.tag == "p") for n in nodes}
     heading = {id(n): n.tag == "h1" for n in nodes}
     for n in reversed(nodes):
@@ -262,17 +269,24 @@ def measure(nodes: list[Node]) -> None:
 
 #: Elements that hold blocks of text; others are blocks or parts of one, and no content by themselves (fixed values).
 CONTAINERS = frozenset("#root html body article main section div td blockquote center details figure table".split())
+#: Blocks of text, that may stand beside the element that holds most of it (fixed values).
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 #: A wrapper belongs to the content if it is at least so dense as the part of it that does; an article or main, so much less.
 CLIMB, CLIMB_TAGGED = 0.5, 0.1
+#: Links' share of the characters of what is not text but a list of links.
+LINKS = 0.3
+#: Characters from which a box beside the content is text of its own.
+BOX_CHARS = 60
 
 
 def content(nodes: list[Node]) -> list[Node]:
     """Roots of the main content: the subtree of the largest density sum among containers, and others as dense as its path to the body.
 
     A wrapper of articles that hold at least half of its characters gives way to the densest of them. The subtree grows to
-    what wraps it while the wrapper is nearly as dense, up to an article or main if there is one, for which less will do:
-    short blocks beside long ones are text too. Sections beside it that are much like it belong as well, and beside an article
-    or main those that are not mostly links.
+    what wraps it while the wrapper is nearly as dense, or adds less than it has, up to an article or main if there is one, for
+    which less will do: headings and short sections beside long ones are text too. Blocks of text and boxes of paragraphs beside
+    it belong as well, and beside an article or main those that are not mostly links. If the subtree is outside of all articles, these
+    belong too if they have words besides links.
     """
     stay = [n for n in nodes if not n.dropped and n.chars]
     if not stay:
@@ -295,9 +309,11 @@ def content(nodes: list[Node]) -> list[Node]:
         if inside and 2 * sum(n.chars for n in inside) >= best.chars:
             best = max(inside, key=lambda n: n.total)
     own = article[id(best)]
+    plain = lambda n: n.link_chars < LINKS * n.chars
     while best.parent is not None and best is not own and best.parent.tag not in ("body", "html", "#root"):
         up = best.parent
-        if up.density < (CLIMB_TAGGED if own is not None else CLIMB) * best.density or 2 * up.link_chars > up.chars:
+        dense = up.density >= (CLIMB_TAGGED if own is not None else CLIMB) * best.density and 2 * up.link_chars <= up.chars
+        if not dense and not (plain(up) and 2 * best.chars >= up.chars):
             break
         best = up
     path, up = {id(best)}, best.parent
@@ -307,8 +323,15 @@ def content(nodes: list[Node]) -> list[Node]:
         if up.tag not in ("html", "#root"):
             threshold = min(threshold, up.density)
         up = up.parent
-    plain = lambda n: n.link_chars < 0.3 * n.chars
-    alike = {id(n) for n in stay if n.parent is best.parent and n.tag == best.tag and plain(n) and (n.tag in ("article", "main") or n.total >= 0.3 * best.total)}
+    with_text: set[int] = set()  # what holds a block of text
+    for n in reversed(stay):
+        if n.parent is not None and (n.tag in TEXT_BLOCKS or id(n) in with_text):
+            with_text.add(id(n.parent))
+    box = lambda n: n.total >= 0.3 * best.total or own is None and n.chars >= BOX_CHARS and id(n) in with_text
+    belongs = lambda n: n.tag in ("article", "main") or own is None and n.tag in TEXT_BLOCKS or n.tag in CONTAINERS and (n.tag == best.tag or own is None) and box(n)
+    alike = {id(n) for n in stay if n.parent is best.parent and plain(n) and belongs(n)}
+    if own is None:
+        alike |= {id(n) for n in stay if article[id(n)] is n and n.link_chars < n.chars}
     out, kept = [], {id(best)}
     for n in stay:
         if n.parent is not None and id(n.parent) in kept:

@@ -49,6 +49,37 @@ def test_density_chooses_beside_an_article():
     assert dense.strip() in H.main_text(page(f"<article>{BODY}</article><div><p>{dense}</p></div>"))
 
 
+def words(n, stem="w"):
+    return " ".join(f"{stem}{i}" for i in range(n))
+
+
+def test_nothing_of_a_page_without_an_article_is_lost():
+    two = f"<html><body><div><p>{words(60)}</p></div><div><p>{words(20, 'v')}</p></div><p>closing words here</p></body></html>"
+    assert H.main_text(two) == "\n".join([words(60), words(20, "v"), "closing words here"])
+    menu, foot = '<div id="menu"><a href="/">Home</a></div>', '<div class="footer">All rights</div>'
+    boxes = f'<h2>Head</h2><div class="sec"><p>{words(80)}</p></div><div class="sec"><p>just three words</p></div>'
+    assert H.main_text(f'<html><body>{menu}<div id="content">{boxes}</div>{foot}</body></html>') == "\n".join(["Head", words(80), "just three words"])
+
+
+def test_an_article_of_links_stays_beside_a_box():
+    refs = [f"reference number {i} of the list" for i in range(12)]
+    items = "".join(f'<li><a href="/{i}">{x}</a></li>' for i, x in enumerate(refs))
+    for n in (80, 400):
+        got = H.main_text(f"<html><body><article><ul>{items}</ul><p>The end.</p></article><div><p>{words(n)}</p></div></body></html>")
+        assert got == "\n".join([*refs, "The end.", words(n)])
+
+
+def test_first_words_of_names_and_formulas_inside_an_article():
+    inside = f'<h1>T</h1><p>{words(50)}</p><section class="sidebar-story"><p>kept story of the sidebar</p></section><div class="share-prices">prices of shares</div><p>x <math><mi>y</mi></math> z</p>'
+    assert H.main_text(f"<html><body><article>{inside}</article></body></html>") == "\n".join(["T", words(50), "kept story of the sidebar", "prices of shares", "x y z"])
+
+
+def test_readers_threads():
+    thread = f'<section class="thread"><p>{words(30, "c")}</p><p>{words(40, "c")}</p></section>'
+    assert H.main_text(f"<html><body><article><h1>T</h1><p>{words(50)}</p></article>{thread}</body></html>") == f"T\n{words(50)}"
+    assert H.main_text(f"<html><body>{thread}</body></html>") == f"{words(30, 'c')}\n{words(40, 'c')}"
+
+
 def test_names_inside_the_article():
     """A word in a class or id decides only where it names the element."""
     kept = '<div class="article-header"><p>Heading words of the article itself stand here.</p></div><section id="related-work"><p>Others wrote about this before, and more than once.</p></section><p class="notice-period">The notice period is three months for all of them.</p>'
