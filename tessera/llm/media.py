@@ -36,7 +36,7 @@ class Look:
     def __init__(self, b: bytes):
         self.b = b
         self.known: dict[bytes, tuple[int, int]] = {}
-        self.ends: dict[str, dict[int, int]] = {"mp4": {}, "ogg": {}}
+        self.ends: dict[str, dict[int, int]] = {"mp4": {}, "ogg": {}, "gif": {}, "gif data": {}}
         self.streams: dict[int, tuple[int, int, int]] = {}
         self._pdf_ends: tuple | None = None
 
@@ -49,10 +49,12 @@ class Look:
         return found
 
     def pdf_ends(self):
-        """Starts, ends and stated places of all cross-reference ends."""
+        """Starts, ends and stated places of all cross-reference ends, and the largest place and way back of each one and all after it."""
         if self._pdf_ends is None:
             found = [(m.start(), m.end(), min(int(m[1][-18:]), 1 << 60)) for m in PDF_END.finditer(self.b)]
-            self._pdf_ends = tuple(np.array([x[i] for x in found], dtype=np.int64) for i in range(3))
+            starts, ends, places = (np.array([x[i] for x in found], dtype=np.int64) for i in range(3))
+            largest = lambda x: np.maximum.accumulate(x[::-1])[::-1] if len(x) else x
+            self._pdf_ends = starts, ends, places, largest(places), largest(starts - places)
         return self._pdf_ends
 
     def inflated(self, at: int) -> tuple[int, int, int]:
@@ -98,25 +100,27 @@ def _png(b: bytes, at: int, look: Look) -> int:
 
 
 def _gif(b: bytes, at: int, look: Look) -> int:
-    if at + 13 > len(b):
-        return 0
-    flags = b[at + 10]
-    pos = at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0)
-    while pos < len(b):
-        kind = b[pos]
-        if kind == 0x3B:
-            return pos + 1 - at
+    """A header, and blocks up to the trailer; ends of blocks and of their data are remembered for all places of the blob."""
+
+    def data(pos: int) -> int:
+        return pos + 1 + b[pos] if pos < len(b) and b[pos] else pos
+
+    def block(pos: int) -> int:
+        kind = b[pos] if pos < len(b) else 0
         if kind == 0x21:
-            pos += 2
+            start = pos + 2
         elif kind == 0x2C and pos + 10 < len(b):
             local = b[pos + 9]
-            pos += 11 + (3 << ((local & 7) + 1) if local & 128 else 0)
+            start = pos + 11 + (3 << ((local & 7) + 1) if local & 128 else 0)
         else:
-            return 0
-        while pos < len(b) and b[pos]:
-            pos += 1 + b[pos]
-        pos += 1
-    return 0
+            return pos
+        return look.chain("gif data", start, data) + 1
+
+    if at + 13 > len(b):
+        return 0
+    flags = b[at + 10]
+    end = look.chain("gif", at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0), block)
+    return end + 1 - at if end < len(b) and b[end] == 0x3B else 0
 
 
 def _jpeg(b: bytes, at: int, look: Look) -> int:
@@ -232,15 +236,16 @@ def _pdf(b: bytes, at: int, look: Look) -> int:
     stated = re.search(rb"/L\s+(\d{1,15})", head) if LINEARIZED.search(head) else None
     if stated and at + int(stated[1]) >= upto and at + int(stated[1]) <= len(b) and b[at + int(stated[1]) - 16 : at + int(stated[1])].rstrip().endswith(b"%%EOF"):
         upto = at + int(stated[1])
-    starts, ends, places = look.pdf_ends()
+    starts, ends, places, far, back = look.pdf_ends()
     i = int(np.searchsorted(starts, upto))
-    pointing = np.flatnonzero((starts >= upto) & (at + places >= upto) & (at + places < starts))
     while i < len(starts):
-        header = b.find(b"%PDF-", upto)
+        header = look.next(b"%PDF-", upto)
         near = int(np.searchsorted(ends, header if header >= 0 else len(b), side="right"))
         if near <= i:  # another header stands before the next end
-            far = pointing[np.searchsorted(pointing, i) :]
-            near = next((int(k) + 1 for k in far if at + places[k] >= upto and XREF.match(b, at + int(places[k]))), 0)
+            near = 0
+            if at + far[i] >= upto and back[i] > at:  # else no later end points into this file
+                pointing = i + np.flatnonzero((at + places[i:] >= upto) & (at + places[i:] < starts[i:]))
+                near = next((int(k) + 1 for k in pointing if XREF.match(b, at + int(places[k]))), 0)
         if not near:
             break
         upto, i = int(ends[near - 1]), near
@@ -603,28 +608,28 @@ def carve(blob: bytes, found: list[dict]) -> list[bytes]:
 
 
 def read_back(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media_type, corrected,
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media_type,
     embedded) for every row of docs.
 
     The media column is sniffed, the WAV at its start carved by its checked length, and its samples read back. media_type is
-    what the column really holds, corrected whether that was declared otherwise, embedded how many media of any kind
-    stand inside it.
+    what the column really holds, embedded how many media of any kind stand inside it. Null texts count as empty; repeated rows
+    get equal results; very long texts need memory for themselves and their media; further columns are not read.
     """
 
     def make():
-        def fn(ids, sizes, blobs, types, corrected, found):
+        def fn(ids, sizes, blobs, types, found):
             out = []
-            for blob, kind, wrong, media in zip(blobs, types, corrected, found):
+            for blob, kind, media in zip(blobs, types, found):
                 whole = next((carve(blob, [m])[0] for m in media if m["start"] == 0 and m["type"] == "audio/wav"), b"")
                 samples = from_wav(whole)
                 inside = sum(m["start"] > 0 for m in media)
-                out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), f"{kind};{features(samples)}", kind, wrong, inside))
-            return (ids, sizes, *([x[i] for x in out] for i in range(9)))
+                out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), f"{kind};{features(samples)}", kind, inside))
+            return (ids, sizes, *([x[i] for x in out] for i in range(8)))
 
         return fn
 
     seen = inspect_media(to_media(docs), ["doc_id", "n_bytes"])
     return map_texts(
-        seen, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean, embedded long",
-        make, ["doc_id", "n_bytes", "media", "type", "corrected", "found"],
+        seen, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, embedded long",
+        make, ["doc_id", "n_bytes", "media", "type", "found"],
     )
