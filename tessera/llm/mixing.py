@@ -12,12 +12,12 @@ from tessera.llm.common import cut, running_before, word_count
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-#: Words in a slot's block, and the slots that a schedule has at least: smaller blocks where the mix is small, so that a
-#: source of a thousandth of it still comes within about a hundredth of its target.
+#: Words in a slot's block: at most, and as a share of the smallest target, since the points of the schedule serve a source
+#: to within two slots.
 BLOCK_WORDS = 1024
-LEAST_SLOTS = 1 << 18
-#: Share of its target by which a source's blocks may miss it.
-NEAR = 0.01
+NEAR = 0.005
+#: Slots that a schedule may have, at least and for each document: what bounds the blocks from below.
+MOST_SLOTS, SLOTS_A_DOCUMENT = 1 << 18, 4
 #: The golden ratio's fractional part, times 2**64.
 GOLDEN = 11400714819323198485
 #: Up to so many sources, their table is broadcast; beyond, it is joined like any other.
@@ -51,9 +51,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return levels.select("sid", "source", "n", "source_size", target.alias("target"))
 
 
-def block_size(total: float, block_words: int = BLOCK_WORDS, least_slots: int = LEAST_SLOTS) -> int:
-    """Words in a slot's block: ``block_words``, or as few as give the schedule ``least_slots`` slots."""
-    return max(1, min(block_words, int(total // least_slots)))
+def block_size(total: float, smallest: float, documents: int, block_words: int = BLOCK_WORDS) -> int:
+    """Words in each block: ``block_words``, or fewer where these are more than NEAR of the smallest target; but so many
+    that the slots stay in proportion to the documents."""
+    most_slots = max(MOST_SLOTS, SLOTS_A_DOCUMENT * documents)
+    return max(1, int(-(-total // most_slots)), min(block_words, int(NEAR * smallest)))
+
+
+def slot_count(total: float, block: int) -> int:
+    """The Fibonacci number of slots whose blocks hold all targets: so many golden-ratio points are nearly as even as a grid."""
+    a, b = 1, 2
+    while a * block < total:
+        a, b = b, a + b
+    return a
 
 
 def point(slot: str = "id", step: int = GOLDEN) -> Column:
@@ -62,59 +72,50 @@ def point(slot: str = "id", step: int = GOLDEN) -> Column:
     return (F.pmod(turns, F.lit(Decimal(1 << 64)).cast("decimal(20,0)")) / F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).cast("double")
 
 
-def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, least_slots: int = LEAST_SLOTS, step: int = GOLDEN) -> tuple[DataFrame, int]:
+def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, step: int = GOLDEN) -> tuple[DataFrame, int]:
     """((slot, sid, k), words in a slot's block): the source of each slot and the slot's rank k among its source's.
 
-    There are as many slots as blocks go into all targets. Slot j's point is the fractional part of (j + 1) golden
-    ratios; the source is the one whose stretch of the cumulative targets holds it. Stretches are met through bins of
-    the unit interval, an equi-join. Any run of slots serves each source by its share to within a few slots. Where those
-    few are more than NEAR of a source's target, for it has hardly any slots, it gets the missing ones at the end.
+    Slot j's point is the fractional part of (j + 1) golden ratios; the source is the one whose stretch of the cumulative
+    targets holds it. The unit interval stands for the words of all slots, a Fibonacci number of blocks, so points past the
+    last target fall on no source. A source has target / block slots, give or take two, and any run of slots serves it by
+    its share to within a few. Stretches are met through bins of the unit interval, an equi-join.
     """
     spark = sources.sparkSession
-    head = sources.agg(F.sum("target"), F.count("*"), F.max("sid")).first()
+    head = sources.where("target > 0").agg(F.sum("target"), F.count("*"), F.min("target"), F.sum("n")).first()
     total, count = float(head[0] or 0), int(head[1])
-    block = block_size(total, block_words, least_slots)
-    slots = max(1, round(total / block))
+    block = block_size(total, float(head[2] or 0), int(head[3] or 0), block_words)
     if not total:
         return spark.createDataFrame([], "slot long, sid int, k long"), block
-    bins = 4 * count
+    slots, bins = slot_count(total, block), 4 * count
     w = Window.orderBy("sid")
-    upto = F.sum("target").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(total)
-    stretch = sources.select("sid", "target", upto.alias("high")).withColumn("low", F.coalesce(F.lag("high").over(w), F.lit(0.0)))
-    stretch = stretch.withColumn("high", F.when(F.col("sid") == head[2], 1.1).otherwise(F.col("high"))).where("high > low AND target > 0")
+    upto = F.sum("target").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(float(slots * block))
+    stretch = sources.where("target > 0").select("sid", upto.alias("high")).withColumn("low", F.coalesce(F.lag("high").over(w), F.lit(0.0)))
     binned = stretch.withColumn("bin", F.explode(F.expr(f"sequence(cast(floor(low * {bins}) as bigint), least(cast(floor(high * {bins}) as bigint), {bins - 1}L))")))
     points = spark.range(slots).select(F.col("id").alias("slot"), point("id", step).alias("u"))
     points = points.withColumn("bin", F.least(F.floor(F.col("u") * bins), F.lit(bins - 1)).cast("long"))
     if count <= BROADCAST_SOURCES:
         binned = F.broadcast(binned)
     taken = points.join(binned, "bin").where("u >= low AND u < high").select("slot", "sid")
-    taken = cut(taken)
-    goal = F.round("target").cast("long")
-    held = sources.where("target > 0").join(taken.groupBy("sid").agg(F.count("*").alias("_n")), "sid", "left").select("sid", goal.alias("_goal"), F.coalesce("_n", F.lit(0)).alias("_n"))
-    short = held.where(F.col("_goal") - F.col("_n") * block > NEAR * F.col("_goal")).withColumn("_j", F.explode(F.expr(f"sequence(0L, cast(ceil(_goal / {block}) as bigint) - _n - 1L)")))
-    taken = taken.unionByName(short.select((F.lit(slots) + F.col("_j") * (count + 1) + F.col("sid")).cast("long").alias("slot"), "sid"))
     chunk = max(64, int(slots**0.5) // 4)
-    ranked = running_before(taken.withColumn("chunk", F.floor(F.col("slot") / chunk)), ["sid"], "chunk", ["slot"], F.lit(1), "k")
+    ranked = running_before(cut(taken).withColumn("chunk", F.floor(F.col("slot") / chunk)), ["sid"], "chunk", ["slot"], F.lit(1), "k")
     return ranked.select("slot", "sid", F.col("k").cast("long").alias("k")), block
 
 
-def mixture(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, least_slots: int = LEAST_SLOTS, step: int = GOLDEN) -> DataFrame:
+def mixture(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, step: int = GOLDEN) -> DataFrame:
     """(slot, sid, k, rid, words): the words of each document that each slot of the schedule takes.
 
     A source's documents, shuffled by hash, make a stream that is read again once it ends, ``most`` times at most. The
-    source's slot of rank k takes block k of the stream, all blocks of equal words, so what a source gives is the number
-    of its slots in blocks. Only two things shorten a block: the end of the stream, and the target of a source of so few
-    slots that whole blocks would miss it by more than NEAR. Positions in the stream are sums by levels over hash ranges, so a source of any
-    size is dealt over many tasks.
+    source's slot of rank k takes block k of the stream. All blocks have equal words, but for one that the stream's end
+    cuts, so what a source gives is the number of its slots in blocks. Positions in the stream are sums by levels over
+    hash ranges, so a source of any size is dealt over many tasks.
     """
     head = sources.agg(F.sum("n"), F.count("*")).first()
     per = max(16, int(float(head[0] or 0) ** 0.5) // 4)
     few = int(head[1]) <= BROADCAST_SOURCES
-    plan, block = schedule(sources, block_words, least_slots, step)
+    plan, block = schedule(sources, block_words, step)
     plan = cut(plan)
     slots = plan.groupBy("sid").agg(F.count("*").alias("slots"))
-    given, goal = F.col("slots") * F.lit(block), F.round("target").cast("long")
-    upto = F.least(F.when(F.abs(given - goal) > NEAR * goal, goal).otherwise(given), F.floor(F.col("source_size") * F.lit(MOST)).cast("long"))
+    upto = F.least(F.col("slots") * F.lit(block), F.floor(F.col("source_size") * F.lit(MOST)).cast("long"))
     own = sources.join(slots, "sid").select("sid", "source", "n", "source_size", upto.alias("upto"))
     rows = sizes.where("size > 0").join(F.broadcast(own) if few else own, sizes["source"].eqNullSafe(own["source"])).drop("source")
     buckets = F.ceil(F.col("n") / per)
@@ -127,18 +128,19 @@ def mixture(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS
     return plan.join(pieces.select("sid", "k", "rid", "words"), ["sid", "k"])
 
 
-def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, least_slots: int = LEAST_SLOTS, step: int = GOLDEN) -> DataFrame:
+def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, step: int = GOLDEN) -> DataFrame:
     """(rid, doc_id, source, size, source_size, target, taken, first_slot) for every row of docs.
 
     taken: the words that the slots of the schedule take of it; first_slot: the first of these slots, null without any,
-    whose order is that of the mix. A source's taken words are within NEAR of its target, and a word. Null and
-    blank texts have size 0 and nothing taken; a null source is a source of its own, the last; repeated
+    whose order is that of the mix. A source's taken words are within two blocks of its target: a hundredth, but for sources that are
+    so small beside the number of documents that blocks of NEAR of them would be too many. Null and
+    blank texts have size 0 and nothing taken; very long ones span blocks; a null source is a source of its own, the last; repeated
     rows are documents of their own; an empty table gives none. Ties of the shuffle are broken by doc_id and size.
     """
     sizes = sized(docs)
     sources = cut(source_targets(sizes))
     few = sources.count() <= BROADCAST_SOURCES
-    took = mixture(sizes, sources, block_words, least_slots, step).groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    took = mixture(sizes, sources, block_words, step).groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     own = sources.select(F.col("source").alias("_source"), "source_size", "target")
     rows = sizes.join(F.broadcast(own) if few else own, sizes["source"].eqNullSafe(F.col("_source"))).drop("_source")
     return rows.join(took, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))

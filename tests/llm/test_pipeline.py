@@ -79,7 +79,7 @@ def test_stages_by_brute_force(spark, sf_dir):
     for r in sizes:
         total[r["source"]] = total.get(r["source"], 0) + r["size"]
         assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", next(x[1] for x in rows if x[0] == r["doc_id"]) or ""))
-    took, _ = plain_mix(sizes, [{"source": s, "target": t} for s, t in plain_targets(total).items()], mixing.BLOCK_WORDS, mixing.LEAST_SLOTS, mixing.GOLDEN)
+    took, _ = plain_mix(sizes, [{"source": s, "target": t} for s, t in plain_targets(total).items()], mixing.BLOCK_WORDS, mixing.GOLDEN)
     copies = {r["doc_id"]: int(took.get(r["rid"], 0) / r["size"] + 0.5) for r in sizes if r["size"]}
     rows = [r for r in rows for _ in range(copies.get(r[0], 0))]
     out = corpus_pipeline.STAGES[3][1](spark, out, sf_dir).checkpoint()
