@@ -14,8 +14,8 @@ from tessera.llm.common import cut, numbered, prepare, tidy
 
 #: Earlier keys that one perfect hash holds, about 20 MB with their slots.
 SLOTS = 65_536
-#: Bytes of a value's digest.
-WIDTH = 32
+#: Bytes of a value's digest: the first of its SHA-256.
+WIDTH = 16
 
 
 class PerfectHash:
@@ -108,15 +108,16 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, int, pa.
 
 
 def _digest(value: Column) -> Column:
-    """SHA-256 of a value; null has WIDTH zero bytes of its own."""
-    return F.coalesce(F.unhex(F.sha2(value.cast("string").cast("binary"), 256)), F.unhex(F.lit("00" * WIDTH)))
+    """The first bytes of a value's SHA-256; null has zero bytes of its own."""
+    return F.coalesce(F.unhex(F.substring(F.sha2(value.cast("string").cast("binary"), 256), 1, 2 * WIDTH)), F.unhex(F.lit("00" * WIDTH)))
 
 
 def _slim(df: DataFrame, side: int, key: str, columns: list[str]) -> DataFrame:
-    """Key, digest of each column, and of a later row as a whole."""
+    """Key, digests of the columns, a hash of these, and the SHA-256 of a later row as a whole."""
     whole = F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns))
     row = F.unhex(F.sha2(whole.cast("binary"), 256)) if side else F.lit(None).cast("binary")
-    return df.select(F.lit(side).alias("side"), F.col(key).alias("key"), F.concat(*(_digest(F.col(c)) for c in columns)).alias("cells"), row.alias("row"))
+    slim = df.select(F.lit(side).alias("side"), F.col(key).alias("key"), F.concat(*(_digest(F.col(c)) for c in columns)).alias("cells"), row.alias("row"))
+    return slim.withColumn("v", F.xxhash64("cells"))
 
 
 def by_key(earlier: DataFrame, later: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -127,7 +128,7 @@ def by_key(earlier: DataFrame, later: DataFrame, key: str, columns: list[str]) -
     """
     spark = earlier.sparkSession
     rows = _slim(earlier, 0, key, columns).unionByName(_slim(later, 1, key, columns))
-    rows = numbered(rows, ["side", "key"], ["cells", "row"], "nth").withColumn("h", F.xxhash64("key", "nth"))
+    rows = numbered(rows, ["side", "key"], ["v"], "nth").withColumn("h", F.xxhash64("key", "nth"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, -(-rows.where("side = 0").count() // (partitions * SLOTS)))
     rows = rows.withColumn("b", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
@@ -193,18 +194,18 @@ def difference(earlier: DataFrame, later: DataFrame, key: str, content: str, col
 
     Rows with equal keys pair: ``same``, or ``update`` with the differing ``columns``. Then among rows left over with
     equal ``content`` the i-th smallest earlier key pairs with the i-th smallest later one: ``rekey``. What is left is
-    ``insert`` or ``delete``. Values are compared by SHA-256 of their text; nulls equal only nulls, in keys too. Rows that
-    repeat a key on one side pair in the order of their values, rows equal in everything one by one. Either table may
-    be empty; further columns are not read. ``row_sha256`` is that of the later row's columns, joined by line feeds, null as ``~``.
+    ``insert`` or ``delete``. Values are compared by 128 bits of the SHA-256 of their text; nulls equal only nulls, in keys too. Rows that
+    repeat a key on one side pair in the order of a hash of their values, rows equal in everything one by one. Very long
+    values are hashed where they are read and not sent on. Either table may be empty; further columns are not read. ``row_sha256`` is that of the later row's columns, joined by line feeds, null as ``~``.
     """
     prepare(earlier.sparkSession)
     found = cut(by_key(earlier, later, key, columns))
     paired = found.where("op IN ('same', 'update')")
     at = columns.index(content) * WIDTH + 1
-    left = found.where("op IN ('old', 'new')").select("op", "key", "cells", "row", F.substring("cells", at, WIDTH).alias("content"))
-    left = numbered(left, ["op", "content"], ["key", "cells", "row"], "nth")
-    old = left.where("op = 'old'").select("content", "nth", F.col("key").alias("old_key"), F.col("cells").alias("old_cells"), F.lit(True).alias("is_old"))
-    new = left.where("op = 'new'").select("content", "nth", F.col("key").alias("new_key"), "cells", "row", F.lit(True).alias("is_new"))
+    left = found.where("op IN ('old', 'new')").select((F.col("op") == "new").alias("is_new"), "key", "cells", "row", F.substring("cells", at, WIDTH).alias("content"))
+    left = numbered(left.withColumn("v", F.xxhash64("cells")), ["is_new", "content"], ["key", "v"], "nth")
+    old = left.where("NOT is_new").select("content", "nth", F.col("key").alias("old_key"), F.col("cells").alias("old_cells"), F.lit(True).alias("is_old"))
+    new = left.where("is_new").select("content", "nth", F.col("key").alias("new_key"), "cells", "row", "is_new")
     both = old.join(new, ["content", "nth"], "full")
     differing = F.concat_ws(",", *(F.when(_cell("cells", i) != _cell("old_cells", i), F.lit(c)) for i, c in enumerate(columns)))
     again = both.select(

@@ -1,6 +1,7 @@
 """Snapshot difference: perfect hashes, the contract's rows, and random snapshots against a plain version."""
 
 import random
+import struct
 import zlib
 from collections import defaultdict
 from hashlib import sha256
@@ -8,6 +9,7 @@ from hashlib import sha256
 import numpy as np
 import oracle
 import pytest
+import xxhash
 
 from tessera.llm import queries, snapshots
 from tessera.llm.common import numbered
@@ -22,22 +24,23 @@ def order(x):
 
 
 def plain(earlier, later):
-    """Pairs of equal keys, those that repeat by the digests of their values; then of equal texts by key."""
-    value = lambda r: [sha256(c.encode()).digest() if c is not None else bytes(32) for c in r[1:]]
+    """Pairs of equal keys, those that repeat by a hash of their values; then of equal texts by key."""
+    cells = lambda r: b"".join(sha256(c.encode()).digest()[:16] if c is not None else bytes(16) for c in r[1:])
+    value = lambda r: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(cells(r), seed=42)))
     row_sha = lambda r: sha256("\n".join("~" if c is None else c for c in r[1:]).encode()).hexdigest()
     by = lambda rows, f: (d := defaultdict(list), [d[f(r)].append(r) for r in rows])[0]
     out, old, new = [], [], []
     a, b = by(earlier, lambda r: r[0]), by(later, lambda r: r[0])
     changed = lambda x, y: ",".join(c for c, p, q in zip(COLUMNS, x[1:], y[1:]) if p != q)
     for key in {*a, *b}:
-        xs, ys = sorted(a[key], key=lambda r: b"".join(value(r))), sorted(b[key], key=lambda r: b"".join(value(r)))
+        xs, ys = sorted(a[key], key=value), sorted(b[key], key=value)
         for x, y in zip(xs, ys):
             out.append((y[0], x[0], "update" if changed(x, y) else "same", changed(x, y), row_sha(y)))
         old += xs[len(ys) :]
         new += ys[len(xs) :]
     a, b = by(old, lambda r: r[1]), by(new, lambda r: r[1])
     for text in {*a, *b}:
-        xs, ys = (sorted(z[text], key=lambda r: (order(r[0]), b"".join(value(r)))) for z in (a, b))
+        xs, ys = (sorted(z[text], key=lambda r: (order(r[0]), value(r))) for z in (a, b))
         out += [(y[0], x[0], "rekey", changed(x, y), row_sha(y)) for x, y in zip(xs, ys)]
         out += [(x[0], x[0], "delete", "", None) for x in xs[len(ys) :]]
         out += [(y[0], None, "insert", "", row_sha(y)) for y in ys[len(xs) :]]
