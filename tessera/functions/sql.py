@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tessera.operators.memory import BETA
+
 #: name: (parameters, result, body).
 FUNCTIONS = {
     "ev_base_tokens": ("t STRING", "ARRAY<STRING>", r"transform(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_.-]*|[0-9]+(?:\\.[0-9]+)?|[\\x{4e00}-\\x{9fff}]', 0), x -> lower(x))"),
@@ -14,7 +16,7 @@ FUNCTIONS = {
     "ev_overlap": ("a ARRAY<STRING>, b ARRAY<STRING>", "DOUBLE", "CASE WHEN least(size(array_distinct(a)), size(array_distinct(b))) > 0 THEN size(array_intersect(a, b)) / least(size(array_distinct(a)), size(array_distinct(b))) ELSE 0D END"),
     "ev_dot": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, v) -> s + v)"),
     "ev_hamming": ("a STRING, b STRING", "INT", "CASE WHEN length(a) <> length(b) THEN 999 ELSE bit_count(cast(conv(a, 16, -10) as bigint) ^ cast(conv(b, 16, -10) as bigint)) END"),
-    "ev_decay": ("similarity DOUBLE, age_days DOUBLE, frequency DOUBLE, importance DOUBLE, alpha DOUBLE", "DOUBLE", "greatest(0D, similarity) * exp(-alpha * greatest(0D, age_days)) * (1 + 0.15 * ln(greatest(1D, frequency) + 1)) * greatest(0D, importance)"),
+    "ev_decay": ("similarity DOUBLE, age_days DOUBLE, frequency DOUBLE, importance DOUBLE, alpha DOUBLE", "DOUBLE", f"greatest(0D, similarity) * exp(-alpha * greatest(0D, age_days)) * (1 + {BETA}D * ln(greatest(1D, frequency) + 1)) * greatest(0D, importance)"),
 }
 
 

@@ -18,6 +18,8 @@ TYPE_WEIGHTS = {"speech": 1.2, "frame_caption": 1.0, "frame": 0.95}
 MMR_WEIGHTS = {"speech": 1.15, "frame_caption": 1.0, "frame": 0.95}
 #: Stated queries that are scored in one pass over the documents; more take as many passes.
 QUERY_BLOCK = 256
+#: Sources times terms of a block up to which each source has an array of all terms' frequencies.
+DENSE_STATS = 20_000_000
 
 
 def evidence_documents(segments: DataFrame, captions: DataFrame) -> DataFrame:
@@ -161,6 +163,27 @@ def document_terms(docs: DataFrame, terms: list[str], phrases: list[str]) -> Dat
     return spread(docs.select(*names, "text").where("text IS NOT NULL")).mapInArrow(run, schema)
 
 
+def _with_dense(rows: DataFrame, corpora: DataFrame, df: DataFrame, n_terms: int) -> DataFrame:
+    """Rows with their source's size and the frequencies of their terms, looked up in an array of the source for all the block's terms."""
+    every = corpora.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_terms - 1)))).alias("t"))
+    on = every["video_id"].eqNullSafe(df["video_id"]) & (every["t"] == df["t"])
+    lists = every.join(df, on, "left").groupBy(every["video_id"]).agg(F.transform(F.sort_array(F.collect_list(F.struct(every["t"], F.coalesce("df", F.lit(0)).alias("df")))), lambda x: x["df"]).alias("dense"))
+    lists = lists.select(F.col("video_id").alias("_w"), "dense")
+    stats = corpora.join(lists, F.col("video_id").eqNullSafe(F.col("_w"))).select(F.col("video_id").alias("_v"), "n", "avgdl", "dense")
+    met = rows.join(stats, F.col("video_id").eqNullSafe(F.col("_v")))
+    return met.withColumn("dfs", F.transform("terms", lambda t: F.get(F.col("dense"), t))).drop("dense")
+
+
+def _with_joined(rows: DataFrame, corpora: DataFrame, df: DataFrame, n_terms: int) -> DataFrame:
+    """The same by a join of (source, term) with the rows' own terms, for so many sources that an array each would be too much."""
+    pairs = rows.select("rid", F.col("video_id").alias("_v"), F.explode("terms").alias("_t"))
+    found = pairs.join(df, F.col("_v").eqNullSafe(df["video_id"]) & (F.col("_t") == df["t"])).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("_t", "df"))).alias("_d"))
+    both = rows.withColumn("_z", F.array_sort(F.arrays_zip("terms", "tfs"))).join(found.withColumnRenamed("rid", "_r"), F.col("rid") == F.col("_r"), "left")
+    both = both.withColumns({"terms": F.col("_z.terms"), "tfs": F.col("_z.tfs"), "dfs": F.coalesce(F.col("_d.df"), F.array().cast("array<long>"))})
+    stats = corpora.select(F.col("video_id").alias("_v"), "n", "avgdl")
+    return both.join(stats, F.col("video_id").eqNullSafe(F.col("_v"))).drop("_z", "_d", "_r")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int = 8, types: list[str] | None = None) -> DataFrame:
     """(query_id, video_id, doc_id, raw, score, rank): the best documents of each source for each query.
 
@@ -170,20 +193,17 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int = 8, types: list[str] |
     keep document order.
 
     The stated queries come in blocks. A block reads each text once, into a slim row of what it has of the block's terms.
-    Sources' document frequencies are joined to these rows, a batch of which is scored against all the block's queries by one
+    Sources' document frequencies are joined to these rows, as arrays of few sources or term by term, a batch of which is scored against all the block's queries by one
     product and sends on only its best of each query and source; so what is shuffled does not grow with documents times queries.
     """
     parts = []
     for block in _blocks(queries):
         terms, own, phrases = query_terms(block)
-        rows = materialise(document_terms(docs, terms, phrases))
+        rows = materialise(document_terms(docs, terms, phrases).withColumn("rid", F.monotonically_increasing_id()))
         corpora = rows.groupBy("video_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
         df = rows.select("video_id", F.explode("terms").alias("t")).groupBy("video_id", "t").agg(F.count("*").alias("df"))
-        every = corpora.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(terms) - 1)))).alias("t"))
-        dense = every.join(df, ["video_id", "t"], "left").groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", F.coalesce("df", F.lit(0)).alias("df")))), lambda x: x["df"]).alias("dense"))
-        stats = corpora.join(dense, "video_id").select(F.col("video_id").alias("_v"), "n", "avgdl", "dense")
-        met = rows.where(F.col("evidence_type").isin(types or ["speech", "frame_caption"])).join(stats, F.col("video_id") == F.col("_v"))
-        met = met.withColumn("dfs", F.transform("terms", lambda t: F.get(F.col("dense"), t))).drop("dense")
+        few = corpora.count() * len(terms) <= DENSE_STATS
+        met = (_with_dense if few else _with_joined)(rows.where(F.col("evidence_type").isin(types or ["speech", "frame_caption"])), corpora, df, len(terms))
 
         def make(terms=terms, own=own):
             member = np.zeros((len(terms), len(own)))

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import postings as P
 from tessera.operators import retrieve as R
 from tessera.plans.registry import query
 from tessera.sources import fixtures as X
 from tessera.sources.fixtures import sql
+from tessera.storage import new_folder
 
 _TOK = r"[A-Za-z_][A-Za-z0-9_.-]*|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]"
 _DOCS = f"docs AS (SELECT video_id, doc_id, evidence_type, lower(text) AS low, [lower(x) for x in regexp_extract_all(text, '{_TOK}')] AS tokens FROM evidence WHERE evidence_type <> 'frame' AND text IS NOT NULL)"
@@ -46,6 +48,45 @@ def g_bm25_captions(spark, d):
     return R.bm25(_bm25_docs(spark, d), X.query_texts(spark, d), 3, ["frame_caption"])
 
 
+def _index(spark, d):
+    """An index of the evidence in a folder of its own."""
+    folder = new_folder(spark, "index")
+    P.sync(_bm25_docs(spark, d), folder)
+    return folder
+
+
+@query("g_bm25_indexed", sql("evidence query_texts", _BM25.replace("{types}", "true") + " SELECT * FROM words WHERE rank <= 5"))
+def g_bm25_indexed(spark, d):
+    return P.search(spark, _index(spark, d), X.query_texts(spark, d), 5)
+
+
+_TERMS = "tf AS (SELECT video_id, doc_id, unnest(tokens) AS term FROM docs), x AS (SELECT video_id, term, count(DISTINCT doc_id) AS df FROM tf GROUP BY 1, 2), c AS (SELECT video_id, count(*) AS n, round(avg(len(tokens)), 6) AS avgdl FROM docs GROUP BY 1) SELECT video_id, n, avgdl, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings, max(df) AS most FROM x JOIN c USING (video_id) GROUP BY 1, 2, 3"
+
+
+def _index_rows(spark, folder):
+    terms = spark.read.parquet(f"{folder}/frequencies").groupBy("video_id").agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.max("df").alias("most"))
+    corpora = spark.read.parquet(f"{folder}/corpora").select("video_id", "n", F.round("avgdl", 6).alias("avgdl"))
+    return corpora.join(terms, "video_id")
+
+
+@query("f_postings", sql("evidence", _DOCS + ", " + _TERMS))
+def f_postings(spark, d):
+    return _index_rows(spark, _index(spark, d))
+
+
+_LATER = """later AS (SELECT video_id, doc_id, evidence_type, CASE WHEN video_id = (SELECT min(video_id) FROM evidence) THEN text || ' zebra crossing' ELSE text END AS text FROM evidence WHERE video_id <> (SELECT max(video_id) FROM evidence)), """
+
+
+@query("f_index_sync", sql("evidence", _LATER + _DOCS.replace("FROM evidence", "FROM later") + ", " + _TERMS))
+def f_index_sync(spark, d):
+    """An index brought up to date after one source has changed and one is gone."""
+    docs, folder = _bm25_docs(spark, d), _index(spark, d)
+    ends = X.evidence(spark, d).agg(F.min("video_id").alias("_first"), F.max("video_id").alias("_last"))
+    later = docs.join(F.broadcast(ends), docs["video_id"] != F.col("_last"))
+    P.sync(later.withColumn("text", F.when(F.col("video_id") == F.col("_first"), F.concat("text", F.lit(" zebra crossing"))).otherwise(F.col("text"))), folder)
+    return _index_rows(spark, folder)
+
+
 @query("f_term_stats", sql("evidence", _DOCS + ", tf AS (SELECT video_id, doc_id, unnest(tokens) AS term FROM docs) SELECT video_id, term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tf GROUP BY 1, 2"))
 def f_term_stats(spark, d):
     return R.term_stats(_bm25_docs(spark, d))[1]

@@ -1,15 +1,35 @@
-"""Intermediate results that several steps read."""
+"""Intermediate results that several steps read, and folders for them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes, as the plan estimates them, up to which an input in few partitions is dealt over the cores.
+SPREAD_BYTES = 1 << 30
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that spark.checkpoint.dir names, which driver and executors share; only a local session may do without one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own in the shared one, in a local session without one in the warehouse."""
+    base = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{base}/{kind}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once what is read more than once: in the folder that spark.checkpoint.dir names, so that a lost executor
-    costs a read, else in Spark's own storage."""
+    """Compute once what is read more than once, in the shared folder, so that a lost executor costs a read; a local session without
+    one keeps it in Spark's own storage."""
     context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    folder = shared_folder(df.sparkSession)
     if folder and context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True) if context.getCheckpointDir() else df.persist()
@@ -18,11 +38,12 @@ def materialise(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A small input dealt over all cores before a step that costs more than a shuffle of it.
 
-    Only files that come in fewer partitions than there are cores are dealt; larger inputs, and what has been shuffled
-    already, stay as they are.
+    Only files of at most SPREAD_BYTES that come in fewer partitions than there are cores are dealt; larger inputs, and what
+    has been shuffled already, stay as they are, on any number of cores.
     """
-    plan = df._jdf.queryExecution().executedPlan()
-    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+    execution = df._jdf.queryExecution()
+    plan = execution.executedPlan()
+    if plan.nodeName().startswith("AdaptiveSparkPlan") or int(execution.optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.engine import Engine
 from tessera.functions.sql import register
+from tessera.operators import memory
 from tessera.sources import fixtures as X
 from tessera.sources.providers import HashingEmbedder, Providers, Unavailable, captions, embed
 
@@ -27,6 +28,9 @@ def test_answers(spark, sf_dir):
 
 def test_sql_functions(spark):
     assert len(register(spark)) == 9
+    rows = spark.range(-2, 40).selectExpr("id / 10D AS s", "id * 1.5D AS age", "cast(id AS double) AS n", "id / 20D AS imp", "0.01D AS a")
+    own = memory.decay_weight(F.col("s"), F.col("age"), F.col("n"), F.col("imp"), F.col("a"))
+    assert rows.select((F.expr("ev_decay(s, age, n, imp, a)") - own).alias("d")).where("abs(d) > 1e-12").count() == 0
     row = spark.sql("SELECT ev_base_tokens('Foo_1 证据') AS t, ev_format_timestamp(3725.9D) AS f, ev_temporal_iou(0D, 10D, 5D, 20D) AS i, ev_confidence(0.3D) AS c, ev_overlap(array('a','b'), array('b')) AS o, ev_hamming('ff', '00') AS h").first()
     assert row["t"] == ["foo_1", "证", "据"] and row["f"] == "[01:02:05]" and row["i"] == 0.25 and row["c"] == "medium" and row["o"] == 1.0 and row["h"] == 8
 
