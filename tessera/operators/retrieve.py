@@ -309,10 +309,11 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, top_k: int, block: int =
     """(query_id, vec_id, score, rank): the exact nearest vectors by cosine.
 
     The stated queries, in blocks that are broadcast, are scored against every batch of vectors by one product; a
-    batch keeps only its best for each query, so what is shuffled grows with the batches and not with the vectors.
+    batch keeps only its best for each query, so what is shuffled grows with the batches and not with the vectors. Null
+    vectors take no part; ``operators.vectors`` reads only a share of them.
     """
     spark = vectors.sparkSession
-    asked = [(r["query_id"], np.array(r["embedding"], dtype=np.float64)) for r in queries.select("query_id", "embedding").collect()]
+    asked = [(r["query_id"], np.array(r["embedding"], dtype=np.float64)) for r in queries.select("query_id", "embedding").where("embedding IS NOT NULL").toLocalIterator()]
     parts = []
     for at in range(0, len(asked), block):
         part = asked[at : at + block]
@@ -331,8 +332,8 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, top_k: int, block: int =
                     order = np.lexsort((vec, -scores[:, j]))[:top_k]
                     yield pd.DataFrame({"query_id": qid, "vec_id": vec[order], "score": scores[order, j]})
 
-        parts.append(vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double"))
-    rows = parts[0]
+        parts.append(vectors.select("vec_id", "embedding").where("embedding IS NOT NULL").mapInPandas(best, "query_id long, vec_id long, score double"))
+    rows = parts[0] if parts else spark.createDataFrame([], "query_id long, vec_id long, score double")
     for p in parts[1:]:
         rows = rows.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

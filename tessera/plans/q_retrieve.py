@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import postings as P
 from tessera.operators import retrieve as R
+from tessera.operators import vectors as V
 from tessera.plans.registry import query
 from tessera.sources import fixtures as X
 from tessera.sources.fixtures import sql
@@ -176,12 +177,22 @@ def g_rrf(spark, d):
     return R.reciprocal_rank_fusion([(a, 1.0), (b, 1.0)], ["cluster_id"], "vec_id", 10)
 
 
-@query("g_vector_store_search", "WITH v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v, v q WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
+_NEAREST = "WITH v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v, v q WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5"
+
+
+@query("g_vector_store_search", _NEAREST)
 def g_vector_store_search(spark, d):
     e = X.table(spark, d, "embeddings")
     return R.dense_top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
 
 
+@query("g_vector_cells", _NEAREST)
+def g_vector_cells(spark, d):
+    e, folder = X.table(spark, d, "embeddings"), new_folder(spark, "cells")
+    V.build(e, folder)
+    return V.search(spark, folder, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+
+
 @query("g_boosted_cosine", sql("evidence query_texts", _VEC + ", low AS (SELECT doc_id, lower(text) AS t FROM documents), qq AS (SELECT query_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM query_texts) SELECT query_id, video_id, vec.doc_id, score + CASE WHEN len(list_filter(ws, lambda x: contains(t, x))) > 0 THEN 0.05::DOUBLE ELSE 0 END AS score FROM vec JOIN low USING (doc_id) JOIN qq USING (query_id) WHERE rank <= 5"))
 def g_boosted_cosine(spark, d):
     top = R.sparse_top_k(X.evidence(spark, d), X.query_texts(spark, d), 5, ["speech", "frame_caption"]).drop("rank")
