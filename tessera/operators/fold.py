@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import materialise
+
 
 def fold_rows(rows: DataFrame, key: str, order: list[tuple[Column, bool]], columns: list[str], start: Callable, step: Callable, schema: str, finish: Callable | None = None) -> DataFrame:
     """Rows that an ordered fold of each key gives, in ``schema``, whose first column is the key.
@@ -63,3 +66,55 @@ def fold_rows(rows: DataFrame, key: str, order: list[tuple[Column, bool]], colum
     dealt = rows.select(key, *columns, *[c.alias(s) for (c, _), s in zip(order, sides)]).repartition(key)
     ordered = dealt.sortWithinPartitions(key, *[F.desc(s) if down else F.asc(s) for (_, down), s in zip(order, sides)])
     return ordered.select(key, *columns).mapInArrow(run, schema)
+
+
+def dealt_by_range(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows with ``_part``, sorted by (key, order) within and over partitions: a key of any size spans many of them."""
+    keys = [key, *order, "_tie"]
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    return tied.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+
+
+def split_at_resets(rows: DataFrame, key: str, order: list[str], start: str, end: str, gap: float) -> DataFrame:
+    """Rows with ``_run``: a number that changes with the key, and where a row starts more than ``gap`` after the one before it ends.
+
+    Where a fold's state is empty after such a gap, its runs can be folded in parallel, however long a key is. Each
+    task counts the gaps of its sorted rows; whether its first rows go on with the run before is decided on a table of one row a partition.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    dealt = dealt_by_range(rows, key, order)
+    schema = dealt.withColumns({"_no": F.lit(0).cast("long"), "_pos": F.lit(0).cast("long")}).schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        no = pos = 0
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, starts, ends = (batch.column(c).to_pylist() for c in (key, start, end))
+            out = []
+            for k, s, e in zip(keys, starts, ends):
+                if before is not None and (k != before[0] or s - before[1] > gap):
+                    no += 1
+                before = k, e
+                out.append(no)
+            extra = [pa.array(out, pa.int64()), pa.array(np.arange(pos, pos + len(out)))]
+            yield pa.RecordBatch.from_arrays([*(x.cast(f.type) for x, f in zip(batch.columns, arrow)), *extra], schema=arrow)
+            pos += len(out)
+
+    counted = materialise(dealt.mapInArrow(run, schema))
+    first, last = F.struct(F.col(key).alias("k"), F.col(start).alias("s")), F.struct(F.col(key).alias("k"), F.col(end).alias("e"))
+    parts = counted.groupBy("_part").agg(F.min_by(first, "_pos").alias("first"), F.max_by(last, "_pos").alias("last"), F.max("_no").alias("n"))
+    w = Window.orderBy("_part")
+    goes_on = F.lag("last.k").over(w).eqNullSafe(F.col("first.k")) & (F.col("first.s") - F.lag("last.e").over(w) <= gap)
+    parts = parts.withColumn("on", F.coalesce(goes_on, F.lit(False)))
+    run_of = lambda part, no: part.cast("long") * (1 << 32) + no
+    ends = F.when(~F.col("on") | (F.col("n") > 0), run_of(F.col("_part"), F.col("n")))  # the run that is open at a partition's end, if it began here
+    parts = parts.withColumn("open", F.last(ends, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    parts = parts.select("_part", "on", "open")
+    joined = counted.join(F.broadcast(parts), "_part")
+    number = F.when(F.col("on") & (F.col("_no") == 0), F.col("open")).otherwise(run_of(F.col("_part"), F.col("_no")))
+    return joined.withColumn("_run", number).drop("_part", "_no", "_pos", "_tie", "on", "open")

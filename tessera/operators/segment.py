@@ -6,44 +6,147 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import TOPIC_MARKERS, entities, keywords, normalize_asr
-from tessera.operators.fold import fold_rows
+from tessera.operators.fold import dealt_by_range
 from tessera.operators.intervals import point_join
+from tessera.storage import materialise
 
 MAX_CHARS = 1800
 MERGE_CHARS = 1000
 
 
+class _Rule:
+    """Where a segment ends: ``state`` is (segment, begin, size, end of the item before)."""
+
+    def __init__(self, shortest: float, longest: float, chars: int, gap: float | None):
+        self.shortest, self.longest, self.chars, self.gap = shortest, longest, chars, gap
+
+    def breaks(self, state: tuple, item: tuple) -> bool:
+        _, begin, size, before = state
+        start, end, n, marked = item
+        lasts = end - begin
+        return lasts >= self.longest or lasts >= self.shortest and marked or size + n > self.chars or self.gap is not None and start - before > self.gap
+
+    def take(self, state: tuple | None, item: tuple) -> tuple:
+        """The state after an item; without one before, the item opens the source's first segment."""
+        if state is None or self.breaks(state, item):
+            return (0 if state is None else state[0] + 1, item[0], item[2], item[1])
+        return (state[0], state[1], state[2] + 1 + item[2], item[1])
+
+    def head(self, items: list[tuple]) -> int:
+        """Items within which any state from before must have ended: they alone have too many characters."""
+        size = 0
+        for i, item in enumerate(items):
+            size += item[2] + 1
+            if size > self.chars + 1:
+                return i + 1
+        return len(items)
+
+    def exits(self, items: list[tuple], head: int) -> list[tuple]:
+        """For each of the first ``head`` items the state at the last one if a segment 0 opens at it; no opening is followed twice."""
+        known: dict[int, tuple] = {}
+        for i in range(head):
+            path, at = [], i
+            while at not in known:
+                state, j = self.take(None, items[at]), at + 1
+                while j < len(items) and not self.breaks(state, items[j]):
+                    state, j = self.take(state, items[j]), j + 1
+                if j == len(items):
+                    known[at] = state
+                else:
+                    path.append(at)
+                    at = j
+            after = known[at]
+            for here in reversed(path):
+                after = known[here] = (after[0] + 1, *after[1:])
+        return [known[i] for i in range(head)]
+
+
+def _incoming(parts, rule: _Rule) -> dict[int, tuple]:
+    """The state with which each partition's first source goes on, by following the sources over partitions in order."""
+    out: dict[int, tuple] = {}
+    state, key, any_part = None, None, False
+    for r in parts:
+        on = any_part and r["first"] == key
+        if on:
+            out[r["_part"]] = state
+            for item, after in zip(r["head"], r["exits"]):
+                if rule.breaks(state, tuple(item)):
+                    state = (state[0] + 1 + after[0], *tuple(after)[1:])
+                    break
+                state = rule.take(state, tuple(item))
+        if not (on and r["alone"]):
+            state = tuple(r["state"])
+        key, any_part = r["last"], True
+    return out
+
+
 def _fold(items: DataFrame, key: str, order: list[str], shortest: float, longest: float, chars: int, gap: float | None) -> DataFrame:
     """(key, segment, *items' columns): number the segments of each source's ordered items.
 
-    What splits depends on where the segment began, so a source's items are folded in order; only times, text
-    lengths and marker flags go to Python, a batch at a time.
+    What splits depends on where the segment began. Sources are dealt by ranges of (key, order), so one of any length spans many
+    tasks. Each task follows its first source from every item at which a segment that came in can have ended, which is
+    within the characters of one segment, to the state at its end; ways soon meet. A walk over partitions, a small row each, links these
+    states, and each task then numbers its items from the state it gets. Only times, text lengths and marker flags go to Python.
     """
+    import pyarrow as pa
+
     lows = [m.lower() for m in TOPIC_MARKERS]
     marker = F.exists(F.array(*[F.lit(m) for m in lows]), lambda m: F.contains(F.lower("text"), m))
     slim = items.select(key, *dict.fromkeys([*order, "start_s", "end_s"]), F.length("text").alias("_len"), marker.alias("_marker"))
-
-    def start():
-        return {"segment": -1, "begin": 0.0, "size": 0, "before": 0.0}
-
-    def step(state, *columns):
-        *places, starts, ends, sizes, marked = columns  # a place that is also a time comes twice
-        out = []
-        segment, begin, size, before = state["segment"], state["begin"], state["size"], state["before"]
-        for s, e, n, mark in zip(starts, ends, sizes, marked):
-            lasts = e - begin
-            if segment < 0 or lasts >= longest or lasts >= shortest and mark or size + n > chars or gap is not None and s - before > gap:
-                segment, begin, size = segment + 1, s, n
-            else:
-                size += 1 + n
-            before = e
-            out.append(segment)
-        state.update(segment=segment, begin=begin, size=size, before=before)
-        return (*places, out)
+    dealt = materialise(dealt_by_range(slim, key, order))
+    rule = _Rule(shortest, longest, chars, gap)
+    kind = items.schema[key].dataType.simpleString()
+    state_type = pa.struct([("segment", pa.int64()), ("begin", pa.float64()), ("size", pa.int64()), ("before", pa.float64())])
+    item_type = pa.struct([("start", pa.float64()), ("end", pa.float64()), ("n", pa.int64()), ("marked", pa.bool_())])
+    as_rows = lambda values, t: [dict(zip([f.name for f in t], v)) for v in values]
+
+    def read(batch):
+        return batch["_part"][0].as_py(), batch[key].to_pylist(), list(zip(*(batch[c].to_pylist() for c in ("start_s", "end_s", "_len", "_marker"))))
+
+    def look(batches):
+        part, keys, rows = None, [], []
+        key_type = pa.null()
+        for batch in batches:
+            if batch.num_rows:
+                part, more, items_ = read(batch)
+                keys, rows, key_type = keys + more, rows + items_, batch[key].type
+        if not keys:
+            return
+        first = next((i for i, k in enumerate(keys) if k != keys[0]), len(keys))
+        last = next((i + 1 for i in range(len(keys) - 1, -1, -1) if keys[i] != keys[-1]), 0)
+        own = rows[:first]
+        head = rule.head(own)
+        state = None
+        for item in rows[last:]:
+            state = rule.take(state, item)
+        columns = [([part], pa.int32()), ([keys[0]], key_type), ([keys[-1]], key_type), ([as_rows(own[:head], item_type)], pa.list_(item_type)), ([as_rows(rule.exits(own, head), state_type)], pa.list_(state_type)), (as_rows([state], state_type), state_type), ([first == len(keys)], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["_part", "first", "last", "head", "exits", "state", "alone"])
+
+    state = "struct<segment:long,begin:double,size:long,before:double>"
+    heads = dealt.mapInArrow(look, f"_part int, first {kind}, last {kind}, head array<struct<start:double,end:double,n:long,marked:boolean>>, exits array<{state}>, state {state}, alone boolean")
+    held = items.sparkSession.sparkContext.broadcast(_incoming(heads.orderBy("_part").toLocalIterator(), rule))
+
+    def number(batches):
+        state, before = None, None
+        begun = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, keys, rows = read(batch)
+            out = []
+            for k, item in zip(keys, rows):
+                if not begun:
+                    state, begun = held.value.get(part), True
+                elif k != before:
+                    state = None
+                state, before = rule.take(state, item), k
+                out.append(state[0])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in (key, *order)), pa.array(out, pa.int64())], names=[key, *order, "segment"])
 
     fields = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in (key, *order))
-    numbers = fold_rows(slim, key, [(F.col(c), False) for c in order], [*order, "start_s", "end_s", "_len", "_marker"], start, step, f"{fields}, segment long")
-    return items.join(numbers, [key, *order])
+    numbers = dealt.mapInArrow(number, f"{fields}, segment long")
+    same = [items[c].eqNullSafe(numbers[c]) for c in (key, *order)]
+    return items.join(numbers, same).drop(*(numbers[c] for c in (key, *order)))
 
 
 def _segments(rows: DataFrame, key: str, order: list[str], cut: int | None) -> DataFrame:

@@ -15,6 +15,8 @@ from tessera.plans.q_text import ANCHORS_SQL, LOOKS_SQL
 from tessera.plans.registry import query
 from tessera.sources import fixtures as X
 from tessera.sources.fixtures import sql
+from tessera.storage import new_folder
+from tessera.streaming import analysis as A
 
 _MARK = " OR ".join(f"contains(lower(text), '{m}')" for m in T.TOPIC_MARKERS)
 
@@ -51,6 +53,27 @@ def c_segment_transcript(spark, d):
     return rows.drop("entities").withColumn("keywords", F.array_join("keywords", " "))
 
 
+@query("m_live_segments", sql("items", _fold_sql(False, 1800, 1800).replace("FROM items WHERE", "FROM (SELECT * REPLACE (trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text) FROM items) i WHERE") + " SELECT video_id, segment, start_s, end_s, n_items, text FROM seg", True))
+def m_live_segments(spark, d):
+    """The conversations as they come in, file by file: ingested by one stream, segmented by another."""
+    return _live(spark, d, A.segments)
+
+
+@query("m_live_snapshots", sql("items", _fold_sql(False, 1800, 1800).replace("FROM items WHERE", "FROM (SELECT * REPLACE (trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text) FROM items) i WHERE") + " SELECT video_id, count(*) AS n_segments, max(m) + 1 AS next_ord, 'succeeded' AS status FROM seg JOIN (SELECT video_id, max(item_ord) AS m FROM items GROUP BY 1) l USING (video_id) GROUP BY 1", True))
+def m_live_snapshots(spark, d):
+    return _live(spark, d, A.snapshots).select("video_id", "n_segments", "next_ord", "status")
+
+
+def _live(spark, d, read):
+    items = _seconds(X.items(spark, d)).select("video_id", F.col("item_ord").cast("long").alias("item_ord"), "start_s", "end_s", "text")
+    kind, folder = dict(items.dtypes)["video_id"], new_folder(spark, "live")
+    A.land(items, f"{folder}/landing")
+    landed = spark.readStream.schema(A.ITEM.format(kind=kind)).option("maxFilesPerTrigger", 3).parquet(f"{folder}/landing")
+    A.ingest(landed, folder, f"{folder}/ingested").awaitTermination()
+    A.run_analysis(spark, folder, f"{folder}/analysed", kind, first=items.agg(F.min("item_ord")).first()[0] or 0).awaitTermination()
+    return read(spark, folder)
+
+
 @query("c_merge_segments", sql("items", _SEG + " SELECT video_id, segment, printf('seg_%04d', segment) AS segment_id, start_s, end_s, n_items, text FROM seg", True))
 def c_merge_segments(spark, d):
     return _segments(spark, d)
