@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.fold import fold_rows
 from tessera.operators.retrieve import cosine
+from tessera.storage import materialise
 
 CONSENSUS, DISAGREEMENT, LEADER = 0.78, 0.45, 0.72
 
@@ -25,11 +26,89 @@ def kmeans_clusters(vectors: DataFrame, k: int | None = None, seed: int = 42) ->
     return model.transform(rows).select("vec_id", F.col("prediction").cast("long").alias("cluster"))
 
 
-def leader_clusters(vectors: DataFrame, key: str, threshold: float = LEADER) -> DataFrame:
+#: Vectors of a cluster that one fold takes in a round.
+ROUND = 4096
+
+
+def smallest(rows: DataFrame, key: str, value: str, n) -> DataFrame:
+    """(key, cut): the n-th smallest value of each key, the largest if there are fewer; ``n``: a number, or a column of counts by key.
+
+    Every partition sends on its own n smallest numbers only.
+    """
+    import pyarrow as pa
+
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import heapq
+
+        held: dict = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                heap = held.setdefault(k, [])
+                if len(heap) < n:
+                    heapq.heappush(heap, -v)
+                elif -heap[0] > v:
+                    heapq.heapreplace(heap, -v)
+        flat = [(k, -v) for k, heap in held.items() for v in heap]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in flat], arrow_kind), pa.array([v for _, v in flat], pa.int64())], names=[key, "v"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow_kind = to_arrow_type(rows.schema[key].dataType)
+    found = rows.select(key, F.col(value).cast("long").alias("v")).mapInArrow(run, f"`{key}` {kind}, v long")
+    w = Window.partitionBy(key).orderBy("v")
+    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).groupBy(key).agg(F.max("v").alias("cut"))
+
+
+def leader_clusters(vectors: DataFrame, key: str, threshold: float = LEADER, most: int = ROUND) -> DataFrame:
     """(key, vec_id, leader): in id order, a vector joins the first leader that is near enough, else leads.
 
-    One fold for each key; what it holds grows with the leaders, not with the vectors.
+    A cluster of up to ``most`` vectors is one fold. Of a larger one, the first ``most`` vectors that are still open are folded, which
+    finds their leaders; the others meet these leaders by blocks, join the first one that is near, and what is left goes to the
+    next round. So a cluster of any size is dealt over tasks, and no task holds all leaders.
     """
+    rows = vectors.select(key, "vec_id", "embedding")
+    decided = None
+    while True:
+        cuts = materialise(smallest(rows, key, "vec_id", most))
+        own = rows.alias("r").join(cuts.alias("c"), F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}"))).select("r.*", (F.col("vec_id") <= F.col("cut")).alias("_now"))
+        led = materialise(_fold_leaders(own.where("_now").drop("_now"), key, threshold))
+        decided = led if decided is None else decided.unionByName(led)
+        rest = materialise(own.where("NOT _now").drop("_now"))
+        if rest.isEmpty():
+            return decided
+        leaders = led.where("vec_id = leader").select(key, "vec_id").alias("l").join(rows.alias("v"), F.col(f"l.{key}").eqNullSafe(F.col(f"v.{key}")) & (F.col("l.vec_id") == F.col("v.vec_id"))).select("v.*")
+        joined = materialise(_first_near(rest, leaders, key, threshold))
+        decided = decided.unionByName(joined)
+        rows = materialise(rest.alias("r").join(joined.alias("j"), F.col(f"r.{key}").eqNullSafe(F.col(f"j.{key}")) & (F.col("r.vec_id") == F.col("j.vec_id")), "left_anti"))
+        if rows.isEmpty():
+            return decided
+
+
+def _first_near(rows: DataFrame, leaders: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, vec_id, leader) of the rows that are near to a leader, the first of those that are."""
+    block = lambda df, name: df.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(64))).groupBy(key, "_b").agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name))
+    dealt = rows.withColumn("_s", F.pmod(F.shiftrightunsigned(F.xxhash64("vec_id"), 8), F.lit(1 << 20)))
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_m"))
+    dealt = dealt.alias("d").join(sizes.alias("s"), F.col(f"d.{key}").eqNullSafe(F.col(f"s.{key}"))).select("d.*", F.pmod(F.col("_s"), F.col("_m")).alias("_b"))
+    left = dealt.groupBy(key, "_b").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("left"))
+    right = block(leaders, "right").withColumnRenamed("_b", "_r")
+    pairs = left.alias("a").join(right.alias("b"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))).select(f"a.{key}", F.lit(False).alias("same"), "left", "right")
+
+    def choose(same, a, b, sims):
+        import numpy as np
+
+        near = np.where(sims >= threshold, b[None, :], np.iinfo(np.int64).max).min(axis=1)
+        hit = near < np.iinfo(np.int64).max
+        return a[hit], near[hit]
+
+    found = _similarities(pairs, key, choose, "vec_id long, leader long", 9)
+    return found.groupBy(key, "vec_id").agg(F.min("leader").alias("leader"))
+
+
+def _fold_leaders(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
+    """The leaders of each key's rows by one fold."""
 
     def start():
         return {"ids": [], "m": None, "n": 0}
@@ -69,7 +148,8 @@ def block_pairs(vectors: DataFrame, key: str, queries: Column | None = None, blo
     spread over tasks by its block pairs. With ``queries``, left blocks hold those rows only and meet every right block.
     """
     sizes = vectors.groupBy(key).agg(F.ceil(F.count("*") / block).cast("long").alias("_m"))
-    dealt = vectors.select(key, "vec_id", "embedding", *([queries.alias("_q")] if queries is not None else [])).join(sizes, key)
+    own = vectors.select(key, "vec_id", "embedding", *([queries.alias("_q")] if queries is not None else []))
+    dealt = own.join(sizes.withColumnRenamed(key, "_k"), own[key].eqNullSafe(F.col("_k"))).drop("_k")
     dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.col("_m")))
     held = F.collect_list(F.struct("vec_id", "embedding"))
     whole = dealt.groupBy(key, "_b", "_m").agg(held.alias("right"))
@@ -80,10 +160,11 @@ def block_pairs(vectors: DataFrame, key: str, queries: Column | None = None, blo
         some = dealt.where("_q").groupBy(key, "_b", "_m").agg(held.alias("left"))
         left = some.select(key, F.col("_b").alias("_i"), "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_j"))
         right = whole.select(key, F.col("_b").alias("_j"), "right", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_i"))
-    return left.join(right, [key, "_i", "_j"]).select(key, (F.col("_i") == F.col("_j")).alias("same"), "left", "right")
+    both = left.alias("a").join(right.alias("b"), [F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), F.col("a._i") == F.col("b._i"), F.col("a._j") == F.col("b._j")])
+    return both.select(f"a.{key}", (F.col("a._i") == F.col("a._j")).alias("same"), "left", "right")
 
 
-def _similarities(pairs: DataFrame, key: str, choose, fields: str) -> DataFrame:
+def _similarities(pairs: DataFrame, key: str, choose, fields: str, places: int = 4) -> DataFrame:
     """Rows of (key, fields) that ``choose(same, left ids, right ids, similarities)`` gives of each block pair."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -107,7 +188,7 @@ def _similarities(pairs: DataFrame, key: str, choose, fields: str) -> DataFrame:
             for i in range(batch.num_rows):
                 a, x = matrix(batch.column(2)[i].values)
                 b, y = matrix(batch.column(3)[i].values)
-                found = choose(batch.column(1)[i].as_py(), a, b, np.round(x @ y.T, 4) + 0.0)
+                found = choose(batch.column(1)[i].as_py(), a, b, np.round(x @ y.T, places) + 0.0)
                 if len(found[0]):
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found[0]), arrow[0].type), *[pa.array(v, f.type) for v, f in zip(found, list(arrow)[1:])]], schema=arrow)
 
@@ -126,10 +207,16 @@ def pairwise(vectors: DataFrame, key: str, queries: Column) -> DataFrame:
     return _similarities(block_pairs(vectors, key, queries), key, choose, "a long, b long, similarity double")
 
 
-def consensus(vectors: DataFrame, key: str, most: int = 12) -> DataFrame:
+#: First vectors whose pairs the first round of ``consensus`` looks at; each later one takes four times as many.
+FIRST_ROWS = 32
+
+
+def consensus(vectors: DataFrame, key: str, most: int = 12, first: int = FIRST_ROWS, seen: dict | None = None) -> DataFrame:
     """(key, kind, a, b, similarity, place): a cluster's first agreeing and first disagreeing pairs a < b, in their order.
 
-    A pair of blocks sends on only its first ``most`` of each kind.
+    Pairs are visited by their lower id: the first ids of every cluster meet all higher ones, by blocks; a cluster that has ``most`` pairs of both
+    kinds is done, the others take four times as many ids in the next round. A pair of blocks sends on only its first
+    ``most`` of each kind. ``seen`` is told the number of pairs that were compared.
     """
 
     def choose(same, a, b, sims):
@@ -137,16 +224,30 @@ def consensus(vectors: DataFrame, key: str, most: int = 12) -> DataFrame:
 
         out: tuple[list, list, list, list] = ([], [], [], [])
         for kind, hit in (("consensus", sims >= CONSENSUS), ("disagreement", sims <= DISAGREEMENT)):
-            i, j = np.nonzero(hit & ((a[:, None] < b[None, :]) if same else (a[:, None] != b[None, :])))
-            low, high = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-            first = np.lexsort((high, low))[:most]
-            for column, values in zip(out, ([kind] * len(first), low[first], high[first], sims[i, j][first])):
+            i, j = np.nonzero(hit & (a[:, None] < b[None, :]))
+            first = np.lexsort((b[j], a[i]))[:most]
+            for column, values in zip(out, ([kind] * len(first), a[i][first], b[j][first], sims[i, j][first])):
                 column.extend(values)
         return out
 
-    found = _similarities(block_pairs(vectors, key), key, choose, "kind string, a long, b long, similarity double")
+    seen = {} if seen is None else seen
+    seen["pairs"] = 0
     w = Window.partitionBy(key, "kind").orderBy("a", "b")
-    return found.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most)
+    rows = vectors.select(key, "vec_id", "embedding")
+    open_, found, n = rows, None, first
+    while True:
+        cuts = materialise(smallest(open_, key, "vec_id", n))
+        own = materialise(open_.alias("r").join(cuts.alias("c"), F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}"))).select("r.*", (F.col("vec_id") <= F.col("cut")).alias("_now")))
+        met = _similarities(block_pairs(own, key, F.col("_now")), key, choose, "kind string, a long, b long, similarity double")
+        seen["pairs"] += own.groupBy(key).agg((F.count("*") * F.count_if("_now")).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
+        met = met if found is None else met.unionByName(found)
+        found = materialise(met.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).drop("place"))
+        full = found.groupBy(key, "kind").agg(F.count("*").alias("n")).where(F.col("n") == most).groupBy(key).agg(F.count("*").alias("kinds")).where("kinds = 2")
+        left = own.where("NOT _now").drop("_now")
+        open_ = materialise(left.alias("r").join(full.alias("f"), F.col(f"r.{key}").eqNullSafe(F.col(f"f.{key}")), "left_anti"))
+        if open_.isEmpty():
+            return found.withColumn("place", F.row_number().over(w).cast("long"))
+        n *= 4
 
 
 def author_changes(vectors: DataFrame, key: list[str], order: str) -> DataFrame:
