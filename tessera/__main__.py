@@ -36,7 +36,8 @@ def _query(spark, given):
 #: Command: what it takes besides the workspace, and what it does; a result is shown or written.
 COMMANDS = {
     "ingest": (["path"], lambda w, g: w.ingest(g.path)),
-    "process": ([], lambda w, g: w.process()),
+    "process": (["--force"], lambda w, g: w.spark.createDataFrame([(str(v),) for v in w.process(g.force == "yes")], "processed string")),
+    "find": (["--question", "--questions"], lambda w, g: w.find(_questions(w.spark, g))),
     "summarize": ([], lambda w, g: w.summarize()),
     "ask": (["--question", "--questions", "--mode"], lambda w, g: w.ask(_questions(w.spark, g), g.mode or "hybrid")),
     "chat": (["--question", "--questions", "--mode", "--frames"], lambda w, g: w.ask(_questions(w.spark, g), g.mode or "hybrid", _frames(w.spark, g) if g.frames else None)),

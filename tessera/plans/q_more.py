@@ -46,9 +46,10 @@ def a_recognised_items(spark, d):
     return A.recognised_items(rows.select("video_id", reply.alias("reply")), "video_id", "reply")
 
 
-@query("a_mock", "SELECT v AS video_id, i AS item_ord, i * 55.0::DOUBLE AS start_s, i * 55.0::DOUBLE + 50 AS end_s, printf('f_%010d', i * 55000) AS frame_id FROM generate_series(0, 9) a(v), generate_series(0, 5) b(i)")
+@query("a_mock", "SELECT v AS video_id, i AS item_ord, i * 55.0::DOUBLE AS start_s, i * 55.0::DOUBLE + 50 AS end_s, printf('f_%010d', i * 55000) AS frame_id FROM (SELECT unnest(generate_series(0, (SELECT count(DISTINCT conv_id) FROM conversations) - 1)) AS v) a, generate_series(0, 5) b(i)")
 def a_mock(spark, d):
-    items = A.mock_items(spark, 10)
+    """A stand-in transcript for each conversation."""
+    items = A.mock_items(spark, X.table(spark, d, "conversations").agg(F.countDistinct("conv_id")).first()[0])
     frames = A.mock_frames(items)
     return items.join(frames.select("video_id", F.col("ts_s").alias("start_s"), "frame_id"), ["video_id", "start_s"]).select("video_id", "item_ord", "start_s", "end_s", "frame_id")
 

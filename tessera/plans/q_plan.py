@@ -54,11 +54,12 @@ def e_intent_view(spark, d):
     return v.select("question_id", F.array_join("v.required", ",").alias("required"), F.array_join("v.optional", ",").alias("optional"), "v.visual", "v.general_ok", "v.min_visual_times")
 
 
-@query("e_retrieval_plan", sql("questions", r"c AS (SELECT question_id, question, trim(regexp_replace(question, '\s+', ' ', 'g')) AS plain FROM questions) SELECT question_id, CASE WHEN regexp_matches(question, '[\x{4e00}-\x{9fff}]') THEN '确认 ' || plain || '|' || plain ELSE 'Establish from the video|确认 ' || plain || '|' || plain END AS queries FROM c"))
+@query("e_retrieval_plan", sql("asked", r"c AS (SELECT question_id, regexp_matches(question, '[\x{4e00}-\x{9fff}]') AS cjk, trim(regexp_replace(question, '\s+', ' ', 'g')) AS plain FROM asked) SELECT question_id, concat_ws('|', CASE WHEN NOT cjk THEN 'Establish from the video' END, substr(trim('确认 ' || plain), 1, 500), CASE WHEN plain <> '' THEN substr(plain, 1, 500) END) AS queries FROM c"))
 def e_retrieval_plan(spark, d):
+    """Candidates in both scripts, with repeats and blanks, for every question asked."""
     q = F.col("question")
     options = F.array(F.lit("Establish  from the video"), F.concat(F.lit("确认 "), q), q, F.concat(q, F.lit(" ")), F.lit(" "))
-    return X.questions(spark).select("question_id", F.array_join(P.retrieval_queries(q, options), "|").alias("queries"))
+    return X.asked(spark, d).select("question_id", F.array_join(P.retrieval_queries(q, options), "|").alias("queries"))
 
 
 _TITLE = "An introduction to Spark joins 学习 and the said"

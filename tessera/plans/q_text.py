@@ -13,14 +13,21 @@ from tessera.sources import fixtures as X
 from tessera.sources import subtitles as S
 from tessera.sources.fixtures import sql
 
-STAMPS = ["00:01:02,500", "01:02.25", "1:00:00", "7", "a:b", "12:30:15.125", "00:00:00.000"]
 _TOK = r"[A-Za-z_][A-Za-z0-9_.-]*|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]"
 _BASE = f"[lower(x) for x in regexp_extract_all(text, '{_TOK}')]"
 
 
-@query("a_parse_timestamp", "SELECT * FROM (VALUES ('00:01:02,500', 62.5::DOUBLE), ('01:02.25', 62.25), ('1:00:00', 3600.0), ('7', 0.0), ('a:b', 0.0), ('12:30:15.125', 45015.125), ('00:00:00.000', 0.0)) v(stamp, seconds)")
+_CLOCK = "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:[.,][0-9]+)?"
+
+
+@query("a_parse_timestamp", f"""WITH s AS (SELECT stamp_id, 'raw' AS part, raw AS stamp FROM stamps UNION ALL SELECT stamp_id, 'clock', regexp_extract(raw, '{_CLOCK}') FROM stamps UNION ALL SELECT stamp_id, 'comma', regexp_extract(raw, '{_CLOCK}') || ',250' FROM stamps),
+ p AS (SELECT *, list_transform(string_split(replace(stamp, ',', '.'), ':'), lambda x: TRY_CAST(x AS DOUBLE)) AS n FROM s)
+ SELECT stamp_id, part, stamp, coalesce(CASE len(n) WHEN 3 THEN n[1] * 3600 + n[2] * 60 + n[3] WHEN 2 THEN n[1] * 60 + n[2] END, 0)::DOUBLE AS seconds FROM p""")
 def a_parse_timestamp(spark, d):
-    return spark.createDataFrame([(s,) for s in STAMPS], "stamp string").withColumn("seconds", P.subtitle_seconds(F.col("stamp")))
+    """Times as text: as they are, their clock part, and that with milliseconds after a comma."""
+    rows = X.table(spark, d, "stamps").select("stamp_id", "raw", F.regexp_extract("raw", f"({_CLOCK})", 1).alias("clock"))
+    parts = rows.select("stamp_id", F.expr("stack(3, 'raw', raw, 'clock', clock, 'comma', concat(clock, ',250')) AS (part, stamp)"))
+    return parts.withColumn("seconds", P.subtitle_seconds(F.col("stamp")))
 
 
 def _clock(ms, mark):
@@ -57,9 +64,11 @@ def a_parse_json3(spark, d):
     return S.parse_json3(files).select("video_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text")
 
 
-@query("a_subtitle_dispatch", "SELECT * FROM (VALUES ('a.json3', 'json3'), ('b.VTT', 'vtt'), ('c.en.srt', 'srt'), ('d.ass', NULL), ('e', NULL)) v(path, kind)")
+@query("a_subtitle_dispatch", "SELECT page_id, path, CASE lower(regexp_extract(path, '\\.[A-Za-z0-9]+$')) WHEN '.json3' THEN 'json3' WHEN '.vtt' THEN 'vtt' WHEN '.srt' THEN 'srt' END AS kind FROM (SELECT page_id, url || ['', '.json3', '.VTT', '.en.srt', '.ass', '.vtt?x'][1 + page_id % 6] AS path FROM pages) p")
 def a_subtitle_dispatch(spark, d):
-    return spark.createDataFrame([(p,) for p in ("a.json3", "b.VTT", "c.en.srt", "d.ass", "e")], "path string").withColumn("kind", S.subtitle_kind(F.col("path")))
+    """Addresses as paths, with the suffixes that files come with, and without."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("", ".json3", ".VTT", ".en.srt", ".ass", ".vtt?x")]), (F.col("page_id") % 6 + 1).cast("int"))
+    return X.table(spark, d, "pages").select("page_id", F.concat("url", suffix).alias("path")).withColumn("kind", S.subtitle_kind(F.col("path")))
 
 
 @query("a_clean_markup", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS text FROM pages")

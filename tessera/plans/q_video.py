@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import tables
 from tessera.functions import text as T
 from tessera.operators import contract as C
 from tessera.operators import frames as V
@@ -64,6 +65,21 @@ def m_live_snapshots(spark, d):
     return _live(spark, d, A.snapshots).select("video_id", "n_segments", "next_ord", "status")
 
 
+@query("r_udtf_segments", sql("items", _fold_sql(False, 1800, 1800).replace("FROM items WHERE", "FROM (SELECT * REPLACE (trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text) FROM items) i WHERE") + " SELECT video_id, segment, start_s, end_s, n_items, text FROM seg", True))
+def r_udtf_segments(spark, d):
+    """Segmentation as a table function in SQL."""
+    tables.register(spark)
+    rows = _seconds(X.items(spark, d)).withColumn("text", T.normalize_asr(F.col("text")))
+    return spark.sql("SELECT * FROM ev_segment(TABLE(SELECT video_id, item_ord, start_s, end_s, text FROM {rows}), key => 'video_id', ord => 'item_ord')", rows=rows)
+
+
+@query("r_udtf_top", "SELECT event_type, event_id, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) e WHERE rank <= 7")
+def r_udtf_top(spark, d):
+    """The first rows of each partition as a table function in SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT event_type, event_id, value, rank FROM ev_top(TABLE(SELECT event_type, event_id, value FROM {rows}) PARTITION BY event_type ORDER BY (value DESC, event_id), k => 7)", rows=X.table(spark, d, "events"))
+
+
 def _live(spark, d, read):
     items = _seconds(X.items(spark, d)).select("video_id", F.col("item_ord").cast("long").alias("item_ord"), "start_s", "end_s", "text")
     kind, folder = dict(items.dtypes)["video_id"], new_folder(spark, "live")

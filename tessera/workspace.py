@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine
-from tessera.operators import contract, memory, metrics
+from tessera.operators import contract, memory, metrics, postings
 from tessera.sources import subtitles
 from tessera.sources.adapters import notes, write_partitioned
+from tessera.storage import materialise
 
 
 class Workspace:
@@ -30,15 +31,45 @@ class Workspace:
         order = F.row_number().over(Window.partitionBy("video_id").orderBy("start_s", "end_s", "text")).cast("long")
         self.write("items", named.withColumn("item_ord", order))
 
-    def process(self) -> None:
-        """Segments, evidence, storyline and summary of all items."""
-        self.write("segments", self.engine.segments(self.read("items")))
-        self.rebuild_index()
-        self.write("storyline", self.engine.storyline(self.read("segments")))
-        self.summarize()
+    def exists(self, kind: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def process(self, force: bool = False) -> list:
+        """Segments, evidence, storyline and summary of the sources whose items have changed since they were processed; these sources.
+
+        A source's fingerprint is written after all else of it, so a run that dies is made up for by the next one. ``force`` takes all.
+        """
+        items = self.read("items")
+        h = F.xxhash64("item_ord", "start_s", "end_s", "text")
+        prints = items.groupBy("video_id").agg(F.concat_ws(":", F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 16))).alias("fingerprint"))
+        if not force and self.exists("processed"):
+            done = self.read("processed").select(F.col("video_id").cast(prints.schema["video_id"].dataType).alias("_v"), F.col("fingerprint").alias("_f"))
+            prints = prints.join(done, (F.col("video_id") == F.col("_v")) & (F.col("fingerprint") == F.col("_f")), "left_anti")
+        prints = materialise(prints)
+        if prints.isEmpty():
+            return []
+        segments = materialise(self.engine.segments(items.join(prints.select("video_id"), "video_id", "left_semi")))
+        self.write("segments", segments)
+        self.write("evidence", self.engine.evidence(segments))
+        self.write("storyline", self.engine.storyline(segments))
+        self.write("summary", self.engine.summary(segments))
+        self.index()
+        self.write("processed", prints)
+        return sorted(r["video_id"] for r in prints.select("video_id").collect())
 
     def rebuild_index(self) -> None:
+        """All evidence anew from the segments; captions that were added go."""
         self.write("evidence", self.engine.evidence(self.read("segments")))
+        self.index()
+
+    def index(self) -> list[int]:
+        """The stored postings brought up to date with the evidence; see operators.postings."""
+        return postings.sync(self.read("evidence").select("video_id", "doc_id", "evidence_type", "text"), f"{self.folder}/index")
+
+    def find(self, questions: DataFrame, top_k: int = 8, types: list[str] | None = None) -> DataFrame:
+        """(query_id, video_id, doc_id, raw, score, rank) by words, from the stored postings."""
+        return postings.search(self.spark, f"{self.folder}/index", questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("text")), top_k, types)
 
     def summarize(self) -> None:
         self.write("summary", self.engine.summary(self.read("segments")))
@@ -47,11 +78,17 @@ class Workspace:
         return self.engine.ask(self.read("evidence"), questions, frames, mode)
 
     def refine_frames(self, questions: DataFrame, frames: DataFrame) -> DataFrame:
-        """Caption evidence that the questions ask for, added to the index."""
+        """Caption evidence that the questions ask for, added to the evidence and the index; what was added or said anew."""
         evidence = self.read("evidence")
         found = self.engine.retrieve(evidence, questions)
         asked = found.select("query_id", "video_id").distinct().join(questions.select(F.col("question_id").alias("query_id"), "question"), "query_id")
-        return self.engine.refine(asked, evidence, found, frames)
+        more = materialise(self.engine.refine(asked, evidence, found, frames))
+        if not more.isEmpty():
+            touched = evidence.join(more.select("video_id").distinct(), "video_id", "left_semi")
+            kept = touched.join(more.select("video_id", "doc_id"), ["video_id", "doc_id"], "left_anti")
+            self.write("evidence", materialise(kept.unionByName(more.select(kept.columns))))  # read before its sources are written again
+            self.index()
+        return more
 
     def export(self) -> DataFrame:
         """(video_id, note): a note a source, a line a node of its storyline."""
