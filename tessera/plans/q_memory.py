@@ -325,13 +325,14 @@ def m_timeout(spark, d):
     return X.items(spark, d).groupBy("video_id").agg((F.max("end_ms") / 100).alias("s")).select("video_id", P.request_timeout(F.col("s")).alias("timeout"))
 
 
-@query("m_retry_classify", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'cooldown' WHEN 1 THEN 'retry' WHEN 2 THEN 'retry' ELSE 'fail' END AS class FROM events")
+@query("m_retry_classify", "SELECT conv_id, turn, CASE WHEN status = 429 THEN 'cooldown' WHEN status IN (500, 502, 503, 504) OR regexp_matches(lower(text), 'timeout|timed out') THEN 'retry' ELSE 'fail' END AS class FROM (SELECT conv_id, turn, 400 + (conv_id * 7 + turn) % 120 AS status, CASE WHEN turn % 5 = 0 THEN 'Read timed out: ' ELSE '' END || coalesce(text, '') AS text FROM conversations) c")
 def m_retry_classify(spark, d):
+    """Turns of conversations as replies of a service, with a status."""
     from tessera.sources.adapters import retry_class
 
-    k = F.col("event_id") % 4
-    status = F.when(k == 0, 429).when(k == 1, 503).otherwise(400)
-    return X.table(spark, d, "events").select("event_id", retry_class(status, F.when(k == 2, "Read timed out").otherwise("bad request")).alias("class"))
+    status = 400 + (F.col("conv_id") * 7 + F.col("turn")) % 120
+    said = F.concat(F.when(F.col("turn") % 5 == 0, "Read timed out: ").otherwise(""), F.coalesce("text", F.lit("")))
+    return X.table(spark, d, "conversations").select("conv_id", "turn", retry_class(status, said).alias("class"))
 
 
 @query("m_task_progress", "SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY event_id) AS last FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) x WHERE rn <= 20 GROUP BY 1")
@@ -349,13 +350,14 @@ def m_latest_completed(spark, d):
     return P.latest_completed(X.stages(spark, d), "stage", "ts_us")
 
 
-@query("m_upload_validation", "SELECT event_id, event_id % 3 = 0 AND event_id % 5 > 0 AS ok FROM events")
+@query("m_upload_validation", "SELECT page_id, lower(regexp_extract(name, '\\.[A-Za-z0-9]+$')) IN ('.mp4', '.mov', '.mkv', '.webm', '.mp3', '.wav', '.m4a') AND size > 0 AND size <= 4294967296 AS ok FROM (SELECT page_id, url || ['', '.MP4', '.exe', '.webm', '.wav'][1 + page_id % 5] AS name, (page_id * 100000007) % 6000000000 AS size FROM pages) p")
 def m_upload_validation(spark, d):
+    """Addresses as names of uploads."""
     from tessera.sources.adapters import upload_checks
 
-    k = F.col("event_id")
-    rows = X.table(spark, d, "events").select("event_id", F.when(k % 3 == 0, "a.MP4").otherwise("b.exe").alias("name"), (k % 5 * 1000).alias("size"))
-    return upload_checks(rows, "name", "size").select("event_id", "ok")
+    ends = F.element_at(F.array(*[F.lit(x) for x in ("", ".MP4", ".exe", ".webm", ".wav")]), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = X.table(spark, d, "pages").select("page_id", F.concat("url", ends).alias("name"), (F.col("page_id") * 100000007 % 6000000000).alias("size"))
+    return upload_checks(rows, "name", "size").select("page_id", "ok")
 
 
 def _stream(spark, d, columns):

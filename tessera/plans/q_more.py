@@ -75,12 +75,12 @@ def a_search_rows(spark, d):
     return A.search_rows(X.table(spark, d, "events").select("event_id", reply.alias("reply")), "event_id", "reply")
 
 
-@query("b_endpoint", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN 'http://h/V1' ELSE 'http://h/v1' END AS base, 'http://h/v1/embeddings' AS url FROM events")
+@query("b_endpoint", "WITH g AS (SELECT page_id, ' ' || url || ['', '/', '/chat/completions/', '/EMBEDDINGS'][1 + page_id % 4] || ' ' AS given FROM pages), b AS (SELECT page_id, rtrim(regexp_replace(regexp_replace(rtrim(trim(given), '/'), '/chat/completions$', '', 'i'), '/embeddings$', '', 'i'), '/') AS base FROM g) SELECT page_id, base, CASE WHEN ends_with(base, 'embeddings') THEN base ELSE base || '/embeddings' END AS url FROM b")
 def b_endpoint(spark, d):
-    k = F.col("event_id") % 3
-    given = F.when(k == 0, " http://h/v1/ ").when(k == 1, "http://h/v1/chat/completions/").otherwise("http://h/V1/EMBEDDINGS")
-    base = O.base_url(given)
-    return X.table(spark, d, "events").select("event_id", base.alias("base"), O.endpoint(F.when(k == 1, F.lit("http://h/v1/embeddings")).otherwise(F.lower(base)), "embeddings").alias("url"))
+    """Addresses as services', with and without the path of a call."""
+    ends = F.element_at(F.array(*[F.lit(x) for x in ("", "/", "/chat/completions/", "/EMBEDDINGS")]), (F.col("page_id") % 4 + 1).cast("int"))
+    base = O.base_url(F.concat(F.lit(" "), F.col("url"), ends, F.lit(" ")))
+    return X.table(spark, d, "pages").select("page_id", base.alias("base"), O.endpoint(base, "embeddings").alias("url"))
 
 
 @query("g_trace", sql("evidence", "r AS (SELECT video_id, doc_id, row_number() OVER (PARTITION BY video_id ORDER BY length(text) DESC NULLS LAST, doc_id) AS rank FROM evidence), s AS (SELECT video_id, doc_id, row_number() OVER (PARTITION BY video_id ORDER BY doc_id DESC) AS rank FROM evidence) SELECT video_id, (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY rank) FROM r WHERE r.video_id = v.video_id AND rank <= 20) AS by_length, (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY rank) FROM s WHERE s.video_id = v.video_id AND rank <= 20) AS by_id FROM (SELECT DISTINCT video_id FROM evidence) v"))
@@ -188,11 +188,11 @@ def s_frame_path(spark, d):
     return frame_paths(wanted, files, "frame_id").select("event_id", "path")
 
 
-@query("s_user_error", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'LLM API key 未配置或不可用。' WHEN 1 THEN 'Embedding 不可用，请检查 EMBEDDING_MODEL / API 配置。' ELSE 'first ' || event_id END AS said FROM events")
+@query("s_user_error", "SELECT doc_id, CASE WHEN contains(m, 'OPENAI_API_KEY') OR contains(m, 'LLM config') THEN 'LLM API key 未配置或不可用。' WHEN contains(m, 'embedding_unavailable') THEN 'Embedding 不可用，请检查 EMBEDDING_MODEL / API 配置。' ELSE substr(regexp_extract(m, '^([^\r\n]*)', 1), 1, 1000) END AS said FROM (SELECT doc_id, ['', 'missing OPENAI_API_KEY: ', 'embedding_unavailable: ', ''][1 + doc_id % 4] || text AS m FROM documents) x")
 def s_user_error(spark, d):
-    k = F.col("event_id")
-    message = F.when(k % 4 == 0, "missing OPENAI_API_KEY").when(k % 4 == 1, "embedding_unavailable: x").otherwise(F.concat(F.lit("first "), k.cast("string"), F.lit("\nsecond line")))
-    return X.table(spark, d, "events").select("event_id", O.user_error(message).alias("said"))
+    """Texts of documents as messages of a failure."""
+    opens = F.element_at(F.array(*[F.lit(x) for x in ("", "missing OPENAI_API_KEY: ", "embedding_unavailable: ", "")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return X.table(spark, d, "documents").select("doc_id", O.user_error(F.concat(opens, F.col("text"))).alias("said"))
 
 
 @query("s_append_once", "SELECT event_id FROM events WHERE event_id % 3 <> 0")

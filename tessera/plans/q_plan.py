@@ -115,9 +115,10 @@ def s_intent_types(spark, d):
     return X.table(spark, d, "events").select("event_id", F.array_join(P.intent_types(required, optional), ",").alias("types"))
 
 
-@query("s_frame_name_ts", "SELECT event_id, CAST(event_id AS DOUBLE) * 10 + 5 AS seconds FROM events")
+@query("s_frame_name_ts", "SELECT page_id, CASE WHEN digits = '' THEN 0 ELSE CAST(digits AS DOUBLE) END AS seconds FROM (SELECT page_id, regexp_replace(url || '.jpg', '[^0-9]', '', 'g') AS digits FROM pages) p")
 def s_frame_name_ts(spark, d):
-    return X.table(spark, d, "events").select("event_id", P.frame_name_seconds(F.concat(F.lit("frame_"), F.col("event_id").cast("string"), F.lit("x5.jpg"))).alias("seconds"))
+    """Addresses as names of frames."""
+    return X.table(spark, d, "pages").select("page_id", P.frame_name_seconds(F.concat("url", F.lit(".jpg"))).alias("seconds"))
 
 
 @query("s_auto_refine", sql("asked", f"SELECT question_id, {LOOKS_SQL} AND question_id % 2 = 1 AS refine FROM asked"))

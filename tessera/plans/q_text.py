@@ -106,11 +106,11 @@ def a_eval_case_aliases(spark, d):
     return cases.select("case_id", "video_id", "question", F.array_join("answers", "|").alias("answers"), F.array_join("evidence_ids", "|").alias("evidence_ids"))
 
 
-@query("a_error_classify", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'auth' WHEN 1 THEN 'network' WHEN 2 THEN 'unavailable' ELSE 'unknown' END AS class FROM events")
+@query("a_error_classify", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'cookie|sign in|login|bot') THEN 'auth' WHEN regexp_matches(lower(text), 'timeout|timed out|temporarily|connection') THEN 'network' WHEN regexp_matches(lower(text), '404|unavailable|private|removed') THEN 'unavailable' ELSE 'unknown' END AS class FROM (SELECT conv_id, turn, text || ['', ' Sign in', ' timed out', ' 404'][1 + turn % 4] AS text FROM conversations) c")
 def a_error_classify(spark, d):
-    k = F.col("event_id") % 4
-    said = F.when(k == 0, "Please sign in to confirm").when(k == 1, "Read timed out").when(k == 2, "HTTP Error 404").otherwise("odd failure")
-    return X.table(spark, d, "events").select("event_id", A.error_class(said).alias("class"))
+    """Turns of conversations as messages of a downloader, some with its words at their end."""
+    ends = F.element_at(F.array(*[F.lit(x) for x in ("", " Sign in", " timed out", " 404")]), (F.col("turn") % 4 + 1).cast("int"))
+    return X.table(spark, d, "conversations").select("conv_id", "turn", A.error_class(F.concat("text", ends)).alias("class"))
 
 
 @query("a_frames_from_sequence", sql("frames", "SELECT video_id, frame_id, CAST(round(5.0 + (row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1) / 2.0, 6) AS DOUBLE) AS ts, printf('f_%010d', 5000 + (row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1) * 500) AS frame_name FROM frames"))

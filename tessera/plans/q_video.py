@@ -197,11 +197,12 @@ def d_motion_score(spark, d):
     return V.motion_scores(e, "video_id", "vec_id", "embedding").withColumn("motion", F.round("motion", 6))
 
 
-@query("d_visual_profile", "SELECT event_id, round(s, 6) AS strength, CASE WHEN s >= 0.48 THEN 'strong' ELSE 'weak' END AS class FROM (SELECT event_id, least(1.0, greatest(0.0, 0.36::DOUBLE * a + 0.32::DOUBLE * b + 0.18::DOUBLE * c + 0.14::DOUBLE * 0.5 - 0.08::DOUBLE * 0.25)) AS s FROM (SELECT event_id, (event_id % 11) / 10.0::DOUBLE AS a, (event_id % 7) / 6.0::DOUBLE AS b, (event_id % 5) / 4.0::DOUBLE AS c FROM events) x) y")
+@query("d_visual_profile", "SELECT l_orderkey, l_linenumber, round(s, 6) AS strength, CASE WHEN s >= 0.48 THEN 'strong' ELSE 'weak' END AS class FROM (SELECT l_orderkey, l_linenumber, least(1.0, greatest(0.0, 0.36::DOUBLE * (l_quantity / 50.0::DOUBLE) + 0.32::DOUBLE * (l_discount * 10.0::DOUBLE) + 0.18::DOUBLE * (l_tax * 10.0::DOUBLE) + 0.14::DOUBLE * 0.5 - 0.08::DOUBLE * 0.25)) AS s FROM lineitem) x")
 def d_visual_profile(spark, d):
-    k = F.col("event_id")
-    s = V.visual_strength(k % 11 / 10, k % 7 / 6, k % 5 / 4, F.lit(0.5), F.lit(0.25))
-    return X.table(spark, d, "events").select("event_id", F.round(s, 6).alias("strength"), V.visual_class(s).alias("class"))
+    """Shares of order lines as the scores of a video."""
+    share = lambda c, k: F.col(c).cast("double") * k
+    s = V.visual_strength(F.col("l_quantity").cast("double") / 50.0, share("l_discount", 10.0), share("l_tax", 10.0), F.lit(0.5), F.lit(0.25))
+    return X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(s, 6).alias("strength"), V.visual_class(s).alias("class"))
 
 
 @query("d_correlation_level", "SELECT user_id, a AS avg, CASE WHEN a < 0.2 THEN 'low' WHEN a < 0.8 THEN 'medium' ELSE 'high' END AS level, CASE WHEN a < 0.2 THEN 60.0::DOUBLE WHEN a < 0.8 THEN 2.0 ELSE 1.0 END AS frame_interval, CASE WHEN a < 0.2 THEN 2::BIGINT WHEN a < 0.8 THEN 5 ELSE 10 END AS refine_frames, CASE WHEN a < 0.2 THEN 'random' ELSE 'default' END AS strategy FROM (SELECT user_id, round(avg((event_id % 9) / 8.0::DOUBLE), 6) AS a FROM events GROUP BY 1) x")
@@ -313,10 +314,11 @@ def h_agreement_mm(spark, d):
     return rows.withColumn("confidence", C.confidence(F.col("agreement")))
 
 
-@query("h_confidence", "SELECT event_id, CASE least(event_id % 3, event_id % 4) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence FROM events WHERE event_id % 4 < 3")
+@query("h_confidence", "WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity / 50.0::DOUBLE AS a, l_tax * 10.0::DOUBLE AS b FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN least(a, b) >= 0.6 THEN 'high' WHEN least(a, b) >= 0.3 THEN 'medium' ELSE 'low' END AS confidence FROM l")
 def h_confidence(spark, d):
-    level = lambda x: F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (x + 1).cast("int"))
-    return X.table(spark, d, "events").where("event_id % 4 < 3").select("event_id", C.weaker(level(F.col("event_id") % 3), level(F.col("event_id") % 4)).alias("confidence"))
+    """Shares of order lines as a model's score and the agreement; the weaker level of both."""
+    a, b = F.col("l_quantity").cast("double") / 50.0, F.col("l_tax").cast("double") * 10.0
+    return X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.weaker(C.confidence(a), C.confidence(b)).alias("confidence"))
 
 
 @query("h_target_ranges", sql("items", "a AS (SELECT DISTINCT video_id, k * 100.0::DOUBLE AS at_s FROM items, generate_series(1, 2) g(k) WHERE video_id % 3 = 0), e AS (SELECT video_id, start_ms / 1000.0::DOUBLE AS s, end_ms / 1000.0::DOUBLE AS e, row_number() OVER (PARTITION BY video_id ORDER BY length(text) DESC, item_ord) AS rank FROM items WHERE video_id % 3 = 1), u AS (SELECT video_id, greatest(0, at_s - 60) AS start_s, at_s + 60 AS end_s, 1 AS priority FROM a UNION ALL SELECT video_id, greatest(0, s - 15), e + 15, 2 FROM e WHERE rank <= 2 UNION ALL SELECT video_id, start_ms / 1000.0::DOUBLE, end_ms / 1000.0::DOUBLE, 3 FROM items WHERE video_id % 3 = 2 AND item_ord = 0), g AS (SELECT *, CASE WHEN start_s > max(end_s) OVER (PARTITION BY video_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 ELSE 0 END AS nw FROM u), s AS (SELECT *, sum(nw) OVER (PARTITION BY video_id ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS island FROM g) SELECT video_id, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n, min(priority)::BIGINT AS priority FROM s GROUP BY video_id, island"))
