@@ -225,14 +225,28 @@ def b_entity_normalize(spark, d):
     return rows.select("doc_id", "text", F.when(F.col("raw").isNotNull(), found).alias("found"), "applied")
 
 
+def _titles(spark, d):
+    """Titles are the first words of every fiftieth document of a source."""
+    docs = X.table(spark, d, "documents")
+    return docs.where("doc_id % 50 = 0 AND text IS NOT NULL").select(F.col("source").alias("video_id"), F.regexp_extract("text", "([A-Za-z]{4,}(?: [A-Za-z]{4,})?)", 1).alias("title")).where("title <> ''").distinct()
+
+
 @query("b_fuzzy_alias")
 def b_fuzzy_alias(spark, d):
-    """Titles are the first words of every fiftieth document of a source."""
     from tessera.operators.entities import infer_aliases
 
-    docs = X.table(spark, d, "documents")
-    titles = docs.where("doc_id % 50 = 0 AND text IS NOT NULL").select(F.col("source").alias("video_id"), F.regexp_extract("text", "([A-Za-z]{4,}(?: [A-Za-z]{4,})?)", 1).alias("title")).where("title <> ''").distinct()
-    return infer_aliases(titles, docs.select(F.col("source").alias("video_id"), "text"))
+    return infer_aliases(_titles(spark, d), X.table(spark, d, "documents").select(F.col("source").alias("video_id"), "text"))
+
+
+@query("b_source_normalize")
+def b_source_normalize(spark, d):
+    """Every document by the names of its source's titles, whose aliases are the names most like them."""
+    from tessera.operators.entities import infer_aliases, normalize_by_source
+
+    docs = X.table(spark, d, "documents").select(F.col("source").alias("video_id"), "doc_id", "text")
+    near = infer_aliases(_titles(spark, d), docs, 0.85)
+    entities = near.groupBy("video_id", "canonical").agg(F.array_sort(F.collect_set("alias")).alias("aliases"), F.max("ratio").alias("confidence")).withColumn("pos", F.col("canonical"))
+    return normalize_by_source(docs, entities).select("video_id", "doc_id", "text", "applied", F.transform("replacements", lambda r: F.concat(r["raw"], F.lit(">"), r["canonical"])).alias("replacements"))
 
 
 @query("b_format_timestamp", sql("items", "SELECT video_id, item_ord, printf('[%02d:%02d:%02d]', s // 3600, s % 3600 // 60, s % 60) AS stamp FROM (SELECT video_id, item_ord, start_ms // 1000 AS s FROM items) x"))

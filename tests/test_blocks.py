@@ -95,3 +95,39 @@ def test_names_by_seldom_characters(spark):
     assert {tuple(r) for r in E.infer_aliases(a, b, 0.8).collect()} == high
     assert E.alias_candidates(a, b, 0.8).count() < 0.4 * all_pairs
     assert E.infer_aliases(a.where(F.lit(False)), b).count() == 0
+
+
+def plain_normalize(text, entities):
+    """Alias by alias over the whole list."""
+    import re
+
+    found = []
+    for canonical, aliases, confidence in entities:
+        if confidence < E.APPLY or text is None:
+            continue
+        for alias in sorted({a for a in aliases if a.strip() and a.casefold() != canonical.casefold()}, key=lambda a: (-len(a), a)):
+            latin = re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9 _.-]*", alias)
+            text, n = re.subn((r"(?<![A-Za-z0-9])" + re.escape(alias) + r"(?![A-Za-z0-9])") if latin else re.escape(alias), lambda _: canonical, text, flags=re.I)  # noqa: B023
+            if n:
+                found.append((alias, canonical, confidence))
+    return text, found
+
+
+def test_names_by_source(spark, monkeypatch):
+    monkeypatch.setattr(E, "LIST_ROWS", 4)
+    lists = {
+        "s": [("Workbuddy", ["WalkBody", "work buddy", "walk"], 0.96), ("Walk Inc", ["Workbuddy", "workbuddy inc"], 0.9), ("Never", ["text"], 0.5)],
+        "t": [("学习", ["学系", "xue"], 0.9), ("İstanbul", ["istambul", "ſtan"], 0.95), ("A$1\\2", ["a b"], 0.99)],
+        None: [("Null", ["none"], 1.0)],
+    }
+    texts = ["walkbody and WALK, work buddy", "no text here", None, "", "学系 xue Xuex ISTAMBUL İSTAMBUL stan", "a b A B ab", "none NONE nones", "walkbodyx walkbody-walk"] * 3
+    rows = [(v, i, t, "kept") for i, t in enumerate(texts) for v in ("s", "t", "u", None)]
+    df = spark.createDataFrame(rows, "video_id string, doc_id int, text string, raw_ string").repartition(3)
+    entities = spark.createDataFrame([(v, i, c, a, p) for v, es in lists.items() for i, (c, a, p) in enumerate(es)], "video_id string, pos int, canonical string, aliases array<string>, confidence double")
+    got = E.normalize_by_source(df, entities).collect()
+    assert len(got) == len(rows) and any(r["applied"] for r in got)
+    want = {(v, i): (t, *plain_normalize(t, lists.get(v, []))) for v, i, t, _ in rows}
+    for r in got:
+        raw, text, found = want[r["video_id"], r["doc_id"]]
+        assert (r["raw"], r["text"], r["applied"], [tuple(x) for x in r["replacements"]], r["raw_"]) == (raw, text, text != raw, found, "kept"), r
+    assert E.normalize_by_source(df.where(F.lit(False)), entities).count() == 0 and E.normalize_by_source(df, entities.where(F.lit(False))).where("applied").count() == 0
