@@ -123,6 +123,48 @@ TEXTS = [
     ("proprietary", r"unauthorized copying of this file via any medium is strictly prohibited", ["unauthorized"]),
 ]
 
+#: Short forms that developers write, in normalised words: label, regex, keyword (fixed values).
+SHORT = [
+    ("gpl", r"gpl ?v ?[123](?: 0)?(?: or later| only| plus)?", "gpl"),
+    ("gpl", r"gpl [123] 0(?: or later| only| plus)?", "gpl"),
+    ("gpl", r"gpl [123] (?:or later|only)", "gpl"),
+    ("gpl", r"(?:under|under the|gnu) gpl", "gpl"),
+    ("lgpl", r"lgpl ?v ?[23](?: [01])?(?: or later| only| plus)?", "lgpl"),
+    ("lgpl", r"lgpl (?:2 0|2 1|3 0)(?: or later| only| plus)?", "lgpl"),
+    ("lgpl", r"lgpl [23] (?:or later|only)", "lgpl"),
+    ("lgpl", r"(?:under|under the|gnu) lgpl", "lgpl"),
+    ("agpl", r"agpl ?v ?[13](?: 0)?(?: or later| only| plus)?", "agpl"),
+    ("agpl", r"agpl [13] 0(?: or later| only| plus)?", "agpl"),
+    ("agpl", r"(?:under|under the|gnu) agpl", "agpl"),
+    ("apache", r"apache v?2 0", "apache"),
+    ("apache", r"apache ?v2", "apache"),
+    ("apache", r"under (?:the )?apache(?: 2)?", "apache"),
+    ("apache", r"asl 2 0", "asl"),
+    ("mit", r"under (?:the )?mit", "under"),
+    ("mit", r"mit x11", "x11"),
+    ("mit", r"mit licen[cs]ed", "licen"),
+    ("isc", r"under (?:the )?isc", "under"),
+    ("isc", r"isc licen[cs]ed", "licen"),
+    ("zlib", r"under (?:the )?zlib", "zlib"),
+    ("bsd", r"under (?:the |a )?bsd", "bsd"),
+    ("bsd", r"bsd style(?: licen[cs]e)?", "bsd"),
+    ("bsd-2-clause", r"bsd 2 licen[cs]e", "bsd"),
+    ("bsd-3-clause", r"bsd 3 licen[cs]e", "bsd"),
+    ("mpl", r"mpl ?v? ?[12] [01]", "mpl"),
+    ("epl", r"epl ?v? ?[12] 0", "epl"),
+    ("cddl", r"cddl ?v? ?1 [01]", "cddl"),
+    ("artistic", r"artistic [12] 0", "artistic"),
+    ("bsl", r"bsl 1 0", "bsl"),
+    ("busl", r"busl 1 1", "busl"),
+    ("eupl", r"eupl ?v? ?1 [012]", "eupl"),
+    ("ofl", r"ofl 1 [01]", "ofl"),
+    ("sspl", r"sspl(?: v?1(?: 0)?)?", "sspl"),
+    ("wtfpl", r"wtfpl", "wtfpl"),
+    ("unlicense", r"under (?:the )?unlicense", "unlicense"),
+    ("cc0", r"under (?:the )?cc0", "cc0"),
+    ("public-domain", r"dedicated to the public domain", "public"),
+]
+
 #: The base phrases (fixed values) are the first name of their licenses.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -147,7 +189,7 @@ def _keyword(pattern: str) -> str:
 
 
 def build_rules() -> list[Rule]:
-    """All signatures, the strongest first: tags, sentences, then names after an introduction, with a version, and alone."""
+    """All signatures, the strongest first: tags, sentences, then names after an introduction, with a version, short forms, and names alone."""
     out: list[Rule] = []
 
     def add(name, label, priority, weight, pattern, keywords):
@@ -158,6 +200,8 @@ def build_rules() -> list[Rule]:
         add(f"field:{label}", label, 70, 0.9, f"licen[cs]e {tag}", ["licen"])
     for i, (label, text, keywords) in enumerate(TEXTS):
         add(f"text:{label}:{i}", label, 80, 0.95, text, keywords)
+    for i, (label, short, keyword) in enumerate(SHORT):
+        add(f"short:{label}:{i}", label, 45, 0.7, short, [keyword])
     for label, names in NAMES.items():
         for i, written in enumerate(names):
             name, keyword = written.replace(" V", r" \d(?: \d)?"), _keyword(written.replace(" V", ""))
@@ -174,6 +218,7 @@ GATE = [
     b"license", b"licence", b"spdx", b"copyright", b"public domain", b"warrant", b"redistribut", b"permission", b"creative", b"unencumbered",
     b"unauthorized", b"advertising", b"unless", b"bsd", b"cc by", b"cc zero", b"cc0", b"gnu", b"openrail", b" psl", b"ofl", b"ouverte", b"gemma terms",
     b"odc ", b"apache", b"mozilla", b"eclipse", b"boost", b"rights reserved", b"proprietary", b"opensource", b"berkeley", b"neither the name",
+    b"gpl", b"asl 2", b"under mit", b"under the mit", b"mit x11", b"under isc", b"under the isc", b"zlib", b"mpl", b"epl", b"cddl", b"artistic", b"bsl", b"busl", b"eupl", b"sspl", b"wtfpl",
 ]
 
 

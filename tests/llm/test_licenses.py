@@ -75,6 +75,16 @@ def test_every_rule_passes_the_gate():
         assert any(r.name.startswith("tag:") for _, _, r, kept in L.detect(ascii_words(f"SPDX-License-Identifier: {tag}"), RULES) if kept)
 
 
+def test_short_forms():
+    for said, label in (
+        ("GPLv3", "gpl"), ("GPL-2.0+", "gpl"), ("gpl v2 or later", "gpl"), ("Licensed under MIT.", "mit"), ("Apache-2.0", "apache"), ("the LGPL-2.1 library", "lgpl"), ("AGPLv3 server", "agpl"),
+        ("dual licensed under the Apache 2 or MIT", "apache"), ("MPL-2.0", "mpl"), ("EPL v2.0", "epl"), ("released under the BSD", "bsd"), ("MIT licensed", "mit"), ("CDDL-1.0", "cddl"), ("WTFPL", "wtfpl"), ("EUPLv1.2", "eupl"),
+    ):
+        assert {r.label for _, _, r, k in L.detect(ascii_words(said), RULES) if k} == {label}, said
+    for said in ("he studied at MIT under great teachers", "the apache tribe", "apache helicopters 2", "gplex", "an epl match", "mpl"):
+        assert not L.detect(ascii_words(said), RULES), said
+
+
 def test_suppression():
     found = L.detect(ascii_words("This is licensed under the GNU Lesser General Public License, version 3."), RULES)
     kept = {r.label for _, _, r, k in found if k}
