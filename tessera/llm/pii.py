@@ -36,6 +36,7 @@ _V4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Detectors in order of priority: type, regex, the group that is replaced (0: all of it).
 DETECTORS = [
     ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----((?:[^-]|-(?!----))+)-----END [A-Z ]{0,40}PRIVATE KEY-----"), 1),
+    ("secret", re.compile(r"(?<=://)[^\s/:@\"'<>]{1,64}:([^\s/@\"'<>]{3,128})@(?=[\w\[])"), 1),
     ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![\w-])"), 0),
     ("secret", re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|bearer|client[_-]?secret|private[_-]?key)[\"']?\s*[=:]\s*[\"']?([^\s\"',;<>]{6,})"), 1),
     ("secret", re.compile(r"\b(?:AKIA|ASIA)([0-9A-Z]{16})\b"), 1),

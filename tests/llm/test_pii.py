@@ -40,6 +40,14 @@ def test_secrets():
         assert found[0]["type"] == "secret" and left not in new and len(new) == len(said)
 
 
+def test_passwords_in_addresses():
+    for said, password in (("see http://user:pa55word1@host/ now", "pa55word1"), ("ftp://anna:geheim99@files.example.com:21/x", "geheim99"), ("postgres://app:s3cret!pw@[::1]:5432/db", "s3cret!pw")):
+        new, found = P.pseudonymise(said, KEY)
+        assert found[0]["type"] == "secret" and password not in new and len(new) == len(said) and new.split(":")[:2] == said.split(":")[:2], new
+    for said in ("http://host:8080/path", "at http://user@host/ and 12:30@home", "https://example.com/a:b@c"):
+        assert not [e for e in P.detect(said) if e.type == "secret"], said
+
+
 def test_names_keep_script_gender_and_case():
     new, _ = P.pseudonymise("Mrs. Maria Schmidt-Lang met г-жа Анна Иванова and Mr. 王小明 then Mrs. Maria Schmidt-Lang", KEY)
     first = re.match(r"Mrs\. (\w+ [\w-]+) met", new)[1]
