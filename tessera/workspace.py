@@ -9,6 +9,7 @@ from tessera.engine import Engine
 from tessera.operators import contract, memory, metrics, postings
 from tessera.sources import subtitles
 from tessera.sources.adapters import notes, write_partitioned
+from tessera.sources.locks import Locks, lock_of
 from tessera.storage import materialise
 
 
@@ -39,6 +40,7 @@ class Workspace:
         """Segments, evidence, storyline and summary of the sources whose items have changed since they were processed; these sources.
 
         A source's fingerprint is written after all else of it, so a run that dies is made up for by the next one. ``force`` takes all.
+        Sources that another run is processing are left to it: each run holds the locks of those it writes.
         """
         items = self.read("items")
         h = F.xxhash64("item_ord", "start_s", "end_s", "text")
@@ -46,9 +48,13 @@ class Workspace:
         if not force and self.exists("processed"):
             done = self.read("processed").select(F.col("video_id").cast(prints.schema["video_id"].dataType).alias("_v"), F.col("fingerprint").alias("_f"))
             prints = prints.join(done, (F.col("video_id") == F.col("_v")) & (F.col("fingerprint") == F.col("_f")), "left_anti")
-        prints = materialise(prints)
-        if prints.isEmpty():
-            return []
+        prints = materialise(prints.withColumn("_lock", lock_of("video_id")))
+        wanted = [r["_lock"] for r in prints.select("_lock").distinct().collect()]
+        with Locks(self.spark, self.folder).holding(wanted) as held:
+            mine = prints.where(F.col("_lock").isin(sorted(held))).drop("_lock")
+            return self._process(items, mine) if held else []
+
+    def _process(self, items: DataFrame, prints: DataFrame) -> list:
         segments = materialise(self.engine.segments(items.join(prints.select("video_id"), "video_id", "left_semi")))
         self.write("segments", segments)
         self.write("evidence", self.engine.evidence(segments))

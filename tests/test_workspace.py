@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine
+from tessera.sources.locks import Locks, lock_of
 from tessera.sources.providers import Providers
 from tessera.workspace import Workspace
 
@@ -59,3 +60,29 @@ def test_captions_are_added_once(spark, workspace):
     assert workspace.refine_frames(q, frames).count() == added and workspace.read("evidence").count() == before + added
     assert workspace.process() == [] and workspace.read("evidence").where("evidence_type = 'frame_caption'").count() == added
     assert workspace.refine_frames(q, frames.where(F.lit(False))).count() == 0
+
+
+def test_another_runs_sources_are_left_to_it(spark, workspace, tmp_path):
+    items = workspace.read("items")
+    locked = items.where("video_id = 'v3'").select(lock_of("video_id").alias("n")).first()["n"]
+    other = Locks(spark, str(tmp_path))
+    assert other.take([locked, locked]) == {locked} and Locks(spark, str(tmp_path)).take([locked]) == set()
+    theirs = {r["video_id"] for r in items.select("video_id", lock_of("video_id").alias("n")).distinct().collect() if r["n"] == locked}
+    assert set(workspace.process()) == {f"v{v}" for v in range(6)} - theirs
+    other.release()
+    assert set(workspace.process()) == theirs and not [f for f in os.listdir(f"{tmp_path}/_locks") if f[0].isdigit()]
+
+
+def test_a_dead_owners_lock_is_taken_over_once(spark, tmp_path):
+    dead, one, two = (Locks(spark, str(tmp_path), stale_s=s) for s in (900.0, 900.0, 0.5))
+    assert dead.take([1, 2]) == {1, 2} and one.take([1]) == set()
+    import time
+
+    time.sleep(1.2)
+    dead.held = {2}
+    dead.beat()  # the second lock's owner lives
+    assert two.take([1, 2]) == {1} and one.take([1]) == set()
+    with pytest.raises(KeyError), one.holding([7]) as held:
+        assert held == {7}
+        raise KeyError
+    assert dead.take([7]) == {7}
