@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import materialise
+
 from tessera.functions.text import metric_tokens
 
 #: Acceptance thresholds (fixed values).
@@ -78,6 +80,43 @@ def case_sample(cases: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return cases.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
+def seeded_sample(cases: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """(key, place): what ``random.Random(seed).sample(sorted(keys), n)`` draws, in its order; all keys if there are no more than n.
+
+    The generator draws places, n of them at most; keys are sorted over ranges, and a table of one count a partition says in which partition a
+    place lies. Null keys are left out, keys that repeat count as often as they do.
+    """
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators.fold import dealt_by_range
+
+    spark = cases.sparkSession
+    dealt = materialise(dealt_by_range(cases.select(F.lit(0).alias("_all"), key).where(F.col(key).isNotNull()), "_all", [key]).select("_part", key))
+    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    total, bases = 0, {}
+    for part in sorted(counts):
+        bases[part] = total
+        total += counts[part]
+    drawn = random.Random(seed).sample(range(total), min(n, total))
+    kind = cases.schema[key].dataType.simpleString()
+
+    def place(batches):
+        at: dict[int, int] = {}
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column(0)[0].as_py()
+                first = bases[part] + at.get(part, 0)
+                at[part] = at.get(part, 0) + batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(first + np.arange(batch.num_rows))], names=[key, "at"])
+
+    numbers = dealt.mapInArrow(place, f"`{key}` {kind}, at long")
+    wanted = spark.createDataFrame([(at, i) for i, at in enumerate(drawn)], "at long, place long")
+    return numbers.join(F.broadcast(wanted), "at").select(key, "place")
+
+
 def smoke(rows: DataFrame) -> DataFrame:
     """(total, passed): cases that the model itself routed as expected. rows: (source, expected, route)."""
     return rows.agg(F.count("*").alias("total"), F.count_if((F.col("source") == "llm") & (F.col("route") == F.col("expected"))).alias("passed"))

@@ -100,6 +100,15 @@ def j_case_sample(spark, d):
     return case_sample(X.table(spark, d, "benchmark").select("item_id"), "item_id", 20, 42)
 
 
+@query("j_seeded_sample")
+def j_seeded_sample(spark, d):
+    """Twenty documents' ids, as text, that the standard library's generator draws of all."""
+    from tessera.operators.metrics import seeded_sample
+
+    docs = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("case_id"))
+    return seeded_sample(docs, "case_id", 20, 42)
+
+
 @query("j_router_smoke", "SELECT count(*) AS total, count(*) FILTER (WHERE event_id % 3 > 0 AND event_id % 2 = 0) AS passed FROM events")
 def j_router_smoke(spark, d):
     from tessera.operators.metrics import smoke

@@ -131,3 +131,21 @@ def test_names_by_source(spark, monkeypatch):
         raw, text, found = want[r["video_id"], r["doc_id"]]
         assert (r["raw"], r["text"], r["applied"], [tuple(x) for x in r["replacements"]], r["raw_"]) == (raw, text, text != raw, found, "kept"), r
     assert E.normalize_by_source(df.where(F.lit(False)), entities).count() == 0 and E.normalize_by_source(df, entities.where(F.lit(False))).where("applied").count() == 0
+
+
+def test_seeded_sample(spark):
+    from tessera.operators.metrics import seeded_sample
+
+    ids = [f"case-{i * 7919 % 1009}é" for i in range(500)]
+    df = spark.createDataFrame([(x,) for x in [*ids, None]], "id string").repartition(6)
+    for n, seed in ((20, 42), (500, 1), (900, 3)):
+        got = [r["id"] for r in seeded_sample(df, "id", n, seed).orderBy("place").collect()]
+        assert got == random.Random(seed).sample(sorted(ids), min(n, len(ids)))
+    assert seeded_sample(df.where(F.lit(False)), "id", 5, 1).count() == 0
+
+
+def test_seeded_query(spark, sf_dir):
+    from tessera.plans.catalog import QUERIES
+
+    ids = sorted(str(r["doc_id"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
+    assert [r["case_id"] for r in QUERIES["j_seeded_sample"](spark, sf_dir).orderBy("place").collect()] == random.Random(42).sample(ids, 20)
