@@ -1,7 +1,10 @@
 """A provider for tests: the address says what happens."""
 
+import json
 import os
 
+from tessera.sources import providers as M
+
 
 def download(url):
     if "private" in url:
@@ -19,3 +22,17 @@ def download(url):
         return None
     n = int(url.rsplit("=", 1)[-1]) if "=" in url else 1
     return {"title": f"title {n}", "items": [(10.0 * i, 10.0 * i + 9, f"item {i} of {n}") for i in range(n)]}
+
+
+def recogniser(path):
+    if path.endswith("bad.wav"):
+        raise M.ServiceError(400, "no audio")
+    if path.endswith("text.wav"):
+        return json.dumps({"text": "all of it"})
+    return json.dumps({"segments": [{"start": 0, "end": 2.5, "text": f"from {path}"}, {"start": 3, "end": 4, "text": ""}]})
+
+
+def memory(question):
+    if "down" in question:
+        raise ConnectionError("connection refused")
+    return json.dumps({"results": [{"content": f"about {question}"}, {"content": "more"}]})
