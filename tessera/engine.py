@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import planning, routing, timeparse
-from tessera.operators import contract, intervals, retrieve, segment, story
+from tessera.operators import contract, intervals, narrate, retrieve, segment, story
 from tessera.operators import frames as selection
 from tessera.sources.providers import Providers, captions
 from tessera.storage import materialise
@@ -31,10 +31,15 @@ class Engine:
         return speech.unionByName(seen)
 
     def storyline(self, segments: DataFrame) -> DataFrame:
-        return story.fallback_storyline(segments)
+        """Nodes by the chat provider, checked against the segments, with rules where it fails; without one by rule alone."""
+        if self.providers.chat is None:
+            return story.fallback_storyline(segments)
+        return narrate.story_nodes(segments, self.providers.chat)
 
     def summary(self, segments: DataFrame, size: int = 12) -> DataFrame:
-        """(video_id, n_chunks, summary): the first words of each chunk of segments, in order."""
+        """(video_id, n_chunks, summary, ...): by the chat provider, with its claims; without one the first words of each chunk of segments, in order."""
+        if self.providers.chat is not None:
+            return narrate.summaries(segments, self.providers.chat, size=size)
         parts = story.chunks(segments, "video_id", "segment", size).groupBy("video_id", "chunk").agg(F.min_by("text", "segment").alias("t"))
         rows = parts.groupBy("video_id").agg(F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("chunk", F.substring("t", 1, 160).alias("t")))).alias("x"))
         return rows.select("video_id", "n_chunks", F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("summary"))

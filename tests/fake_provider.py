@@ -36,3 +36,21 @@ def memory(question):
     if "down" in question:
         raise ConnectionError("connection refused")
     return json.dumps({"results": [{"content": f"about {question}"}, {"content": "more"}]})
+
+
+def model(prompt):
+    """A model that tells what it reads: fails on a word, cites what is there and what is not."""
+    import re
+
+    ids = re.findall(r"^\[(\S+) ", prompt, re.M)
+    if "explode" in prompt:
+        raise RuntimeError("model failed")
+    if "silence" in prompt:
+        return "I have nothing to say."
+    if "Join these" in prompt:
+        return "```json\n" + json.dumps({"quick_overview": "" if "no whole" in prompt else f"whole of {prompt.count(chr(10)) - 1}"}) + "\n```"
+    if "Summarise" in prompt:
+        return "Sure: " + json.dumps({"chunk_overview": f"about {ids[0]}", "local_claims": [{"claim": "cited", "segment_ids": [ids[0], "seg_9999"]}, {"claim": "not cited", "segment_ids": ["seg_9999"]}, {"claim": " "}]})
+    nodes = [{"title": "t", "claim": "first", "evidence_segment_ids": [ids[0], "seg_9999", ids[0]], "confidence": 0.9, "status": "supported"}, {"claim": "unsure", "evidence_refs": [{"segment_id": ids[-1]}], "confidence": 7, "status": "odd", "time_start": 3}]
+    nodes += [{"summary": "nothing behind it", "status": "supported"}, {"claim": "weak", "evidence_segment_ids": ids, "confidence": 0.2, "status": "supported"}]
+    return json.dumps({"nodes": nodes})
