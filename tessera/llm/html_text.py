@@ -386,7 +386,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of pages.
 
     Null, empty and boilerplate-only pages have empty texts; text outside any element counts as the body's; broken
-    and unclosed markup is read as far as it goes; repeated rows get equal results. Further columns are not read.
+    and unclosed markup is read as far as it goes; repeated rows get equal results. Very long pages are parsed whole, in time
+    that grows with their length. Further columns are not read.
     """
 
     def make():

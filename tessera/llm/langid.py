@@ -126,7 +126,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     lang_pred: the learned language of the highest kernel score, the first by name among equals; ``und`` with score 0 if
     the text is null, has no letter, or nothing could be learned. score: the logistic share of that language. Only
-    the text enters a prediction; repeated rows get equal results; an empty table gives none.
+    the text enters a prediction; repeated rows get equal results; an empty table gives none. Of a very long text all n-grams count, once
+    each; they fill more buckets, those of its language first, so that it is predicted like its parts.
     """
     spark = docs.sparkSession
     prepare(spark)

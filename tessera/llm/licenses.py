@@ -289,7 +289,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     detections: each signature's matches as word spans (words from 0), with ``kept`` false where suppressed and
     ``base`` true for a base phrase. Null and empty texts have no words and no detections; repeated rows get equal
-    results; further columns are not read.
+    results; very long texts are scanned whole, in time that grows with their length; further columns are not read.
     """
     names = {f"name:{label}:{NAMES[label].index(phrase)}" for phrase, label in BASE.items()}
 

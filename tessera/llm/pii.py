@@ -482,6 +482,7 @@ def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     First draws depend on the key and the entity only, so mentions agree across documents and executors without any
     exchange, and distinct entities get distinct ones everywhere. Only where a draw collides inside a document is the entity
     drawn again there: its mentions still agree in that document, but may differ from those elsewhere. Null texts stay null, empty ones empty; texts without entities are unchanged; repeated rows get equal results.
+    Very long texts are read whole, in time that grows with their length; their names meet as in short ones.
     """
     secret = hmac.new(key, b"surrogates", "sha256").digest()
 

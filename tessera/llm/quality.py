@@ -148,7 +148,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
     Null and empty texts have a score, that of zero statistics; repeated rows get equal scores; without labels of
-    both values every score is the one label's (0.5 without any). Further columns are not read.
+    both values every score is the one label's (0.5 without any). Statistics are of whole texts, however long. Further columns are not read.
     """
     rows = cut(featured(docs))
     model = learn(rows, fit_labels(labels))

@@ -234,7 +234,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     component_id: the smallest doc_id reachable over fingerprints that differ in at most BUDGET bits; equal
     fingerprints are met once. Null and empty texts have fingerprint 0 and link like any other; rows of one doc_id are
     rows of their own, each by its text; a null doc_id never names a component unless all of the component's are null;
-    repeated rows get equal results; an empty table gives none. Further columns are not read.
+    repeated rows get equal results; an empty table gives none. All shingles of a very long text count. Further columns are not read.
     """
     rows, labels = labelled(docs)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("m"))

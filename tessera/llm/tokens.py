@@ -197,6 +197,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
 
     Null and empty texts are just the end id. A null doc_id sorts first; rows of one doc_id are ordered by a hash
     of their texts, which also deals them, so that many rows without an id do not meet in one task. Further columns are not read; an empty table gives an empty folder.
+    A very long text is encoded whole, in the memory of its words and ids.
     """
     path = path or default_path()
     schema = "part int, pos long, doc_id long, ids array<int>"

@@ -76,3 +76,19 @@ def test_bounded_fit(spark, monkeypatch):
     L.identify(docs)
     assert set(seen[1]) == {"en", "de"} and len(seen[1]) <= 30
     assert docs.where(L.drawn("doc_id", 4, 1.0)).count() == 3000 and docs.where(L.drawn("doc_id", 4, 1e-30)).count() == 0
+
+
+def test_very_long_texts(spark, sf_dir):
+    """All texts of a language in one, and one text many times over, are predicted like their parts."""
+    import zlib
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held = [i for i in range(10**6, 10**6 + 200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    parts = {}
+    for r in docs.collect():
+        if r["lang"] and r["text"]:
+            parts.setdefault(r["lang"], []).append(r["text"])
+    long = [(held[2 * n + k], " ".join(ts) if k else ts[0] * (1 + 1_000_000 // len(ts[0])), lang) for n, (lang, ts) in enumerate(sorted(parts.items())) for k in (0, 1)]
+    got = {r["doc_id"]: r for r in L.identify(docs.union(spark.createDataFrame(long, docs.schema))).collect()}
+    for i, text, lang in long:
+        assert got[i]["held_out"] and got[i]["lang_pred"] == lang, (lang, len(text))

@@ -26,6 +26,12 @@ def test_fingerprint(text):
     assert S.fingerprint(text) == plain_fingerprint(text)
 
 
+def test_a_very_long_text():
+    text = " ".join(f"w{i * 7919 % 5003} É" for i in range(120_000))
+    assert S.fingerprint(text) == plain_fingerprint(text)
+    assert S.fingerprint("x" * 1_000_000) == plain_fingerprint("x" * 1_000_000)
+
+
 def brute_components(values, budget=4):
     n = len(values)
     label = list(range(n))

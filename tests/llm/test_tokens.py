@@ -97,3 +97,9 @@ def test_edge_rows_and_pruned_reads(spark):
     empty = new_folder(spark, "t")
     K.write_tokens(rows.where("false"), empty)
     assert K.token_index(spark, empty).count() == 0
+
+
+def test_a_very_long_text(encoder, library):
+    text = "Words and 'tis 12 more, é日 <|x " * 60_000
+    assert encoder.text(text) == library.encode(text, add_special_tokens=False).ids + [1]
+    assert encoder.text("z" * 300_000) == library.encode("z" * 300_000, add_special_tokens=False).ids + [1]
