@@ -68,6 +68,15 @@ def fold_rows(rows: DataFrame, key: str, order: list[tuple[Column, bool]], colum
     return ordered.select(key, *columns).mapInArrow(run, schema)
 
 
+#: Rows of the longest key up to which one task folds each key: fewer jobs than dealing a key over several.
+FOLD_ROWS = 200_000
+
+
+def fits_one_task(rows: DataFrame, key: str) -> bool:
+    """Whether no key has more than FOLD_ROWS rows, by a partial count."""
+    return (rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= FOLD_ROWS
+
+
 def dealt_by_range(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows with ``_part``, sorted by (key, order) within and over partitions: a key of any size spans many of them."""
     keys = [key, *order, "_tie"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import TOPIC_MARKERS, entities, keywords, normalize_asr
-from tessera.operators.fold import dealt_by_range
+from tessera.operators.fold import dealt_by_range, fits_one_task, fold_rows
 from tessera.operators.intervals import point_join
 from tessera.storage import materialise
 
@@ -83,19 +83,41 @@ def _incoming(parts, rule: _Rule) -> dict[int, tuple]:
 def _fold(items: DataFrame, key: str, order: list[str], shortest: float, longest: float, chars: int, gap: float | None) -> DataFrame:
     """(key, segment, *items' columns): number the segments of each source's ordered items.
 
-    What splits depends on where the segment began. Sources are dealt by ranges of (key, order), so one of any length spans many
-    tasks. Each task follows its first source from every item at which a segment that came in can have ended, which is
+    What splits depends on where the segment began. Where no source is long, each is one fold. Otherwise sources are dealt by ranges of (key, order),
+    so one of any length spans many tasks. Each task follows its first source from every item at which a segment that came in can have ended, which is
     within the characters of one segment, to the state at its end; ways soon meet. A walk over partitions, a small row each, links these
     states, and each task then numbers its items from the state it gets. Only times, text lengths and marker flags go to Python.
     """
-    import pyarrow as pa
-
     lows = [m.lower() for m in TOPIC_MARKERS]
     marker = F.exists(F.array(*[F.lit(m) for m in lows]), lambda m: F.contains(F.lower("text"), m))
     slim = items.select(key, *dict.fromkeys([*order, "start_s", "end_s"]), F.length("text").alias("_len"), marker.alias("_marker"))
-    dealt = materialise(dealt_by_range(slim, key, order))
     rule = _Rule(shortest, longest, chars, gap)
-    kind = items.schema[key].dataType.simpleString()
+    fields = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in (key, *order)) + ", segment long"
+    numbers = (_one_fold if fits_one_task(slim, key) else _linked_folds)(slim, key, order, rule, fields)
+    same = [items[c].eqNullSafe(numbers[c]) for c in (key, *order)]
+    return items.join(numbers, same).drop(*(numbers[c] for c in (key, *order)))
+
+
+def _one_fold(slim: DataFrame, key: str, order: list[str], rule: _Rule, fields: str) -> DataFrame:
+    """(key, order, segment): each source by a fold of its own."""
+
+    def step(held, *columns):
+        *places, starts, ends, sizes, marked = columns  # a place that is also a time comes twice
+        out = []
+        for item in zip(starts, ends, sizes, marked):
+            held[0] = rule.take(held[0], item)
+            out.append(held[0][0])
+        return (*places, out)
+
+    return fold_rows(slim, key, [(F.col(c), False) for c in order], [*order, "start_s", "end_s", "_len", "_marker"], lambda: [None], step, fields)
+
+
+def _linked_folds(slim: DataFrame, key: str, order: list[str], rule: _Rule, fields: str) -> DataFrame:
+    """(key, order, segment): sources over many tasks, whose states a walk over partitions links."""
+    import pyarrow as pa
+
+    dealt = materialise(dealt_by_range(slim, key, order))
+    kind = slim.schema[key].dataType.simpleString()
     state_type = pa.struct([("segment", pa.int64()), ("begin", pa.float64()), ("size", pa.int64()), ("before", pa.float64())])
     item_type = pa.struct([("start", pa.float64()), ("end", pa.float64()), ("n", pa.int64()), ("marked", pa.bool_())])
     as_rows = lambda values, t: [dict(zip([f.name for f in t], v)) for v in values]
@@ -124,7 +146,7 @@ def _fold(items: DataFrame, key: str, order: list[str], shortest: float, longest
 
     state = "struct<segment:long,begin:double,size:long,before:double>"
     heads = dealt.mapInArrow(look, f"_part int, first {kind}, last {kind}, head array<struct<start:double,end:double,n:long,marked:boolean>>, exits array<{state}>, state {state}, alone boolean")
-    held = items.sparkSession.sparkContext.broadcast(_incoming(heads.orderBy("_part").toLocalIterator(), rule))
+    held = slim.sparkSession.sparkContext.broadcast(_incoming(heads.orderBy("_part").toLocalIterator(), rule))
 
     def number(batches):
         state, before = None, None
@@ -143,10 +165,7 @@ def _fold(items: DataFrame, key: str, order: list[str], shortest: float, longest
                 out.append(state[0])
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in (key, *order)), pa.array(out, pa.int64())], names=[key, *order, "segment"])
 
-    fields = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in (key, *order))
-    numbers = dealt.mapInArrow(number, f"{fields}, segment long")
-    same = [items[c].eqNullSafe(numbers[c]) for c in (key, *order)]
-    return items.join(numbers, same).drop(*(numbers[c] for c in (key, *order)))
+    return dealt.mapInArrow(number, fields)
 
 
 def _segments(rows: DataFrame, key: str, order: list[str], cut: int | None) -> DataFrame:

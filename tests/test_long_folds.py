@@ -5,14 +5,19 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import fold
 from tessera.operators import frames as V
 from tessera.operators import segment as S
 from tessera.operators.fold import split_at_resets
 
 
-@pytest.fixture(params=[1, 7, 40])
-def shuffled(spark, request):
-    """Shuffles into a number of partitions that adaptive execution does not merge."""
+@pytest.fixture(params=[1, 7, 40, "short"])
+def shuffled(spark, request, monkeypatch):
+    """Shuffles into a number of partitions that adaptive execution does not merge, with every source a long one; or with none."""
+    if request.param == "short":
+        yield 1
+        return
+    monkeypatch.setattr(fold, "FOLD_ROWS", 0)
     old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.shuffle.partitions", request.param)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
