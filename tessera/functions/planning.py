@@ -51,17 +51,17 @@ def classify_question(question: Column) -> Column:
 
 
 def task_type(question: Column) -> Column:
-    return _first([(name, question.rlike("(?i)" + pattern)) for name, pattern in TASKS], "factual")
+    return _first([(name, R.matches(question, "(?i)" + pattern)) for name, pattern in TASKS], "factual")
 
 
 def analysis(question: Column, has_speech: Column) -> Column:
     """(task, scope, relation, modalities, choice_based) of a question, by rules alone."""
     relation = R.temporal_relation(question)
     scope = (
-        F.when(F.size(intervals(question)) > 0, "interval").when(F.size(point_times(question)) > 0, "point").when(question.rlike(R.WHOLE_VIDEO), "whole_video")
+        F.when(F.size(intervals(question)) > 0, "interval").when(F.size(point_times(question)) > 0, "point").when(R.matches(question, R.WHOLE_VIDEO), "whole_video")
         .when(relation == "before_after", "event_local").otherwise("none")
     )
-    said = F.filter(F.array(F.when(question.rlike(R.EXPLICIT_SPEECH), "speech"), F.when(question.rlike(R.EXPLICIT_VISUAL), "visual")), lambda x: x.isNotNull())
+    said = F.filter(F.array(F.when(R.matches(question, R.EXPLICIT_SPEECH), "speech"), F.when(R.matches(question, R.EXPLICIT_VISUAL), "visual")), lambda x: x.isNotNull())
     modalities = F.when(F.size(said) > 0, said).when(has_speech, F.array(F.lit("speech"))).otherwise(F.array(F.lit("visual")))
     return F.struct(task_type(question).alias("task"), scope.alias("scope"), relation.alias("relation"), modalities.alias("modalities"), (F.size(choices(question)) > 0).alias("choice_based"))
 

@@ -23,3 +23,11 @@ def same(spark, d, name):
 
 def test_a_choice_stands_on_one_line(spark, tmp_path):
     same(spark, conversations(tmp_path, LINES), "b_choices")
+
+
+#: Word ends beside letters beyond ASCII, letters that fold to ASCII ones, white space and line ends of other kinds.
+MARKS = ["éwhy", "者why", "compariſon", "ſtages", "the whole\x0bvideo", "分为\r三步", "before ", "ésaid", "ſaid", "a quote_", "on screen", "A.\nfirst"]
+
+
+def test_an_analysis_reads_any_characters(spark, tmp_path):
+    same(spark, conversations(tmp_path, LINES + MARKS), "e_question_analysis")
