@@ -31,3 +31,7 @@ MARKS = ["éwhy", "者why", "compariſon", "ſtages", "the whole\x0bvideo", "分
 
 def test_an_analysis_reads_any_characters(spark, tmp_path):
     same(spark, conversations(tmp_path, LINES + MARKS), "e_question_analysis")
+
+
+def test_a_context_reads_any_characters(spark, tmp_path):
+    same(spark, conversations(tmp_path, LINES + MARKS), "e_question_context")
