@@ -47,3 +47,15 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
+
+
+#: Rows and bytes that Python takes apart at once, whatever a batch holds.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 22
+
+
+def slices(batches, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
+    """Arrow batches in slices of few rows and bytes (one row at least), so that the Python objects of a step do not grow with its batches."""
+    for batch in batches:
+        step = max(1, min(rows, size * max(1, batch.num_rows) // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
