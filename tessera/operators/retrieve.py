@@ -274,7 +274,7 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, top_k: int = 24, types: li
             asked = hashed_bags([t for _, t in block], buckets).T
 
             def score(batch):
-                if len(buckets) > 500_000:
+                if len(buckets) > 200_000:
                     buckets.clear()
                 return hashed_bags(batch.column(2).to_pylist(), buckets) @ asked
 
