@@ -88,22 +88,16 @@ def leader_clusters(vectors: DataFrame, key: str, threshold: float = LEADER, mos
 
 def _first_near(rows: DataFrame, leaders: DataFrame, key: str, threshold: float) -> DataFrame:
     """(key, vec_id, leader) of the rows that are near to a leader, the first of those that are."""
-    block = lambda df, name: df.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(64))).groupBy(key, "_b").agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name))
-    dealt = rows.withColumn("_s", F.pmod(F.shiftrightunsigned(F.xxhash64("vec_id"), 8), F.lit(1 << 20)))
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_m"))
-    dealt = dealt.alias("d").join(sizes.alias("s"), F.col(f"d.{key}").eqNullSafe(F.col(f"s.{key}"))).select("d.*", F.pmod(F.col("_s"), F.col("_m")).alias("_b"))
-    left = dealt.groupBy(key, "_b").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("left"))
-    right = block(leaders, "right").withColumnRenamed("_b", "_r")
-    pairs = left.alias("a").join(right.alias("b"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))).select(f"a.{key}", F.lit(False).alias("same"), "left", "right")
-
-    def choose(same, a, b, sims):
+
+    def step(state, ids, y):
         import numpy as np
 
-        near = np.where(sims >= threshold, b[None, :], np.iinfo(np.int64).max).min(axis=1)
-        hit = near < np.iinfo(np.int64).max
-        return a[hit], near[hit]
+        leaders, x, _ = state
+        near = np.round(x @ y.T, 9) >= threshold
+        hit = near.any(axis=0)
+        return ids[hit], leaders[near[:, hit].argmax(axis=0)]  # leaders come in the order of their ids
 
-    found = _similarities(pairs, key, choose, "vec_id long, leader long", 9)
+    found = _meet(leaders, rows, key, lambda *held: held, step, "vec_id long, leader long")
     return found.groupBy(key, "vec_id").agg(F.min("leader").alias("leader"))
 
 
@@ -137,116 +131,184 @@ def _fold_leaders(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
     return fold_rows(vectors, key, [(F.col("vec_id"), False)], ["vec_id", "embedding"], start, step, f"{key} {vectors.schema[key].dataType.simpleString()}, vec_id long, leader long")
 
 
-#: Vectors in a block of a cluster.
-BLOCK = 256
+#: Bytes of held vectors that one task takes, pieces that a cluster's streamed vectors are dealt into, and rows that make a piece worth its while.
+STRIP_BYTES, PIECES, BLOCK = 1 << 25, 8, 256
+#: Products of a tile, and clusters up to which small tables of them are broadcast.
+TILE, BROADCAST_KEYS = 1 << 22, 10_000
+
+
+def _by_key(rows: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of a materialised table of one row a key, which is broadcast if it is small."""
+    few = own.count() <= BROADCAST_KEYS
+    own = own.withColumnRenamed(key, "_k")
+    return rows.join(F.broadcast(own) if few else own, rows[key].eqNullSafe(F.col("_k"))).drop("_k")
 
 
-def block_pairs(vectors: DataFrame, key: str, queries: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """(key, left, right): pairs of blocks of a cluster, each a list of (vec_id, embedding), that hold all its pairs once.
+def cells_of(held: DataFrame, streamed: DataFrame, key: str) -> DataFrame:
+    """(key, _i, _j, _side, vec_id, _x, embedding): held vectors (side 0) and streamed ones (1), dealt and sorted by strip and piece.
 
-    A cluster's rows are dealt into blocks by hash; a pair of blocks is one equi-join key, so a large cluster is
-    spread over tasks by its block pairs. With ``queries``, left blocks hold those rows only and meet every right block.
+    A key's held vectors are cut into strips of STRIP_BYTES, its streamed ones into pieces. A streamed vector goes to each strip, a held
+    one to each piece: to one and to PIECES, whatever a key's rows, until its held vectors are longer than a strip.
+    """
+    x = F.col("_x") if "_x" in held.columns else F.lit(0)
+    both = held.select(key, "vec_id", "embedding", x.cast("long").alias("_x"), F.lit(0).alias("_side")).unionByName(streamed.select(key, "vec_id", "embedding", F.lit(0).cast("long").alias("_x"), F.lit(1).alias("_side")))
+    sizes = both.groupBy(key).agg(F.count_if(F.col("_side") == 0).alias("_h"), F.count_if(F.col("_side") == 1).alias("_t"), F.max(F.size("embedding")).alias("_d")).where("_h > 0 AND _t > 0")
+    strips = F.ceil(F.col("_h") * F.greatest("_d", F.lit(1)) * 8 / STRIP_BYTES)
+    pieces = F.least(F.ceil(F.col("_t") / BLOCK), F.greatest(F.lit(PIECES).cast("long"), strips))
+    dealt = _by_key(both, materialise(sizes.select(key, strips.cast("long").alias("_strips"), pieces.cast("long").alias("_pieces"))), key)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
+    cells = F.when(F.col("_side") == 0, F.transform(upto("_pieces"), lambda j: F.struct(own("_strips").alias("i"), j.alias("j")))).otherwise(F.transform(upto("_strips"), lambda i: F.struct(i.alias("i"), own("_pieces").alias("j"))))
+    cells = dealt.withColumn("_c", F.explode(cells)).select(key, F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"), "_side", "vec_id", "_x", "embedding")
+    return cells.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_i", "_j").sortWithinPartitions(key, "_i", "_j", "_side", "vec_id")
+
+
+def _meet(held: DataFrame, streamed: DataFrame, key: str, start, step, fields: str, finish=None) -> DataFrame:
+    """Rows of (key, fields): every held vector of a key meets every streamed one of it.
+
+    A task gets a strip in the order of its ids and then the rows of a piece (``cells_of``): ``start(ids, unit vectors, what column _x of the
+    first says)`` gives its state, ``step(state, ids, unit vectors)`` columns of rows for some streamed ones, ``finish(state)`` more at the end.
     """
-    sizes = vectors.groupBy(key).agg(F.ceil(F.count("*") / block).cast("long").alias("_m"))
-    own = vectors.select(key, "vec_id", "embedding", *([queries.alias("_q")] if queries is not None else []))
-    dealt = own.join(sizes.withColumnRenamed(key, "_k"), own[key].eqNullSafe(F.col("_k"))).drop("_k")
-    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.col("_m")))
-    held = F.collect_list(F.struct("vec_id", "embedding"))
-    whole = dealt.groupBy(key, "_b", "_m").agg(held.alias("right"))
-    if queries is None:
-        left = whole.select(key, F.col("_b").alias("_i"), F.col("right").alias("left"), F.explode(F.sequence("_b", F.col("_m") - 1)).alias("_j"))
-        right = whole.select(key, F.col("_b").alias("_j"), "right", F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("_i"))
-    else:
-        some = dealt.where("_q").groupBy(key, "_b", "_m").agg(held.alias("left"))
-        left = some.select(key, F.col("_b").alias("_i"), "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_j"))
-        right = whole.select(key, F.col("_b").alias("_j"), "right", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_i"))
-    both = left.alias("a").join(right.alias("b"), [F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), F.col("a._i") == F.col("b._i"), F.col("a._j") == F.col("b._j")])
-    return both.select(f"a.{key}", (F.col("a._i") == F.col("a._j")).alias("same"), "left", "right")
-
-
-def _similarities(pairs: DataFrame, key: str, choose, fields: str, places: int = 4) -> DataFrame:
-    """Rows of (key, fields) that ``choose(same, left ids, right ids, similarities)`` gives of each block pair."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = f"{key} {pairs.schema[key].dataType.simpleString()}, {fields}"
+    schema = f"`{key}` {held.schema[key].dataType.simpleString()}, {fields}"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    cells = cells_of(held, streamed, key)
 
-    def matrix(rows):
+    def run(batches):
         import numpy as np
 
-        ids, vectors = rows.field(0).to_numpy(), rows.field(1)
-        m = vectors.flatten().to_numpy().astype(float).reshape(len(ids), -1)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return ids, m / np.where(norm == 0, 1, norm)
+        def units(vectors):
+            m = vectors.flatten().to_numpy().astype(float).reshape(len(vectors), -1)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            return m / np.where(norm == 0, 1, norm)
 
-    def run(batches):
-        import numpy as np
+        def put(found):
+            if found is not None and len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([cell[0]] * len(found[0]), arrow[0].type), *[pa.array(v, f.type) for v, f in zip(found, list(arrow)[1:])]], schema=arrow)
 
+        cell, ids, vectors, extra, state = None, [], [], 0, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                a, x = matrix(batch.column(2)[i].values)
-                b, y = matrix(batch.column(3)[i].values)
-                found = choose(batch.column(1)[i].as_py(), a, b, np.round(x @ y.T, places) + 0.0)
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found[0]), arrow[0].type), *[pa.array(v, f.type) for v, f in zip(found, list(arrow)[1:])]], schema=arrow)
-
-    return pairs.mapInArrow(run, schema)
+            marks = list(zip(*(batch.column(c).to_pylist() for c in range(4))))
+            at = 0
+            while at < len(marks):
+                end = at + 1
+                while end < len(marks) and marks[end] == marks[at]:
+                    end += 1
+                *now, side = marks[at]
+                part = batch.slice(at, end - at)
+                at = end
+                if cell != now:
+                    if state is not None and finish:
+                        yield from put(finish(state))
+                    cell, ids, vectors, extra, state = now, [], [], part.column(5)[0].as_py(), None
+                if side == 0:
+                    ids.append(part.column(4).to_numpy())
+                    vectors.append(units(part.column(6)))
+                    continue
+                if not ids:  # a piece that no strip meets
+                    continue
+                if state is None:
+                    a = np.concatenate(ids)
+                    state, width = start(a, np.concatenate(vectors), extra), max(1, TILE // len(a))
+                    vectors = []
+                b, y = part.column(4).to_numpy(), units(part.column(6))
+                for k in range(0, len(b), width):
+                    yield from put(step(state, b[k : k + width], y[k : k + width]))
+        if state is not None and finish:
+            yield from put(finish(state))
+
+    return cells.mapInArrow(run, schema)
 
 
 def pairwise(vectors: DataFrame, key: str, queries: Column) -> DataFrame:
     """(key, a, b, similarity): the similarity of each stated query vector a to every other vector b of its cluster."""
 
-    def choose(same, a, b, sims):
+    def step(state, b, y):
         import numpy as np
 
+        a, x, _ = state
         i, j = np.nonzero(a[:, None] != b[None, :])
-        return a[i], b[j], sims[i, j]
+        return a[i], b[j], (np.round(x @ y.T, 4) + 0.0)[i, j]
 
-    return _similarities(block_pairs(vectors, key, queries), key, choose, "a long, b long, similarity double")
+    return _meet(vectors.where(queries), vectors, key, lambda *held: held, step, "a long, b long, similarity double")
 
 
-#: First vectors whose pairs the first round of ``consensus`` looks at; each later one takes four times as many.
-FIRST_ROWS = 32
+#: First vectors whose pairs the first round of ``consensus`` looks at; each later one takes four times as many, all that are left after MOST_ROWS.
+FIRST_ROWS, MOST_ROWS = 32, 1 << 17
+#: The kinds of pairs, and the bits that say which of them a cluster still needs.
+KINDS = {"consensus": 1, "disagreement": 2}
 
 
-def consensus(vectors: DataFrame, key: str, most: int = 12, first: int = FIRST_ROWS, seen: dict | None = None) -> DataFrame:
-    """(key, kind, a, b, similarity, place): a cluster's first agreeing and first disagreeing pairs a < b, in their order.
+class _FirstPairs:
+    """The first pairs of each needed kind between a strip, in the order of its ids, and what streams by."""
 
-    Pairs are visited by their lower id: the first ids of every cluster meet all higher ones, by blocks; a cluster that has ``most`` pairs of both
-    kinds is done, the others take four times as many ids in the next round. A pair of blocks sends on only its first
-    ``most`` of each kind. ``seen`` is told the number of pairs that were compared.
-    """
+    def __init__(self, ids, vectors, need: int, most: int):
+        self.a, self.x, self.most = ids, vectors, most
+        self.kept = {kind: None for kind, bit in KINDS.items() if need & bit}
+        self.rows = {kind: len(ids) for kind in self.kept}  # only the first so many ids of the strip can still have one
 
-    def choose(same, a, b, sims):
+    def step(self, b, y):
         import numpy as np
 
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for kind, hit in (("consensus", sims >= CONSENSUS), ("disagreement", sims <= DISAGREEMENT)):
-            i, j = np.nonzero(hit & (a[:, None] < b[None, :]))
-            first = np.lexsort((b[j], a[i]))[:most]
-            for column, values in zip(out, ([kind] * len(first), a[i][first], b[j][first], sims[i, j][first])):
-                column.extend(values)
-        return out
+        rows = max(self.rows.values(), default=0)
+        sims = self.x[:rows] @ y.T
+        for kind, rows in self.rows.items():
+            part = sims[:rows]
+            near = part >= CONSENSUS - 0.001 if kind == "consensus" else part <= DISAGREEMENT + 0.001
+            i, j = np.nonzero(near)
+            s = np.round(part[i, j], 4) + 0.0
+            hit = (s >= CONSENSUS if kind == "consensus" else s <= DISAGREEMENT) & (self.a[i] < b[j])
+            if not hit.any():
+                continue
+            found = (i[hit], b[j[hit]], s[hit])
+            if self.kept[kind] is not None:
+                found = tuple(np.concatenate(z) for z in zip(self.kept[kind], found))
+            first = np.lexsort((found[1], found[0]))[: self.most]
+            self.kept[kind] = found = tuple(z[first] for z in found)
+            if len(first) == self.most:
+                self.rows[kind] = int(found[0][-1]) + 1
+
+    def finish(self):
+        import numpy as np
+
+        have = {kind: found for kind, found in self.kept.items() if found is not None}
+        if have:
+            return [k for k, f in have.items() for _ in f[0]], *(np.concatenate(z) for z in zip(*((self.a[i], b, s) for i, b, s in have.values())))
+
+
+def consensus(vectors: DataFrame, key: str, most: int = 12, first: int = FIRST_ROWS, seen: dict | None = None) -> DataFrame:
+    """(key, kind, a, b, similarity, place): a cluster's first agreeing and first disagreeing pairs a < b, in their order.
 
-    seen = {} if seen is None else seen
-    seen["pairs"] = 0
+    Pairs are visited by their lower id: the first ids of every cluster meet all higher ones, by strips; a cluster that has ``most`` pairs of both
+    kinds is done, the others look for what they need with four times as many ids in the next round. A task sends on only its first
+    ``most`` of each kind. ``seen`` is told the number of pairs that were compared.
+    """
     w = Window.partitionBy(key, "kind").orderBy("a", "b")
-    rows = vectors.select(key, "vec_id", "embedding")
-    open_, found, n = rows, None, first
+    rows = materialise(vectors.select(key, "vec_id", "embedding"))
+    open_, found, n = rows.withColumn("_x", F.lit(sum(KINDS.values()))), None, first
+    if seen is not None:
+        seen["pairs"] = 0
     while True:
-        cuts = materialise(smallest(open_, key, "vec_id", n))
-        own = materialise(open_.alias("r").join(cuts.alias("c"), F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}"))).select("r.*", (F.col("vec_id") <= F.col("cut")).alias("_now")))
-        met = _similarities(block_pairs(own, key, F.col("_now")), key, choose, "kind string, a long, b long, similarity double")
-        seen["pairs"] += own.groupBy(key).agg((F.count("*") * F.count_if("_now")).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
+        cuts = smallest(open_, key, "vec_id", n) if n <= MOST_ROWS else open_.groupBy(key).agg(F.max("vec_id").alias("cut"))
+        cuts = materialise(cuts)
+        if found is not None and cuts.isEmpty():
+            return found.withColumn("place", F.row_number().over(w).cast("long"))
+        own = _by_key(open_, cuts, key)
+        now = own.where("vec_id <= cut")
+        if seen is not None:
+            seen["pairs"] += own.groupBy(key).agg((F.count("*") * F.count_if(F.col("vec_id") <= F.col("cut"))).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
+        met = _meet(now, own, key, lambda a, x, need: _FirstPairs(a, x, need, most), _FirstPairs.step, "kind string, a long, b long, similarity double", _FirstPairs.finish)
         met = met if found is None else met.unionByName(found)
         found = materialise(met.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).drop("place"))
-        full = found.groupBy(key, "kind").agg(F.count("*").alias("n")).where(F.col("n") == most).groupBy(key).agg(F.count("*").alias("kinds")).where("kinds = 2")
-        left = own.where("NOT _now").drop("_now")
-        open_ = materialise(left.alias("r").join(full.alias("f"), F.col(f"r.{key}").eqNullSafe(F.col(f"f.{key}")), "left_anti"))
-        if open_.isEmpty():
-            return found.withColumn("place", F.row_number().over(w).cast("long"))
+        have = F.lit(0)
+        for kind, bit in KINDS.items():
+            have = have + F.when(F.count_if(F.col("kind") == kind) == most, bit).otherwise(0)
+        full = found.groupBy(key).agg(have.alias("_have"))
+        state = cuts.alias("c").join(full.alias("f"), F.col(f"c.{key}").eqNullSafe(F.col(f"f.{key}")), "left").select("c.*", (F.lit(sum(KINDS.values())) - F.coalesce("_have", F.lit(0))).alias("_x"))
+        open_ = _by_key(rows, materialise(state.where("_x > 0")), key).where("vec_id > cut").drop("cut")
         n *= 4
 
 

@@ -63,6 +63,21 @@ def test_first_pairs(spark):
             assert seen["pairs"] < pairs / 3, (seen, pairs)
 
 
+def test_vectors_are_dealt_a_few_times_only(spark, monkeypatch):
+    """However large a cluster is, a vector goes to few tasks; cut into many small strips it has the same pairs."""
+    rows = [("big", i, [float(i % 7), 1.0]) for i in range(6000)] + [(None, 9999, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cells = K.cells_of(df, df, "cluster_id")
+    assert cells.count() <= (K.PIECES + 1) * len(rows)
+    assert cells.where("_side = 0").select("vec_id").distinct().count() == cells.where("_side = 1").select("vec_id").distinct().count() == 6001
+    few = spark.createDataFrame(clusters(5), SCHEMA)
+    found = lambda: [sorted(map(tuple, x.collect()), key=repr) for x in (K.pairwise(few, "cluster_id", F.col("vec_id") % 5 == 0), K.consensus(few, "cluster_id", 12, 8), K.leader_clusters(few, "cluster_id", 0.8, 20))]
+    want = found()
+    for name, value in (("STRIP_BYTES", 1000), ("BLOCK", 16), ("TILE", 64), ("BROADCAST_KEYS", 0), ("MOST_ROWS", 8)):
+        monkeypatch.setattr(K, name, value)
+    assert found() == want and all(want)
+
+
 def test_smallest(spark):
     df = spark.createDataFrame([("a", x) for x in (5, 3, 9, 1, 7)] + [("b", 4), (None, 2)], "k string, v long").repartition(3)
     assert {(r["k"], r["cut"]) for r in K.smallest(df, "k", "v", 3).collect()} == {("a", 5), ("b", 4), (None, 2)}
