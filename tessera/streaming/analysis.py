@@ -13,6 +13,10 @@ from tessera.operators.segment import MAX_CHARS
 #: What an item is; ``is_last`` marks a source's last one.
 ITEM = "video_id {kind}, item_ord long, start_s double, end_s double, text string, is_last boolean"
 
+#: What is told of a source, and rows of it that one row of a stateful step holds: a data frame of each source's rows costs more than its fold.
+FOUND = "kind string, segment long, start_s double, end_s double, n_items long, text string, n_segments long, next_ord long, waiting long, status string, error string"
+TOLD = 256
+
 
 def _store(rows: DataFrame, folder: str, number: int) -> None:
     """A batch's rows under its number: a batch that is run again replaces what it wrote."""
@@ -82,8 +86,6 @@ def analyse(items: DataFrame, shortest: float = 60.0, longest: float = 120.0, ch
     rows = items.withColumn("text", F.coalesce(normalize_asr(F.col("text")), F.lit(""))).withColumn("marked", marked)
     rows = rows.select("video_id", "item_ord", "start_s", "end_s", "text", "marked", F.coalesce("is_last", F.lit(False)).alias("is_last"))
     kind = dict(items.dtypes)["video_id"]
-    names = "kind segment start_s end_s n_items text n_segments next_ord waiting status error".split()
-    schema = f"video_id {kind}, kind string, segment long, start_s double, end_s double, n_items long, text string, n_segments long, next_ord long, waiting long, status string, error string"
 
     def rule(lasts, mark, size):
         return lasts >= longest or lasts >= shortest and mark or size > chars
@@ -94,20 +96,18 @@ def analyse(items: DataFrame, shortest: float = 60.0, longest: float = 120.0, ch
         source = _Source(state.get[0] if state.exists else None)
         new = []
         for pdf in batches:
-            pdf = pdf.astype(object).where(pdf.notna(), None)
-            new += zip(pdf["item_ord"], pdf["start_s"], pdf["end_s"], pdf["text"], pdf["marked"], pdf["is_last"])
-        new = [(None if o is None else int(o), None if a is None else float(a), None if b is None else float(b), t, bool(m), bool(e)) for o, a, b, t, m, e in new]
-        out = [("segment", *s, None, None, None, None, None) for s in source.take(new, first, rule)]
+            new += zip(*(pdf[c].tolist() for c in ("item_ord", "start_s", "end_s", "text", "marked", "is_last")))
+        known = lambda x, kind: None if x is None or x != x else kind(x)
+        new = [(known(o, int), known(a, float), known(b, float), t, bool(m), bool(e)) for o, a, b, t, m, e in new]
+        out = [dict(zip(("kind", "segment", "start_s", "end_s", "n_items", "text"), ("segment", *found))) for found in source.take(new, first, rule)]
         s = source.s
-        out.append(("snapshot", None, None, None, None, None, s["closed"], s["next"], len(s["waiting"]), s["status"], s["error"]))
+        out.append({"kind": "snapshot", "n_segments": s["closed"], "next_ord": s["next"], "waiting": len(s["waiting"]), "status": s["status"], "error": s["error"]})
         state.update((json.dumps(s),))
-        made = pd.DataFrame(out, columns=names)
-        made.insert(0, "video_id", [key[0]] * len(out))
-        for c in ("segment", "n_items", "n_segments", "next_ord", "waiting"):
-            made[c] = made[c].astype("Int64")
-        yield made
+        told = [json.dumps(out[i : i + TOLD]) for i in range(0, len(out), TOLD)]
+        yield pd.DataFrame({"video_id": [key[0]] * len(told), "told": told})
 
-    return rows.groupBy("video_id").applyInPandasWithState(update, schema, "held string", "update", "NoTimeout")
+    told = rows.groupBy("video_id").applyInPandasWithState(update, f"video_id {kind}, told string", "held string", "update", "NoTimeout")
+    return told.select("video_id", F.inline(F.from_json("told", f"array<struct<{FOUND}>>")))
 
 
 def run_analysis(spark: SparkSession, folder: str, checkpoint: str, kind: str = "string", files_per_trigger: int = 8, trigger: dict | None = None, **options):

@@ -82,6 +82,22 @@ def test_orders_gaps_failures_and_blanks(spark, tmp_path):
     assert [r for r in rows_of(A.segments(spark, folder), *COLUMNS) if r[0] in ("a", "blank")] == rows_of(S.segment_transcript(items), *COLUMNS)
 
 
+def test_a_source_is_told_in_few_rows(spark, tmp_path, monkeypatch):
+    """The stateful step gives a source's segments and snapshot in a row of two columns, or in more of them if there are many; texts and times stay as they are."""
+    monkeypatch.setattr(A, "TOLD", 2)
+    texts = ['a "quote"', "back\\slash", "é 学习 \U0001f600", "tab\tand\nline", "x" * 1700, "{}[]", "\x01 low", "end"]
+    rows = [(v, i, 50.1 * i, 50.1 * i + 49.7, t, i == len(texts) - 1) for v in ("a", "b") for i, t in enumerate(texts)]
+    items = spark.createDataFrame(rows, SCHEMA)
+    A._store(items, f"{tmp_path}/items", 0)
+    A.run_analysis(spark, str(tmp_path), f"{tmp_path}/c", "string", 1).awaitTermination()
+    want = rows_of(S.segment_transcript(items), *COLUMNS)
+    assert rows_of(A.segments(spark, str(tmp_path)), *COLUMNS) == want and len(want) > 2 * A.TOLD
+    assert rows_of(A.snapshots(spark, str(tmp_path)), "video_id", "n_segments", "next_ord", "waiting", "status", "error") == [(v, sum(w[0] == v for w in want), len(texts), 0, "succeeded", None) for v in ("a", "b")]
+    stream = spark.readStream.schema(SCHEMA + ", batch int").parquet(f"{tmp_path}/items")
+    step = next(x for x in A.analyse(stream)._jdf.queryExecution().analyzed().toString().splitlines() if "FlatMapGroupsInPandasWithState" in x)
+    assert "told#" in step and "segment#" not in step and "n_segments#" not in step
+
+
 EVENTS = "server string, task_id string, kind string, at_ms long"
 
 
