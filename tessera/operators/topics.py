@@ -17,12 +17,15 @@ def cluster_count(n: int) -> int:
 
 
 def kmeans_clusters(vectors: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
-    """(vec_id, cluster): K-means over the embeddings."""
+    """(vec_id, cluster): K-means over the embeddings.
+
+    By blocks of vectors: row by row, every iteration sends the distances between all centres to the driver, a task for each centre.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=k or cluster_count(rows.count()), seed=seed, maxIter=20).fit(rows)
+    model = KMeans(k=k or cluster_count(rows.count()), seed=seed, maxIter=20, solver="block").fit(rows)
     return model.transform(rows).select("vec_id", F.col("prediction").cast("long").alias("cluster"))
 
 

@@ -164,3 +164,19 @@ def test_seeded_query(spark, sf_dir):
 
     ids = sorted(str(r["doc_id"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
     assert [r["case_id"] for r in QUERIES["j_seeded_sample"](spark, sf_dir).orderBy("place").collect()] == random.Random(42).sample(ids, 20)
+
+
+def test_kmeans_sends_no_task_for_each_centre(spark):
+    """Distances between all centres, one task a centre, are what a row-by-row fit sends to the driver in every iteration."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(240, 320)))], "vec_id long, embedding array<double>").repartition(3)
+    context = spark.sparkContext
+    context.setJobGroup("kmeans", "kmeans")
+    try:
+        assert K.kmeans_clusters(df, 60).select("cluster").distinct().count() <= 60
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("kmeans") for s in tracker.getJobInfo(j).stageIds}
+    tasks = [i.numTasks for i in map(tracker.getStageInfo, stages) if i]
+    assert tasks and max(tasks) < 60, sorted(tasks)[-3:]
